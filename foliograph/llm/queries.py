@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secrets
+from . import decontam, mixing, secrets
 from .common import table
 
 
@@ -12,9 +12,13 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leak_digest(decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_mix": op1_mix, "op8_secrets": op8_secrets}
-ORACLES = {"op1_mix": mixing.MIX_SQL, "op8_secrets": secrets.SECRETS_SQL}
+QUERIES = {"op1_mix": op1_mix, "op2_decontaminate": op2_decontaminate, "op8_secrets": op8_secrets}
+ORACLES = {"op1_mix": mixing.MIX_SQL, "op2_decontaminate": decontam.LEAKS_SQL, "op8_secrets": secrets.SECRETS_SQL}
