@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, neardup, secrets
+from . import decontam, langid, line_rules, mixing, neardup, secrets, tokens
 from .common import table
 
 
@@ -20,9 +20,21 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_decontaminate": op2_decontaminate, "op3_minhash": op3_minhash, "op8_secrets": op8_secrets}
-ORACLES = {"op1_mix": mixing.MIX_SQL, "op2_decontaminate": decontam.LEAKS_SQL, "op8_secrets": secrets.SECRETS_SQL}
+def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_mix": op1_mix, "op2_decontaminate": op2_decontaminate, "op3_minhash": op3_minhash, "op4_langid": op4_langid, "op5_tokens": op5_tokens, "op8_secrets": op8_secrets, "op9_line_rules": op9_line_rules}
+ORACLES = {"op1_mix": mixing.MIX_SQL, "op2_decontaminate": decontam.LEAKS_SQL, "op8_secrets": secrets.SECRETS_SQL, "op9_line_rules": line_rules.RULES_SQL}
