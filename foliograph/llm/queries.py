@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, line_rules, mixing, neardup, secrets, tokens
+from . import decontam, langid, line_rules, mixing, neardup, secrets, tokens, warc
 from .common import table
 
 
@@ -36,5 +36,9 @@ def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_decontaminate": op2_decontaminate, "op3_minhash": op3_minhash, "op4_langid": op4_langid, "op5_tokens": op5_tokens, "op8_secrets": op8_secrets, "op9_line_rules": op9_line_rules}
-ORACLES = {"op1_mix": mixing.MIX_SQL, "op2_decontaminate": decontam.LEAKS_SQL, "op8_secrets": secrets.SECRETS_SQL, "op9_line_rules": line_rules.RULES_SQL}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {"op1_mix": op1_mix, "op2_decontaminate": op2_decontaminate, "op3_minhash": op3_minhash, "op4_langid": op4_langid, "op5_tokens": op5_tokens, "op8_secrets": op8_secrets, "op9_line_rules": op9_line_rules, "op10_warc": op10_warc}
+ORACLES = {"op1_mix": mixing.MIX_SQL, "op2_decontaminate": decontam.LEAKS_SQL, "op8_secrets": secrets.SECRETS_SQL, "op9_line_rules": line_rules.RULES_SQL, "op10_warc": warc.WARC_SQL}
