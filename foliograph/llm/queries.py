@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, line_rules, mixing, neardup, quality_model, secrets, tokens, warc
+from . import decontam, langid, line_rules, mixing, neardup, quality_model, secrets, suffix_dedup, tokens, warc
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
@@ -44,5 +48,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_decontaminate": op2_decontaminate, "op3_minhash": op3_minhash, "op4_langid": op4_langid, "op5_tokens": op5_tokens, "op6_quality": op6_quality, "op8_secrets": op8_secrets, "op9_line_rules": op9_line_rules, "op10_warc": op10_warc}
+QUERIES = {"op1_mix": op1_mix, "op2_decontaminate": op2_decontaminate, "op3_minhash": op3_minhash, "op4_langid": op4_langid, "op5_tokens": op5_tokens, "op6_quality": op6_quality, "op7_suffix_array": op7_suffix_array, "op8_secrets": op8_secrets, "op9_line_rules": op9_line_rules, "op10_warc": op10_warc}
 ORACLES = {"op1_mix": mixing.MIX_SQL, "op2_decontaminate": decontam.LEAKS_SQL, "op8_secrets": secrets.SECRETS_SQL, "op9_line_rules": line_rules.RULES_SQL, "op10_warc": warc.WARC_SQL}
