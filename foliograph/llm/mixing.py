@@ -36,7 +36,7 @@ def text_size(text: Column) -> Column:
 def quality_weight(text: Column) -> Column:
     """0.25 to 1: rises with the share of letters and spaces in the text."""
     letters = F.length(F.regexp_replace(text, r"[^\p{L}\x20]+", ""))
-    share = letters.cast("double") / F.length(text)
+    share = F.try_divide(letters.cast("double"), F.length(text))
     return F.lit(0.25) + F.lit(0.75) * F.coalesce(share, F.lit(0.0))
 
 
