@@ -1,7 +1,8 @@
 """Numbers of sections, environments, rows and items by windows over document order.
 
-A counter is a running count inside an epoch; an epoch starts anew at each unstarred
-heading of a higher level. Nothing is counted in a loop.
+A counter is a running total less its value at the last reset, an unstarred heading of a
+higher level. Totals never fall, so that value is a running maximum over resets. Nothing is
+counted in a loop.
 """
 
 from __future__ import annotations
@@ -27,19 +28,24 @@ def number_nodes(nodes: DataFrame) -> DataFrame:
     n = nodes.join(kinds, "marker", "left")
     level = F.coalesce(*[F.when(F.col("counter") == m, F.lit(k)) for k, m in enumerate(SECTION_LEVELS)])
     doc = W.partitionBy("doc_id")
-    n = n.withColumn("level", level)
-    n = n.withColumn("toplevel", F.when(F.max(F.col("level") == 0).over(doc), 0).otherwise(1))
     run = doc.orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    depth = range(len(SECTION_LEVELS))
+    n = n.withColumn("level", level)
     plain = ~F.col("star") & F.col("level").isNotNull()
-    for j in range(len(SECTION_LEVELS)):
-        n = n.withColumn(f"epoch{j}", F.sum(F.when(plain & (F.col("level") < j), 1).otherwise(0)).over(run))
-    n = n.withColumn("epoch_env", F.sum(F.when(plain & (F.col("level") <= F.col("toplevel") + 1), 1).otherwise(0)).over(run))
-    for j in range(len(SECTION_LEVELS)):
-        own = W.partitionBy("doc_id", f"epoch{j}").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-        n = n.withColumn(f"c{j}", F.sum(F.when(plain & (F.col("level") == j), 1).otherwise(0)).over(own))
-        n = n.withColumn(f"s{j}", F.sum(F.when(F.col("star") & (F.col("level") == j), 1).otherwise(0)).over(run))
-    env = W.partitionBy("doc_id", "counter", "epoch_env").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    n = n.withColumn("c_env", F.sum(F.when(~F.col("star"), 1).otherwise(0)).over(env))
+    count = lambda flag: F.sum(F.when(flag, 1).otherwise(0)).over(run)
+    # Running totals, then their values at the last reset: both windows have one order, so one sort serves all.
+    n = n.withColumns(
+        {"toplevel": F.when(F.max(F.col("level") == 0).over(doc), 0).otherwise(1)}
+        | {f"t{j}": count(plain & (F.col("level") == j)) for j in depth}
+        | {f"s{j}": count(F.col("star") & (F.col("level") == j)) for j in depth}
+        | {f"t_{k}": count(~F.col("star") & (F.col("counter") == k)) for k in ENV_COUNTERS}
+    )
+    at_reset = lambda total, reset: F.coalesce(F.max(F.when(reset, F.col(total))).over(run), F.lit(0))
+    n = n.withColumns(
+        {f"c{j}": F.col(f"t{j}") - at_reset(f"t{j}", plain & (F.col("level") < j)) for j in depth}
+        | {f"c_{k}": F.col(f"t_{k}") - at_reset(f"t_{k}", plain & (F.col("level") <= F.col("toplevel") + 1)) for k in ENV_COUNTERS}
+    )
+    n = n.withColumn("c_env", F.coalesce(*[F.when(F.col("counter") == k, F.col(f"c_{k}")) for k in ENV_COUNTERS]))
     text = lambda c: F.col(c).cast("string")
     levels = F.array(*[F.struct(F.lit(j).alias("j"), text(f"c{j}").alias("c"), text(f"s{j}").alias("s")) for j in range(len(SECTION_LEVELS))])
     parts = F.transform(F.filter(levels, lambda x: (x["j"] >= F.col("toplevel")) & (x["j"] <= F.col("level"))), lambda x: F.when(F.col("star") & (x["j"] == F.col("level")), F.concat(x["s"], F.lit("x"))).otherwise(x["c"]))
