@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +45,31 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+_scopes: list[dict[str, str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Scratch tables written inside are removed at the end, but for those of the list it yields.
+
+    For operators that compute their result in steps: what the returned DataFrame still
+    reads is put on the list.
+    """
+    keep: list[DataFrame] = []
+    _scopes.append({})
+    try:
+        yield keep
+    finally:
+        paths = _scopes.pop()
+        held = {f for df in keep for f in df.inputFiles()}
+        conf = spark._jsparkSession.sessionState().newHadoopConf()
+        for path in paths:
+            if any(path.split(":", 1)[-1] in f for f in held):
+                continue
+            hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop_path.getFileSystem(conf).delete(hadoop_path, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a shared Parquet table and read it back.
 
@@ -52,6 +79,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    if _scopes:
+        _scopes[-1][path] = label
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

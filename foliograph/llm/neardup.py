@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import materialize
+from .common import materialize, scratch_scope
 from .components import connected_components
 
 SHINGLE = 5
@@ -260,7 +260,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     kept. Other columns are ignored. An empty table gives an empty result.
     """
     base = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row_id"))
-    return _near_duplicates(materialize(base, "dup-documents").select("row_id", "doc_id", "text"))
+    with scratch_scope(docs.sparkSession) as keep:
+        stored = materialize(base, "dup-documents").select("row_id", "doc_id", "text")
+        keep.append(materialize(_near_duplicates(stored), "dup-result"))
+    return keep[0]
 
 
 def _near_duplicates(base: DataFrame) -> DataFrame:
@@ -343,9 +346,11 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     """The documents without those that a link joins to a smaller id; one row of each component stays."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     stored = docs.toDF(*names).withColumn("row_id", F.monotonically_increasing_id())
-    stored = materialize(stored, "dup-documents")
-    at = {c: names[docs.columns.index(c)] for c in ("doc_id", "text")}
-    found = _near_duplicates(stored.select("row_id", F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text")))
-    first = found.where("kept").groupBy(F.coalesce(F.col("root"), -1 - F.col("row_id")).alias("part")).agg(F.min("row_id").alias("row_id"))
-    chosen = materialize(first.select("row_id"), "dup-kept")
+    with scratch_scope(docs.sparkSession) as keep:
+        stored = materialize(stored, "dup-documents")
+        at = {c: names[docs.columns.index(c)] for c in ("doc_id", "text")}
+        found = _near_duplicates(stored.select("row_id", F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text")))
+        first = found.where("kept").groupBy(F.coalesce(F.col("root"), -1 - F.col("row_id")).alias("part")).agg(F.min("row_id").alias("row_id"))
+        chosen = materialize(first.select("row_id"), "dup-kept")
+        keep += [stored, chosen]
     return stored.join(chosen, "row_id", "left_semi").select(names).toDF(*docs.columns)

@@ -130,6 +130,17 @@ def scan_secrets(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, keep: tu
     )
 
 
+def redact_live(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Documents without candidates as they are, and the others with ``live`` spans and text.
+
+    Only documents with a candidate take part in counts and joins; texts of the rest are
+    passed through in one scan.
+    """
+    kinds = [*base_spans(F.col("text")).values(), token_spans(F.col("text"))]
+    any_ = F.coalesce(F.size(F.concat(*kinds)) > 0, F.lit(False))
+    return docs.where(~any_), scan_secrets(docs.where(any_), keep=keep, carry_text=True)
+
+
 def secret_digest(found: DataFrame) -> DataFrame:
     """The columns of the contract from the operator's spans."""
     return found.select(
