@@ -36,10 +36,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live secrets are redacted; widely copied examples stay as they are."""
-    found = secrets.scan_secrets(docs, keep=_rest(docs), carry_text=True)
+    clean, found = secrets.redact_live(docs, _rest(docs))
     changed = F.size("live") > 0
-    clean = found.withColumn("text", F.when(changed, secrets.redact(F.col("text"), F.col("live"))).otherwise(F.col("text")))
-    return clean.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
+    found = found.withColumn("text", F.when(changed, secrets.redact(F.col("text"), F.col("live"))).otherwise(F.col("text")))
+    found = found.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return clean.unionByName(found.select(docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
