@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..catalog import aliases
 from ..functions.scanner import balanced, first_group, strip_groups
+from ..session import ship
 
 MACROS = "doc_id long, ordinal int, command string, name string, numargs int, default string, definition string"
 _COMMAND = re.compile(r"\\(let|def|newcommand|renewcommand|providecommand|DeclareMathOperator)\b\*?")
@@ -59,6 +60,7 @@ def _macros(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def extract_macros(docs: DataFrame) -> DataFrame:
     """One row per definition, with ``expandable``: not recursive, short enough, balanced, no internals."""
+    ship(docs.sparkSession)
     m = docs.select("doc_id", "text").mapInPandas(_macros, MACROS)
     recursive = F.expr(r"definition rlike concat('\\\\', name, '(?![A-Za-z])')")
     ok = ~recursive & F.col("name").rlike("^[A-Za-z]") & ~F.col("definition").contains("@") & ~F.col("name").isin(*KNOWN_MACROS) & (F.length("definition") < 1000)

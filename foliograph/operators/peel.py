@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import LISTS, MULTILINE_MATH, SECTION_LEVELS, VERBATIM
 from ..functions.scanner import first_group
+from ..session import ship
 
 NODES = (
     "doc_id long, pos int, parent int, ordinal int, depth int, ancestors array<int>, marker string, star boolean, "
@@ -200,5 +201,6 @@ def _peel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def peel(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to nodes, with ``content_hash`` (kind and text) and ``node_id`` (place)."""
+    ship(docs.sparkSession)
     nodes = docs.select("doc_id", "text").mapInPandas(_peel, NODES)
     return nodes.withColumn("content_hash", F.sha1(F.concat("opening", "body", "closing", "marker"))).withColumn("node_id", F.sha1(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("pos").cast("string"))))

@@ -7,7 +7,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import content, links, macros, numbering
+from ..functions.markup import tex_to_html
+from ..functions.scanner import choose_branches
+from ..operators import content, floats, links, macros, numbering
 from ..operators.peel import peel
 from ..sources import documents, synthetic
 from ..sources.synthetic import joined, table
@@ -183,11 +185,36 @@ def ptx_wrap_lists(spark, sf_dir):
     return content.assemble(marked, "open_tag", "close_tag").select("doc_id", F.sha1("text").alias("ptx_sha1"))
 
 
+def figures(spark, sf_dir):
+    """Per part: a figure with an image and a caption that holds braces."""
+    text = F.format_string("\\begin{figure}\\includegraphics[width=%d.5\\textwidth]{p%d.pdf}\\caption{Size {\\bf %d} here}\\label{f:%d}\\end{figure}", "p_size", "p_partkey", "p_size", "p_partkey")
+    n = numbering.number_nodes(peel(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text")))).where("marker = 'figure'")
+    found = floats.floats(n)
+    captions = found.where("kind = 'caption'").select("doc_id", F.col("content").alias("caption"))
+    return n.join(floats.image_sizes(found).select("doc_id", "file", "percent"), "doc_id").join(captions, "doc_id").select(F.col("doc_id").alias("p_partkey"), "label", "codenumber", "file", "percent", "caption")
+
+
+def markup_html(spark, sf_dir):
+    text = F.concat(F.lit("\\textbf{\\emph{"), "p_name", F.lit("}} {\\it "), "p_brand", F.lit("}~caf\\'{e} -- \\centering \\textcolor{red}{"), "p_size", F.lit("}\\\\x"))
+    return table(spark, sf_dir, "part").select("p_partkey", tex_to_html(text).alias("html"))
+
+
+def conditionals(spark, sf_dir):
+    text = F.concat(F.lit("a\\ifthenelse{"), (F.col("p_size") % 2 == 0).cast("string"), F.lit("}{even {"), "p_size", F.lit("}}{odd}b"))
+    return table(spark, sf_dir, "part").select("p_partkey", choose_branches(text).alias("text"))
+
+
+def document_parts(spark, sf_dir):
+    text = F.concat(F.lit("\\usepackage{p"), F.col("s_suppkey"), F.lit("}\\begin{document}\\title{"), "s_name", F.lit("}\\maketitle Body of "), "s_name", F.lit(".\\begin{thebibliography}{1}x\\end{thebibliography}\\end{document} rest"))
+    return content.document_parts(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), text.alias("text"))).withColumnRenamed("doc_id", "s_suppkey")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         numbered_sections, starred_numbering, section_split, env_extract, list_items, math_rows, labels_and_ids, refs_resolved, cites_multi, bib_entries, macro_table, macro_expand,
         macro_usage, theorem_aliases, tables_html, toc_two_levels, prev_next, dependency_edges, containing_section, ordinal_of_code, assemble_html, include_graph, tree_round_trip, ptx_wrap_lists,
+        figures, markup_html, conditionals, document_parts,
     )
 }
 
@@ -225,6 +252,10 @@ h AS (SELECT r_regionkey::BIGINT AS r_regionkey, '<section id="r:' || r_regionke
 SELECT r_regionkey, sha1(html) AS html_sha1, length(html) AS chars FROM h""",
     "include_graph": """SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS file, 0 AS depth, false AS cyclic FROM region UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, 1, false FROM nation
 UNION ALL SELECT 'r' || n_regionkey, 'r' || n_regionkey, 2, true FROM nation WHERE n_nationkey = 0""",
+    "figures": """SELECT p_partkey, 'f:' || p_partkey AS label, '0.1' AS codenumber, 'p' || p_partkey || '.pdf' AS file, p_size * 100 + 50 AS percent, 'Size {\\bf ' || p_size || '} here' AS caption FROM part""",
+    "markup_html": """SELECT p_partkey, '<b><em>' || p_name || '</em></b> <i>' || p_brand || '</i>&nbsp;caf&eacute; &#x2013; ' || p_size || '<br/>x' AS html FROM part""",
+    "conditionals": """SELECT p_partkey, 'a' || CASE WHEN p_size % 2 = 0 THEN 'even {' || p_size || '}' ELSE 'odd' END || 'b' AS text FROM part""",
+    "document_parts": """SELECT s_suppkey, '\\usepackage{p' || s_suppkey || '}' AS preamble, '\\title{' || s_name || '}' AS header, ' Body of ' || s_name || '.' AS main, '\\begin{thebibliography}{1}x\\end{thebibliography}' AS bibliography FROM supplier""",
     "tree_round_trip": "SELECT DISTINCT o_custkey AS c_custkey, true AS same FROM orders",
     "ptx_wrap_lists": """WITH t AS (SELECT p_brand, p_type, '<li>' || p_type || '<ol>' || string_agg('<li>part ' || p_partkey || '</li>', '' ORDER BY p_partkey) || '</ol></li>' AS s FROM part GROUP BY 1, 2)
 SELECT regexp_extract(p_brand, '([0-9]+)', 1)::BIGINT AS doc_id, sha1('<ol>' || string_agg(s, '' ORDER BY p_type) || '</ol>') AS ptx_sha1 FROM t GROUP BY p_brand""",

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +22,17 @@ def session(app: str = "foliograph", **conf: str) -> SparkSession:
     for k, v in settings.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors, once per context; they may have no copy of their own."""
+    sc = spark.sparkContext
+    if getattr(sc, "_foliograph_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="foliograph-")) / "foliograph_package.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    sc._foliograph_shipped = True
