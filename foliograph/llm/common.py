@@ -10,11 +10,14 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: A word for counting sizes: anything between ASCII white space.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -78,6 +81,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     optimizer a measured size for choosing joins.
     """
     spark = df.sparkSession
+    ship(spark)
     path = scratch_path(spark, label)
     if _scopes:
         _scopes[-1][path] = label

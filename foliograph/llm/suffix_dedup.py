@@ -12,9 +12,10 @@ suffixes are sparse and known by hashes of their leading bytes:
    sorted and equal neighbours are found. A key is sent once per block of documents, which
    has already compared its own, so a passage in a third of all documents is one row per block.
 3. *Edges.* Windows with a repeated anchor that no segment settles lie at the edges of
-   repeated passages. Their anchors are announced to every block that has them.
-4. *Rest.* All windows of announced anchors, settled ones too since they may be the
-   others' only partners, go through the same buckets by their own keys.
+   repeated passages. Their anchors, with where in the window they lie, are announced to
+   every block that has them, since a settled window may be an unsettled one's only partner.
+4. *Rest.* Unsettled windows, and announced ones of the segments for which a block speaks (the
+   first of those that have it), go through the same buckets by their own keys.
 
 Keys are 64-bit hashes, so their splitters are the even ones that a sample would give.
 Every block of documents is read four times from one exchange.
@@ -126,20 +127,16 @@ def _splitters(buckets: int) -> np.ndarray:
     return (np.arange(1, buckets, dtype=np.float64) / buckets * 2.0**64).astype(np.uint64)
 
 
-def _dealt(block: int, kind: int, keys: np.ndarray, splitters: np.ndarray) -> pa.Table:
-    """Sorted keys as one packed row per bucket."""
+def _dealt(block: int, kind: int, keys: np.ndarray, splitters: np.ndarray, places: np.ndarray | None = None) -> pa.Table:
+    """Sorted keys, and their places if given, as one packed row per bucket."""
     cuts = [0, *np.searchsorted(keys, splitters), len(keys)]
-    rows = [(k, keys[i:j].tobytes()) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+    rows = [(k, keys[i:j].tobytes() + (b"" if places is None else places[i:j].tobytes())) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
     return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([block] * len(rows), pa.int64()), "kind": pa.array([kind] * len(rows), pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary())})
 
 
 DEALT = "bucket long, block long, kind int, keys binary"
-SHARED = "block long, kind int, keys binary"
-
-
-def _collect(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, Slice]]]:
-    data, offsets = K.utf8(texts.column("text"))
-    return data, offsets, list(slices(data, offsets))
+#: For each packed row that a block sent to a bucket, a bit per key; kind 3 also has places of the keys that are set.
+SHARED = "block long, kind int, bucket long, bits binary"
 
 
 def _first_keys(splitters: np.ndarray):
@@ -153,90 +150,153 @@ def _first_keys(splitters: np.ndarray):
 
 
 def _meet(rows: pa.Table) -> pa.Table:
-    """Keys of a bucket that at least two blocks have, for each of these blocks."""
-    block = rows.column("block").to_numpy()
-    kind = rows.column("kind")[0].as_py() if len(rows) else 0
+    """Which keys of a bucket at least two blocks have; as kind 4, of which of these a block is the first."""
+    if not len(rows):
+        return _shared_rows([])
+    kind = rows.column("kind")[0].as_py()
     packed = [np.frombuffer(x, np.uint64) for x in rows.column("keys").to_pylist()]
     keys = np.concatenate(packed)
-    owner = np.repeat(np.arange(len(packed)), [len(x) for x in packed])
     order = np.argsort(keys, kind="stable")
-    keys, owner = keys[order], owner[order]
-    same = keys[1:] == keys[:-1]
-    shared = np.zeros(len(keys), bool)
-    shared[1:] |= same
-    shared[:-1] |= same
-    keys, owner = keys[shared], owner[shared]
-    order = np.argsort(owner, kind="stable")
-    keys, owner = keys[order], owner[order]
-    cuts = np.searchsorted(owner, np.arange(len(packed) + 1))
-    rows_out = [(int(block[i]), keys[cuts[i] : cuts[i + 1]].tobytes()) for i in range(len(packed)) if cuts[i + 1] > cuts[i]]
-    return pa.table({"block": pa.array([r[0] for r in rows_out], pa.int64()), "kind": pa.array([kind] * len(rows_out), pa.int32()), "keys": pa.array([r[1] for r in rows_out], pa.binary())})
-
-
-def _known(shared: pa.Table, kind: int) -> np.ndarray:
-    mine = [np.frombuffer(x, np.uint64) for x, k in zip(shared.column("keys").to_pylist(), shared.column("kind").to_pylist(), strict=True) if k == kind]
-    return np.sort(np.concatenate(mine)) if mine else np.zeros(0, np.uint64)
-
-
-def _settled(parts: list[tuple[int, int, Slice]], shared: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each slice: windows known to repeat, windows that may, and every window's anchor key."""
-    _, own_twice = _twice([k for _, _, s in parts if len(s.anchors) for k in (s.anchor_keys, s.segment_keys())])
+    same = keys[order][1:] == keys[order][:-1]
+    shared, first = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+    shared[order[1:]] = same
+    shared[order[:-1]] |= same
+    first[order[np.concatenate([[True], ~same])]] = True
+    cuts = np.cumsum([0, *map(len, packed)])
+    out = []
+    for block, bucket, a, b in zip(rows.column("block").to_pylist(), rows.column("bucket").to_pylist(), cuts[:-1], cuts[1:], strict=True):
+        for k, flags in ((kind, shared[a:b]), *([(4, (shared & first)[a:b])] if kind == 1 else [])):
+            if flags.any():
+                out.append((block, k, bucket, np.packbits(flags).tobytes()))
+    return _shared_rows(out)
+
+
+def _shared_rows(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["block", "kind", "bucket", "bits"])
+
+
+def _told(shared: pa.Table, kind: int, sent: np.ndarray, splitters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the sorted keys that this block sent, those that came back for a kind, and their places if it has any."""
+    cuts = [0, *np.searchsorted(sent, splitters), len(sent)]
+    keys, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)]
+    for k, bucket, bits in sorted(zip(shared.column("kind").to_pylist(), shared.column("bucket").to_pylist(), shared.column("bits").to_pylist(), strict=True)):
+        if k == kind:
+            part = sent[cuts[bucket] : cuts[bucket + 1]]
+            n = -(-len(part) // 8)
+            keys.append(part[np.unpackbits(np.frombuffer(bits, np.uint8, n), count=len(part)).astype(bool)])
+            places.append(np.frombuffer(bits, np.uint16, (len(bits) - n) // 2, n))
+    return np.concatenate(keys), np.concatenate(places)
+
+
+class Block:
+    """The texts of a block, its first keys and what came back for them."""
+
+    def __init__(self, texts: pa.Table, shared: pa.Table, splitters: np.ndarray):
+        self.data, self.offsets = K.utf8(texts.column("text"))
+        self.parts = list(slices(self.data, self.offsets))
+        self.sent, own_twice = _twice([k for _, _, s in self.parts if len(s.anchors) for k in (s.anchor_keys, s.segment_keys())])
+        elsewhere, spoken = (_told(shared, k, self.sent, splitters)[0] for k in (1, 4))
+        self.announced = _told(shared, 3, self.sent, splitters)
+        self.settled = _settled(self.parts, elsewhere, spoken, own_twice)
+
+    def window_keys(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each slice the windows whose keys are compared, and these keys."""
+        windows = _chosen(self.parts, self.settled, *self.announced)
+        return windows, [s.keys(w, LENGTH) if len(w) else np.zeros(0, np.uint64) for (_, _, s), w in zip(self.parts, windows, strict=True)]
+
+
+def _settled(parts: list[tuple[int, int, Slice]], shared: np.ndarray, spoken: np.ndarray, own_twice: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each slice: windows known to repeat, those that may, those this block speaks for, and anchor keys."""
+
+    def inside(s: Slice, hit: np.ndarray) -> np.ndarray:
+        change = np.zeros(s.n_windows + 1, np.int64)
+        np.add.at(change, s.seg_start[hit], 1)
+        np.add.at(change, s.seg_end[hit] - LENGTH + 1, -1)
+        return (np.cumsum(change)[:-1] > 0) & s.valid
+
     out = []
     for _, _, s in parts:
-        sure, open_, key = np.zeros(s.n_windows, bool), np.zeros(s.n_windows, bool), np.zeros(s.n_windows, np.uint64)
+        sure, open_, speaks, key = (np.zeros(s.n_windows, t) for t in (bool, bool, bool, np.uint64))
         if len(s.anchors):
             k = s.segment_keys()
-            hit = _among(k, shared) | _among(k, own_twice)
-            change = np.zeros(s.n_windows + 1, np.int64)
-            np.add.at(change, s.seg_start[hit], 1)
-            np.add.at(change, s.seg_end[hit] - LENGTH + 1, -1)
-            sure = (np.cumsum(change)[:-1] > 0) & s.valid
+            elsewhere, here = _among(k, shared), _among(k, own_twice)
+            sure = inside(s, elsewhere | here)
+            speaks = inside(s, _among(k, spoken) | (here & ~elsewhere))
             again = _among(s.anchor_keys, shared) | _among(s.anchor_keys, own_twice)
             at = np.minimum(np.searchsorted(s.anchors, s.anchor), len(again) - 1)
             open_ = s.valid & ~sure & again[at]
             key = s.anchor_keys[at]
-        out.append((sure, open_, key))
+        out.append((sure, open_, speaks, key))
     return out
 
 
+def _places(s: Slice) -> np.ndarray:
+    """One of 16 bits for where in its window the anchor lies."""
+    offset = s.anchor - np.arange(s.n_windows) if len(s.anchors) else np.zeros(s.n_windows, np.int64)
+    return np.left_shift(1, np.clip(offset * 16 // (LENGTH - GRAM + 1), 0, 15)).astype(np.uint16)
+
+
+def _merge_places(keys: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return keys, bits
+    order = np.argsort(keys, kind="stable")
+    keys, bits = keys[order], bits[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.bitwise_or.reduceat(bits, first)
+
+
+def _with_places(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of eight bytes, then as many pairs of bytes."""
+    n = len(packed) // 10
+    return np.frombuffer(packed, np.uint64, n), np.frombuffer(packed, np.uint16, n, 8 * n)
+
+
 def _open_keys(splitters: np.ndarray):
     def keys(texts: pa.Table, shared: pa.Table) -> pa.Table:
         if not len(texts):
             return _dealt(0, 3, np.zeros(0, np.uint64), splitters)
-        _, _, parts = _collect(texts)
-        found = [np.unique(key[open_]) for _, open_, key in _settled(parts, _known(shared, 1))]
-        return _dealt(texts.column("block")[0].as_py(), 3, _twice(found)[0], splitters)
+        own = Block(texts, shared, splitters)
+        found = [(key[open_], _places(s)[open_]) for (_, _, s), (_, open_, _, key) in zip(own.parts, own.settled, strict=True) if open_.any()]
+        key, bits = _merge_places(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else (np.zeros(0, np.uint64), np.zeros(0, np.uint16))
+        return _dealt(texts.column("block")[0].as_py(), 3, key, splitters, bits)
 
     return keys
 
 
 def _announce(first: pa.Table, open_: pa.Table) -> pa.Table:
-    """Of the keys of each block in a bucket, those that some block has open."""
-    wanted = [np.frombuffer(x, np.uint64) for x in open_.column("keys").to_pylist()]
-    wanted = np.unique(np.concatenate(wanted)) if wanted else np.zeros(0, np.uint64)
+    """Of the keys of each block in a bucket, those that some block has open, and where."""
+    wanted = [_with_places(x) for x in open_.column("keys").to_pylist()]
+    if not wanted:
+        return _shared_rows([])
+    wanted, places = _merge_places(*(np.concatenate(x) for x in zip(*wanted, strict=True)))
     rows = []
-    for block, packed in zip(first.column("block").to_pylist(), first.column("keys").to_pylist(), strict=True):
+    for block, bucket, packed in zip(*(first.column(k).to_pylist() for k in ("block", "bucket", "keys")), strict=True):
         keys = np.frombuffer(packed, np.uint64)
-        keys = keys[_among(keys, wanted)]
-        if len(keys):
-            rows.append((block, keys.tobytes()))
-    return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([3] * len(rows), pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary())})
+        hit = _among(keys, wanted)
+        if hit.any():
+            rows.append((block, 3, bucket, np.packbits(hit).tobytes() + places[np.searchsorted(wanted, keys[hit])].tobytes()))
+    return _shared_rows(rows)
 
 
-def _chosen(parts, settled, announced: np.ndarray) -> list[np.ndarray]:
-    """Windows of announced anchors, by slice."""
-    return [np.flatnonzero(s.valid & _among(key, announced)) if len(s.anchors) else np.zeros(0, np.int64) for (_, _, s), (_, _, key) in zip(parts, settled, strict=True)]
+def _chosen(parts, settled, known: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
+    """Windows whose keys are compared: unsettled ones, and announced ones this block speaks for."""
+    out = []
+    for (_, _, s), (_, open_, speaks, key) in zip(parts, settled, strict=True):
+        pick = open_.copy()
+        w = np.flatnonzero(speaks & ~open_)
+        if len(w) and len(known):
+            at = np.minimum(np.searchsorted(known, key[w]), len(known) - 1)
+            pick[w[(known[at] == key[w]) & ((places[at] & _places(s)[w]) > 0)]] = True
+        out.append(np.flatnonzero(pick))
+    return out
 
 
 def _rest_keys(splitters: np.ndarray):
     def keys(texts: pa.Table, shared: pa.Table) -> pa.Table:
         if not len(texts):
             return _dealt(0, 2, np.zeros(0, np.uint64), splitters)
-        _, _, parts = _collect(texts)
-        settled = _settled(parts, _known(shared, 1))
-        windows = _chosen(parts, settled, _known(shared, 3))
-        found = [s.keys(w, LENGTH) for (_, _, s), w in zip(parts, windows, strict=True) if len(w)]
-        return _dealt(texts.column("block")[0].as_py(), 2, _twice(found)[0], splitters)
+        return _dealt(texts.column("block")[0].as_py(), 2, _twice(Block(texts, shared, splitters).window_keys()[1])[0], splitters)
 
     return keys
 
@@ -244,15 +304,22 @@ def _rest_keys(splitters: np.ndarray):
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _remove(texts: pa.Table, shared: pa.Table) -> pa.Table:
-    data, offsets, parts = _collect(texts)
-    settled = _settled(parts, _known(shared, 1))
-    windows = _chosen(parts, settled, _known(shared, 3))
-    rest = [s.keys(w, LENGTH) if len(w) else np.zeros(0, np.uint64) for (_, _, s), w in zip(parts, windows, strict=True)]
-    known, own = _known(shared, 2), _twice(rest)[1]
+def _remover(splitters: np.ndarray):
+    def remove(texts: pa.Table, shared: pa.Table) -> pa.Table:
+        return _remove(texts, shared, splitters)
+
+    return remove
+
+
+def _remove(texts: pa.Table, shared: pa.Table, splitters: np.ndarray) -> pa.Table:
+    own = Block(texts, shared, splitters)
+    data, offsets = own.data, own.offsets
+    windows, rest = own.window_keys()
+    sent, twice = _twice(rest)
+    known = _told(shared, 2, sent, splitters)[0]
     cover = np.zeros(len(data) + 1, np.int64)
-    for (_, base, _), (sure, _, _), w, keys in zip(parts, settled, windows, rest, strict=True):
-        again = w[_among(keys, known) | _among(keys, own)]
+    for (_, base, _), (sure, _, _, _), w, keys in zip(own.parts, own.settled, windows, rest, strict=True):
+        again = w[_among(keys, known) | _among(keys, twice)]
         start = base + np.concatenate([np.flatnonzero(sure), again])
         np.add.at(cover, start, 1)
         np.add.at(cover, start + LENGTH, -1)
@@ -287,4 +354,4 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     told = shared.unionByName(first.groupBy("bucket").cogroup(open_.groupBy("bucket")).applyInArrow(_announce, SHARED))
     rest = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_rest_keys(splitters), DEALT)
     both = told.unionByName(rest.groupBy("bucket").applyInArrow(_meet, SHARED))
-    return texts.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_remove, RESULT)
+    return texts.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_remover(splitters), RESULT)

@@ -187,11 +187,11 @@ def test_substrings_slices(spark, monkeypatch):
     import pyarrow as pa
 
     table = pa.table({"doc_id": pa.array([r[0] for r in rows]), "text": pa.array([r[1] for r in rows]), "block": pa.array([0] * len(rows))})
-    no = pa.table({"block": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "keys": pa.array([], pa.binary())})
+    no = parts._shared_rows([])
     cut = parts._splitters(4)
     opened = parts._open_keys(cut)(table, no)
     told = parts._announce(parts._first_keys(cut)(table), opened)
-    out = parts._remove(table, told)
+    out = parts._remove(table, told, cut)
     got = list(zip(*(c.to_pylist() for c in out.columns), strict=True))
     assert got == brute.substrings(rows)
 
