@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .line_rules import measure
 
-MAX_LABELLED = 8_000
-MAX_POOL = 8_000
+MAX_LABELLED = 5_000
+MAX_POOL = 5_000
 ROUNDS = 4
 #: A pseudo-label is exchanged where the model is at least this sure.
 CONFIDENT = 0.97
@@ -31,7 +31,7 @@ CONFIDENT = 0.97
 PER_ROUND = 1_000
 #: Documents with a combined score below this are rejected.
 THRESHOLD = 0.35
-WORD_SLOTS = 512
+WORD_SLOTS = 256
 NAME_SLOTS = 64
 #: Share of the labelled sample kept aside for calibration: one in this many.
 ASIDE = 4
@@ -55,7 +55,7 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     m = measure(data, offsets)
     starts, ends, words, first = K.doc_words(data, offsets, K.NOT_SPACE)
     row = K.segment_rows(first)
-    slots = np.bincount(row * WORD_SLOTS + (words >> np.uint64(55)).astype(np.int64), minlength=n * WORD_SLOTS).reshape(n, WORD_SLOTS)
+    slots = np.bincount(row * WORD_SLOTS + (words >> np.uint64(56)).astype(np.int64), minlength=n * WORD_SLOTS).reshape(n, WORD_SLOTS)
     slots = np.sqrt(slots)
     slots /= np.maximum(np.linalg.norm(slots, axis=1, keepdims=True), 1)
     count = np.maximum(m["n_words"], 1)
