@@ -153,6 +153,7 @@ def _meet(rows: pa.Table) -> pa.Table:
     """Which keys of a bucket at least two blocks have; as kind 4, of which of these a block is the first."""
     if not len(rows):
         return _shared_rows([])
+    rows = rows.sort_by("block")  # the first block is the same one whenever this runs
     kind = rows.column("kind")[0].as_py()
     packed = [np.frombuffer(x, np.uint64) for x in rows.column("keys").to_pylist()]
     keys = np.concatenate(packed)
