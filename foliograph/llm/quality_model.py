@@ -2,11 +2,14 @@
 
 One logistic model sees the text's content (hashed words and shape measures), the other
 the page's metadata (source, language, length, layout of lines). Over a few rounds each
-labels the documents of an unlabelled pool of which it is sure, for the other to learn
-from. Both are calibrated on labelled documents kept aside, and a last logistic model
-over the two calibrated logits combines them. The models are fitted on bounded samples
-of ``MAX_LABELLED`` labelled and ``MAX_POOL`` unlabelled documents, chosen by a hash of
-the id; every document is scored.
+labels the unlabelled documents of which it is sure, for the other to learn from. Both
+are calibrated on labelled documents kept aside, and a last logistic model over the two
+calibrated logits combines them.
+
+Labelled documents are a sample of ``MAX_LABELLED``, chosen by a hash of the id. All
+unlabelled documents take part: their features are written once, and each Newton step
+labels them in the executors and adds up gradients and Hessians there, so that the driver
+gets sums of a fixed size.
 """
 
 from __future__ import annotations
@@ -20,18 +23,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .common import materialize, scratch_scope
 from .line_rules import measure
 
-MAX_LABELLED = 5_000
-MAX_POOL = 5_000
+MAX_LABELLED = 8_000
 ROUNDS = 4
 #: A pseudo-label is exchanged where the model is at least this sure.
 CONFIDENT = 0.97
-#: Pseudo-labels given by a view in a round, at most.
-PER_ROUND = 1_000
+#: A fit over the corpus ends where another Newton step would gain less than this share of the loss, or after so many.
+GAIN, STEPS = 1e-4, 12
+#: Pieces in which sums are added up, and rows of features taken at once.
+PIECES, ROWS = 16, 2048
 #: Documents with a combined score below this are rejected.
 THRESHOLD = 0.35
-WORD_SLOTS = 256
+WORD_SLOTS = 512
 NAME_SLOTS = 64
 #: Share of the labelled sample kept aside for calibration: one in this many.
 ASIDE = 4
@@ -55,7 +60,7 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     m = measure(data, offsets)
     starts, ends, words, first = K.doc_words(data, offsets, K.NOT_SPACE)
     row = K.segment_rows(first)
-    slots = np.bincount(row * WORD_SLOTS + (words >> np.uint64(56)).astype(np.int64), minlength=n * WORD_SLOTS).reshape(n, WORD_SLOTS)
+    slots = np.bincount(row * WORD_SLOTS + (words >> np.uint64(55)).astype(np.int64), minlength=n * WORD_SLOTS).reshape(n, WORD_SLOTS)
     slots = np.sqrt(slots)
     slots /= np.maximum(np.linalg.norm(slots, axis=1, keepdims=True), 1)
     count = np.maximum(m["n_words"], 1)
@@ -149,55 +154,174 @@ class Model:
         return _sigmoid(a), _sigmoid(b), _sigmoid(self.both.logit(np.column_stack([a, b])))
 
 
-def co_train(content: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_content: np.ndarray, pool_meta: np.ndarray) -> Model | None:
+@dataclass
+class Teacher:
+    """A view as it stood in a round: its calibrated model, which labels for the other view."""
+
+    model: Logistic
+    scale: Logistic
+
+    def prob(self, x: np.ndarray) -> np.ndarray:
+        return _sigmoid(self.scale.logit(self.model.logit(x)[:, None]))
+
+
+def taught(teachers: list[Teacher], x: np.ndarray) -> np.ndarray:
+    """The label of each row by the first round that was sure of it, NaN where none was."""
+    y = np.full(len(x), np.nan)
+    for t in teachers:
+        p = t.prob(x)
+        y = np.where(np.isnan(y) & (np.maximum(p, 1 - p) >= CONFIDENT), (p > 0.5).astype(float), y)
+    return y
+
+
+def logistic_sums(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Loss, gradient and Hessian of the standardised rows, one after the other."""
+    z = np.hstack([z, np.ones((len(z), 1), z.dtype)])
+    at = np.clip(z @ w, -35, 35)
+    p = _sigmoid(at)
+    curve = np.maximum(p * (1 - p), 1e-6).astype(z.dtype)
+    return np.concatenate([[np.sum(np.logaddexp(0, at) - y * at)], z.T @ (p - y), ((z * curve[:, None]).T @ z).ravel()]).astype(np.float64)
+
+
+VIEWS = ("text", "meta")
+OTHER = {"text": "meta", "meta": "text"}
+
+
+def _features(batch: pa.RecordBatch) -> Iterator[dict[str, np.ndarray]]:
+    for a in range(0, batch.num_rows, ROWS):
+        part = batch.slice(a, ROWS)
+        yield {k: np.frombuffer(b"".join(part.column(i).to_pylist()), np.float32).reshape(part.num_rows, -1) for i, k in enumerate(VIEWS)}
+
+
+def _summed(pool: DataFrame, sums) -> np.ndarray | None:
+    """``sums(features)`` added up over all rows in the executors; None without rows."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total = None
+        for batch in batches:
+            for x in _features(batch):
+                v = sums(x)
+                total = v if total is None else total + v
+        if total is not None:
+            task = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([task] * PIECES, pa.int32()), pa.array([v.tobytes() for v in np.array_split(total, PIECES)], pa.binary())], ["piece", "task", "v"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        # In the order of tasks: rounding does not depend on which came first.
+        v = sum(np.frombuffer(x, np.float64) for x in rows.sort_by("task").column("v").to_pylist())
+        return pa.table({"piece": rows.column("piece").slice(0, 1), "v": pa.array([v.tobytes()], pa.binary())})
+
+    got = pool.mapInArrow(partial, "piece int, task int, v binary").groupBy("piece").applyInArrow(add, "piece int, v binary").collect()
+    return np.concatenate([np.frombuffer(r.v, np.float64) for r in sorted(got, key=lambda r: r.piece)]) if got else None
+
+
+def _moments(x: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([[len(x["text"])], *[f(x[k].astype(np.float64)) for k in VIEWS for f in (lambda v: v.sum(axis=0), lambda v: np.square(v).sum(axis=0))]])
+
+
+def _standard(x: dict[str, np.ndarray], pool: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Mean and scale of each view's features over the given labelled rows and the whole pool."""
+    total = _moments(x)
+    rest = _summed(pool, _moments)
+    total = total if rest is None else total + rest
+    out, at = {}, 1
+    for k in VIEWS:
+        d = x[k].shape[1]
+        mean, square = total[at : at + d] / total[0], total[at + d : at + 2 * d] / total[0]
+        scale = np.sqrt(np.maximum(square - mean**2, 0))
+        out[k], at = (mean, np.where(scale > 1e-6, scale, np.inf)), at + 2 * d
+    return out
+
+
+def _pool_sums(standard: dict, teachers: dict[str, list[Teacher]], weights: dict[str, np.ndarray]):
+    """Sums of the pool's rows for the views in ``weights``, by the labels of the other view."""
+
+    def sums(x: dict[str, np.ndarray]) -> np.ndarray:
+        out = []
+        for k, w in weights.items():
+            y = taught(teachers[OTHER[k]], x[OTHER[k]])
+            has = ~np.isnan(y)
+            mean, scale = standard[k]
+            out.append(logistic_sums(((x[k][has] - mean) / scale).astype(np.float32), y[has], w))
+        return np.concatenate(out)
+
+    return sums
+
+
+def _fit_views(x: dict[str, np.ndarray], y: np.ndarray, pool: DataFrame | None, standard: dict, teachers: dict[str, list[Teacher]], weights: dict[str, np.ndarray], ridge: float = 1.0) -> dict[str, np.ndarray]:
+    """Newton's method for both views at once over labelled rows and, if given, the taught pool."""
+    z = {k: (x[k] - standard[k][0]) / standard[k][1] for k in VIEWS}
+    now, best, done = dict(weights), {}, {}
+    for _ in range(STEPS):
+        rest = _summed(pool, _pool_sums(standard, teachers, now)) if pool is not None else None
+        at = 0
+        for k, w in list(now.items()):
+            d = len(w)
+            n = 1 + d + d * d
+            total = logistic_sums(z[k], y, w) + (0 if rest is None else rest[at : at + n])
+            at += n
+            penalty = np.append(np.full(d - 1, ridge), 1e-6)
+            loss = total[0] + 0.5 * float(penalty @ (w * w))
+            if k in best and loss > best[k][0]:  # a step too far: half of it
+                now[k] = (w + best[k][1]) / 2
+                continue
+            grad, hess = total[1 : 1 + d] + penalty * w, total[1 + d :].reshape(d, d) + np.diag(penalty)
+            best[k] = (loss, w)
+            step = np.linalg.solve(hess, grad)
+            now[k] = w - step
+            if float(grad @ step) / 2 < GAIN * (1 + loss):
+                done[k] = now.pop(k)
+        if not now:
+            break
+    return {k: done[k] if k in done else best[k][1] for k in weights}
+
+
+def co_train(content: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: DataFrame) -> Model | None:
     """Fit both views and their combination; None unless both labels occur on either side of the split."""
     aside = np.arange(len(y)) % ASIDE == 0
     if len(np.unique(y[aside])) < 2 or len(np.unique(y[~aside])) < 2:
         return None
-    view = {"text": (content, pool_content), "meta": (meta, pool_meta)}
-    extra = {"text": {}, "meta": {}}  # pool row -> label, for the view to learn from
-    fitted = {}
-    for step in range(ROUNDS + 1):
-        for k, (x, pool) in view.items():
-            rows = np.array(sorted(extra[k]), np.int64)
-            xs = np.vstack([x[~aside], pool[rows]]) if len(rows) else x[~aside]
-            fitted[k] = Logistic.fit(xs, np.concatenate([y[~aside], [extra[k][r] for r in rows]]))
-        if step == ROUNDS or not len(pool_content):
-            break
-        for k, other in (("text", "meta"), ("meta", "text")):
-            scale = Logistic.fit(fitted[k].logit(view[k][0][aside])[:, None], y[aside], ridge=1e-3)
-            p = _sigmoid(scale.logit(fitted[k].logit(view[k][1])[:, None]))
-            sure = np.flatnonzero((np.maximum(p, 1 - p) >= CONFIDENT) & ~np.isin(np.arange(len(p)), list(extra[other])))
-            for r in sure[np.argsort(-np.abs(p[sure] - 0.5), kind="stable")][:PER_ROUND]:
-                extra[other][int(r)] = float(p[r] > 0.5)
-    scales = {k: Logistic.fit(fitted[k].logit(view[k][0][aside])[:, None], y[aside], ridge=1e-2) for k in view}
-    both = np.column_stack([scales[k].logit(fitted[k].logit(view[k][0][aside])[:, None]) for k in ("text", "meta")])
-    return Model(fitted["text"], fitted["meta"], scales["text"], scales["meta"], Logistic.fit(both, y[aside], ridge=1e-1))
+    train, held = ({"text": content[m], "meta": meta[m]} for m in (~aside, aside))
+    standard = _standard(train, pool)
+    teachers: dict[str, list[Teacher]] = {k: [] for k in VIEWS}
+    weights = _fit_views(train, y[~aside], None, standard, teachers, {k: np.zeros(train[k].shape[1] + 1) for k in VIEWS})
+
+    def calibrated(ridge: float) -> dict[str, Teacher]:
+        models = {k: Logistic(*standard[k], weights[k][:-1], float(weights[k][-1])) for k in VIEWS}
+        return {k: Teacher(m, Logistic.fit(m.logit(held[k])[:, None], y[aside], ridge=ridge)) for k, m in models.items()}
+
+    for _ in range(ROUNDS):
+        for k, t in calibrated(1e-3).items():
+            teachers[k].append(t)
+        weights = _fit_views(train, y[~aside], pool, standard, teachers, weights)
+    last = calibrated(1e-2)
+    both = np.column_stack([last[k].scale.logit(last[k].model.logit(held[k])[:, None]) for k in VIEWS])
+    return Model(last["text"].model, last["meta"].model, last["text"].scale, last["meta"].scale, Logistic.fit(both, y[aside], ridge=1e-1))
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b, content, meta in features(batch.column(2), *(batch.column(k).to_pylist() for k in (3, 4, 5))):
+        for a, b, content, meta in features(batch.column(1), *(batch.column(k).to_pylist() for k in (2, 3, 4))):
             rows = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (content, meta)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *rows], ["doc_id", "y", "content", "meta"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *rows], ["doc_id", "content", "meta"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model | None:
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
-    order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    ids = docs.select("doc_id").where("doc_id is not null")
-    labelled = known.join(ids.distinct(), "doc_id").orderBy(*order).limit(max_labelled)
-    pool = ids.distinct().join(known, "doc_id", "left_anti").orderBy(*order).limit(max_pool).withColumn("y", F.lit(None).cast("double"))
-    # Bounded by the two parameters, so it may be broadcast.
-    chosen = F.broadcast(labelled.unionByName(pool))
-    sample = docs.select("doc_id", "text", "lang", "source", "n_chars").join(chosen, "doc_id").select("doc_id", "y", "text", "lang", "source", "n_chars")
-    got = sample.mapInArrow(_packed, "doc_id long, y double, content binary, meta binary").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id", ignore_index=True)
-    mixed = K.mix(got["doc_id"].to_numpy(np.int64).astype(np.uint64))
-    got = got.iloc[np.argsort(mixed, kind="stable")]
-    content, meta = (np.frombuffer(b"".join(got[k]), np.float32).reshape(len(got), -1) if len(got) else np.zeros((0, 1), np.float32) for k in ("content", "meta"))
-    y = got["y"].to_numpy(float)
-    has = ~np.isnan(y)
-    return co_train(content[has], meta[has], y[has], content[~has], meta[~has])
+    with scratch_scope(docs.sparkSession):
+        packed = docs.select("doc_id", "text", "lang", "source", "n_chars").mapInArrow(_packed, "doc_id long, content binary, meta binary")
+        rows = materialize(packed.join(known, "doc_id", "left"), "quality-features")
+        labelled = rows.where("y is not null")
+        # Bounded by the parameter, so it may be broadcast.
+        chosen = F.broadcast(labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))
+        one = labelled.join(chosen, "doc_id").groupBy("doc_id").agg(F.min(F.struct("content", "meta", "y")).alias("r"))
+        got = one.select("doc_id", "r.*").toPandas().sort_values("doc_id", ignore_index=True)
+        mixed = K.mix(got["doc_id"].to_numpy(np.int64).astype(np.uint64))
+        got = got.iloc[np.argsort(mixed, kind="stable")]
+        content, meta = (np.frombuffer(b"".join(got[k]), np.float32).reshape(len(got), -1) if len(got) else np.zeros((0, 1), np.float32) for k in ("content", "meta"))
+        return co_train(content, meta, got["y"].to_numpy(float), rows.where("y is null").select("content", "meta"))
 
 
 def _scorer(model, at: dict[str, int]):
@@ -216,8 +340,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = (
 
     Scores are probabilities of quality 1. Null texts are empty ones, null metadata values
     a value of their own. Labels with a null id or quality and labels of other documents
-    are ignored; of several labels of an id the lowest counts, of several documents of an
-    id one is learned from and all are scored. Without labels of both kinds every score
+    are ignored; of several labels of an id the lowest counts, of several documents of a
+    labelled id one is learned from. All documents are scored. Without labels of both kinds every score
     is 0.5 and everything is kept. An empty table gives an empty result.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))

@@ -251,3 +251,18 @@ def test_archives(spark):
     some = warc.read_archives(index, folder, selected=F.col("page_id") == 11).collect()
     assert [r.page_id for r in some] == [11]
     assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_quality_reaches_all_unlabelled(spark):
+    """A source of junk that no small sample of the unlabelled documents holds gets its weight all the same."""
+    rng = random.Random(4)
+    text = lambda good: words(rng, 40) if good else " ".join(w.upper() for w in words(rng, 8).split() * 5)
+    ids = [r.id for r in spark.range(6600).orderBy(F.xxhash64("id"), "id").collect()]
+    known, rare = set(ids[:300]), set(ids[-300:])
+    good = {i: i not in rare and rng.random() < 0.5 for i in ids}
+    source = {i: "rare" if i in rare else "ab"[good[i] ^ (rng.random() < 0.8)] for i in ids}
+    df = spark.createDataFrame([(i, text(good[i]), "en", source[i], 300) for i in ids], DOC)
+    labels = spark.createDataFrame([(i, int(good[i]), 0) for i in known], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality_model.score_quality(df, labels).collect()}
+    assert sum(got[i].score_meta for i in rare) / len(rare) < 0.25
+    assert sum(got[i].kept == good[i] for i in ids) > 6500
