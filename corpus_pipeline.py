@@ -35,10 +35,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live secrets are redacted; widely copied examples stay as they are."""
+    """Secrets are redacted; widely copied examples and generic tokens that do not look random stay as they are."""
     clean, found = secrets.redact_live(docs, _rest(docs))
-    changed = F.size("live") > 0
-    found = found.withColumn("text", F.when(changed, secrets.redact(F.col("text"), F.col("live"))).otherwise(F.col("text")))
+    changed = F.size("to_redact") > 0
+    found = found.withColumn("text", F.when(changed, secrets.redact(F.col("text"), F.col("to_redact"))).otherwise(F.col("text")))
     found = found.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return clean.unionByName(found.select(docs.columns))
 

@@ -5,6 +5,9 @@ the values of base spans and generic token-like strings. Their hashes are counte
 the corpus by distinct repositories (documents) and distinct owners (sources). A value
 that several owners carry is a widely copied example; one that a few owners hold and that
 looks random is live. Live generic tokens are added to the spans of a document.
+
+What is redacted is more than what is live: a base span need not look random (passwords
+are short), only generic tokens must. ``live`` and the counts are those of ``SECRETS_SQL``.
 """
 
 from __future__ import annotations
@@ -79,8 +82,9 @@ def scan_secrets(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, keep: tu
 
     Returns the ``keep`` columns, ``n_assign``, ``n_access``, ``n_hex``, ``base`` and
     ``found`` (arrays of start, kind, end; ``found`` also has the live generic tokens),
-    ``n_live`` and ``n_example`` (candidates by ownership), ``live`` (spans to redact) and,
-    if asked for, ``text``.
+    ``n_live`` and ``n_example`` (candidates by ownership), ``live`` (their spans),
+    ``to_redact`` (spans of all base values and live tokens that are no examples) and, if
+    asked for, ``text``.
 
     Null and empty texts have no spans. The null owner counts as one owner. Rows are
     told apart by position, so repeated rows and ids are kept and each counts as a
@@ -107,12 +111,14 @@ def scan_secrets(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, keep: tu
     owners = per_doc.groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
     each = hashed.select("row_id", F.explode("cands").alias("c")).select("row_id", "c.*")
     judged = each.join(owners, "hash").withColumn("live", F.col("random") & (F.col("n_owners") < example_owners))
+    judged = judged.withColumn("to_redact", ((F.col("kind") < 3) | F.col("random")) & (F.col("n_owners") < example_owners))
     spot = F.struct("start", "kind", "end")
     # A document's candidates meet again; their number is that of its own spans.
     verdicts = judged.groupBy("row_id").agg(
         F.count(F.when(F.col("live"), 1)).alias("n_live"),
         F.count(F.when(F.col("n_owners") >= example_owners, 1)).alias("n_example"),
         F.collect_list(F.when(F.col("live"), spot)).alias("live"),
+        F.collect_list(F.when(F.col("to_redact"), spot)).alias("to_redact"),
     )
     joined = scanned.join(verdicts, "row_id", "left")
     place = "array<struct<start:int,kind:int,end:int>>"
@@ -127,11 +133,12 @@ def scan_secrets(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, keep: tu
         F.coalesce("n_live", F.lit(0)).alias("n_live"),
         F.coalesce("n_example", F.lit(0)).alias("n_example"),
         live.alias("live"),
+        F.coalesce(F.sort_array("to_redact"), F.array().cast(place)).alias("to_redact"),
     )
 
 
 def redact_live(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """Documents without candidates as they are, and the others with ``live`` spans and text.
+    """Documents without candidates as they are, and the others with spans ``to_redact`` and text.
 
     Only documents with a candidate take part in counts and joins; texts of the rest are
     passed through in one scan.

@@ -75,3 +75,12 @@ def test_empty(spark, folder, tmp_path):
         stage(spark, docs, path).write.parquet(f"{tmp_path}/{k}")
         docs = spark.read.parquet(f"{tmp_path}/{k}")
         assert docs.count() == 0
+
+
+def test_short_secrets_go(spark):
+    """A password of six characters is redacted, as is a longer one of few different characters."""
+    rows = [(0, "password=abc123 x", "en", "a", 17), (1, "secret: hunter22", "en", None, 16), (2, "nothing here", "en", "a", 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.secret_scan(spark, docs, "").collect()}
+    assert [got[i].text for i in range(3)] == ["[redacted] x", "[redacted]", "nothing here"]
+    assert [got[i].n_chars for i in range(3)] == [12, 10, 12]
