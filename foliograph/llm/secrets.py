@@ -7,11 +7,16 @@ that several owners carry is a widely copied example; one that a few owners hold
 looks random is live. Live generic tokens are added to the spans of a document.
 
 What is redacted is more than what is live: a base span need not look random (passwords
-are short), only generic tokens must. ``live`` and the counts are those of ``SECRETS_SQL``.
+are short), only generic tokens must. And copies of one leaking document make no example:
+for redaction equal texts are one repository of one owner, and a value is an example only
+if both its repositories and its owners are many for the corpus. ``live`` and the counts
+are those of ``SECRETS_SQL``, by rows and owners.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,14 +82,29 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _copied(hashed: DataFrame, example_owners: int) -> DataFrame:
+    """(hash, copied): whether a value is a widely copied example, for redaction.
+
+    Equal texts count once, for one of their owners. An example stands in at least
+    ``example_owners`` texts and owners, and in at least log2 of all texts with candidates
+    and of all their owners: what is many grows with the corpus, but slowly.
+    """
+    texts = hashed.groupBy("text_hash").agg(F.min(F.xxhash64("owner")).alias("owner"))
+    n_texts, n_owners = texts.agg(F.count("*"), F.count_distinct("owner")).first()
+    least_texts, least_owners = (max(example_owners, math.ceil(math.log2(max(n, 1)))) for n in (n_texts, n_owners))
+    per_text = hashed.select("text_hash", F.explode(F.transform("cands", lambda s: s["hash"])).alias("hash")).distinct().join(texts, "text_hash")
+    sums = per_text.groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.sum("n").alias("n_texts"), F.count("*").alias("n_owners"))
+    return sums.select("hash", ((F.col("n_texts") >= least_texts) & (F.col("n_owners") >= least_owners)).alias("copied"))
+
+
 def scan_secrets(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, keep: tuple[str, ...] = ("doc_id",), owner: str = "source", carry_text: bool = False) -> DataFrame:
     """Secrets of every document.
 
     Returns the ``keep`` columns, ``n_assign``, ``n_access``, ``n_hex``, ``base`` and
     ``found`` (arrays of start, kind, end; ``found`` also has the live generic tokens),
     ``n_live`` and ``n_example`` (candidates by ownership), ``live`` (their spans),
-    ``to_redact`` (spans of all base values and live tokens that are no examples) and, if
-    asked for, ``text``.
+    ``to_redact`` (spans of base values and random tokens that are no examples, see
+    ``_copied``) and, if asked for, ``text``.
 
     Null and empty texts have no spans. The null owner counts as one owner. Rows are
     told apart by position, so repeated rows and ids are kept and each counts as a
@@ -98,20 +118,21 @@ def scan_secrets(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, keep: tu
         *([F.col("text").alias("k_text")] if carry_text else []),
         *[v.alias(k) for k, v in kinds.items()],
         token_spans(F.col("text")).alias("token"),
+        F.xxhash64("text").alias("text_hash"),
     ).withColumn("row_id", F.monotonically_increasing_id())
     scanned = materialize(scanned, "secrets-spans")
 
     candidates = F.concat("assign", "access", "hex", "token")
     hashed = scanned.where(F.size(candidates) > 0).select(
-        "row_id", "owner", F.transform(candidates, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.xxhash64(s["value"]).alias("hash"),
+        "row_id", "text_hash", "owner", F.transform(candidates, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.xxhash64(s["value"]).alias("hash"),
             (F.size(F.array_distinct(F.split(s["value"], ""))) >= MIN_DISTINCT_CHARS).alias("random"))).alias("cands")
     )
-    # One row for each value of a document, then two plain sums: no distinct count, no group of a hot value in one task.
-    per_doc = hashed.select("owner", F.explode(F.array_distinct(F.transform("cands", lambda s: s["hash"]))).alias("hash"))
-    owners = per_doc.groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
+    # Two plain sums: no distinct count, no group of a hot value in one task.
+    per_owner = hashed.select("owner", F.explode(F.transform("cands", lambda s: s["hash"])).alias("hash")).distinct()
+    owners = per_owner.groupBy("hash").agg(F.count("*").alias("n_owners")).join(_copied(hashed, example_owners), "hash")
     each = hashed.select("row_id", F.explode("cands").alias("c")).select("row_id", "c.*")
     judged = each.join(owners, "hash").withColumn("live", F.col("random") & (F.col("n_owners") < example_owners))
-    judged = judged.withColumn("to_redact", ((F.col("kind") < 3) | F.col("random")) & (F.col("n_owners") < example_owners))
+    judged = judged.withColumn("to_redact", ((F.col("kind") < 3) | F.col("random")) & ~F.col("copied"))
     spot = F.struct("start", "kind", "end")
     # A document's candidates meet again; their number is that of its own spans.
     verdicts = judged.groupBy("row_id").agg(

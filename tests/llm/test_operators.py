@@ -266,3 +266,15 @@ def test_quality_reaches_all_unlabelled(spark):
     got = {r.doc_id: r for r in quality_model.score_quality(df, labels).collect()}
     assert sum(got[i].score_meta for i in rare) / len(rare) < 0.25
     assert sum(got[i].kept == good[i] for i in ids) > 6500
+
+
+def test_copies_of_a_leak_are_no_example(spark):
+    """Exact copies over many owners stay secret, different texts of many owners make an example; the limit grows slowly."""
+    leak, token, example = "2abc3ff2ca8fb1e4c565", "Zq7Lm2Xw9Rt4Bv6Np1Ks", "Ex4mPl3Ex5mPl6Ky7Q8w"
+    rows = [(i, f"a password={leak} b {token}", f"s{i}") for i in range(8)] + [(100 + i, f"x{i} {example} y", f"s{i}") for i in range(8)]
+    rows += [(200 + i, f"own{i} secret={'abcdef'[i % 6]}{i:07d}", "s0") for i in range(40)]
+    rows += [(300 + i, f"near {i} {leak}", f"s{i}") for i in range(3)]  # with the copies: four texts, of 52
+    found = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string"), carry_text=True)
+    text = {r.doc_id: r.text for r in found.withColumn("text", secrets.redact(F.col("text"), F.col("to_redact"))).collect()}
+    assert all(text[i] == "a [redacted] b [redacted]" for i in range(8))
+    assert all(text[100 + i] == rows[8 + i][1] for i in range(8))
