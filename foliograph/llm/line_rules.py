@@ -2,8 +2,9 @@
 
 One pass measures every text and hashes its normalised lines (lower-cased words, white
 space folded). Distinct documents per host and line are counted; a line of more than
-``max(MIN_DOCS, SHARE * documents of the host)`` documents is removed from all of the
-host's documents, and a document of which too few words are left is rejected.
+``MIN_DOCS`` documents, however large the host, is removed from all of the host's
+documents, and a document of which too few words are left is rejected. ``RULES_SQL`` has
+``max(MIN_DOCS, SHARE * documents of the host)``, for which the query asks by ``share``.
 """
 
 from __future__ import annotations
@@ -105,9 +106,11 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*kept, *[pa.array(m[k]) for k in MEASURES], *lists], [*batch.schema.names[:-1], *MEASURES, "lines", "line_words"])
 
 
-def apply_rules(docs: DataFrame, host: str = "source", keep: tuple[str, ...] = ("doc_id",), min_docs: int = MIN_DOCS, share: float = SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
+def apply_rules(docs: DataFrame, host: str = "source", keep: tuple[str, ...] = ("doc_id",), min_docs: int = MIN_DOCS, share: float = 0.0, left_share: float = LEFT_SHARE) -> DataFrame:
     """The ``keep`` columns, the measures, ``base_failed``, ``removed_words``, ``kept``.
 
+    A line of more than ``max(min_docs, share * documents of the host)`` documents goes. With
+    a share the limit rises with the host and spares what thousands of its documents have.
     A null text has no words and fails the base rule. The null host is a host of its own.
     Rows are documents: repeated rows and ids count as often as they occur. An empty
     table gives an empty result; columns that are not named are ignored. Very long

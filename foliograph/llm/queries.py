@@ -41,7 +41,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_rules.apply_rules(table(spark, sf_dir, "documents"))
+    return line_rules.apply_rules(table(spark, sf_dir, "documents"), share=line_rules.SHARE)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

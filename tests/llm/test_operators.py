@@ -278,3 +278,14 @@ def test_copies_of_a_leak_are_no_example(spark):
     text = {r.doc_id: r.text for r in found.withColumn("text", secrets.redact(F.col("text"), F.col("to_redact"))).collect()}
     assert all(text[i] == "a [redacted] b [redacted]" for i in range(8))
     assert all(text[100 + i] == rows[8 + i][1] for i in range(8))
+
+
+def test_rules_hot_host(spark):
+    """A line in 30 documents goes from a host of 2,000 as from one of 40."""
+    rng = random.Random(11)
+    banner = words(rng, 200)
+    for n in (40, 2000):
+        rows = [(i, f"{banner}\n{words(rng, 60)}" if i < 30 else words(rng, 55), "h") for i in range(n)]
+        got = {r.doc_id: r for r in line_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+        assert all(got[i].removed_words == 200 and not got[i].kept for i in range(30))
+        assert all(got[i].kept for i in range(30, n))
