@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import materialize
+from .secrets import redact
 
 MIN_WORDS = 50
 #: Rejected by rule: more than this share of words in repeated 3-word windows, in per cent.
@@ -87,6 +88,14 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     key, kept, which = np.unique(_per_row(line, row), return_index=True, return_inverse=True)
     words = np.bincount(which, hi - lo, minlength=len(key)).astype(np.int64)
     order = np.argsort(row[kept], kind="stable")
+    # Where each line stands, in code points of its text with the newline that ends it, line by line.
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.arange(len(key))
+    place = rank[which.ravel()] if len(key) else np.zeros(0, np.int64)
+    by_line = np.argsort(place, kind="stable")
+    past = np.minimum(stop + 1, offsets[row + 1])
+    out["line_places"] = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(key)))])
+    out["line_start"], out["line_end"] = ((points[x] - points[offsets[row]])[by_line] for x in (cut, past))
     out["line_row"], out["line"], out["line_words"] = row[kept][order], line[kept][order], words[order]
     return out
 
@@ -101,13 +110,18 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = offsets[a]
             m = measure(data[base : offsets[b]], offsets[a : b + 1] - base)
             at = pa.array(np.searchsorted(m["line_row"], np.arange(b - a + 1)), pa.int32())
-            lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (m["line"].view(np.int64), m["line_words"])]
+            places = pa.StructArray.from_arrays([pa.array(m["line_start"], pa.int32()), pa.array(m["line_end"], pa.int32())], ["start", "end"])
+            places = pa.ListArray.from_arrays(pa.array(m["line_places"], pa.int32()), places)
+            lists = [pa.ListArray.from_arrays(at, x) for x in (pa.array(m["line"].view(np.int64)), pa.array(m["line_words"]), places)]
             kept = [c.slice(a, b - a) for c in batch.columns[:-1]]
-            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(m[k]) for k in MEASURES], *lists], [*batch.schema.names[:-1], *MEASURES, "lines", "line_words"])
+            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(m[k]) for k in MEASURES], *lists], [*batch.schema.names[:-1], *MEASURES, "lines", "line_words", "line_places"])
 
 
-def apply_rules(docs: DataFrame, host: str = "source", keep: tuple[str, ...] = ("doc_id",), min_docs: int = MIN_DOCS, share: float = 0.0, left_share: float = LEFT_SHARE) -> DataFrame:
-    """The ``keep`` columns, the measures, ``base_failed``, ``removed_words``, ``kept``.
+def apply_rules(docs: DataFrame, host: str = "source", keep: tuple[str, ...] = ("doc_id",), min_docs: int = MIN_DOCS, share: float = 0.0, left_share: float = LEFT_SHARE, carry_text: bool = False) -> DataFrame:
+    """The ``keep`` columns, the measures, ``base_failed``, ``removed_words``, ``kept`` and ``removed``.
+
+    ``removed`` has the spans of the removed lines in code points, end exclusive, each with
+    its newline. If asked for, ``text`` is the text without them.
 
     A line of more than ``max(min_docs, share * documents of the host)`` documents goes. With
     a share the limit rises with the host and spares what thousands of its documents have.
@@ -116,20 +130,27 @@ def apply_rules(docs: DataFrame, host: str = "source", keep: tuple[str, ...] = (
     table gives an empty result; columns that are not named are ignored. Very long
     texts are measured whole.
     """
-    slim = docs.select(*[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)], F.xxhash64(host).alias("host"), F.monotonically_increasing_id().alias("row_id"), "text")
+    slim = docs.select(*[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)], F.xxhash64(host).alias("host"), F.monotonically_increasing_id().alias("row_id"), *([F.col("text").alias("whole")] if carry_text else []), "text")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
     numbers = ", ".join(f"{k} long" for k in MEASURES)
-    rows = materialize(slim.mapInArrow(_measured, f"{fields}, {numbers}, lines array<long>, line_words array<long>"), "rules-measures")
+    rows = materialize(slim.mapInArrow(_measured, f"{fields}, {numbers}, lines array<long>, line_words array<long>, line_places array<array<struct<start:int,end:int>>>"), "rules-measures")
     limits = rows.groupBy("host").agg(F.greatest(F.lit(float(min_docs)), F.count("*") * share).alias("most"))
     limits = materialize(limits, "rules-hosts")
-    lines = rows.select("row_id", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("row_id", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
+    lines = rows.select("row_id", "host", F.explode(F.arrays_zip("lines", "line_words", "line_places")).alias("l"))
+    lines = lines.select("row_id", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"), F.col("l.line_places").alias("places"))
     common = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs).join(limits, "host").where(F.col("n") > F.col("most"))
     common = materialize(common.select("host", "line"), "rules-lines")
-    removed = lines.join(common, ["host", "line"]).groupBy("row_id").agg(F.sum("words").alias("removed_words"))
-    out = rows.drop("lines", "line_words").join(removed, "row_id", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
+    removed = lines.join(common, ["host", "line"]).groupBy("row_id").agg(F.sum("words").alias("removed_words"), F.sort_array(F.flatten(F.collect_list("places"))).alias("removed"))
+    out = rows.drop("lines", "line_words", "line_places").join(removed, "row_id", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
+    out = out.withColumn("removed", F.coalesce("removed", F.array().cast("array<struct<start:int,end:int>>")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     depleted = F.col("n_words") - F.col("removed_words") < left_share * F.col("n_words")
-    return out.select(*[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)], *MEASURES, failed.alias("base_failed"), "removed_words", (~failed & ~depleted).alias("kept"))
+    return out.select(*[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)], *MEASURES, failed.alias("base_failed"), "removed_words", (~failed & ~depleted).alias("kept"), "removed", *([redact(F.col("whole"), F.col("removed"), "").alias("text")] if carry_text else []))
+
+
+def rules_digest(found: DataFrame) -> DataFrame:
+    """The columns of the contract from the operator's result."""
+    return found.select("doc_id", *MEASURES, "base_failed", "removed_words", "kept")
 
 
 RULES_SQL = rf"""

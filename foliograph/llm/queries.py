@@ -33,7 +33,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return suffix_dedup.substring_digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_rules.apply_rules(table(spark, sf_dir, "documents"), share=line_rules.SHARE)
+    return line_rules.rules_digest(line_rules.apply_rules(table(spark, sf_dir, "documents"), share=line_rules.SHARE))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -302,17 +302,19 @@ def _rest_keys(splitters: np.ndarray):
     return keys
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+#: What the operator returns besides the columns it carries; spans are byte ranges, end exclusive.
+RESULT = "n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
 
 
 def _remover(splitters: np.ndarray):
     def remove(texts: pa.Table, shared: pa.Table) -> pa.Table:
-        return _remove(texts, shared, splitters)
+        return _cut(texts, shared, splitters)
 
     return remove
 
 
-def _remove(texts: pa.Table, shared: pa.Table, splitters: np.ndarray) -> pa.Table:
+def _cut(texts: pa.Table, shared: pa.Table, splitters: np.ndarray) -> pa.Table:
+    """Carried columns, size, removed spans and kept bytes of a block's texts."""
     own = Block(texts, shared, splitters)
     data, offsets = own.data, own.offsets
     windows, rest = own.window_keys()
@@ -328,15 +330,46 @@ def _remove(texts: pa.Table, shared: pa.Table, splitters: np.ndarray) -> pa.Tabl
     begins = gone.copy()
     begins[1:] &= ~gone[:-1]
     begins[offsets[:-1][np.diff(offsets) > 0]] |= gone[offsets[:-1][np.diff(offsets) > 0]]
-    count = lambda flags: (c := np.concatenate([[0], np.cumsum(flags)]))[offsets[1:]] - c[offsets[:-1]]
-    sha = [hashlib.sha256(data[a:b][~gone[a:b]].tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    return pa.table({"doc_id": texts.column("doc_id"), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(count(gone)), "n_spans": pa.array(count(begins)), "kept_sha256": pa.array(sha, pa.string())})
+    ends = gone.copy()
+    ends[:-1] &= ~gone[1:] | begins[1:]
+    start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    at = pa.array(np.searchsorted(start, offsets), pa.int32())
+    base = offsets[np.searchsorted(offsets, start, "right") - 1]
+    spans = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays([pa.array(start - base, pa.int64()), pa.array(stop - base, pa.int64())], ["start", "end"]))
+    kept = pa.array([data[a:b][~gone[a:b]].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
+    carried = {c: texts.column(c) for c in texts.column_names if c not in ("text", "block")}
+    return pa.table(carried | {"n_bytes": pa.array(np.diff(offsets), pa.int64()), "spans": spans, "kept": kept})
+
+
+def _remove(texts: pa.Table, shared: pa.Table, splitters: np.ndarray) -> pa.Table:
+    """The digest of a block, as ``substring_digest`` has it."""
+    cut = _cut(texts, shared, splitters)
+    spans = cut.column("spans").to_pylist()
+    sha = [hashlib.sha256(x).hexdigest() for x in cut.column("kept").to_pylist()]
+    removed = [sum(s["end"] - s["start"] for s in x) for x in spans]
+    return pa.table({"doc_id": cut.column("doc_id"), "n_bytes": cut.column("n_bytes"), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array([len(x) for x in spans], pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
+
+
+def kept_text(kept: Column) -> Column:
+    """Kept bytes as text; what is left of a character that was cut through is U+FFFD."""
+    return F.make_valid_utf8(kept.cast("string"))
+
+
+def substring_digest(found: DataFrame) -> DataFrame:
+    """The columns of the contract from the operator's kept bytes and spans."""
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
+    return substring_digest(remove_repeats(docs))
+
+
+def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns, ``n_bytes``, removed ``spans`` (bytes of the text) and ``kept`` bytes of every document.
 
-    A null text is empty. Texts shorter than ``LENGTH`` bytes lose nothing. Repeated rows
+    The columns to keep go with the texts through their exchange. A null text is empty. Texts shorter than ``LENGTH`` bytes lose nothing. Repeated rows
     are documents of their own, so each removes the other. Null and repeated ids are
     reported as they are. An empty table gives an empty result; other columns are
     ignored. A very long text is walked in slices but held whole by its block.
@@ -348,11 +381,13 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     splitters = _splitters(n_buckets)
     block = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(n_blocks))
     partitions = min(n_blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), block.alias("block")).repartition(partitions, "block")
+    texts = docs.select(*[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)], F.coalesce("text", F.lit("")).alias("text"), block.alias("block")).repartition(partitions, "block")
     first = texts.groupBy("block").applyInArrow(_first_keys(splitters), DEALT)
     shared = first.groupBy("bucket").applyInArrow(_meet, SHARED)
     open_ = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_open_keys(splitters), DEALT)
     told = shared.unionByName(first.groupBy("bucket").cogroup(open_.groupBy("bucket")).applyInArrow(_announce, SHARED))
     rest = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_rest_keys(splitters), DEALT)
     both = told.unionByName(rest.groupBy("bucket").applyInArrow(_meet, SHARED))
-    return texts.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_remover(splitters), RESULT)
+    fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in texts.schema.fields[: len(keep)])
+    out = texts.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_remover(splitters), fields + RESULT)
+    return out.select(*[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)], "n_bytes", "spans", "kept")

@@ -289,3 +289,25 @@ def test_rules_hot_host(spark):
         got = {r.doc_id: r for r in line_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
         assert all(got[i].removed_words == 200 and not got[i].kept for i in range(30))
         assert all(got[i].kept for i in range(30, n))
+
+
+def test_substrings_kept_and_spans(docs, rows):
+    """Kept bytes are the text without the spans; other columns come along."""
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs.withColumn("name", F.concat(F.lit("n"), "doc_id")), keep=("doc_id", "name", "lang")).collect()}
+    assert len(got) == len(rows) and any(r.spans for r in got.values())
+    for i, t, lang, *_ in rows:
+        left, at = b"", 0
+        data = (t or "").encode()
+        for s in got[i].spans:
+            left, at = left + data[at : s.start], s.end
+        assert bytes(got[i].kept) == left + data[at:] and (got[i].name, got[i].lang) == (f"n{i}", lang)
+
+
+def test_rules_text(spark):
+    """Removed lines go from the text, with the newline that ends them; the rest stays as it is."""
+    rows = [(i, f"é {i}\nShare  THIS é\n\nbody {i}\nshare this é", "h") for i in range(25)] + [(90, None, "h"), (91, "share this é\n", "other"), (92, "", "h")]
+    got = {r.doc_id: r for r in line_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), carry_text=True).collect()}
+    for i in range(25):
+        assert got[i].text == f"é {i}\n\nbody {i}\n" and got[i].removed_words == 6
+        assert "".join(rows[i][1][s.start : s.end] for s in got[i].removed) == "Share  THIS é\nshare this é"
+    assert [got[i].text for i in (90, 91, 92)] == [None, "share this é\n", ""] and got[91].removed == []
