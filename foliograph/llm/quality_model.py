@@ -217,13 +217,19 @@ def _summed(pool: DataFrame, sums) -> np.ndarray | None:
     return np.concatenate([np.frombuffer(r.v, np.float64) for r in sorted(got, key=lambda r: r.piece)]) if got else None
 
 
+def _in_parts(x: dict[str, np.ndarray], sums) -> np.ndarray:
+    """``sums(features, from, to)`` over the driver's rows, a part at a time as in the executors."""
+    n = len(x["text"])
+    return sum(sums({k: v[a : a + ROWS] for k, v in x.items()}, a, min(a + ROWS, n)) for a in range(0, n, ROWS))
+
+
 def _moments(x: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([[len(x["text"])], *[f(x[k].astype(np.float64)) for k in VIEWS for f in (lambda v: v.sum(axis=0), lambda v: np.square(v).sum(axis=0))]])
 
 
 def _standard(x: dict[str, np.ndarray], pool: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Mean and scale of each view's features over the given labelled rows and the whole pool."""
-    total = _moments(x)
+    total = _in_parts(x, lambda part, a, b: _moments(part))
     rest = _summed(pool, _moments)
     total = total if rest is None else total + rest
     out, at = {}, 1
@@ -252,7 +258,7 @@ def _pool_sums(standard: dict, teachers: dict[str, list[Teacher]], weights: dict
 
 def _fit_views(x: dict[str, np.ndarray], y: np.ndarray, pool: DataFrame | None, standard: dict, teachers: dict[str, list[Teacher]], weights: dict[str, np.ndarray], ridge: float = 1.0) -> dict[str, np.ndarray]:
     """Newton's method for both views at once over labelled rows and, if given, the taught pool."""
-    z = {k: (x[k] - standard[k][0]) / standard[k][1] for k in VIEWS}
+    z = lambda part, k: ((part[k] - standard[k][0]) / standard[k][1]).astype(np.float32)
     now, best, done = dict(weights), {}, {}
     for _ in range(STEPS):
         rest = _summed(pool, _pool_sums(standard, teachers, now)) if pool is not None else None
@@ -260,7 +266,7 @@ def _fit_views(x: dict[str, np.ndarray], y: np.ndarray, pool: DataFrame | None,
         for k, w in list(now.items()):
             d = len(w)
             n = 1 + d + d * d
-            total = logistic_sums(z[k], y, w) + (0 if rest is None else rest[at : at + n])
+            total = _in_parts(x, lambda part, a, b, k=k, w=w: logistic_sums(z(part, k), y[a:b], w)) + (0 if rest is None else rest[at : at + n])
             at += n
             penalty = np.append(np.full(d - 1, ridge), 1e-6)
             loss = total[0] + 0.5 * float(penalty @ (w * w))
@@ -278,12 +284,13 @@ def _fit_views(x: dict[str, np.ndarray], y: np.ndarray, pool: DataFrame | None,
     return {k: done[k] if k in done else best[k][1] for k in weights}
 
 
-def co_train(content: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: DataFrame) -> Model | None:
+def co_train(views: dict[str, np.ndarray], y: np.ndarray, pool: DataFrame) -> Model | None:
     """Fit both views and their combination; None unless both labels occur on either side of the split."""
     aside = np.arange(len(y)) % ASIDE == 0
     if len(np.unique(y[aside])) < 2 or len(np.unique(y[~aside])) < 2:
         return None
-    train, held = ({"text": content[m], "meta": meta[m]} for m in (~aside, aside))
+    train, held = ({k: views[k][m] for k in VIEWS} for m in (~aside, aside))
+    views.clear()  # the driver holds the sample once
     standard = _standard(train, pool)
     teachers: dict[str, list[Teacher]] = {k: [] for k in VIEWS}
     weights = _fit_views(train, y[~aside], None, standard, teachers, {k: np.zeros(train[k].shape[1] + 1) for k in VIEWS})
@@ -320,8 +327,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
         got = one.select("doc_id", "r.*").toPandas().sort_values("doc_id", ignore_index=True)
         mixed = K.mix(got["doc_id"].to_numpy(np.int64).astype(np.uint64))
         got = got.iloc[np.argsort(mixed, kind="stable")]
-        content, meta = (np.frombuffer(b"".join(got[k]), np.float32).reshape(len(got), -1) if len(got) else np.zeros((0, 1), np.float32) for k in ("content", "meta"))
-        return co_train(content, meta, got["y"].to_numpy(float), rows.where("y is null").select("content", "meta"))
+        views = {v: np.frombuffer(b"".join(got.pop(k)), np.float32).reshape(len(got), -1) if len(got) else np.zeros((0, 1), np.float32) for v, k in zip(VIEWS, ("content", "meta"), strict=True)}
+        return co_train(views, got["y"].to_numpy(float), rows.where("y is null").select("content", "meta"))
 
 
 def _scorer(model, at: dict[str, int]):
