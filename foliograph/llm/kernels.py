@@ -13,8 +13,6 @@ import pyarrow as pa
 
 #: Bytes handled at once; temporary arrays are a few dozen times as large.
 CHUNK_BYTES = 1 << 19
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 
 
 def lower_table() -> np.ndarray:
@@ -30,20 +28,15 @@ NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x41:0x5B] = ALNUM[0x80:] = True
 
-_BYTE_CODES = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_rng = np.random.Generator(np.random.PCG64(20240607))
+_BYTE_CODES = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
 _LOWER_CODES = _BYTE_CODES[lower_table()]
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """p**i and p**-i modulo 2**64, for i below n at least."""
-    if len(_powers[0]) < n:
-        m = max(n, CHUNK_BYTES + 4096)
-        for k, base in enumerate((_P, _P_INV)):
-            x = np.full(m, base, np.uint64)
-            x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers[0], _powers[1]
+#: Longest stretch hashed at once: longer ones are hashed in pieces of this many elements.
+PIECE = 1 << 16
+#: One odd factor for each place in a piece. Sums of codes times random factors do not
+#: collide by construction, as powers of one base do modulo a power of two.
+_FACTORS = _rng.integers(0, 1 << 64, PIECE, dtype=np.uint64) | np.uint64(1)
+_LINK = np.uint64(0xD6E8FEB86659FD93)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -96,25 +89,61 @@ def find_words(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray) -> tu
     return flips[::2], flips[1::2]
 
 
+def range_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of the ascending, disjoint ranges of ``codes``, by content and length."""
+    out = np.zeros(len(starts), np.uint64)
+    length = ends - starts
+    if not len(starts) or not length.any():
+        return mix(out)
+    long = np.flatnonzero(length > PIECE)
+    base = int(starts[0])
+    n = int(ends[-1]) - base
+    # The place of each element in its range, counted from the last start.
+    start = starts[length > 0] - base
+    step = np.ones(n, np.int64)
+    step[0] = 0
+    step[start[1:]] -= np.diff(start)
+    place = np.cumsum(step)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(codes[base : base + n] * _FACTORS.take(place, mode="clip"), out=sums[1:])
+    out = sums[ends - base] - sums[starts - base]
+    for i in long:
+        h = 0
+        for a in range(int(starts[i]), int(ends[i]), PIECE):
+            part = codes[a : min(a + PIECE, int(ends[i]))]
+            h = (h * int(_LINK) + int((part * _FACTORS[: len(part)]).sum())) & 0xFFFFFFFFFFFFFFFF
+            h ^= h >> 29
+        out[i] = h
+    return mix(out + length.astype(np.uint64) * _LINK)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each word, by prefix sums of byte codes times powers, in slices at word ends."""
+    """A 64-bit hash of each word or line, in slices of about a piece that end where they do."""
     out = np.empty(len(starts), np.uint64)
     codes = _LOWER_CODES if lower else _BYTE_CODES
     first = 0
     while first < len(starts):
         base = int(starts[first])
-        last = max(int(np.searchsorted(ends, base + CHUNK_BYTES, "right")), first + 1)
-        n = int(ends[last - 1]) - base
-        p, inv = powers(n + 1)
-        sums = np.empty(n + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(codes[data[base : base + n]] * p[:n], out=sums[1:])
+        last = max(int(np.searchsorted(ends, base + PIECE, "right")), first + 1)
         s, e = starts[first:last] - base, ends[first:last] - base
-        out[first:last] = mix((sums[e] - sums[s]) * inv[s] + (e - s).astype(np.uint64))
+        if e[0] > PIECE:
+            out[first] = _long_hash(data, base, int(ends[first]), codes)
+        else:
+            out[first:last] = range_hashes(codes.take(data[base : int(ends[last - 1])]), s, e)
         first = last
     return out
 
 
+def _long_hash(data: np.ndarray, start: int, end: int, codes: np.ndarray) -> np.uint64:
+    """``range_hashes`` of one range longer than a piece, a piece at a time."""
+    h = 0
+    for a in range(start, end, PIECE):
+        part = codes[data[a : min(a + PIECE, end)]]
+        h = (h * int(_LINK) + int((part * _FACTORS[: len(part)]).sum())) & 0xFFFFFFFFFFFFFFFF
+        h ^= h >> 29
+    return mix(np.array([h], np.uint64) + np.array([end - start], np.uint64) * _LINK)[0]
+
+
 def doc_words(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of all words, and the index of each row's first word (one more than rows)."""
     starts, ends = find_words(data, offsets, in_word)
@@ -128,8 +157,9 @@ def shingles(words: np.ndarray, q: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = np.full(n, q, np.uint64)
     for k in range(q):
-        out *= np.uint64(0xD6E8FEB86659FD93)
+        out *= _LINK
         out += words[k : k + n]
+        out ^= out >> np.uint64(29)
     return mix(out)
 
 

@@ -39,15 +39,6 @@ def _per_row(keys: np.ndarray, row: np.ndarray) -> np.ndarray:
     return K.mix(keys + row.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-def _sequence_hash(words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """One hash for each range of words."""
-    if not len(lo):
-        return np.zeros(0, np.uint64)
-    p, inv = K.powers(len(words) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * p[: len(words)])])
-    return K.mix((sums[hi] - sums[lo]) * inv[lo] + (hi - lo).astype(np.uint64))
-
-
 def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The base measures of each text, and (row, normalised hash, words) of its lines."""
     n = len(offsets) - 1
@@ -84,7 +75,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     raw = _per_row(K.word_hashes(data, cut, stop, lower=False), row) if len(cut) else np.zeros(0, np.uint64)
     _, kept = np.unique(raw, return_index=True)
     out["n_dup_lines"] = np.bincount(row, minlength=n) - np.bincount(row[kept], minlength=n)
-    line = _sequence_hash(folded, lo, hi)
+    line = K.range_hashes(folded, lo, hi)
     key, kept, which = np.unique(_per_row(line, row), return_index=True, return_inverse=True)
     words = np.bincount(which, hi - lo, minlength=len(key)).astype(np.int64)
     order = np.argsort(row[kept], kind="stable")

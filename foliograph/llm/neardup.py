@@ -8,16 +8,21 @@ few in a million, and pairs above it less often still.
 
 *Prefix*: a pair with ``MATCHES`` collisions shares one of any ``COORDS - MATCHES + 1``
 coordinates chosen by a common order, so documents are posted under their rarest ones
-only; frequent values (shared passages) are skipped and enter only in the count. Rarity is
-a table of fixed size, counts of hashed values. Each posting carries two bits of each minimum,
-on which unrelated members of a list part before anything else is looked up.
-
-*No pair explosion*: equal sets collapse to one. Short posting lists are compared directly.
-A long one first links its members with its first member (a star); stars are confirmed on
-the full sets and joined into components, and only lists that still hold several components
-are compared pair by pair, in blocks, across components, on signatures in numpy. All
-candidates are confirmed on full sets, which meet in cells of bounded blocks of related
-documents, never a whole list in one task.
+only; frequent values (shared passages) are skipped and enter only in the count. Lists are
+first counted, with partial sums, and only postings of lists with several members are
+shuffled (a filter of fixed size tells most of them; what it lets through is extra work).
+
+*No pair explosion*: equal sets collapse to one, known by its smallest row. Short lists
+give pairs, of which two bits of each minimum must agree often enough; a long list links
+its members with its first member. Each set is confirmed with the smallest of these
+partners only (a star), and stars are joined into components. Pairs and lists that lie in
+one component by then are done. Lists that still hold several are compared across
+components in blocks, on signatures in numpy, and what is left is confirmed on full sets,
+which meet in cells of two blocks of bounded size, never a whole list in one task.
+
+Neither documents nor full sets are stored: sets are made again from the texts that take
+part, which a filter of fixed size picks by a hash. Hashes of words and shingles are 64 bits
+of random sums (``kernels``); a set of n shingles is one too small with chance n * n / 2**65.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import kernels as K
 from .common import materialize, scratch_scope
@@ -39,21 +45,24 @@ COORDS = 64
 MATCHES = 32
 #: Similarity as a ratio of integers.
 NUM, DEN = 75, 100
-#: Slots of the rarity table.
-RARITY_BITS = 16
-#: Members of a posting list compared at once, and documents of a verification block.
-LIST_BLOCK = 1024
-SET_BLOCK = 256
+#: Slots of the rarity table: as many as there are sets, up to this power of two.
+RARITY_BITS = 20
+#: Members of a posting list compared at once.
+LIST_BLOCK = 8192
+#: Shingles of the sets of a block; cells of two blocks are confirmed at once.
+BLOCK_SHINGLES = 1 << 18
 #: Members of a list that is compared directly.
 SHORT_LIST = 32
 #: Of the 64 two-bit fragments of a posting, those that must agree: mean 52, deviation 3.1 at 0.75.
 FRAGMENTS = 37
-#: Bits of the filter that tells which rows to read again; a fixed size, false hits are only extra work.
+#: Sets in lists that stay open are told apart by more coordinates, of one byte each: 192 of 256 agree at 0.75, deviation 6.9.
+SHARP_COORDS, SHARP_MATCHES = 256, 158
+#: Bits of the filters that tell which rows to read again; fixed sizes, false hits are only extra work.
 FILTER_BITS = 1 << 24
 
 _rng = np.random.Generator(np.random.PCG64(97))
-_MUL = _rng.integers(1, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(1, 1 << 63, COORDS, dtype=np.uint64)
+_MUL, _SHARP_MUL = (_rng.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in (COORDS, SHARP_COORDS))
+_ADD, _SHARP_ADD = (_rng.integers(1, 1 << 63, n, dtype=np.uint64) for n in (COORDS, SHARP_COORDS))
 
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -73,13 +82,17 @@ def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def signature(values: np.ndarray) -> np.ndarray:
-    low = np.full(COORDS, 0xFFFFFFFF, np.uint64)
-    for i in range(0, len(values), 4096):
-        np.minimum(low, ((values[i : i + 4096, None] * _MUL + _ADD) >> np.uint64(32)).min(axis=0), out=low)
+def signature(values: np.ndarray, mul: np.ndarray = _MUL, add: np.ndarray = _ADD) -> np.ndarray:
+    low = np.full(len(mul), 0xFFFFFFFF, np.uint64)
+    for i in range(0, len(values), 1024):
+        np.minimum(low, ((values[i : i + 1024, None] * mul + add) >> np.uint64(32)).min(axis=0), out=low)
     return low.astype(np.uint32)
 
 
+#: Two hashes of a text, and two of a document, which is known by id and text.
+TEXT = [F.xxhash64, lambda *c: F.xxhash64(F.lit(77), *c)]
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, key, sig = [], [], []
@@ -87,7 +100,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(s))
             key.append(np.array([s.sum(), np.bitwise_xor.reduce(K.mix(s.copy() + np.uint64(77)))], np.uint64).tobytes() if len(s) else None)
             sig.append(signature(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], ["row_id", "doc_id", "n_shingles", "key", "sig"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], [*batch.schema.names[:-1], "n_shingles", "key", "sig"])
 
 
 def _tokens(sig: np.ndarray) -> np.ndarray:
@@ -95,26 +108,38 @@ def _tokens(sig: np.ndarray) -> np.ndarray:
     return K.mix((sig.astype(np.uint64) << np.uint64(8)) | np.arange(COORDS, dtype=np.uint64))
 
 
-def _slots(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
+def _slots(tokens: np.ndarray, slots: int) -> np.ndarray:
+    """The slot of each token in a table of a power of two."""
+    return (tokens >> np.uint64(32)).astype(np.int64) & (slots - 1)
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDS)
 
 
-def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << RARITY_BITS, np.int64)
-    for batch in batches:
-        total += np.bincount(_slots(_tokens(_signatures(batch.column(0)))).ravel(), minlength=1 << RARITY_BITS)
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["slot", "n"])
+def _slot_counter(slots: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots, np.int64)
+        for batch in batches:
+            total += np.bincount(_slots(_tokens(_signatures(batch.column(0))), slots).ravel(), minlength=slots)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["slot", "n"])
+
+    return count
+
+
+def _rarity(sets: DataFrame, n_sets: int) -> np.ndarray:
+    slots = 1 << min(RARITY_BITS, max(8, n_sets.bit_length()))
+    counted = sets.select("sig").mapInArrow(_slot_counter(slots), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(slots, np.uint32)
+    table[counted["slot"].to_numpy(np.int64)] = np.minimum(counted["n"].to_numpy(np.int64), 0xFFFFFFFF)
+    return table
 
 
 def _prefix_order(sig: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Posting keys and the coordinates of the prefix of each row, in one order for all rows."""
     tokens = _tokens(sig)
-    order = np.lexsort((tokens, rarity[_slots(tokens)]), axis=1)[:, : COORDS - MATCHES + 1]
+    order = np.lexsort((tokens, rarity[_slots(tokens, len(rarity))]), axis=1)[:, : COORDS - MATCHES + 1]
     return tokens, order
 
 
@@ -132,21 +157,41 @@ def _agreeing(f: Column, g: Column) -> Column:
     return F.lit(32) - F.bit_count(x)
 
 
-def _poster(rarity):
+def _posted(rarity):
+    """(token) of every posting, to be counted."""
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, order = _prefix_order(_signatures(batch.column(1)), rarity.value)
+            sid = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), order.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.take_along_axis(tokens, order, 1).ravel().view(np.int64)), pa.array(sid)], ["token", "sid"])
+
+    return post
+
+
+def _poster(rarity, marked):
+    """Postings of the lists that the filter knows, with their fragments."""
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = _signatures(batch.column(1))
+            tokens, order = _prefix_order(sig, rarity.value)
             keys = np.take_along_axis(tokens, order, 1)
-            n = order.shape[1]
-            sid = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), n)
-            f1, f2 = (np.repeat(f, n) for f in _fragments(_signatures(batch.column(1))))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(order.ravel().astype(np.int32)), pa.array(sid), pa.array(f1), pa.array(f2)], ["token", "coord", "sid", "f1", "f2"])
+            at, k = np.nonzero(_hit(keys.view(np.int64).ravel(), marked.value).reshape(keys.shape))
+            f1, f2 = _fragments(sig)
+            sid = batch.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at, k].view(np.int64)), pa.array(order[at, k].astype(np.int32)), pa.array(sid[at]), pa.array(f1[at]), pa.array(f2[at])], ["token", "coord", "sid", "f1", "f2"])
 
     return post
 
 
-def _filter_slot(row_id: np.ndarray) -> np.ndarray:
-    return (K.mix(row_id.astype(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+def _filter_slot(values: np.ndarray) -> np.ndarray:
+    return (K.mix(values.astype(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def _hit(values: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    slot = _filter_slot(values)
+    return ((bitmap[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,16 +200,22 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(slot >> 6), pa.array((np.uint64(1) << (slot & 63).astype(np.uint64)).view(np.int64))], ["word", "bits"])
 
 
-def _sets(marked):
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bitmap(values: DataFrame) -> np.ndarray:
+    """A filter of fixed size of the one column of ``values``, which has no nulls."""
+    marks = values.mapInArrow(_marks, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    bitmap = np.zeros(FILTER_BITS >> 6, np.uint64)
+    bitmap[marks["word"].to_numpy(np.int64)] = marks["bits"].to_numpy(np.int64).view(np.uint64)
+    return bitmap
+
+
+def _picker(marked):
+    """The rows whose first column the filter knows."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slot = _filter_slot(batch.column(0).to_numpy(zero_copy_only=False))
-            hit = (marked.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)
-            batch = batch.filter(pa.array(hit == 1))
-            found = pa.array([s.tobytes() for s in shingle_sets(batch.column(1))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["sid", "set"])
+            yield batch.filter(pa.array(_hit(batch.column(0).to_numpy(zero_copy_only=False), marked.value)))
 
-    return sets
+    return pick
 
 
 def _linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -178,9 +229,9 @@ def _linked(x: np.ndarray, y: np.ndarray) -> bool:
     return DEN * both >= NUM * (len(x) + len(y) - both)
 
 
-def _confirm(key, sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+def _confirm(key: tuple, texts: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
     """Links among the pairs of a cell, on full sets. Pairs that earlier links already join are left out."""
-    held = {sid: np.frombuffer(s, np.uint64) for sid, s in zip(sets["sid"], sets["set"], strict=True)}
+    held = dict(zip(texts["sid"], shingle_sets(pa.array(texts["text"], pa.large_string())), strict=True))
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -198,36 +249,45 @@ def _confirm(key, sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, bs, blk_a, blk_b) that are links, as (a, b)."""
-    cell = (F.least("blk_a", "blk_b").alias("lo"), F.greatest("blk_a", "blk_b").alias("hi"))
-    pairs = pairs.select("a", "bs", *cell)
-    # A cell's sets, each once; their number is bounded by the two blocks.
-    named = F.array_union(F.collect_set("a"), F.array_distinct(F.flatten(F.collect_list("bs"))))
-    need = pairs.groupBy(F.col("lo").alias("cell_lo"), F.col("hi").alias("cell_hi")).agg(named.alias("sids")).select("cell_lo", "cell_hi", F.explode("sids").alias("sid"))
-    held = need.join(sets, "sid")
+def _verified(pairs: DataFrame, need: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (lo, hi, a, bs) that are links, as (a, b); need: (lo, hi, sid) of the sets of each cell."""
+    held = need.select(F.col("lo").alias("cell_lo"), F.col("hi").alias("cell_hi"), "sid").distinct().join(texts, "sid")
     return held.groupBy("cell_lo", "cell_hi").cogroup(pairs.groupBy("lo", "hi")).applyInPandas(_confirm, "a long, b long")
 
 
-def _compare_lists(key, rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs across components in the posting lists of a bucket that collide often enough."""
-    rows = rows.sort_values(["token", "i", "j"], kind="stable")
-    sig = np.frombuffer(b"".join(rows["sig"]), np.uint32).reshape(-1, COORDS)
-    mask = np.unpackbits(np.frombuffer(b"".join(rows["mask"]), np.uint8).reshape(len(rows), -1), axis=1)[:, :COORDS].astype(bool)
-    sid, label, blk, mine = (rows[c].to_numpy() for c in ("sid", "label", "blk", "own"))
-    place = rows[["token", "i", "j"]].to_numpy()
-    cuts = np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1
+def _pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The members of the blocks of lists in a bucket, packed, one row for each cell that compares them."""
     out = []
-    for lo, hi in zip([0, *cuts], [*cuts, len(rows)], strict=True):
-        i, j, coord = place[lo, 1], place[lo, 2], int(rows["coord"].iloc[lo])
-        left = np.arange(lo, hi)[mine[lo:hi] == i]
-        right = np.arange(lo, hi)[mine[lo:hi] == j]
-        for x in left:
-            ys = right[(label[right] != label[x]) & ((sid[right] > sid[x]) if i == j else True)]
+    for (token, own), part in rows.groupby(["token", "own"]):
+        nb = int(part["nb"].iloc[0])
+        packed = [part[c].to_numpy(np.int64).tobytes() for c in ("sid", "label", "blk")] + [b"".join(part[c]) for c in ("sig", "mask", "sharp")]
+        out += [(token, min(own, k), max(own, k), own, int(part["coord"].iloc[0]), *packed) for k in range(nb)]
+    return pd.DataFrame(out, columns=[x.split()[0] for x in PACKED.split(", ")])
+
+
+PACKED = "token long, i int, j int, own int, coord int, sid binary, label binary, blk binary, sig binary, mask binary, sharp binary"
+
+
+def _compare_lists(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs across components in the cells of a bucket that collide often enough."""
+    out = []
+    for (_, i, j), cell in rows.groupby(["token", "i", "j"]):
+        coord = int(cell["coord"].iloc[0])
+        cell = cell.sort_values("own")
+        sid, label, blk = (np.concatenate([np.frombuffer(x, np.int64) for x in cell[c]]) for c in ("sid", "label", "blk"))
+        sig = np.frombuffer(b"".join(cell["sig"]), np.uint32).reshape(-1, COORDS)
+        mask = np.unpackbits(np.frombuffer(b"".join(cell["mask"]), np.uint8).reshape(len(sid), -1), axis=1)[:, :COORDS].astype(bool)
+        sharp = np.frombuffer(b"".join(cell["sharp"]), np.uint8).reshape(-1, SHARP_COORDS)
+        n_left = len(cell["sid"].iloc[0]) // 8
+        for x in range(n_left):
+            right = slice(x + 1 if i == j else n_left, None)
+            ys = np.flatnonzero(label[right] != label[x]) + right.start
             if not len(ys):
                 continue
             same = sig[ys] == sig[x]
             ys, same = ys[(n := same.sum(axis=1)) >= MATCHES], same[n >= MATCHES]
+            alike = (sharp[ys] == sharp[x]).sum(axis=1) >= SHARP_MATCHES
+            ys, same = ys[alike], same[alike]
             if not len(ys):
                 continue
             # A pair that meets in several lists belongs to that of the first common coordinate.
@@ -239,13 +299,15 @@ def _compare_lists(key, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _masker(rarity):
+    """The coordinates of the prefix as bits, and the sharper sketch of the text."""
+
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, order = _prefix_order(_signatures(batch.column(1)), rarity.value)
             bits = np.zeros((batch.num_rows, COORDS), np.uint8)
             np.put_along_axis(bits, order, 1, axis=1)
-            packed = np.packbits(bits, axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in packed], pa.binary())], ["sid", "sig", "mask"])
+            sharp = [signature(s, _SHARP_MUL, _SHARP_ADD).astype(np.uint8).tobytes() for s in shingle_sets(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in np.packbits(bits, axis=1)], pa.binary()), pa.array(sharp, pa.binary())], ["sid", "sig", "mask", "sharp"])
 
     return mask
 
@@ -257,100 +319,137 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     takes part in links but never names a component, unless all its members are null;
     then the component is null and its first row is kept. Repeated ids are rows of
     their own with one id. Of rows that share the smallest id of a component, all say
-    kept. Other columns are ignored. An empty table gives an empty result.
+    kept. A very long text counts by its shingles when blocks are filled, and one longer
+    than a block is held whole by its cell. Other columns are ignored. An empty table gives
+    an empty result.
     """
-    base = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row_id"))
     with scratch_scope(docs.sparkSession) as keep:
-        stored = materialize(base, "dup-documents").select("row_id", "doc_id", "text")
-        keep.append(materialize(_near_duplicates(stored), "dup-result"))
+        keep.append(materialize(_near_duplicates(docs).drop("root", "i1", "i2"), "dup-result"))
     return keep[0]
 
 
-def _near_duplicates(base: DataFrame) -> DataFrame:
-    """near_duplicates of a stored table that has its own unique row_id."""
-    spark = base.sparkSession
-    rows = materialize(base.mapInArrow(_sign, "row_id long, doc_id long, n_shingles long, key binary, sig binary"), "dup-signatures")
-    # Sets that are equal are one; it is known by its smallest row.
-    groups = rows.where("n_shingles > 0").groupBy("key", "n_shingles").agg(F.min("row_id").alias("sid"), F.min("doc_id").alias("set_doc"))
-    groups = materialize(groups, "dup-sets")
-    sets = materialize(groups.select("sid", "set_doc").join(rows.select(F.col("row_id").alias("sid"), "sig"), "sid"), "dup-set-signatures")
-
-    counted = sets.select("sig").mapInArrow(_count_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros(1 << RARITY_BITS, np.int64)
-    table[counted["slot"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-    rarity = spark.sparkContext.broadcast(table)
-
-    # One exchange by token serves the lists' sizes, the short lists' pairs and the long lists' members.
-    postings = sets.select("sid", "sig").mapInArrow(_poster(rarity), "token long, coord int, sid long, f1 long, f2 long")
-    postings = postings.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token")
-    lists = postings.groupBy("token").agg(F.min("sid").alias("head"), F.count("*").alias("m")).where("m > 1")
-    listed = postings.join(lists, "token")
-    left = listed.where(F.col("m") <= SHORT_LIST).select("token", F.col("sid").alias("a"), F.col("f1").alias("g1"), F.col("f2").alias("g2"))
-    right = listed.where(F.col("m") <= SHORT_LIST).select("token", F.col("sid").alias("b"), "f1", "f2")
+def _stars(sets: DataFrame, rarity) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of short lists (a, b), members of long lists, and (sid, head) with the smallest partner of each set."""
+    spark = sets.sparkSession
+    lists = sets.select("sid", "sig").mapInArrow(_posted(rarity), "token long, sid long").groupBy("token").agg(F.min("sid").alias("head"), F.count("*").alias("m"))
+    lists = materialize(lists.where("m > 1"), "dup-lists")
+    known = spark.sparkContext.broadcast(_bitmap(lists.select("token")))
+    postings = sets.select("sid", "sig").mapInArrow(_poster(rarity, known), "token long, coord int, sid long, f1 long, f2 long")
+    members = materialize(postings.join(lists, "token"), "dup-members")
+    short = members.where(F.col("m") <= SHORT_LIST)
+    left = short.select("token", F.col("sid").alias("a"), F.col("f1").alias("g1"), F.col("f2").alias("g2"))
+    right = short.select("token", F.col("sid").alias("b"), "f1", "f2")
     alike = _agreeing(F.col("f1"), F.col("g1")) + _agreeing(F.col("f2"), F.col("g2")) >= FRAGMENTS
-    near = left.join(right, (left["token"] == right["token"]) & (F.col("a") < F.col("b")) & alike).select("a", "b").distinct()
-    long = listed.where(F.col("m") > SHORT_LIST)
-    void = F.lit(None).cast("long")
-    both = near.select("a", "b", void.alias("token"), F.lit(None).cast("int").alias("coord")).unionByName(long.select(F.col("head").alias("a"), F.col("sid").alias("b"), "token", "coord"))
-    both = materialize(both, "dup-lists")
-    multi = both.where("token is not null").select("token", "coord", F.col("b").alias("sid"), F.col("a").alias("head"))
-    pairs = both.where("a <> b").select("a", "b").distinct()
-
-    # Blocks of related sets: those with the same first partner, split where they are many.
-    heads = pairs.select(F.col("a").alias("head"), F.col("b").alias("sid")).unionByName(both.select(F.col("a").alias("head"), F.col("a").alias("sid")))
-    heads = materialize(heads.groupBy("sid").agg(F.min("head").alias("head")), "dup-heads")
-    sizes = heads.groupBy("head").agg(F.count("*").alias("c"))
-    n_blocks = max(1, -(-heads.count() // SET_BLOCK))
-    split = F.pmod(F.xxhash64("sid"), F.ceil(F.col("c") / SET_BLOCK))
-    blk = F.when(F.col("c") <= SET_BLOCK, F.pmod(F.xxhash64("head"), F.lit(n_blocks))).otherwise(F.xxhash64("head", split))
-    blocks = materialize(heads.join(sizes, "head").select("sid", blk.alias("blk")), "dup-blocks")
-    marks = blocks.select("sid").mapInArrow(_marks, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    bitmap = np.zeros(FILTER_BITS >> 6, np.uint64)
-    bitmap[marks["word"].to_numpy(np.int64)] = marks["bits"].to_numpy(np.int64).view(np.uint64)
-    full = base.select("row_id", "text").mapInArrow(_sets(spark.sparkContext.broadcast(bitmap)), "sid long, set binary")
-    full = materialize(full.join(blocks.select("sid"), "sid"), "dup-full-sets")
-
-    a_blk, b_blk = blocks.select(F.col("sid").alias("a"), F.col("blk").alias("blk_a")), blocks.select(F.col("sid").alias("b"), F.col("blk").alias("blk_b"))
-    stars = pairs.join(a_blk, "a").join(b_blk, "b").groupBy("a", "blk_a", "blk_b").agg(F.collect_list("b").alias("bs"))
-    star_links = materialize(_verified(stars, full), "dup-stars")
-    labels = connected_components(star_links).select(F.col("node").alias("sid"), F.col("root").alias("label"))
-    labels = materialize(blocks.join(labels, "sid", "left").select("sid", "blk", F.coalesce("label", "sid").alias("label")), "dup-labels")
-
-    known = multi.join(labels, "sid")
-    open_lists = known.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x <> y").select("token", F.ceil(F.col("m") / LIST_BLOCK).cast("int").alias("nb"))
-    members = known.drop("head").join(open_lists, "token")
-    own = F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int")
-    members = members.withColumn("own", own)
-    cells = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
-    members = members.withColumn("cell", F.explode(cells)).select("token", "coord", "sid", "label", "blk", "own", "cell.i", "cell.j")
-    members = materialize(members, "dup-open")
-    signed = members.select("sid").distinct().join(sets, "sid").select("sid", "sig").mapInArrow(_masker(rarity), "sid long, sig binary, mask binary")
-    n_buckets = max(64, -(-members.count() // 4096))
-    bucket = F.pmod(F.xxhash64("token", "i", "j"), F.lit(n_buckets))
-    crossing = members.join(signed, "sid").groupBy(bucket.alias("bucket")).applyInPandas(_compare_lists, "a long, blk_a long, blk_b long, bs array<long>")
-    crossing = materialize(crossing, "dup-crossing")
-    links = star_links.unionByName(_verified(crossing, full))
-
-    parts = connected_components(links)
-    named = groups.join(parts.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    near = materialize(left.join(right, (left["token"] == right["token"]) & (F.col("a") < F.col("b")) & alike).select("a", "b").distinct(), "dup-near")
+    long = members.where(F.col("m") > SHORT_LIST).select("token", "coord", "sid", "head")
+    heads = near.select(F.col("a").alias("head"), F.col("b").alias("sid")).unionByName(near.select(F.col("a").alias("head"), F.col("a").alias("sid"))).unionByName(long.select("head", "sid"))
+    return near, long, materialize(heads.groupBy("sid").agg(F.min("head").alias("head")), "dup-heads")
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
+    """near_duplicates with the component's root and two hashes of id and text."""
+    spark = docs.sparkSession
+    own = [h("doc_id", "text").alias(f"i{k}") for k, h in enumerate(TEXT, 1)]
+    of_text = [h("text").alias(f"h{k}") for k, h in enumerate(TEXT, 1)]
+    signed = docs.select("doc_id", *own, *of_text, "text").mapInArrow(_sign, "doc_id long, i1 long, i2 long, h1 long, h2 long, n_shingles long, key binary, sig binary")
+    rows = materialize(signed.withColumn("row_id", F.monotonically_increasing_id()), "dup-signatures")
+    # Sets that are equal are one; it is known by its smallest row.
+    sets = rows.where("n_shingles > 0").groupBy("key", "n_shingles").agg(F.min(F.struct(F.col("row_id").alias("sid"), "h1", "h2", "sig")).alias("s"), F.min("doc_id").alias("set_doc"))
+    sets = materialize(sets.select("key", "n_shingles", "set_doc", "s.*"), "dup-sets")
+    rarity = spark.sparkContext.broadcast(_rarity(sets, sets.count()))
+    near, long, heads = _stars(sets, rarity)
+
+    # Blocks of related sets: those with the same first partner, split where they have many shingles.
+    heads = heads.join(sets.select("sid", "n_shingles", "h1", "h2"), "sid")
+    sizes = heads.groupBy("head").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("parts"), F.sum("n_shingles").alias("w"))
+    sizes = materialize(sizes, "dup-block-sizes")
+    n_blocks = -(-(sizes.agg(F.sum("w")).first()[0] or 1) // BLOCK_SHINGLES)
+    blk = F.when(F.col("parts") <= 1, F.pmod(F.xxhash64("head"), F.lit(n_blocks))).otherwise(F.xxhash64("head", F.pmod(F.xxhash64("sid"), F.col("parts"))))
+    blocks = materialize(heads.join(sizes, "head").select("sid", "head", blk.alias("blk"), "h1", "h2"), "dup-blocks")
+
+    # The texts of these sets, one for each: equal texts meet as one, by their hashes.
+    marked = spark.sparkContext.broadcast(_bitmap(blocks.select("h1")))
+    texts = docs.select(*of_text, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_picker(marked), "h1 long, h2 long, text string")
+    texts = texts.groupBy("h1", "h2").agg(F.first("text").alias("text")).join(blocks.select("sid", "h1", "h2"), ["h1", "h2"]).select("sid", "text")
+    texts = materialize(texts, "dup-texts")
+
+    # Stars: a cell is a block with the heads of its sets.
+    void = F.lit(0).cast("long").alias("hi")
+    arms = blocks.where("sid <> head").select(F.col("blk").alias("lo"), void, F.col("head").alias("a"), F.array("sid").alias("bs"))
+    need = arms.select("lo", "hi", F.col("a").alias("sid")).unionByName(arms.select("lo", "hi", F.col("bs")[0].alias("sid")))
+    labels = connected_components(materialize(_verified(arms, need, texts), "dup-stars"))
+    labels = blocks.join(labels.select(F.col("node").alias("sid"), F.col("root").alias("label")), "sid", "left").select("sid", "blk", F.coalesce("label", "sid").alias("label"))
+    labels = materialize(labels, "dup-labels")
+
+    crossing = _crossing(near, long, labels, sets, texts, rarity)
+    cell = [F.least("blk_a", "blk_b").alias("lo"), F.greatest("blk_a", "blk_b").alias("hi")]
+    crossing = materialize(crossing.select(*cell, "a", "bs"), "dup-crossing")
+    need = crossing.select("lo", "hi", F.col("a").alias("sid")).unionByName(crossing.select("lo", "hi", F.explode("bs").alias("sid")))
+    links = materialize(_verified(crossing, need, texts), "dup-links")
+
+    # Components of components.
+    of = lambda c: labels.select(F.col("sid").alias(c), F.col("label").alias(f"label_{c}"))
+    joined = links.join(of("a"), "a").join(of("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    parts = connected_components(joined).select(F.col("node").alias("label"), "root")
+    parts = labels.join(parts, "label", "left").select("sid", F.coalesce("root", "label").alias("root"))
+    named = sets.select("key", "n_shingles", "sid", "set_doc").join(parts, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    named = materialize(named, "dup-named")
     names = named.groupBy("root").agg(F.min("set_doc").alias("component"))
     names = materialize(named.join(names, "root").select("key", "n_shingles", "component", "root"), "dup-names")
-    out = rows.drop("sig").join(names, ["key", "n_shingles"], "left")
+    out = rows.drop("sig", "h1", "h2").join(names, ["key", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    out = out.select("row_id", "doc_id", "n_shingles", component.alias("component_id"), "root")
+    out = out.select("row_id", "doc_id", "n_shingles", component.alias("component_id"), "root", "i1", "i2")
     kept = F.when(F.col("component_id").isNull(), F.col("root").isNull() | (F.col("root") == F.col("row_id"))).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     return out.withColumn("kept", kept)
 
 
+def _crossing(near: DataFrame, long: DataFrame, labels: DataFrame, sets: DataFrame, texts: DataFrame, rarity) -> DataFrame:
+    """(a, blk_a, blk_b, bs): candidates of short and long lists that lie in different components."""
+    of = lambda c: labels.select(F.col("sid").alias(c), F.col("label").alias(f"label_{c}"), F.col("blk").alias(f"blk_{c}"))
+    apart = near.join(of("a"), "a").join(of("b"), "b").where("label_a <> label_b").select("a", "blk_a", "blk_b", F.array("b").alias("bs"))
+
+    known = long.drop("head").join(labels, "sid")
+    open_lists = known.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x <> y")
+    open_lists = materialize(open_lists.select("token", F.ceil(F.col("m") / LIST_BLOCK).cast("int").alias("nb")), "dup-open-lists")
+    members = known.join(open_lists, "token").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int"))
+    members = materialize(members, "dup-open")
+    signed = members.select("sid").distinct().join(sets.select("sid", "sig"), "sid").join(texts, "sid")
+    signed = signed.mapInArrow(_masker(rarity), "sid long, sig binary, mask binary, sharp binary")
+    n_buckets = max(64, -(-members.count() // 4096))
+    bucket = lambda *c: F.pmod(F.xxhash64(*c), F.lit(n_buckets)).alias("bucket")
+    packed = members.join(signed, "sid").groupBy(bucket("token", "own")).applyInPandas(_pack, PACKED)
+    return packed.groupBy(bucket("token", "i", "j")).applyInPandas(_compare_lists, "a long, blk_a long, blk_b long, bs array<long>").unionByName(apart)
+
+
 def keep_one_each(docs: DataFrame) -> DataFrame:
-    """The documents without those that a link joins to a smaller id; one row of each component stays."""
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    stored = docs.toDF(*names).withColumn("row_id", F.monotonically_increasing_id())
-    with scratch_scope(docs.sparkSession) as keep:
-        stored = materialize(stored, "dup-documents")
-        at = {c: names[docs.columns.index(c)] for c in ("doc_id", "text")}
-        found = _near_duplicates(stored.select("row_id", F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text")))
+    """The documents without those that a link joins to a smaller id; one row of each component stays.
+
+    Rows are as in ``near_duplicates``; of rows equal in id and text any one stays. All
+    columns are returned as they are. Documents that stay are not shuffled but for those
+    that a filter of fixed size confuses with one that goes.
+    """
+    spark = docs.sparkSession
+    with scratch_scope(spark) as keep:
+        found = materialize(_near_duplicates(docs), "dup-result")
         first = found.where("kept").groupBy(F.coalesce(F.col("root"), -1 - F.col("row_id")).alias("part")).agg(F.min("row_id").alias("row_id"))
-        chosen = materialize(first.select("row_id"), "dup-kept")
-        keep += [stored, chosen]
-    return stored.join(chosen, "row_id", "left_semi").select(names).toDF(*docs.columns)
+        stays = found.select("row_id", "i1", "i2").join(first.select("row_id", F.lit(1).alias("stay")), "row_id", "left")
+        fate = stays.groupBy("i1", "i2").agg(F.count("*").alias("n"), F.count("stay").alias("k")).where("k < n")
+        fate = materialize(fate.select(F.col("i1").alias("_i1"), F.col("i2").alias("_i2"), F.col("k").alias("_k")), "dup-fate")
+        keep.append(fate)
+        marked = spark.sparkContext.broadcast(_bitmap(fate.select("_i1")))
+
+    @F.pandas_udf("boolean")
+    def suspect(h: pd.Series) -> pd.Series:
+        return pd.Series(_hit(h.to_numpy(np.int64), marked.value))
+
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    mine = {c: names[docs.columns.index(c)] for c in ("doc_id", "text")}
+    slim = docs.toDF(*names)
+    for k, h in enumerate(TEXT, 1):
+        slim = slim.withColumn(f"i{k}", h(mine["doc_id"], mine["text"]))
+    slim = slim.withColumn("suspect", suspect("i1"))
+    clean = slim.where(~F.col("suspect")).select(names)
+    held = slim.where("suspect").join(fate, (F.col("i1") == F.col("_i1")) & (F.col("i2") == F.col("_i2")), "left")
+    nth = F.row_number().over(W.partitionBy("i1", "i2").orderBy("i1"))
+    held = held.where("_k is null or _k > 0").withColumn("nth", nth).where("_k is null or nth <= _k").select(names)
+    return clean.unionByName(held).toDF(*docs.columns)

@@ -97,7 +97,7 @@ def test_near_duplicates_long_lists(spark, monkeypatch):
     """Groups larger than all block sizes, with links across components."""
     monkeypatch.setattr(neardup, "SHORT_LIST", 4)
     monkeypatch.setattr(neardup, "LIST_BLOCK", 16)
-    monkeypatch.setattr(neardup, "SET_BLOCK", 8)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 400)
     rng = random.Random(9)
     rows = []
     for g in range(3):
