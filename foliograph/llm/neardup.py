@@ -14,11 +14,13 @@ shuffled (a filter of fixed size tells most of them; what it lets through is ext
 
 *No pair explosion*: equal sets collapse to one, known by its smallest row. Short lists
 give pairs, of which two bits of each minimum must agree often enough; a long list links
-its members with its first member. Each set is confirmed with the smallest of these
-partners only (a star), and stars are joined into components. Pairs and lists that lie in
+its members with its first member. Each set is confirmed with that one of these partners
+with which most of the two-bit fragments agree, and links are joined into components. Pairs and lists that lie in
 one component by then are done. Lists that still hold several are compared across
-components in blocks, on signatures in numpy, and what is left is confirmed on full sets,
-which meet in cells of two blocks of bounded size, never a whole list in one task.
+components in blocks, on signatures in numpy: a first time for the best partner of each
+set, which is confirmed and joins components, and then for all pairs that are still apart.
+They are confirmed on full sets, which meet in cells of two blocks of bounded size, never
+a whole list in one task.
 
 Neither documents nor full sets are stored: sets are made again from the texts that take
 part, which a filter of fixed size picks by a hash. Hashes of words and shingles are 64 bits
@@ -250,8 +252,8 @@ def _confirm(key: tuple, texts: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFra
 
 
 def _verified(pairs: DataFrame, need: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (lo, hi, a, bs) that are links, as (a, b); need: (lo, hi, sid) of the sets of each cell."""
-    held = need.select(F.col("lo").alias("cell_lo"), F.col("hi").alias("cell_hi"), "sid").distinct().join(texts, "sid")
+    """pairs (lo, hi, a, bs) that are links, as (a, b); need: (lo, hi, sid), the sets of each cell, each once."""
+    held = need.select(F.col("lo").alias("cell_lo"), F.col("hi").alias("cell_hi"), "sid").join(texts, "sid")
     return held.groupBy("cell_lo", "cell_hi").cogroup(pairs.groupBy("lo", "hi")).applyInPandas(_confirm, "a long, b long")
 
 
@@ -268,8 +270,8 @@ def _pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 PACKED = "token long, i int, j int, own int, coord int, sid binary, label binary, blk binary, sig binary, mask binary, sharp binary"
 
 
-def _compare_lists(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs across components in the cells of a bucket that collide often enough."""
+def _compare_lists(key: tuple, rows: pd.DataFrame, best: bool = False) -> pd.DataFrame:
+    """Pairs across components in the cells of a bucket that collide often enough; or the best one of each set."""
     out = []
     for (_, i, j), cell in rows.groupby(["token", "i", "j"]):
         coord = int(cell["coord"].iloc[0])
@@ -286,16 +288,21 @@ def _compare_lists(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
                 continue
             same = sig[ys] == sig[x]
             ys, same = ys[(n := same.sum(axis=1)) >= MATCHES], same[n >= MATCHES]
-            alike = (sharp[ys] == sharp[x]).sum(axis=1) >= SHARP_MATCHES
-            ys, same = ys[alike], same[alike]
+            alike = (sharp[ys] == sharp[x]).sum(axis=1)
+            near = alike >= SHARP_MATCHES
+            ys, same, alike = ys[near], same[near], alike[near]
             if not len(ys):
                 continue
+            if best:
+                y = ys[alike.argmax()]
+                out.append((sid[x], blk[x], blk[y], [sid[y]], alike.max()))
+                continue
             # A pair that meets in several lists belongs to that of the first common coordinate.
             first = (same & mask[ys] & mask[x]).argmax(axis=1) == coord
             ys = ys[first]
             for b in np.unique(blk[ys]):
-                out.append((sid[x], blk[x], b, sid[ys[blk[ys] == b]]))
-    return pd.DataFrame(out, columns=["a", "blk_a", "blk_b", "bs"])
+                out.append((sid[x], blk[x], b, sid[ys[blk[ys] == b]], 0))
+    return pd.DataFrame(out, columns=["a", "blk_a", "blk_b", "bs", "alike"])
 
 
 def _masker(rarity):
@@ -329,7 +336,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _stars(sets: DataFrame, rarity) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs of short lists (a, b), members of long lists, and (sid, head) with the smallest partner of each set."""
+    """Pairs of short lists (a, b), members of long lists, and (sid, head) with the partner of each set that agrees with it most."""
     spark = sets.sparkSession
     lists = sets.select("sid", "sig").mapInArrow(_posted(rarity), "token long, sid long").groupBy("token").agg(F.min("sid").alias("head"), F.count("*").alias("m"))
     lists = materialize(lists.where("m > 1"), "dup-lists")
@@ -339,11 +346,17 @@ def _stars(sets: DataFrame, rarity) -> tuple[DataFrame, DataFrame, DataFrame]:
     short = members.where(F.col("m") <= SHORT_LIST)
     left = short.select("token", F.col("sid").alias("a"), F.col("f1").alias("g1"), F.col("f2").alias("g2"))
     right = short.select("token", F.col("sid").alias("b"), "f1", "f2")
-    alike = _agreeing(F.col("f1"), F.col("g1")) + _agreeing(F.col("f2"), F.col("g2")) >= FRAGMENTS
-    near = materialize(left.join(right, (left["token"] == right["token"]) & (F.col("a") < F.col("b")) & alike).select("a", "b").distinct(), "dup-near")
-    long = members.where(F.col("m") > SHORT_LIST).select("token", "coord", "sid", "head")
-    heads = near.select(F.col("a").alias("head"), F.col("b").alias("sid")).unionByName(near.select(F.col("a").alias("head"), F.col("a").alias("sid"))).unionByName(long.select("head", "sid"))
-    return near, long, materialize(heads.groupBy("sid").agg(F.min("head").alias("head")), "dup-heads")
+    alike = (_agreeing(F.col("f1"), F.col("g1")) + _agreeing(F.col("f2"), F.col("g2"))).alias("alike")
+    pairs = left.join(right, (left["token"] == right["token"]) & (F.col("a") < F.col("b"))).select("a", "b", alike).where(F.col("alike") >= FRAGMENTS)
+    near = materialize(pairs.groupBy("a", "b").agg(F.max("alike").alias("alike")), "dup-near")
+    long = members.where(F.col("m") > SHORT_LIST)
+    first = long.where("sid = head").select("token", F.col("f1").alias("g1"), F.col("f2").alias("g2"))
+    long = long.join(first, "token").select("token", "coord", "sid", "head", alike)
+    alone = F.lit(-1).alias("alike")
+    heads = near.select(F.col("a").alias("head"), F.col("b").alias("sid"), "alike").unionByName(near.select(F.col("a").alias("head"), F.col("a").alias("sid"), alone))
+    heads = heads.unionByName(long.select("head", "sid", F.when(F.col("sid") > F.col("head"), F.col("alike")).otherwise(-1).alias("alike")))
+    best = heads.groupBy("sid").agg(F.max(F.struct("alike", (-F.col("head")).alias("first"), "head")).alias("h"))
+    return near.drop("alike"), long.drop("alike"), materialize(best.select("sid", "h.head"), "dup-heads")
 
 
 def _near_duplicates(docs: DataFrame) -> DataFrame:
@@ -376,22 +389,14 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     # Stars: a cell is a block with the heads of its sets.
     void = F.lit(0).cast("long").alias("hi")
     arms = blocks.where("sid <> head").select(F.col("blk").alias("lo"), void, F.col("head").alias("a"), F.array("sid").alias("bs"))
-    need = arms.select("lo", "hi", F.col("a").alias("sid")).unionByName(arms.select("lo", "hi", F.col("bs")[0].alias("sid")))
+    need = arms.select("lo", "hi", F.col("a").alias("sid")).unionByName(arms.select("lo", "hi", F.col("bs")[0].alias("sid"))).distinct()
     labels = connected_components(materialize(_verified(arms, need, texts), "dup-stars"))
     labels = blocks.join(labels.select(F.col("node").alias("sid"), F.col("root").alias("label")), "sid", "left").select("sid", "blk", F.coalesce("label", "sid").alias("label"))
     labels = materialize(labels, "dup-labels")
 
-    crossing = _crossing(near, long, labels, sets, texts, rarity)
-    cell = [F.least("blk_a", "blk_b").alias("lo"), F.greatest("blk_a", "blk_b").alias("hi")]
-    crossing = materialize(crossing.select(*cell, "a", "bs"), "dup-crossing")
-    need = crossing.select("lo", "hi", F.col("a").alias("sid")).unionByName(crossing.select("lo", "hi", F.explode("bs").alias("sid")))
-    links = materialize(_verified(crossing, need, texts), "dup-links")
-
-    # Components of components.
-    of = lambda c: labels.select(F.col("sid").alias(c), F.col("label").alias(f"label_{c}"))
-    joined = links.join(of("a"), "a").join(of("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
-    parts = connected_components(joined).select(F.col("node").alias("label"), "root")
-    parts = labels.join(parts, "label", "left").select("sid", F.coalesce("root", "label").alias("root"))
+    for best in (True, False):
+        labels = _joined(_crossing(near, long, labels, sets, texts, rarity, best), texts, labels)
+    parts = labels.select("sid", F.col("label").alias("root"))
     named = sets.select("key", "n_shingles", "sid", "set_doc").join(parts, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     named = materialize(named, "dup-named")
     names = named.groupBy("root").agg(F.min("set_doc").alias("component"))
@@ -403,11 +408,27 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", kept)
 
 
-def _crossing(near: DataFrame, long: DataFrame, labels: DataFrame, sets: DataFrame, texts: DataFrame, rarity) -> DataFrame:
-    """(a, blk_a, blk_b, bs): candidates of short and long lists that lie in different components."""
-    of = lambda c: labels.select(F.col("sid").alias(c), F.col("label").alias(f"label_{c}"), F.col("blk").alias(f"blk_{c}"))
-    apart = near.join(of("a"), "a").join(of("b"), "b").where("label_a <> label_b").select("a", "blk_a", "blk_b", F.array("b").alias("bs"))
+def _joined(crossing: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels with the components that confirmed links join as one."""
+    cell = [F.least("blk_a", "blk_b").alias("lo"), F.greatest("blk_a", "blk_b").alias("hi")]
+    crossing = materialize(crossing.select(*cell, "a", "bs"), "dup-crossing")
+    # The sets of a cell, each once, before they become rows; their number is bounded by the two blocks.
+    sids = F.array_union(F.collect_set("a"), F.array_distinct(F.flatten(F.collect_list("bs"))))
+    need = crossing.groupBy("lo", "hi").agg(sids.alias("sids")).select("lo", "hi", F.explode("sids").alias("sid"))
+    links = materialize(_verified(crossing, need, texts), "dup-links")
+    of = lambda c: labels.select(F.col("sid").alias(c), F.col("label").alias(f"label_{c}"))
+    joined = links.join(of("a"), "a").join(of("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    parts = connected_components(joined).select(F.col("node").alias("label"), "root")
+    return materialize(labels.join(parts, "label", "left").select("sid", "blk", F.coalesce("root", "label").alias("label")), "dup-labels")
+
+
+def _crossing(near: DataFrame, long: DataFrame, labels: DataFrame, sets: DataFrame, texts: DataFrame, rarity, best: bool) -> DataFrame:
+    """(a, blk_a, blk_b, bs): candidates of short and long lists that lie in different components.
 
+    With ``best`` each set has the one partner of long lists that is most like it, and pairs
+    of short lists wait.
+    """
+    of = lambda c: labels.select(F.col("sid").alias(c), F.col("label").alias(f"label_{c}"), F.col("blk").alias(f"blk_{c}"))
     known = long.drop("head").join(labels, "sid")
     open_lists = known.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x <> y")
     open_lists = materialize(open_lists.select("token", F.ceil(F.col("m") / LIST_BLOCK).cast("int").alias("nb")), "dup-open-lists")
@@ -418,7 +439,15 @@ def _crossing(near: DataFrame, long: DataFrame, labels: DataFrame, sets: DataFra
     n_buckets = max(64, -(-members.count() // 4096))
     bucket = lambda *c: F.pmod(F.xxhash64(*c), F.lit(n_buckets)).alias("bucket")
     packed = members.join(signed, "sid").groupBy(bucket("token", "own")).applyInPandas(_pack, PACKED)
-    return packed.groupBy(bucket("token", "i", "j")).applyInPandas(_compare_lists, "a long, blk_a long, blk_b long, bs array<long>").unionByName(apart)
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return _compare_lists(key, rows, best)
+
+    found = packed.groupBy(bucket("token", "i", "j")).applyInPandas(compare, "a long, blk_a long, blk_b long, bs array<long>, alike long")
+    if best:
+        return found.groupBy("a").agg(F.max(F.struct("alike", "blk_a", "blk_b", "bs")).alias("p")).select("a", "p.blk_a", "p.blk_b", "p.bs")
+    apart = near.join(of("a"), "a").join(of("b"), "b").where("label_a <> label_b").select("a", "blk_a", "blk_b", F.array("b").alias("bs"))
+    return found.drop("alike").unionByName(apart)
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
