@@ -1,24 +1,29 @@
 """Exact substring deduplication: bytes covered by a string of ``LENGTH`` bytes that starts again elsewhere.
 
 A full suffix array over the corpus would move hundreds of bytes for each byte of text, so
-suffixes are sparse and known by hashes of their leading bytes:
+suffixes are sparse and known by two hashes of their leading bytes, one of which gives the
+bucket and one the key in it:
 
 1. *Anchors.* Of the ``GRAM``-byte strings inside a window of ``LENGTH`` bytes, the one of
    smallest hash is the window's anchor. A repeated window has equal anchors at either
    place, so only windows whose anchor occurs again can repeat. Between anchors that are
    ``LENGTH`` bytes apart lie *segments*; a segment that occurs again settles all windows
    in it at once.
-2. *Buckets.* Anchor and segment keys are range-partitioned by splitters, each bucket is
-   sorted and equal neighbours are found. A key is sent once per block of documents, which
-   has already compared its own, so a passage in a third of all documents is one row per block.
+2. *Buckets.* Anchor and segment keys are dealt to buckets, each bucket is sorted and equal
+   neighbours are found. A key is sent once per block of documents, which has already
+   compared its own, so a passage in a third of all documents is one row per block.
 3. *Edges.* Windows with a repeated anchor that no segment settles lie at the edges of
    repeated passages. Their anchors, with where in the window they lie, are announced to
    every block that has them, since a settled window may be an unsettled one's only partner.
 4. *Rest.* Unsettled windows, and announced ones of the segments for which a block speaks (the
    first of those that have it), go through the same buckets by their own keys.
 
-Keys are 64-bit hashes, so their splitters are the even ones that a sample would give.
-Every block of documents is read four times from one exchange.
+Hashes run over the bytes in words of eight, with multiplication and shift at each step.
+Two strings are taken for one only if key and bucket agree: 64 bits and the logarithm of
+the buckets, which grow with the corpus (at 100 TB some 100,000: 81 bits, a chance of
+about one in two that any false match occurs among 1.6e12 suffixes).
+Every block of documents is read four times from one exchange. A block's documents are
+chosen by a hash of what is kept and the text, so it is the same whenever a task runs again.
 """
 
 from __future__ import annotations
@@ -30,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from . import kernels as K
 from .common import total_bytes
@@ -40,9 +46,11 @@ GRAM = 80
 BLOCK_BYTES = 4 << 20
 SLICE_BYTES = 1 << 17
 #: Bytes of keys in a bucket, roughly.
-BUCKET_BYTES = 2 << 20
+BUCKET_BYTES = 16 << 20
+#: Text that a task holds blocks of.
+TASK_BYTES = 32 << 20
 _POSITION_BITS = 21
-_SEGMENT_SALT = np.uint64(0x5851F42D4C957F2D)
+_M1, _M2, _M3 = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -66,9 +74,8 @@ class Slice:
     def __init__(self, data: np.ndarray, ends: np.ndarray, own: int):
         n = len(data)
         self.n_windows = max(n - LENGTH + 1, 0)
-        p, self.inv = K.powers(n + 1)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(K._BYTE_CODES[data] * p[:n], out=self.sums[1:])
+        # The eight bytes from each byte on, as one number.
+        self.words = np.ndarray((max(n - 7, 0),), "<u8", np.ascontiguousarray(data), 0, (1,)) if n >= 8 else np.zeros(0, np.uint64)
         at = np.arange(self.n_windows)
         end = np.repeat(ends, np.diff(ends, prepend=0))[: self.n_windows]
         self.valid = (at + LENGTH <= end) & (at < own)
@@ -76,13 +83,20 @@ class Slice:
         self.seg_start = self.seg_end = np.zeros(0, np.int64)
         if not self.valid.any():
             return
-        grams = self.keys(np.arange(n - GRAM + 1), GRAM)
+        # A gram's rank: the sum of scrambled words in it. It only chooses anchors.
+        step = self.words * _M2
+        step ^= step >> np.uint64(29)
+        step *= _M3
+        sums = np.zeros(len(step) + 1, np.uint64)
+        np.cumsum(step, out=sums[1:])
+        tagged = sums[GRAM - 7 :] - sums[: -(GRAM - 7)]
         mask = np.uint64((1 << _POSITION_BITS) - 1)
-        tagged = (grams & ~mask) | np.arange(len(grams), dtype=np.uint64)
+        tagged &= ~mask
+        tagged |= np.arange(len(tagged), dtype=np.uint64)
         self.anchor = (_sliding_min(tagged, LENGTH - GRAM + 1) & mask).astype(np.int64)
         a = self.anchor[self.valid]
         self.anchors = a[np.flatnonzero(np.diff(a, prepend=-1))]
-        self.anchor_keys = grams[self.anchors]
+        self.anchor_keys = self.keys(self.anchors, GRAM)
         # From each anchor to the first one that makes the segment long enough, inside one text.
         to = np.searchsorted(self.anchors, self.anchors + LENGTH - GRAM)
         has = to < len(self.anchors)
@@ -90,12 +104,21 @@ class Slice:
         inside = (np.searchsorted(ends, start, "right") == np.searchsorted(ends, stop - 1, "right")) & (start < own)
         self.seg_start, self.seg_end = start[inside], stop[inside]
 
-    def keys(self, start: np.ndarray, length: int | np.ndarray) -> np.ndarray:
-        return K.mix((self.sums[start + length] - self.sums[start]) * self.inv[start] + np.uint64(LENGTH if np.ndim(length) else length))
+    def keys(self, start: np.ndarray, length: int) -> np.ndarray:
+        """(key, second hash) of the strings of ``length`` bytes, a multiple of 8, from each start on."""
+        one, two = np.full(len(start), length, np.uint64), np.full(len(start), _M3, np.uint64)
+        for k in range(0, length, 8):
+            w = self.words[start + k]
+            one = (one ^ w) * _M1
+            one ^= one >> np.uint64(32)
+            two = (two + w) * _M2
+            two ^= two >> np.uint64(31)
+        return np.column_stack([one, two])
 
     def segment_keys(self) -> np.ndarray:
-        length = self.seg_end - self.seg_start
-        return K.mix(self.keys(self.seg_start, length) + length.astype(np.uint64) * _SEGMENT_SALT)
+        # No segment is longer than two windows, so these two cover it.
+        length = (self.seg_end - self.seg_start).astype(np.uint64)[:, None]
+        return K.mix(self.keys(self.seg_start, LENGTH) * _M3 + self.keys(self.seg_end - LENGTH, LENGTH) + length)
 
 
 def slices(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, Slice]]:
@@ -111,10 +134,10 @@ def slices(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, Sl
 
 
 def _twice(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All distinct keys, and those that occur at least twice."""
-    both = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-    distinct, n = np.unique(both, return_counts=True)
-    return distinct, distinct[n > 1]
+    """All distinct (key, second hash) by key, and the keys that occur at least twice."""
+    both = np.concatenate(keys) if keys else np.zeros((0, 2), np.uint64)
+    distinct, first, n = np.unique(both[:, 0], return_index=True, return_counts=True)
+    return both[first], distinct[n > 1]
 
 
 def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -123,15 +146,26 @@ def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
-def _splitters(buckets: int) -> np.ndarray:
-    return (np.arange(1, buckets, dtype=np.float64) / buckets * 2.0**64).astype(np.uint64)
+class Deal:
+    """Sorted keys as they are dealt to buckets."""
 
+    def __init__(self, keys: np.ndarray, buckets: int):
+        bucket = ((keys[:, 1] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        self.order = np.argsort(bucket, kind="stable")
+        self.keys = keys[self.order, 0]
+        self.buckets, first = np.unique(bucket[self.order].astype(np.int64), return_index=True)
+        self.cuts = np.append(first, len(keys))
 
-def _dealt(block: int, kind: int, keys: np.ndarray, splitters: np.ndarray, places: np.ndarray | None = None) -> pa.Table:
-    """Sorted keys, and their places if given, as one packed row per bucket."""
-    cuts = [0, *np.searchsorted(keys, splitters), len(keys)]
-    rows = [(k, keys[i:j].tobytes() + (b"" if places is None else places[i:j].tobytes())) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
-    return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([block] * len(rows), pa.int64()), "kind": pa.array([kind] * len(rows), pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary())})
+    def part(self, bucket: int) -> np.ndarray:
+        k = int(np.searchsorted(self.buckets, bucket))
+        return self.keys[self.cuts[k] : self.cuts[k + 1]]
+
+    def rows(self, block: int, kind: int, places: np.ndarray | None = None) -> pa.Table:
+        """One packed row per bucket: keys, then their places if given."""
+        places = None if places is None else places[self.order]
+        packed = [self.keys[i:j].tobytes() + (b"" if places is None else places[i:j].tobytes()) for i, j in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
+        n = len(packed)
+        return pa.table({"bucket": pa.array(self.buckets, pa.int64()), "block": pa.array([block] * n, pa.int64()), "kind": pa.array([kind] * n, pa.int32()), "keys": pa.array(packed, pa.binary())})
 
 
 DEALT = "bucket long, block long, kind int, keys binary"
@@ -139,12 +173,11 @@ DEALT = "bucket long, block long, kind int, keys binary"
 SHARED = "block long, kind int, bucket long, bits binary"
 
 
-def _first_keys(splitters: np.ndarray):
+def _first_keys(buckets: int):
     def keys(texts: pa.Table) -> pa.Table:
-        block = texts.column("block")[0].as_py()
         data, offsets = K.utf8(texts.column("text"))
         found = [k for _, _, s in slices(data, offsets) if len(s.anchors) for k in (s.anchor_keys, s.segment_keys())]
-        return _dealt(block, 1, _twice(found)[0], splitters)
+        return Deal(_twice(found)[0], buckets).rows(texts.column("block")[0].as_py(), 1)
 
     return keys
 
@@ -177,38 +210,40 @@ def _shared_rows(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["block", "kind", "bucket", "bits"])
 
 
-def _told(shared: pa.Table, kind: int, sent: np.ndarray, splitters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the sorted keys that this block sent, those that came back for a kind, and their places if it has any."""
-    cuts = [0, *np.searchsorted(sent, splitters), len(sent)]
+def _told(shared: pa.Table, kind: int, sent: Deal) -> tuple[np.ndarray, np.ndarray]:
+    """Of the keys that this block sent, those that came back for a kind, sorted, and their places if it has any."""
     keys, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)]
-    for k, bucket, bits in sorted(zip(shared.column("kind").to_pylist(), shared.column("bucket").to_pylist(), shared.column("bits").to_pylist(), strict=True)):
+    for k, bucket, bits in zip(*(shared.column(c).to_pylist() for c in ("kind", "bucket", "bits")), strict=True):
         if k == kind:
-            part = sent[cuts[bucket] : cuts[bucket + 1]]
+            part = sent.part(bucket)
             n = -(-len(part) // 8)
             keys.append(part[np.unpackbits(np.frombuffer(bits, np.uint8, n), count=len(part)).astype(bool)])
             places.append(np.frombuffer(bits, np.uint16, (len(bits) - n) // 2, n))
-    return np.concatenate(keys), np.concatenate(places)
+    key, place = np.concatenate(keys), np.concatenate(places)
+    order = np.argsort(key, kind="stable")
+    return key[order], place[order] if len(place) else place
 
 
 class Block:
     """The texts of a block, its first keys and what came back for them."""
 
-    def __init__(self, texts: pa.Table, shared: pa.Table, splitters: np.ndarray):
+    def __init__(self, texts: pa.Table, shared: pa.Table, buckets: int):
         self.data, self.offsets = K.utf8(texts.column("text"))
         self.parts = list(slices(self.data, self.offsets))
-        self.sent, own_twice = _twice([k for _, _, s in self.parts if len(s.anchors) for k in (s.anchor_keys, s.segment_keys())])
-        elsewhere, spoken = (_told(shared, k, self.sent, splitters)[0] for k in (1, 4))
-        self.announced = _told(shared, 3, self.sent, splitters)
+        sent, own_twice = _twice([k for _, _, s in self.parts if len(s.anchors) for k in (s.anchor_keys, s.segment_keys())])
+        sent = Deal(sent, buckets)
+        elsewhere, spoken = (_told(shared, k, sent)[0] for k in (1, 4))
+        self.announced = _told(shared, 3, sent)
         self.settled = _settled(self.parts, elsewhere, spoken, own_twice)
 
     def window_keys(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """For each slice the windows whose keys are compared, and these keys."""
         windows = _chosen(self.parts, self.settled, *self.announced)
-        return windows, [s.keys(w, LENGTH) if len(w) else np.zeros(0, np.uint64) for (_, _, s), w in zip(self.parts, windows, strict=True)]
+        return windows, [s.keys(w, LENGTH) for (_, _, s), w in zip(self.parts, windows, strict=True)]
 
 
 def _settled(parts: list[tuple[int, int, Slice]], shared: np.ndarray, spoken: np.ndarray, own_twice: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each slice: windows known to repeat, those that may, those this block speaks for, and anchor keys."""
+    """For each slice: windows known to repeat, those that may, those this block speaks for, and the place of each window's anchor."""
 
     def inside(s: Slice, hit: np.ndarray) -> np.ndarray:
         change = np.zeros(s.n_windows + 1, np.int64)
@@ -218,17 +253,17 @@ def _settled(parts: list[tuple[int, int, Slice]], shared: np.ndarray, spoken: np
 
     out = []
     for _, _, s in parts:
-        sure, open_, speaks, key = (np.zeros(s.n_windows, t) for t in (bool, bool, bool, np.uint64))
+        sure, open_, speaks, at = (np.zeros(s.n_windows, t) for t in (bool, bool, bool, np.int64))
         if len(s.anchors):
-            k = s.segment_keys()
+            k = s.segment_keys()[:, 0]
             elsewhere, here = _among(k, shared), _among(k, own_twice)
             sure = inside(s, elsewhere | here)
             speaks = inside(s, _among(k, spoken) | (here & ~elsewhere))
-            again = _among(s.anchor_keys, shared) | _among(s.anchor_keys, own_twice)
+            own = s.anchor_keys[:, 0]
+            again = _among(own, shared) | _among(own, own_twice)
             at = np.minimum(np.searchsorted(s.anchors, s.anchor), len(again) - 1)
             open_ = s.valid & ~sure & again[at]
-            key = s.anchor_keys[at]
-        out.append((sure, open_, speaks, key))
+        out.append((sure, open_, speaks, at))
     return out
 
 
@@ -239,11 +274,12 @@ def _places(s: Slice) -> np.ndarray:
 
 
 def _merge_places(keys: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows by their first column, with all bits of each."""
     if not len(keys):
         return keys, bits
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys[:, 0], kind="stable")
     keys, bits = keys[order], bits[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    first = np.flatnonzero(np.concatenate([[True], keys[1:, 0] != keys[:-1, 0]]))
     return keys[first], np.bitwise_or.reduceat(bits, first)
 
 
@@ -253,14 +289,14 @@ def _with_places(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(packed, np.uint64, n), np.frombuffer(packed, np.uint16, n, 8 * n)
 
 
-def _open_keys(splitters: np.ndarray):
+def _open_keys(buckets: int):
     def keys(texts: pa.Table, shared: pa.Table) -> pa.Table:
         if not len(texts):
-            return _dealt(0, 3, np.zeros(0, np.uint64), splitters)
-        own = Block(texts, shared, splitters)
-        found = [(key[open_], _places(s)[open_]) for (_, _, s), (_, open_, _, key) in zip(own.parts, own.settled, strict=True) if open_.any()]
-        key, bits = _merge_places(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else (np.zeros(0, np.uint64), np.zeros(0, np.uint16))
-        return _dealt(texts.column("block")[0].as_py(), 3, key, splitters, bits)
+            return Deal(np.zeros((0, 2), np.uint64), buckets).rows(0, 3)
+        own = Block(texts, shared, buckets)
+        found = [(s.anchor_keys[at[open_]], _places(s)[open_]) for (_, _, s), (_, open_, _, at) in zip(own.parts, own.settled, strict=True) if open_.any()]
+        key, bits = _merge_places(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else (np.zeros((0, 2), np.uint64), np.zeros(0, np.uint16))
+        return Deal(key, buckets).rows(texts.column("block")[0].as_py(), 3, bits)
 
     return keys
 
@@ -270,7 +306,9 @@ def _announce(first: pa.Table, open_: pa.Table) -> pa.Table:
     wanted = [_with_places(x) for x in open_.column("keys").to_pylist()]
     if not wanted:
         return _shared_rows([])
-    wanted, places = _merge_places(*(np.concatenate(x) for x in zip(*wanted, strict=True)))
+    wanted, places = (np.concatenate(x) for x in zip(*wanted, strict=True))
+    wanted, places = _merge_places(wanted[:, None], places)
+    wanted = wanted[:, 0]
     rows = []
     for block, bucket, packed in zip(*(first.column(k).to_pylist() for k in ("block", "bucket", "keys")), strict=True):
         keys = np.frombuffer(packed, np.uint64)
@@ -283,21 +321,23 @@ def _announce(first: pa.Table, open_: pa.Table) -> pa.Table:
 def _chosen(parts, settled, known: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
     """Windows whose keys are compared: unsettled ones, and announced ones this block speaks for."""
     out = []
-    for (_, _, s), (_, open_, speaks, key) in zip(parts, settled, strict=True):
+    for (_, _, s), (_, open_, speaks, anchor) in zip(parts, settled, strict=True):
         pick = open_.copy()
         w = np.flatnonzero(speaks & ~open_)
         if len(w) and len(known):
-            at = np.minimum(np.searchsorted(known, key[w]), len(known) - 1)
-            pick[w[(known[at] == key[w]) & ((places[at] & _places(s)[w]) > 0)]] = True
+            key = s.anchor_keys[anchor[w], 0]
+            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            pick[w[(known[at] == key) & ((places[at] & _places(s)[w]) > 0)]] = True
         out.append(np.flatnonzero(pick))
     return out
 
 
-def _rest_keys(splitters: np.ndarray):
+def _rest_keys(buckets: int):
     def keys(texts: pa.Table, shared: pa.Table) -> pa.Table:
         if not len(texts):
-            return _dealt(0, 2, np.zeros(0, np.uint64), splitters)
-        return _dealt(texts.column("block")[0].as_py(), 2, _twice(Block(texts, shared, splitters).window_keys()[1])[0], splitters)
+            return Deal(np.zeros((0, 2), np.uint64), buckets).rows(0, 2)
+        sent = _twice(Block(texts, shared, buckets).window_keys()[1])[0]
+        return Deal(sent, buckets).rows(texts.column("block")[0].as_py(), 2)
 
     return keys
 
@@ -306,23 +346,23 @@ def _rest_keys(splitters: np.ndarray):
 RESULT = "n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
 
 
-def _remover(splitters: np.ndarray):
+def _remover(buckets: int):
     def remove(texts: pa.Table, shared: pa.Table) -> pa.Table:
-        return _cut(texts, shared, splitters)
+        return _cut(texts, shared, buckets)
 
     return remove
 
 
-def _cut(texts: pa.Table, shared: pa.Table, splitters: np.ndarray) -> pa.Table:
+def _cut(texts: pa.Table, shared: pa.Table, buckets: int) -> pa.Table:
     """Carried columns, size, removed spans and kept bytes of a block's texts."""
-    own = Block(texts, shared, splitters)
+    own = Block(texts, shared, buckets)
     data, offsets = own.data, own.offsets
     windows, rest = own.window_keys()
     sent, twice = _twice(rest)
-    known = _told(shared, 2, sent, splitters)[0]
+    known = _told(shared, 2, Deal(sent, buckets))[0]
     cover = np.zeros(len(data) + 1, np.int64)
     for (_, base, _), (sure, _, _, _), w, keys in zip(own.parts, own.settled, windows, rest, strict=True):
-        again = w[_among(keys, known) | _among(keys, twice)]
+        again = w[_among(keys[:, 0], known) | _among(keys[:, 0], twice)]
         start = base + np.concatenate([np.flatnonzero(sure), again])
         np.add.at(cover, start, 1)
         np.add.at(cover, start + LENGTH, -1)
@@ -341,9 +381,9 @@ def _cut(texts: pa.Table, shared: pa.Table, splitters: np.ndarray) -> pa.Table:
     return pa.table(carried | {"n_bytes": pa.array(np.diff(offsets), pa.int64()), "spans": spans, "kept": kept})
 
 
-def _remove(texts: pa.Table, shared: pa.Table, splitters: np.ndarray) -> pa.Table:
+def _remove(texts: pa.Table, shared: pa.Table, buckets: int) -> pa.Table:
     """The digest of a block, as ``substring_digest`` has it."""
-    cut = _cut(texts, shared, splitters)
+    cut = _cut(texts, shared, buckets)
     spans = cut.column("spans").to_pylist()
     sha = [hashlib.sha256(x).hexdigest() for x in cut.column("kept").to_pylist()]
     removed = [sum(s["end"] - s["start"] for s in x) for x in spans]
@@ -370,24 +410,25 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Data
     """The ``keep`` columns, ``n_bytes``, removed ``spans`` (bytes of the text) and ``kept`` bytes of every document.
 
     The columns to keep go with the texts through their exchange. A null text is empty. Texts shorter than ``LENGTH`` bytes lose nothing. Repeated rows
-    are documents of their own, so each removes the other. Null and repeated ids are
-    reported as they are. An empty table gives an empty result; other columns are
-    ignored. A very long text is walked in slices but held whole by its block.
+    are documents of their own, so each removes the other; rows equal in text and kept columns
+    share a block. Null and repeated ids are reported as they are. An empty table gives an
+    empty result; other columns are ignored. A very long text is walked in slices but held
+    whole by its block.
     """
     spark = docs.sparkSession
     size = total_bytes(docs, "text")
     n_blocks = max(64, -(-size // BLOCK_BYTES))
-    n_buckets = max(64, -(-size * 16 // ((LENGTH - GRAM) // 2) // BUCKET_BYTES))
-    splitters = _splitters(n_buckets)
-    block = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(n_blocks))
-    partitions = min(n_blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(64, -(-size * 16 // ((LENGTH - GRAM) // 2) // BUCKET_BYTES))
+    hashed = [c for c in keep if not isinstance(docs.schema[c].dataType, MapType)]
+    block = F.pmod(F.xxhash64(*hashed, "text"), F.lit(n_blocks))
+    partitions = max(-(-size // TASK_BYTES), min(n_blocks, spark.sparkContext.defaultParallelism))
     texts = docs.select(*[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)], F.coalesce("text", F.lit("")).alias("text"), block.alias("block")).repartition(partitions, "block")
-    first = texts.groupBy("block").applyInArrow(_first_keys(splitters), DEALT)
+    first = texts.groupBy("block").applyInArrow(_first_keys(buckets), DEALT)
     shared = first.groupBy("bucket").applyInArrow(_meet, SHARED)
-    open_ = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_open_keys(splitters), DEALT)
+    open_ = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_open_keys(buckets), DEALT)
     told = shared.unionByName(first.groupBy("bucket").cogroup(open_.groupBy("bucket")).applyInArrow(_announce, SHARED))
-    rest = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_rest_keys(splitters), DEALT)
+    rest = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_rest_keys(buckets), DEALT)
     both = told.unionByName(rest.groupBy("bucket").applyInArrow(_meet, SHARED))
     fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in texts.schema.fields[: len(keep)])
-    out = texts.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_remover(splitters), fields + RESULT)
+    out = texts.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_remover(buckets), fields + RESULT)
     return out.select(*[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)], "n_bytes", "spans", "kept")
