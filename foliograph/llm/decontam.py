@@ -6,10 +6,11 @@ shingle, the *prefix*, is necessary: the rarest one by its count over the whole
 A first pass counts the benchmark's shingles in all documents. A second one joins the
 documents' shingles with the prefixes, applies the bounds that position and length set
 (the prefix's offset fixes where the window would start and end inside the document) and
-compares all words of the window.
+compares the hash of the whole window and then the bytes of all its words.
 
-The benchmark side is read in blocks of bounded size and each block is broadcast; the
-documents stream past each block and are never shuffled. One block is the usual case.
+The benchmark side is read in blocks of bounded size and each block is broadcast, about
+eight bytes for each byte of its text; the documents stream past each block and are never
+shuffled. One block is the usual case.
 """
 
 from __future__ import annotations
@@ -27,7 +28,10 @@ from . import kernels as K
 WINDOW = 10
 SHINGLE = 3
 #: Benchmark text broadcast at once.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+
+#: Bytes of words as they are compared: A-Z lower-cased, everything else that is no word a blank.
+_PLAIN = bytes(int(x) if K.ALNUM[x] else 32 for x in K.lower_table())
 
 
 def _item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list, list]]:
@@ -44,45 +48,59 @@ def _item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list,
         yield ids, texts
 
 
-def index_items(ids: list, texts: list, window: int = WINDOW, q: int = SHINGLE) -> dict[str, np.ndarray]:
-    """Distinct windows of a block of items: word hashes, lengths, the items that have them, and their shingles."""
+def index_items(ids: list, texts: list, window: int = WINDOW, q: int = SHINGLE) -> dict:
+    """Distinct windows of a block of items: where they stand among its words, their hashes and lengths, and the items that have them."""
     data, offsets = K.utf8(pa.array(texts, pa.large_string()))
-    _, _, words, first = K.doc_words(data, offsets, K.ALNUM)
+    starts, ends, words, first = K.doc_words(data, offsets, K.ALNUM)
     count = np.diff(first)
     length = np.minimum(count, window)
     n = np.where(count > 0, count - length + 1, 0)
     item = np.repeat(np.arange(len(ids)), n)
     start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[:-1][item]
     size = length[item]
-    grid = np.zeros((len(start), window), np.uint64)
-    for k in range(window):
-        inside = k < size
-        grid[inside, k] = words[start[inside] + k]
-    grid, which = np.unique(np.column_stack([grid, size.astype(np.uint64)]), axis=0, return_inverse=True)
-    pairs = np.unique(np.column_stack([which.ravel(), item]), axis=0) if len(item) else np.zeros((0, 2), np.int64)
-    size, grid = grid[:, window].astype(np.int64), np.ascontiguousarray(grid[:, :window])
-    own_q = np.minimum(size, q)
-    hashes = np.zeros((len(grid), max(window - q + 1, q)), np.uint64)
-    valid = np.zeros(hashes.shape, bool)
-    for w in range(1, q + 1):
-        rows = np.flatnonzero(own_q == w)
-        for k in range(hashes.shape[1]):
-            use = rows[k + w <= size[rows]] if w == q else (rows if k == 0 else rows[:0])
-            if len(use):
-                hashes[use, k] = K.shingles(grid[use, k : k + w].ravel(), w)[::w]
-                valid[use, k] = True
-    return {"grid": grid, "size": size, "q": own_q, "hashes": hashes, "valid": valid, "window": pairs[:, 0], "item": pairs[:, 1], "shingles": np.unique(hashes[valid])}
+    key = np.zeros(len(start), np.uint64)
+    for w in np.unique(size):
+        own = size == w
+        key[own] = K.shingles(words, int(w))[start[own]]
+    order = np.lexsort((size, key))
+    new = np.ones(len(order), bool)
+    new[1:] = (key[order][1:] != key[order][:-1]) | (size[order][1:] != size[order][:-1])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    kept = order[new]
+    pairs = np.unique(np.column_stack([which, item]), axis=0) if len(item) else np.zeros((0, 2), np.int64)
+    at, size = start[kept], size[kept]
+    index = {"at": at, "size": size, "key": key[kept], "q": np.minimum(size, q), "words": words, "window": pairs[:, 0], "item": pairs[:, 1].astype(np.int32)}
+    index |= {"data": data.tobytes().translate(_PLAIN), "starts": starts.astype(np.int32), "ends": ends.astype(np.int32)}
+    index["shingles"] = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for _, _, h, _ in _offsets(index))]))
+    return index
+
+
+def _offsets(index: dict) -> Iterator[tuple[np.ndarray, int, np.ndarray, int]]:
+    """(windows, offset, hash of the shingle there, its words) for every offset of a shingle in a window."""
+    for q in np.unique(index["q"]):
+        own = np.flatnonzero(index["q"] == q)
+        h = K.shingles(index["words"], int(q))
+        for k in range(int(index["size"][own].max()) - int(q) + 1):
+            has = own[k + q <= index["size"][own]]
+            yield has, k, h[index["at"][has] + k], int(q)
 
 
 def choose_prefixes(index: dict, counts: np.ndarray) -> dict:
-    """Sort windows by their rarest shingle; counts: of each of index["shingles"] in the corpus."""
-    at = np.minimum(np.searchsorted(index["shingles"], index["hashes"]), max(len(index["shingles"]) - 1, 0))
-    rarity = np.where(index["valid"], counts[at] if len(counts) else 0, np.iinfo(np.int64).max)
-    offset = rarity.argmin(axis=1) if len(rarity) else np.zeros(0, np.int64)
-    prefix = index["hashes"][np.arange(len(offset)), offset]
+    """Windows sorted by their rarest shingle; counts: of each of index["shingles"] in the corpus."""
+    n = len(index["at"])
+    least, offset, prefix = np.full(n, np.iinfo(np.int64).max), np.zeros(n, np.int8), np.zeros(n, np.uint64)
+    for has, k, h, _ in _offsets(index):
+        c = counts[np.searchsorted(index["shingles"], h)]
+        better = c < least[has]
+        least[has[better]], offset[has[better]], prefix[has[better]] = c[better], k, h[better]
     order = np.argsort(prefix, kind="stable")
-    window_items = np.searchsorted(index["window"], np.arange(len(offset) + 1))
-    return {"prefix": prefix[order], "offset": offset[order], "row": order, "q": index["q"][order], "grid": index["grid"], "size": index["size"], "items": index["item"], "first_item": window_items}
+    kept = {k: index[k] for k in ("data", "starts", "ends")}
+    kept |= {"prefix": prefix[order], "offset": offset[order], "q": index["q"][order].astype(np.int8), "size": index["size"][order].astype(np.int32), "key": index["key"][order], "at": index["at"][order].astype(np.int32)}
+    first = np.searchsorted(index["window"], np.arange(n + 1))
+    each = np.diff(first)[order]
+    spread = np.repeat(first[:-1][order], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    return kept | {"items": index["item"][spread], "first_item": np.concatenate([[0], np.cumsum(each)])}
 
 
 def _shingle_counter(shared, qs: list[int]):
@@ -110,10 +128,10 @@ def _shingle_counter(shared, qs: list[int]):
     return count
 
 
-def _match(words: np.ndarray, first: np.ndarray, ix: dict) -> tuple[np.ndarray, np.ndarray]:
+def _match(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, first: np.ndarray, ix: dict) -> tuple[np.ndarray, np.ndarray]:
     """Word position and index row of every occurrence of a window, over the words of several documents."""
-    hits_at, hits_row = [], []
-    doc_of = None
+    hits_at, hits_row = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    doc_of, whole = None, {}
     for q in np.unique(ix["q"]):
         mine = np.flatnonzero(ix["q"] == q)
         prefix = ix["prefix"][mine]
@@ -125,22 +143,31 @@ def _match(words: np.ndarray, first: np.ndarray, ix: dict) -> tuple[np.ndarray,
         lo = lo[pos]
         n = np.searchsorted(prefix, h[pos], "right") - lo
         p = np.repeat(pos, n)
-        entry = mine[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
-        start = p - ix["offset"][entry]
-        row = ix["row"][entry]
+        row = mine[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+        start = p - ix["offset"][row]
         if doc_of is None:
             doc_of = K.segment_rows(first)
         doc = doc_of[p]
         fits = (start >= first[doc]) & (start + ix["size"][row] <= first[doc + 1])
         start, row = start[fits], row[fits]
-        for k in range(ix["grid"].shape[1]):
-            same = (k >= ix["size"][row]) | (words[np.minimum(start + k, len(words) - 1)] == ix["grid"][row, k])
-            start, row = start[same], row[same]
-        hits_at.append(start)
-        hits_row.append(row)
-    if not hits_at:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(hits_at), np.concatenate(hits_row)
+        for w in np.unique(ix["size"][row]):
+            own = np.flatnonzero(ix["size"][row] == w)
+            if w not in whole:
+                whole[w] = K.shingles(words, int(w))
+            own = own[whole[w][start[own]] == ix["key"][row[own]]]
+            hits_at.append(start[own])
+            hits_row.append(row[own])
+    at, row = np.concatenate(hits_at), np.concatenate(hits_row)
+    # Exact containment: the bytes of all words.
+    told: dict[int, list[bytes]] = {}
+    same = np.zeros(len(at), bool)
+    for i, (s, r) in enumerate(zip(at.tolist(), row.tolist(), strict=True)):
+        last = int(ix["size"][r]) - 1
+        if r not in told:
+            w = int(ix["at"][r])
+            told[r] = ix["data"][ix["starts"][w] : ix["ends"][w + last]].split()
+        same[i] = data[starts[s] : ends[s + last]].tobytes().translate(_PLAIN).split() == told[r]
+    return at[same], row[same]
 
 
 def _matcher(shared, ids_shared, schema: pa.Schema):
@@ -152,9 +179,10 @@ def _matcher(shared, ids_shared, schema: pa.Schema):
             n_words, spans, items = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, [None] * batch.num_rows
             for a, b in K.row_chunks(offsets):
                 base = offsets[a]
-                _, _, words, first = K.doc_words(data[base : offsets[b]], offsets[a : b + 1] - base, K.ALNUM)
+                part = data[base : offsets[b]]
+                starts, ends, words, first = K.doc_words(part, offsets[a : b + 1] - base, K.ALNUM)
                 n_words[a:b] = np.diff(first)
-                start, row = _match(words, first, ix)
+                start, row = _match(part, starts, ends, words, first, ix)
                 by_doc = np.argsort(start, kind="stable")
                 start, row = start[by_doc], row[by_doc]
                 bounds = np.searchsorted(start, first)
@@ -163,7 +191,7 @@ def _matcher(shared, ids_shared, schema: pa.Schema):
                     spans[a + d] = np.column_stack([s, s + ix["size"][r]])
                     rows = np.unique(r)
                     own = np.concatenate([ix["items"][ix["first_item"][x] : ix["first_item"][x + 1]] for x in rows])
-                    items[a + d] = {ids[x] for x in own if ids[x] is not None}
+                    items[a + d] = {ids[x] for x in own}
             flat_spans, flat_items, n_hit = [], [], np.zeros(batch.num_rows, np.int64)
             for i in range(batch.num_rows):
                 before = old_spans[i].as_py() if spans[i] is not None or len(old_spans[i]) else []
@@ -176,7 +204,7 @@ def _matcher(shared, ids_shared, schema: pa.Schema):
                         merged += [s, e]
                 flat_spans.append(merged)
                 n_hit[i] = sum(merged[1::2]) - sum(merged[::2])
-                flat_items.append(sorted((items[i] or set()) | set(old_items[i].as_py() if len(old_items[i]) else [])))
+                flat_items.append(sorted((items[i] or set()) | set(old_items[i].as_py() if len(old_items[i]) else []), key=lambda x: (x is None, x or 0)))
             new = {"n_words": pa.array(n_words), "n_hit": pa.array(n_hit), "spans": pa.array(flat_spans, pa.list_(pa.int64())), "items": pa.array(flat_items, pa.list_(pa.int64()))}
             yield pa.RecordBatch.from_arrays([new.get(f.name, None) if f.name in new else batch.column(f.name).cast(f.type) for f in schema], schema=schema)
 
@@ -187,13 +215,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("
     """Benchmark windows in every document.
 
     Returns the ``keep`` columns, ``n_words``, ``n_hit``, ``spans`` (merged word ranges,
-    flat: start, end, start, end ...), ``items`` (sorted distinct ids) and, if asked for,
-    ``text``.
+    flat: start, end, start, end ...), ``items`` (sorted distinct ids, null last) and, if
+    asked for, ``text``.
 
     A null text has no words. Items without words or text match nothing; items with a
-    null id count as hits but are not listed; a repeated item id is listed once. Empty
-    tables give no hits or no rows. Repeated documents are reported each. Columns that
-    are not named are ignored.
+    null id are one item, without a name in the digest; a repeated item id is listed once. Empty
+    tables give no hits or no rows. Repeated documents are reported each. A very long text is
+    walked alone, with arrays of some dozen times its bytes. Columns that are not named are
+    ignored.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 

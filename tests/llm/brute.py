@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import math
 import re
+import zlib
 
 
 def lower(text):
@@ -26,7 +28,7 @@ def leaks(docs, items, window=10):
                 if (x := tuple(w[k : k + n])) in windows:
                     hit |= set(range(k, k + n))
                     found |= windows[x]
-        out[d] = (len(w), len(hit), sorted(x for x in found if x is not None))
+        out[d] = (len(w), len(hit), sorted(found, key=lambda x: (x is None, x or 0)))
     return out
 
 
@@ -88,3 +90,40 @@ def line_measures(text):
     grams = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
     hit = {k for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for k in range(i, i + 3)}
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(own) - len(set(own)), len(hit)
+
+
+def languages(docs, smoothing=0.5, buckets=1 << 15):
+    """[(doc_id, text, lang)] -> {doc_id: (held_out, lang_pred)}: naive Bayes over dictionaries of the same hashed n-grams."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        for c in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = ((x ^ x >> 33) * c) & mask
+        return x ^ x >> 33
+
+    def grams(text):
+        low = [(y if len(y := x.lower()) == 1 else x) if x.isalpha() else " " for x in text or ""]
+        out = collections.Counter()
+        for n in (1, 2, 3):
+            for i in range(len(low) - n + 1):
+                h = ord(low[i]) + 1
+                for k in range(1, n):
+                    h = (h * 0x9E3779B97F4A7C15 + ord(low[i + k]) + k + 1) & mask
+                out[mix(h) * buckets >> 64] += 1
+        return out
+
+    held = {d: zlib.crc32(str(d).encode()) % 5 == 0 for d, _, _ in docs}
+    train = [(t, lang) for d, t, lang in docs if not held[d] and lang is not None]
+    counts, n = collections.defaultdict(collections.Counter), collections.Counter(lang for _, lang in train)
+    for t, lang in train:
+        counts[lang] += grams(t)
+    whole = {lang: sum(counts[lang].values()) + smoothing * buckets for lang in n}
+    out = {}
+    for d, t, _ in docs:
+        if not any(c.isalpha() for c in t or "") or not n:
+            out[d] = (held[d], "und")
+            continue
+        g = grams(t)
+        score = {lang: math.log(n[lang] / len(train)) + sum(k * math.log((counts[lang][b] + smoothing) / whole[lang]) for b, k in g.items()) for lang in sorted(n)}
+        out[d] = (held[d], max(sorted(score), key=score.get))
+    return out
