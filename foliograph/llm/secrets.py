@@ -2,15 +2,11 @@
 
 Base spans come from fixed patterns. On top of them the method looks at *candidates*:
 the values of base spans and generic token-like strings. Their hashes are counted over
-the corpus by distinct repositories (documents) and distinct owners (sources). A value
-that several owners carry is a widely copied example; one that a few owners hold and that
-looks random is live. Live generic tokens are added to the spans of a document.
-
-What is redacted is more than what is live: a base span need not look random (passwords
-are short), only generic tokens must. And copies of one leaking document make no example:
-for redaction equal texts are one repository of one owner, and a value is an example only
-if both its repositories and its owners are many for the corpus. ``live`` and the counts
-are those of ``SECRETS_SQL``, by rows and owners.
+the corpus by distinct repositories and distinct owners (sources). A repository is a
+distinct text: copies of one leaking document are one repository of one owner and make no
+example. A value that many repositories and many owners carry is a widely copied example;
+others are live: base values as they are (passwords are short), generic tokens if they
+look random. Live generic tokens are added to the spans of a document.
 """
 
 from __future__ import annotations
@@ -33,39 +29,57 @@ HEX_RE = r"[0-9a-f]+"
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 #: A generic token: this many characters of the class, with an upper-case letter, a lower-case letter and a digit.
 TOKEN_RE = r"[A-Za-z0-9_-]{20,}"
-#: A value of at least this many owners is a widely copied example.
+#: A value of fewer repositories or owners is no widely copied example.
 EXAMPLE_OWNERS = 3
-#: A live value has at least this many different characters.
+#: A live generic token has at least this many different characters.
 MIN_DISTINCT_CHARS = 8
+#: Elements of an array that are walked at once; appending to an array copies it.
+WALK = 512
 
 
-def _spans(text: Column, kind: int, pattern: str, quick: str, group: int, keep) -> Column:
-    """array<struct<start,kind,end,value>> of the matches that ``keep(match, value)`` holds for."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
-    gaps = F.split(text, pattern, -1)
-    rows = F.zip_with(F.arrays_zip(matches.alias("m"), values.alias("v")), gaps, lambda mv, gap: F.struct(mv["m"].alias("m"), mv["v"].alias("v"), F.length(gap).alias("gap")))
-    rows = F.filter(rows, lambda r: r["m"].isNotNull())
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _parts(rows: Column) -> Column:
+    """An array in parts of ``WALK`` elements."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(rows) - 1, F.lit(0)), F.lit(WALK))
+    return F.transform(starts, lambda a: F.slice(rows, a + 1, F.lit(WALK)))
+
+
+def _spans(text: Column, kind: int, pattern: str, quick: Column, group: int, keep) -> Column:
+    """array<struct<start,kind,end,value>> of the matches that ``keep(match, value)`` holds for; linear in their number."""
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    rows = F.filter(F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), gaps.alias("gap")), lambda r: r["m"].isNotNull())
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
 
     def step(acc: Column, r: Column) -> Column:
         start = acc["at"] + r["gap"]
         end = start + F.length(r["m"])
-        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), r["v"].alias("value"))
-        out = F.when(keep(r["m"], r["v"]), F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
+        value = F.regexp_extract(r["m"], pattern, group) if group else r["m"]
+        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), value.alias("value"))
+        out = F.when(keep(r["m"], value), F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
         return F.struct(end.alias("at"), out.alias("out"))
 
-    found = F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
-    return F.when(text.rlike(quick), found).otherwise(empty)
+    def walk(acc: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(acc["at"].alias("at"), empty.alias("out")), step)
+        return bind(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+    found = bind(rows, lambda r: F.flatten(F.aggregate(_parts(r), F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("out")), walk)["out"]))
+    return F.when(quick, found).otherwise(empty)
+
+
+SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
 def base_spans(text: Column) -> dict[str, Column]:
     """Spans of each base kind, by position; offsets in code points, end exclusive."""
     text = F.coalesce(text, F.lit(""))
     return {
-        "assign": _spans(text, 0, ASSIGN_RE, ASSIGN_RE, 1, lambda m, v: F.length(v) >= MIN_ASSIGN),
-        "access": _spans(text, 1, ACCESS_RE, ACCESS_RE, 0, lambda m, v: F.length(m) >= MIN_ACCESS),
-        "hex": _spans(text, 2, HEX_RE, r"[0-9a-f]{%d}" % MIN_HEX, 0, lambda m, v: F.length(m) >= MIN_HEX),
+        "assign": _spans(text, 0, ASSIGN_RE, (text.contains(":") | text.contains("=")) & text.rlike(ASSIGN_RE), 1, lambda m, v: F.length(v) >= MIN_ASSIGN),
+        "access": _spans(text, 1, ACCESS_RE, text.contains("AKIA"), 0, lambda m, v: F.length(m) >= MIN_ACCESS),
+        "hex": _spans(text, 2, HEX_RE, text.rlike(r"[0-9a-f]{%d}" % MIN_HEX), 0, lambda m, v: F.length(m) >= MIN_HEX),
     }
 
 
@@ -74,7 +88,8 @@ def token_spans(text: Column) -> Column:
     def mixed(m: Column, v: Column) -> Column:
         return m.rlike("[A-Z]") & m.rlike("[a-z]") & m.rlike("[0-9]")
 
-    return _spans(F.coalesce(text, F.lit("")), 3, TOKEN_RE, TOKEN_RE, 0, mixed)
+    text = F.coalesce(text, F.lit(""))
+    return _spans(text, 3, TOKEN_RE, text.rlike(TOKEN_RE), 0, mixed)
 
 
 def _joined(spans: Column) -> Column:
@@ -83,18 +98,19 @@ def _joined(spans: Column) -> Column:
 
 
 def _copied(hashed: DataFrame, example_owners: int) -> DataFrame:
-    """(hash, copied): whether a value is a widely copied example, for redaction.
+    """(hash, copied): whether a value is a widely copied example.
 
-    Equal texts count once, for one of their owners. An example stands in at least
-    ``example_owners`` texts and owners, and in at least log2 of all texts with candidates
-    and of all their owners: what is many grows with the corpus, but slowly.
+    Equal texts are one repository, of the first of their owners. An example stands in at
+    least ``example_owners`` repositories and owners, and in at least log2 of all repositories
+    with candidates and of all their owners: what is many grows with the corpus, but slowly.
     """
-    texts = hashed.groupBy("text_hash").agg(F.min(F.xxhash64("owner")).alias("owner"))
-    n_texts, n_owners = texts.agg(F.count("*"), F.count_distinct("owner")).first()
-    least_texts, least_owners = (max(example_owners, math.ceil(math.log2(max(n, 1)))) for n in (n_texts, n_owners))
+    texts = hashed.groupBy("text_hash").agg(F.min("owner").alias("owner"))
+    n_texts, n_owners = texts.groupBy("owner").agg(F.count("*").alias("n")).agg(F.sum("n"), F.count("*")).first()
+    least_texts, least_owners = (max(example_owners, math.ceil(math.log2(max(n or 1, 1)))) for n in (n_texts, n_owners))
     per_text = hashed.select("text_hash", F.explode(F.transform("cands", lambda s: s["hash"])).alias("hash")).distinct().join(texts, "text_hash")
-    sums = per_text.groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.sum("n").alias("n_texts"), F.count("*").alias("n_owners"))
-    return sums.select("hash", ((F.col("n_texts") >= least_texts) & (F.col("n_owners") >= least_owners)).alias("copied"))
+    # Two plain sums: no distinct count, no group of a hot value in one task.
+    sums = per_text.groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
+    return sums.select("hash", ((F.col("n_repositories") >= least_texts) & (F.col("n_owners") >= least_owners)).alias("copied"))
 
 
 def scan_secrets(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, keep: tuple[str, ...] = ("doc_id",), owner: str = "source", carry_text: bool = False) -> DataFrame:
@@ -102,14 +118,13 @@ def scan_secrets(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, keep: tu
 
     Returns the ``keep`` columns, ``n_assign``, ``n_access``, ``n_hex``, ``base`` and
     ``found`` (arrays of start, kind, end; ``found`` also has the live generic tokens),
-    ``n_live`` and ``n_example`` (candidates by ownership), ``live`` (their spans),
-    ``to_redact`` (spans of base values and random tokens that are no examples, see
-    ``_copied``) and, if asked for, ``text``.
-
-    Null and empty texts have no spans. The null owner counts as one owner. Rows are
-    told apart by position, so repeated rows and ids are kept and each counts as a
-    repository. An empty table gives an empty result. Columns that are not named are
-    ignored.
+    ``live`` (spans of live values), ``n_live`` and ``n_example`` (candidates by ownership)
+    and, if asked for, ``text``.
+
+    Null and empty texts have no spans. The null owner counts as one owner, apart from the
+    empty one. Rows are told apart by position, so repeated rows and ids are kept; equal texts
+    are one repository. A very long text is searched whole; its spans are walked in parts. An
+    empty table gives an empty result. Columns that are not named are ignored.
     """
     kinds = base_spans(F.col("text"))
     scanned = docs.select(
@@ -127,23 +142,12 @@ def scan_secrets(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, keep: tu
         "row_id", "text_hash", "owner", F.transform(candidates, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.xxhash64(s["value"]).alias("hash"),
             (F.size(F.array_distinct(F.split(s["value"], ""))) >= MIN_DISTINCT_CHARS).alias("random"))).alias("cands")
     )
-    # Two plain sums: no distinct count, no group of a hot value in one task.
-    per_owner = hashed.select("owner", F.explode(F.transform("cands", lambda s: s["hash"])).alias("hash")).distinct()
-    owners = per_owner.groupBy("hash").agg(F.count("*").alias("n_owners")).join(_copied(hashed, example_owners), "hash")
     each = hashed.select("row_id", F.explode("cands").alias("c")).select("row_id", "c.*")
-    judged = each.join(owners, "hash").withColumn("live", F.col("random") & (F.col("n_owners") < example_owners))
-    judged = judged.withColumn("to_redact", ((F.col("kind") < 3) | F.col("random")) & ~F.col("copied"))
-    spot = F.struct("start", "kind", "end")
+    judged = each.join(_copied(hashed, example_owners), "hash").withColumn("live", ((F.col("kind") < 3) | F.col("random")) & ~F.col("copied"))
     # A document's candidates meet again; their number is that of its own spans.
-    verdicts = judged.groupBy("row_id").agg(
-        F.count(F.when(F.col("live"), 1)).alias("n_live"),
-        F.count(F.when(F.col("n_owners") >= example_owners, 1)).alias("n_example"),
-        F.collect_list(F.when(F.col("live"), spot)).alias("live"),
-        F.collect_list(F.when(F.col("to_redact"), spot)).alias("to_redact"),
-    )
+    verdicts = judged.groupBy("row_id").agg(F.count(F.when(F.col("copied"), 1)).alias("n_example"), F.collect_list(F.when(F.col("live"), F.struct("start", "kind", "end"))).alias("live"))
     joined = scanned.join(verdicts, "row_id", "left")
-    place = "array<struct<start:int,kind:int,end:int>>"
-    live = F.coalesce(F.sort_array("live"), F.array().cast(place))
+    live = F.coalesce(F.sort_array("live"), F.array().cast("array<struct<start:int,kind:int,end:int>>"))
     base = F.sort_array(F.transform(F.concat("assign", "access", "hex"), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     return joined.select(
         *[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)],
@@ -151,15 +155,14 @@ def scan_secrets(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, keep: tu
         *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]],
         base.alias("base"),
         F.sort_array(F.concat(base, F.filter(live, lambda s: s["kind"] == 3))).alias("found"),
-        F.coalesce("n_live", F.lit(0)).alias("n_live"),
-        F.coalesce("n_example", F.lit(0)).alias("n_example"),
         live.alias("live"),
-        F.coalesce(F.sort_array("to_redact"), F.array().cast(place)).alias("to_redact"),
+        F.size(live).cast("long").alias("n_live"),
+        F.coalesce("n_example", F.lit(0)).alias("n_example"),
     )
 
 
 def redact_live(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """Documents without candidates as they are, and the others with spans ``to_redact`` and text.
+    """Documents without candidates as they are, and the others with their live spans and text.
 
     Only documents with a candidate take part in counts and joins; texts of the rest are
     passed through in one scan.
@@ -177,13 +180,30 @@ def secret_digest(found: DataFrame) -> DataFrame:
 
 
 def redact(text: Column, spans: Column, mark: str = "[redacted]") -> Column:
-    """``text`` with the given sorted spans replaced; overlapping spans share one mark."""
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.when(s["start"] >= acc["at"], F.concat(text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.concat(acc["out"], gap).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+    """``text`` with the given sorted spans replaced; overlapping spans share one mark.
+
+    What stands between spans is cut from a part of the text for every ``WALK`` spans, as
+    each cut counts characters from the start of what it is cut from.
+    """
+    none = F.array().cast("array<string>")
+
+    def walk(acc: Column, part: Column) -> Column:
+        base = acc["at"]
+        end = F.greatest(base, F.array_max(F.transform(part, lambda s: s["end"])))
+
+        def cut(here: Column) -> Column:
+            def step(inner: Column, s: Column) -> Column:
+                gap = F.array(here["text"].substr(inner["at"] - here["base"] + 1, s["start"] - inner["at"]))
+                return F.struct(F.greatest(inner["at"], s["end"]).alias("at"), F.when(s["start"] >= inner["at"], F.concat(inner["out"], gap)).otherwise(inner["out"]).alias("out"))
+
+            return F.aggregate(part, F.struct(here["base"].alias("at"), none.alias("out")), step)
+
+        done = bind(F.struct(text.substr(base + 1, end - base).alias("text"), base.alias("base")), cut)
+        return bind(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
 
-    done = F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step)
-    return F.when(F.size(spans) > 0, F.concat(done["out"], text.substr(done["at"] + 1, F.length(text)))).otherwise(text)
+    done = F.aggregate(_parts(spans), F.struct(F.lit(0).alias("at"), F.array().cast("array<array<string>>").alias("out")), walk)
+    whole = bind(done, lambda d: F.array_join(F.concat(F.flatten(d["out"]), F.array(text.substr(d["at"] + 1, F.length(text)))), mark))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
 def _sql_kind(name: str, kind: int, pattern: str, group: int, keep: str) -> str:
@@ -207,8 +227,12 @@ def _sql() -> str:
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, source, coalesce(text, '') AS text FROM documents), {','.join(parts)},
 c AS (SELECT * FROM assign_k UNION ALL SELECT * FROM access_k UNION ALL SELECT * FROM hex_k UNION ALL SELECT * FROM token_k),
-o AS (SELECT v, count(DISTINCT coalesce(source, '')) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) * 0 AS owners FROM c GROUP BY v),
-j AS (SELECT c.*, owners >= {EXAMPLE_OWNERS} AS example, owners < {EXAMPLE_OWNERS} AND len(list_distinct(string_split(v, ''))) >= {MIN_DISTINCT_CHARS} AS live,
+r AS (SELECT text, min(source) AS source FROM d WHERE row_id IN (SELECT row_id FROM c) GROUP BY text),
+least AS (SELECT greatest({EXAMPLE_OWNERS}, ceil(log2(greatest(count(*), 1)))) AS texts,
+  greatest({EXAMPLE_OWNERS}, ceil(log2(greatest(count(DISTINCT source) + max((source IS NULL)::INT), 1)))) AS owners FROM r),
+o AS (SELECT v, count(DISTINCT text) >= any_value(texts) AND count(DISTINCT r.source) + max((r.source IS NULL)::INT) >= any_value(owners) AS example
+  FROM c JOIN d USING (row_id) JOIN r USING (text), least GROUP BY v),
+j AS (SELECT c.*, example, NOT example AND (kind < 3 OR len(list_distinct(string_split(v, ''))) >= {MIN_DISTINCT_CHARS}) AS live,
   {names}[kind + 1] || ':' || s || ':' || e AS said FROM c JOIN o USING (v)),
 g AS (SELECT row_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
   coalesce(string_agg(said, ',' ORDER BY s, kind) FILTER (kind < 3), '') AS base, coalesce(string_agg(said, ',' ORDER BY s, kind) FILTER (kind < 3 OR live), '') AS spans,
