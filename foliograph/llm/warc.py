@@ -6,7 +6,9 @@ record (file, offset, length, URL, digest ...); the index is a table. A task tha
 again writes new files, and the index names only those of the run that counted.
 
 Reading: selected index rows are grouped into byte ranges of neighbouring records, sorted
-by file and offset; each range is one read.
+by file and offset; each range is one read, and a task gets ranges of bounded length.
+
+Records are of type ``response`` with an HTTP block, or ``revisit`` with its headers only.
 
 The archives' folder must be on a file system that pyarrow opens (local, HDFS, S3, GCS).
 """
@@ -31,6 +33,8 @@ MIN_DEDUP_BYTES = 0
 #: A file is closed once it is this long; a range read is about this long.
 FILE_BYTES = 256 << 20
 RANGE_BYTES = 4 << 20
+#: Stored bytes that a task reads, about.
+TASK_BYTES = 32 << 20
 GZIP_LEVEL = 2
 INDEX = "file string, offset long, length long, page_id long, url string, payload_digest string, record_type string, refers_to long, payload_bytes long"
 
@@ -39,29 +43,34 @@ def _b32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def _record(page_id, url, payload: bytes, digest: str, full_bytes: int, refers_to) -> bytes:
-    kind = "response" if refers_to is None else "revisit"
+def _record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     head = [
         "WARC/1.1",
-        f"WARC-Type: {kind}",
+        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{digest}",
-        f"WARC-Payload-Length: {full_bytes}",
     ]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if refers_to is not None:
         head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-        payload = b""
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
+    block = http if refers_to is not None else http + payload
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    return dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
 
 
-def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
+def parse_record(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
+    """The fields of the record and of its HTTP block, and the payload in it."""
     head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    return fields, rest[: int(fields["Content-Length"])]
+    fields = _fields(head)
+    http, _, payload = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
+    return fields, _fields(http), payload
 
 
 def _writer(folder: str, file_bytes: int):
@@ -78,7 +87,7 @@ def _writer(folder: str, file_bytes: int):
                     out = fs.open_output_stream(f"{root}/{name}", compression=None)
                 data, digest = payload.encode(), _b32(digest)
                 press = zlib.compressobj(GZIP_LEVEL, zlib.DEFLATED, 31)
-                member = press.compress(_record(page_id, url, data, digest, len(data), refers_to)) + press.flush()
+                member = press.compress(_record(page_id, url, data, digest, refers_to)) + press.flush()
                 out.write(member)
                 rows.append((name, at, len(member), page_id, url, digest, "response" if refers_to is None else "revisit", refers_to, len(data)))
                 at += len(member)
@@ -98,8 +107,9 @@ def write_archives(pages: DataFrame, folder: str, min_dedup_bytes: int = MIN_DED
     Of equal payloads of at least ``min_dedup_bytes`` the one with the smallest page_id is
     the response and later ids revisit it. A null html is an empty payload. Rows that
     share the smallest id of a payload are responses all; a null page_id revisits any
-    other and is a response where no page has an id. A null URL leaves the field out. An
-    empty table writes no files. Columns that are not named are ignored.
+    other and is a response where no page has an id. A null URL leaves the field out. A
+    payload is held whole while its record is pressed, however long. An empty table writes no
+    files. Columns that are not named are ignored.
     """
     payload = F.coalesce("html", F.lit(""))
     base = pages.select("page_id", "url", payload.alias("payload"), F.unhex(F.sha1(payload)).alias("digest"))
@@ -123,13 +133,13 @@ def _reader(folder: str):
                 rows = []
                 for r in records:
                     at = r["offset"] - start
-                    fields, body = parse_record(zlib.decompress(data[at : at + r["length"]], 31))
+                    fields, http, body = parse_record(zlib.decompress(data[at : at + r["length"]], 31))
                     ident = lambda k: int(x) if (x := fields[k][len("<urn:page:") : -1]) else None
                     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                     kind = fields["WARC-Type"]
                     if kind == "response" and _b32(hashlib.sha1(body).digest()) != digest:
                         raise ValueError(f"payload of {name} at {r['offset']} does not match its digest")
-                    full = len(body) if kind == "response" else int(fields["WARC-Payload-Length"])
+                    full = len(body) if kind == "response" else int(http["Content-Length"])
                     rows.append((ident("WARC-Record-ID"), fields.get("WARC-Target-URI"), body.decode() if kind == "response" else None, full, digest, kind, ident("WARC-Refers-To") if kind == "revisit" else None))
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], READ_NAMES)
@@ -145,15 +155,18 @@ def read_archives(index: DataFrame, folder: str, selected: Column | None = None,
 
     Responses come with their html, revisits with null; sizes and digests are those of
     the full payload. Digests of responses are verified. Records of a range are in one
-    task, which holds about ``range_bytes`` or one longer record.
+    task, which holds about ``range_bytes`` or one longer record. The number of tasks
+    follows the stored bytes.
     """
     chosen = index if selected is None else index.where(selected)
+    stored = chosen.agg(F.sum("length")).first()[0] or 0
+    tasks = max(-(-stored // TASK_BYTES), min(-(-stored // range_bytes), index.sparkSession.sparkContext.defaultParallelism), 1)
     place = F.floor(F.col("offset") / range_bytes)
     one = F.struct("offset", "length")
     ranges = chosen.groupBy("file", place.alias("place")).agg(
         F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("end"), F.sort_array(F.collect_list(one)).alias("records")
     )
-    return ranges.select("file", "start", "end", "records").mapInArrow(
+    return ranges.select("file", "start", "end", "records").repartition(tasks, "file", "start").mapInArrow(
         _reader(folder), "page_id long, url string, html string, payload_bytes long, payload_digest string, record_type string, refers_to long"
     )
 
