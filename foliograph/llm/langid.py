@@ -127,7 +127,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], ke
     """The ``keep`` columns with ``lang_pred`` and ``score``, the posterior of the prediction.
 
     Only the text is looked at. A null text, a text without a letter and any text under a
-    model without labels gets ``und`` and 0. Ties go to the label that sorts first.
+    model without labels gets ``und`` and 0. Ties go to the label that sorts first. A very
+    long text is scored whole, with arrays of some dozen times its size.
     Repeated rows give repeated results, an empty table an empty one; other columns are
     ignored.
     """

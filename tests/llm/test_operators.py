@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,27 @@ def test_leaks(spark, docs, rows, none):
     assert decontam.find_leaks(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_hashes_tell_apart():
+    """Strings that collide modulo a power of two under any odd base: words, lines, sequences of words."""
+    import pyarrow as pa
+
+    from foliograph.llm import kernels as K
+
+    for n in (1024, 2048, 1 << 17, 1 << 20):
+        one = "".join("ab"[i.bit_count() & 1] for i in range(n))
+        two = one.translate(str.maketrans("ab", "ba"))
+        data, offsets = K.utf8(pa.array([f"{one} {two} {one}"]))
+        starts, ends, h, _ = K.doc_words(data, offsets, K.NOT_SPACE)
+        assert h[0] == h[2] != h[1]
+        w = np.where([x == "a" for x in one], np.uint64(3), np.uint64(5))
+        h = K.range_hashes(np.concatenate([w, np.uint64(8) - w, w]), np.arange(3) * n, np.arange(1, 4) * n)
+        assert h[0] == h[2] != h[1]
+        assert line_rules.measure(*K.utf8(pa.array([f"{one}\n{two}\n{one}"])))["n_dup_lines"][0] == 1
+    k = 1 << 10
+    one, two = (" ".join("ab"[(i.bit_count() & 1) ^ x] for i in range(k)) for x in (0, 1))
+    assert line_rules.measure(*K.utf8(pa.array([f"{one}\n{two}"])))["line"].size == 2
+
+
 def test_near_duplicates(docs, rows, none):
     got = neardup.near_duplicates(docs).collect()
     want = brute.near([(r[0], r[1]) for r in rows])
@@ -140,6 +162,14 @@ def test_language(spark, none):
     assert {r.lang_pred for r in unlabelled} == {"und"}
 
 
+def test_language_brute(spark, docs, rows):
+    """All texts, repeats, ties and a very long one included, against plain Python."""
+    rng = random.Random(12)
+    more = [(1000 + i, t, lang, None, 0) for i, (t, lang) in enumerate([("the " * 40_000 + words(rng, 9), "en"), ("le la", "fr"), ("le la", "fr"), ("le la", "de"), ("der die", "de"), ("der die", None)])]
+    got = {r.doc_id: (r.held_out, r.lang_pred) for r in langid.identify_languages(spark.createDataFrame(rows + more, DOC)).collect()}
+    assert got == brute.languages([r[:3] for r in rows + more])
+
+
 def test_tokens(docs, rows, none, monkeypatch):
     from tokenizers import Tokenizer
 
@@ -152,8 +182,13 @@ def test_tokens(docs, rows, none, monkeypatch):
     monkeypatch.setattr(tokens, "SLICE_BYTES", 64)
     monkeypatch.setattr(tokens, "REMEMBERED", 50)
     counter = tokens.Counter(t.to_str())
+    rng = random.Random(7)
+    pieces = ["'s", "'", "<|endoftext|>", "<|", "|>", "7", "42", "ab", "Q", "!?", "é", "\u0301", "=", "\u0338", "'re", "ſ", "\x7f", "\x01", "中文"]
+    extra += ["".join(rng.choice(pieces) for _ in range(600)) for _ in range(20)]
     for x in extra + [r[1] for r in rows[-3:]]:
-        n = sum(counter.count([p.split()])[0] for p in tokens._slices(memoryview(x.encode())))
+        parts = list(tokens._slices(np.frombuffer(x.encode(), np.uint8), counter.special))
+        assert b"".join(parts) == x.encode() and (len(x) < 400 or max(map(len, parts)) < 200 or " " not in x)
+        n = sum(counter.count([p.split()])[0] for p in parts)
         assert n == len(t.encode(x, add_special_tokens=False).ids)
     assert tokens.count_tokens(none).count() == 0
 
@@ -188,10 +223,9 @@ def test_substrings_slices(spark, monkeypatch):
 
     table = pa.table({"doc_id": pa.array([r[0] for r in rows]), "text": pa.array([r[1] for r in rows]), "block": pa.array([0] * len(rows))})
     no = parts._shared_rows([])
-    cut = parts._splitters(4)
-    opened = parts._open_keys(cut)(table, no)
-    told = parts._announce(parts._first_keys(cut)(table), opened)
-    out = parts._remove(table, told, cut)
+    opened = parts._open_keys(4)(table, no)
+    told = parts._announce(parts._first_keys(4)(table), opened)
+    out = parts._remove(table, told, 4)
     got = list(zip(*(c.to_pylist() for c in out.columns), strict=True))
     assert got == brute.substrings(rows)
 
@@ -210,7 +244,7 @@ def test_secrets(docs, rows, none, spark):
 
 def test_secret_owners(spark):
     live, example = "Zq7Lm2Xw9Rt4Bv6Np1Ks", "Ex4mPl3Ex5mPl6Ky7Q8w"
-    rows = [(i, f"x {example} y", f"s{i}") for i in range(5)] + [(9, f"a {live} b {live}", "s1"), (10, f"password={live}", None)]
+    rows = [(i, f"x{i} {example} y", f"s{i}") for i in range(5)] + [(9, f"a {live} b {live}", "s1"), (10, f"password={live}", None)]
     got = {r.doc_id: r for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string"), carry_text=True).collect()}
     assert (got[0].n_live, got[0].n_example) == (0, 1) and got[0]["found"] == []
     assert [tuple(x) for x in got[9]["found"]] == [(2, 3, 22), (25, 3, 45)]
@@ -219,6 +253,16 @@ def test_secret_owners(spark):
     assert text[9] == "a [redacted] b [redacted]" and text[10] == "[redacted]" and text[0] == rows[0][1]
 
 
+def test_many_spans(spark):
+    """Spans of a text are found and cut out in linear time."""
+    n = 100_000
+    text = " ".join(f"token={i:06d}" for i in range(n))
+    df = spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")
+    found = secrets.scan_secrets(df, carry_text=True).withColumn("text", secrets.redact(F.col("text"), F.col("live"), "#"))
+    got = found.select("n_assign", "n_live", "text", F.col("base")[n - 1]["end"].alias("last")).first()
+    assert (got.n_assign, got.n_live, got["last"]) == (n, n, len(text)) and got.text == " ".join("#" * n)
+
+
 def test_rules(docs, rows, none, spark):
     got = {r.doc_id: r for r in line_rules.apply_rules(docs).collect()}
     for i, t, *_ in rows:
@@ -275,7 +319,7 @@ def test_copies_of_a_leak_are_no_example(spark):
     rows += [(200 + i, f"own{i} secret={'abcdef'[i % 6]}{i:07d}", "s0") for i in range(40)]
     rows += [(300 + i, f"near {i} {leak}", f"s{i}") for i in range(3)]  # with the copies: four texts, of 52
     found = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string"), carry_text=True)
-    text = {r.doc_id: r.text for r in found.withColumn("text", secrets.redact(F.col("text"), F.col("to_redact"))).collect()}
+    text = {r.doc_id: r.text for r in found.withColumn("text", secrets.redact(F.col("text"), F.col("live"))).collect()}
     assert all(text[i] == "a [redacted] b [redacted]" for i in range(8))
     assert all(text[100 + i] == rows[8 + i][1] for i in range(8))
 
