@@ -39,13 +39,13 @@ def _per_row(keys: np.ndarray, row: np.ndarray) -> np.ndarray:
     return K.mix(keys + row.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """The base measures of each text, and (row, normalised hash, words) of its lines."""
+def measure(data: np.ndarray, offsets: np.ndarray, normalised: bool = True) -> dict[str, np.ndarray]:
+    """The base measures of each text and, if asked for, (row, normalised hash, words, places) of its lines."""
     n = len(offsets) - 1
     starts, ends = K.find_words(data, offsets, K.NOT_SPACE)
     first = np.searchsorted(starts, offsets)
     word_row = K.segment_rows(first)
-    exact, folded = K.word_hashes(data, starts, ends, lower=False), K.word_hashes(data, starts, ends)
+    exact = K.word_hashes(data, starts, ends, lower=False)
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     out = {"n_words": np.diff(first), "word_chars": np.bincount(word_row, points[ends] - points[starts], minlength=n).astype(np.int64)}
     symbols = np.concatenate([[0], np.cumsum(_SYMBOL[data])])
@@ -75,7 +75,10 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     raw = _per_row(K.word_hashes(data, cut, stop, lower=False), row) if len(cut) else np.zeros(0, np.uint64)
     _, kept = np.unique(raw, return_index=True)
     out["n_dup_lines"] = np.bincount(row, minlength=n) - np.bincount(row[kept], minlength=n)
-    line = K.range_hashes(folded, lo, hi)
+    out |= {"starts": starts, "ends": ends, "first": first, "word_row": word_row}
+    if not normalised:
+        return out
+    line = K.range_hashes(K.word_hashes(data, starts, ends), lo, hi)
     key, kept, which = np.unique(_per_row(line, row), return_index=True, return_inverse=True)
     words = np.bincount(which, hi - lo, minlength=len(key)).astype(np.int64)
     order = np.argsort(row[kept], kind="stable")

@@ -57,9 +57,9 @@ def _share(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def text_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The content view of each text, and its layout (part of the metadata view)."""
     n = len(offsets) - 1
-    m = measure(data, offsets)
-    starts, ends, words, first = K.doc_words(data, offsets, K.NOT_SPACE)
-    row = K.segment_rows(first)
+    m = measure(data, offsets, normalised=False)
+    row = m["word_row"]
+    words = K.word_hashes(data, m["starts"], m["ends"])
     slots = np.bincount(row * WORD_SLOTS + (words >> np.uint64(55)).astype(np.int64), minlength=n * WORD_SLOTS).reshape(n, WORD_SLOTS)
     slots = np.sqrt(slots)
     slots /= np.maximum(np.linalg.norm(slots, axis=1, keepdims=True), 1)
@@ -174,13 +174,16 @@ def taught(teachers: list[Teacher], x: np.ndarray) -> np.ndarray:
     return y
 
 
-def logistic_sums(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Loss, gradient and Hessian of the standardised rows, one after the other."""
+def logistic_sums(z: np.ndarray, y: np.ndarray, w: np.ndarray, curved: bool = True) -> np.ndarray:
+    """Loss, gradient and, if asked for, Hessian of the standardised rows, one after the other."""
     z = np.hstack([z, np.ones((len(z), 1), z.dtype)])
     at = np.clip(z @ w, -35, 35)
     p = _sigmoid(at)
-    curve = np.maximum(p * (1 - p), 1e-6).astype(z.dtype)
-    return np.concatenate([[np.sum(np.logaddexp(0, at) - y * at)], z.T @ (p - y), ((z * curve[:, None]).T @ z).ravel()]).astype(np.float64)
+    out = [[np.sum(np.logaddexp(0, at) - y * at)], z.T @ (p - y)]
+    if curved:
+        curve = np.maximum(p * (1 - p), 1e-6).astype(z.dtype)
+        out.append(((z * curve[:, None]).T @ z).ravel())
+    return np.concatenate(out).astype(np.float64)
 
 
 VIEWS = ("text", "meta")
@@ -241,8 +244,8 @@ def _standard(x: dict[str, np.ndarray], pool: DataFrame) -> dict[str, tuple[np.n
     return out
 
 
-def _pool_sums(standard: dict, teachers: dict[str, list[Teacher]], weights: dict[str, np.ndarray]):
-    """Sums of the pool's rows for the views in ``weights``, by the labels of the other view."""
+def _pool_sums(standard: dict, teachers: dict[str, list[Teacher]], weights: dict[str, np.ndarray], curved: set[str]):
+    """Sums of the pool's rows for the views in ``weights``, by the labels of the other view; Hessians of those in ``curved``."""
 
     def sums(x: dict[str, np.ndarray]) -> np.ndarray:
         out = []
@@ -250,35 +253,46 @@ def _pool_sums(standard: dict, teachers: dict[str, list[Teacher]], weights: dict
             y = taught(teachers[OTHER[k]], x[OTHER[k]])
             has = ~np.isnan(y)
             mean, scale = standard[k]
-            out.append(logistic_sums(((x[k][has] - mean) / scale).astype(np.float32), y[has], w))
+            out.append(logistic_sums(((x[k][has] - mean) / scale).astype(np.float32), y[has], w, k in curved))
         return np.concatenate(out)
 
     return sums
 
 
 def _fit_views(x: dict[str, np.ndarray], y: np.ndarray, pool: DataFrame | None, standard: dict, teachers: dict[str, list[Teacher]], weights: dict[str, np.ndarray], ridge: float = 1.0) -> dict[str, np.ndarray]:
-    """Newton's method for both views at once over labelled rows and, if given, the taught pool."""
+    """Newton's method for both views at once over labelled rows and, if given, the taught pool.
+
+    The Hessian of a view is that of its first step, as long as steps gain what they should;
+    where a step gains too little or goes too far, it is taken anew.
+    """
     z = lambda part, k: ((part[k] - standard[k][0]) / standard[k][1]).astype(np.float32)
-    now, best, done = dict(weights), {}, {}
+    now, best, done, hess, curved = dict(weights), {}, {}, {}, set(weights)
     for _ in range(STEPS):
-        rest = _summed(pool, _pool_sums(standard, teachers, now)) if pool is not None else None
-        at = 0
+        rest = _summed(pool, _pool_sums(standard, teachers, now, curved)) if pool is not None else None
+        at, again = 0, set()
         for k, w in list(now.items()):
             d = len(w)
-            n = 1 + d + d * d
-            total = _in_parts(x, lambda part, a, b, k=k, w=w: logistic_sums(z(part, k), y[a:b], w)) + (0 if rest is None else rest[at : at + n])
+            n = 1 + d + (d * d if k in curved else 0)
+            total = _in_parts(x, lambda part, a, b, k=k, w=w: logistic_sums(z(part, k), y[a:b], w, k in curved)) + (0 if rest is None else rest[at : at + n])
             at += n
             penalty = np.append(np.full(d - 1, ridge), 1e-6)
             loss = total[0] + 0.5 * float(penalty @ (w * w))
-            if k in best and loss > best[k][0]:  # a step too far: half of it
+            if k in best and loss > best[k][0]:  # a step too far: half of it, and the curvature there
                 now[k] = (w + best[k][1]) / 2
+                again.add(k)
                 continue
-            grad, hess = total[1 : 1 + d] + penalty * w, total[1 + d :].reshape(d, d) + np.diag(penalty)
-            best[k] = (loss, w)
-            step = np.linalg.solve(hess, grad)
+            grad = total[1 : 1 + d] + penalty * w
+            if k in curved:
+                hess[k] = total[1 + d :].reshape(d, d) + np.diag(penalty)
+            elif k in best and best[k][0] - loss < 0.5 * best[k][2]:  # less than half of what was promised
+                again.add(k)
+            step = np.linalg.solve(hess[k], grad)
+            promised = float(grad @ step) / 2
+            best[k] = (loss, w, promised)
             now[k] = w - step
-            if float(grad @ step) / 2 < GAIN * (1 + loss):
+            if promised < GAIN * (1 + loss):
                 done[k] = now.pop(k)
+        curved = again & set(now)
         if not now:
             break
     return {k: done[k] if k in done else best[k][1] for k in weights}
@@ -309,26 +323,40 @@ def co_train(views: dict[str, np.ndarray], y: np.ndarray, pool: DataFrame) -> Mo
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Carried columns, then text, lang, source, n_chars: the last four as features."""
     for batch in batches:
-        for a, b, content, meta in features(batch.column(1), *(batch.column(k).to_pylist() for k in (2, 3, 4))):
+        kept = batch.num_columns - 4
+        for a, b, content, meta in features(batch.column(kept), *(batch.column(kept + k).to_pylist() for k in (1, 2, 3))):
             rows = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (content, meta)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *rows], ["doc_id", "content", "meta"])
+            yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns[:kept]], *rows], [*batch.schema.names[:kept], "content", "meta"])
+
+
+def _stored_features(docs: DataFrame, known: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """(id, c0, c1 ..., content, meta, y) of every document, a stored table; y is null without a label."""
+    slim = docs.select(F.col("doc_id").alias("id"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], "text", "lang", "source", "n_chars")
+    fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in slim.schema.fields[: 1 + len(carry)])
+    packed = slim.mapInArrow(_packed, fields + "content binary, meta binary")
+    return materialize(packed.join(known, "id", "left"), "quality-features")
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, carry: tuple[str, ...] = ()) -> tuple[Model | None, DataFrame]:
+    """The co-trained model, and the stored features of all documents with the columns to carry."""
+    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").cast("double").alias("y"))
+    rows = _stored_features(docs, known, carry)
+    labelled = rows.where("y is not null")
+    # Bounded by the parameter, so it may be broadcast.
+    chosen = F.broadcast(labelled.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(max_labelled))
+    one = labelled.join(chosen, "id").groupBy("id").agg(F.min(F.struct("content", "meta", "y")).alias("r"))
+    got = one.select("id", "r.*").toPandas().sort_values("id", ignore_index=True)
+    mixed = K.mix(got["id"].to_numpy(np.int64).astype(np.uint64))
+    got = got.iloc[np.argsort(mixed, kind="stable")]
+    views = {v: np.frombuffer(b"".join(got.pop(k)), np.float32).reshape(len(got), -1) if len(got) else np.zeros((0, 1), np.float32) for v, k in zip(VIEWS, ("content", "meta"), strict=True)}
+    return co_train(views, got["y"].to_numpy(float), rows.where("y is null").select("content", "meta")), rows
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model | None:
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
-    with scratch_scope(docs.sparkSession):
-        packed = docs.select("doc_id", "text", "lang", "source", "n_chars").mapInArrow(_packed, "doc_id long, content binary, meta binary")
-        rows = materialize(packed.join(known, "doc_id", "left"), "quality-features")
-        labelled = rows.where("y is not null")
-        # Bounded by the parameter, so it may be broadcast.
-        chosen = F.broadcast(labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))
-        one = labelled.join(chosen, "doc_id").groupBy("doc_id").agg(F.min(F.struct("content", "meta", "y")).alias("r"))
-        got = one.select("doc_id", "r.*").toPandas().sort_values("doc_id", ignore_index=True)
-        mixed = K.mix(got["doc_id"].to_numpy(np.int64).astype(np.uint64))
-        got = got.iloc[np.argsort(mixed, kind="stable")]
-        views = {v: np.frombuffer(b"".join(got.pop(k)), np.float32).reshape(len(got), -1) if len(got) else np.zeros((0, 1), np.float32) for v, k in zip(VIEWS, ("content", "meta"), strict=True)}
-        return co_train(views, got["y"].to_numpy(float), rows.where("y is null").select("content", "meta"))
+def _scores(model, content: np.ndarray, meta: np.ndarray) -> list[pa.Array]:
+    s = model.value.scores(content, meta) if model.value is not None else (np.full(len(content), 0.5),) * 3
+    return [pa.array(np.asarray(x, np.float64)) for x in s]
 
 
 def _scorer(model, at: dict[str, int]):
@@ -336,8 +364,21 @@ def _scorer(model, at: dict[str, int]):
         for batch in batches:
             columns = [batch.column(at[k]) for k in ("text", "lang", "source", "n_chars")]
             for a, b, content, meta in features(columns[0], *(c.to_pylist() for c in columns[1:])):
-                s = model.value.scores(content, meta) if model.value is not None else (np.full(b - a, 0.5),) * 3
-                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns], *[pa.array(np.asarray(x, np.float64)) for x in s]], [*batch.schema.names, "s1", "s2", "s3"])
+                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns], *_scores(model, content, meta)], [*batch.schema.names, "s1", "s2", "s3"])
+
+    return score
+
+
+def _rescorer(model):
+    """Scores of stored features."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.num_columns - 2
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
+                x = [np.frombuffer(b"".join(part.column(kept + k).to_pylist()), np.float32).reshape(part.num_rows, -1) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:kept], *_scores(model, *x)], [*batch.schema.names[:kept], "s1", "s2", "s3"])
 
     return score
 
@@ -348,12 +389,26 @@ def score_quality(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = (
     Scores are probabilities of quality 1. Null texts are empty ones, null metadata values
     a value of their own. Labels with a null id or quality and labels of other documents
     are ignored; of several labels of an id the lowest counts, of several documents of a
-    labelled id one is learned from. All documents are scored. Without labels of both kinds every score
-    is 0.5 and everything is kept. An empty table gives an empty result.
+    labelled id one is learned from. All documents are scored, repeated ones each; a very long
+    text is measured whole. Without labels of both kinds every score is 0.5 and everything is
+    kept. Columns that are not named are ignored. An empty table gives an empty result.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    carried = list(dict.fromkeys([*carry, "text", "lang", "source", "n_chars"]))
-    slim = docs.select(*carried).toDF(*[f"c{i}" for i in range(len(carried))])
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields)
-    scored = slim.mapInArrow(_scorer(model, {c: i for i, c in enumerate(carried)}), f"{fields}, s1 double, s2 double, s3 double")
+    sc = docs.sparkSession.sparkContext
+    names = [f"c{i}" for i in range(len(carry))]
+    with scratch_scope(docs.sparkSession) as keep:
+        # Without texts to carry, documents are scored from the features that are there already.
+        stored = "text" not in carry
+        model, rows = fit(docs, labels, carry=carry if stored else ())
+        if stored:
+            keep.append(rows)
+            slim = rows.select(*names, "content", "meta")
+            scorer = _rescorer(sc.broadcast(model))
+            kept = slim.schema.fields[:-2]
+        else:
+            carried = list(dict.fromkeys([*carry, "text", "lang", "source", "n_chars"]))
+            slim = docs.select(*carried).toDF(*[f"c{i}" for i in range(len(carried))])
+            scorer = _scorer(sc.broadcast(model), {c: i for i, c in enumerate(carried)})
+            kept = slim.schema.fields
+    fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in kept)
+    scored = slim.mapInArrow(scorer, f"{fields}s1 double, s2 double, s3 double")
     return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], F.col("s1").alias("score_text"), F.col("s2").alias("score_meta"), F.col("s3").alias("score"), (F.col("s3") >= threshold).alias("kept"))
