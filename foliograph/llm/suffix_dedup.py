@@ -50,6 +50,8 @@ BUCKET_BYTES = 16 << 20
 #: Text that a task holds blocks of.
 TASK_BYTES = 32 << 20
 _POSITION_BITS = 21
+#: Bytes of a string that are hashed at once; LENGTH and GRAM are multiples.
+STEP = 40
 _M1, _M2, _M3 = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -64,6 +66,17 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(after[:m], before[w - 1 : w - 1 + m])
 
 
+def _mixed(one: np.ndarray, a: np.ndarray, b: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The next state of two running hashes, in place."""
+    one ^= a
+    one *= _M1
+    one ^= one >> np.uint64(32)
+    two += b
+    two *= _M2
+    two ^= two >> np.uint64(31)
+    return one, two
+
+
 class Slice:
     """Windows, anchors and segments of some texts, or of a part of a long one.
 
@@ -81,6 +94,7 @@ class Slice:
         self.valid = (at + LENGTH <= end) & (at < own)
         self.anchor = self.anchors = np.zeros(0, np.int64)
         self.seg_start = self.seg_end = np.zeros(0, np.int64)
+        self.segments = None
         if not self.valid.any():
             return
         # A gram's rank: the sum of scrambled words in it. It only chooses anchors.
@@ -95,7 +109,11 @@ class Slice:
         tagged |= np.arange(len(tagged), dtype=np.uint64)
         self.anchor = (_sliding_min(tagged, LENGTH - GRAM + 1) & mask).astype(np.int64)
         a = self.anchor[self.valid]
-        self.anchors = a[np.flatnonzero(np.diff(a, prepend=-1))]
+        new = np.diff(a, prepend=-1) != 0
+        self.anchors = a[new]
+        #: The place of each window's anchor among the anchors; 0 where the window is none.
+        self.at = np.zeros(self.n_windows, np.int32)
+        self.at[self.valid] = np.cumsum(new, dtype=np.int32) - 1
         self.anchor_keys = self.keys(self.anchors, GRAM)
         # From each anchor to the first one that makes the segment long enough, inside one text.
         to = np.searchsorted(self.anchors, self.anchors + LENGTH - GRAM)
@@ -105,20 +123,35 @@ class Slice:
         self.seg_start, self.seg_end = start[inside], stop[inside]
 
     def keys(self, start: np.ndarray, length: int) -> np.ndarray:
-        """(key, second hash) of the strings of ``length`` bytes, a multiple of 8, from each start on."""
+        """(key, second hash) of the strings of ``length`` bytes, a multiple of ``STEP``, from each start on.
+
+        A string is hashed in steps of ``STEP`` bytes, and these hashes are hashed again. Where
+        many strings are asked for, the steps at all places are made once.
+        """
+        many = len(start) * length > 4 * len(self.words) and len(self.words) >= STEP
+        steps = self._steps(slice(0, len(self.words) - STEP + 8)) if many else None
         one, two = np.full(len(start), length, np.uint64), np.full(len(start), _M3, np.uint64)
-        for k in range(0, length, 8):
-            w = self.words[start + k]
-            one = (one ^ w) * _M1
-            one ^= one >> np.uint64(32)
-            two = (two + w) * _M2
-            two ^= two >> np.uint64(31)
+        for k in range(0, length, STEP):
+            a, b = (x[start + k] for x in steps) if many else self._steps(start + k)
+            one, two = _mixed(one, a, b, two)
         return np.column_stack([one, two])
 
+    def _steps(self, start: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of the ``STEP`` bytes from each place on."""
+        at = lambda k: self.words[start.start + k : start.stop + k] if isinstance(start, slice) else self.words[start + k]
+        first = at(0)
+        one, two = np.full(len(first), STEP, np.uint64), np.full(len(first), _M2, np.uint64)
+        for k in range(0, STEP, 8):
+            w = first if k == 0 else at(k)
+            one, two = _mixed(one, w, w, two)
+        return one, two
+
     def segment_keys(self) -> np.ndarray:
-        # No segment is longer than two windows, so these two cover it.
-        length = (self.seg_end - self.seg_start).astype(np.uint64)[:, None]
-        return K.mix(self.keys(self.seg_start, LENGTH) * _M3 + self.keys(self.seg_end - LENGTH, LENGTH) + length)
+        if self.segments is None:
+            # No segment is longer than two windows, so these two cover it.
+            length = (self.seg_end - self.seg_start).astype(np.uint64)[:, None]
+            self.segments = K.mix(self.keys(self.seg_start, LENGTH) * _M3 + self.keys(self.seg_end - LENGTH, LENGTH) + length)
+        return self.segments
 
 
 def slices(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, Slice]]:
@@ -136,8 +169,12 @@ def slices(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, Sl
 def _twice(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """All distinct (key, second hash) by key, and the keys that occur at least twice."""
     both = np.concatenate(keys) if keys else np.zeros((0, 2), np.uint64)
-    distinct, first, n = np.unique(both[:, 0], return_index=True, return_counts=True)
-    return both[first], distinct[n > 1]
+    order = np.argsort(both[:, 0])  # equal keys have equal second hashes, in any order
+    key = both[order, 0]
+    same = key[1:] == key[:-1]
+    first = np.concatenate([np.ones(min(len(key), 1), bool), ~same])
+    again = np.append(same, False)[: len(key)]
+    return both[order[first]], key[first & again]
 
 
 def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -246,14 +283,15 @@ def _settled(parts: list[tuple[int, int, Slice]], shared: np.ndarray, spoken: np
     """For each slice: windows known to repeat, those that may, those this block speaks for, and the place of each window's anchor."""
 
     def inside(s: Slice, hit: np.ndarray) -> np.ndarray:
-        change = np.zeros(s.n_windows + 1, np.int64)
-        np.add.at(change, s.seg_start[hit], 1)
-        np.add.at(change, s.seg_end[hit] - LENGTH + 1, -1)
+        if not hit.any():
+            return np.zeros(s.n_windows, bool)
+        n = s.n_windows + 1
+        change = np.bincount(s.seg_start[hit], minlength=n)[:n] - np.bincount(s.seg_end[hit] - LENGTH + 1, minlength=n)[:n]
         return (np.cumsum(change)[:-1] > 0) & s.valid
 
     out = []
     for _, _, s in parts:
-        sure, open_, speaks, at = (np.zeros(s.n_windows, t) for t in (bool, bool, bool, np.int64))
+        sure, open_, speaks, at = (np.zeros(s.n_windows, t) for t in (bool, bool, bool, np.int32))
         if len(s.anchors):
             k = s.segment_keys()[:, 0]
             elsewhere, here = _among(k, shared), _among(k, own_twice)
@@ -261,16 +299,15 @@ def _settled(parts: list[tuple[int, int, Slice]], shared: np.ndarray, spoken: np
             speaks = inside(s, _among(k, spoken) | (here & ~elsewhere))
             own = s.anchor_keys[:, 0]
             again = _among(own, shared) | _among(own, own_twice)
-            at = np.minimum(np.searchsorted(s.anchors, s.anchor), len(again) - 1)
+            at = s.at
             open_ = s.valid & ~sure & again[at]
         out.append((sure, open_, speaks, at))
     return out
 
 
-def _places(s: Slice) -> np.ndarray:
-    """One of 16 bits for where in its window the anchor lies."""
-    offset = s.anchor - np.arange(s.n_windows) if len(s.anchors) else np.zeros(s.n_windows, np.int64)
-    return np.left_shift(1, np.clip(offset * 16 // (LENGTH - GRAM + 1), 0, 15)).astype(np.uint16)
+def _places(s: Slice, w: np.ndarray) -> np.ndarray:
+    """For windows, one of 16 bits for where in its window the anchor lies."""
+    return np.left_shift(1, np.clip((s.anchor[w] - w) * 16 // (LENGTH - GRAM + 1), 0, 15)).astype(np.uint16)
 
 
 def _merge_places(keys: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -294,7 +331,7 @@ def _open_keys(buckets: int):
         if not len(texts):
             return Deal(np.zeros((0, 2), np.uint64), buckets).rows(0, 3)
         own = Block(texts, shared, buckets)
-        found = [(s.anchor_keys[at[open_]], _places(s)[open_]) for (_, _, s), (_, open_, _, at) in zip(own.parts, own.settled, strict=True) if open_.any()]
+        found = [(s.anchor_keys[at[open_]], _places(s, np.flatnonzero(open_))) for (_, _, s), (_, open_, _, at) in zip(own.parts, own.settled, strict=True) if open_.any()]
         key, bits = _merge_places(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else (np.zeros((0, 2), np.uint64), np.zeros(0, np.uint16))
         return Deal(key, buckets).rows(texts.column("block")[0].as_py(), 3, bits)
 
@@ -327,7 +364,7 @@ def _chosen(parts, settled, known: np.ndarray, places: np.ndarray) -> list[np.nd
         if len(w) and len(known):
             key = s.anchor_keys[anchor[w], 0]
             at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-            pick[w[(known[at] == key) & ((places[at] & _places(s)[w]) > 0)]] = True
+            pick[w[(known[at] == key) & ((places[at] & _places(s, w)) > 0)]] = True
         out.append(np.flatnonzero(pick))
     return out
 
