@@ -32,6 +32,8 @@ ROUNDS = 4
 CONFIDENT = 0.97
 #: A fit over the corpus ends where another Newton step would gain less than this share of the loss, or after so many.
 GAIN, STEPS = 1e-4, 12
+#: The pool's Hessian, which only shapes steps, is taken from one row in so many; gradients are those of all rows.
+CURVE_SHARE = 8
 #: Pieces in which sums are added up, and rows of features taken at once.
 PIECES, ROWS = 16, 2048
 #: Documents with a combined score below this are rejected.
@@ -161,29 +163,51 @@ class Teacher:
     model: Logistic
     scale: Logistic
 
-    def prob(self, x: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.scale.logit(self.model.logit(x)[:, None]))
 
+class Teachers:
+    """All rounds of a view: on raw features each is one product, with the standardisation in its weights."""
 
-def taught(teachers: list[Teacher], x: np.ndarray) -> np.ndarray:
-    """The label of each row by the first round that was sure of it, NaN where none was."""
-    y = np.full(len(x), np.nan)
-    for t in teachers:
-        p = t.prob(x)
-        y = np.where(np.isnan(y) & (np.maximum(p, 1 - p) >= CONFIDENT), (p > 0.5).astype(float), y)
-    return y
+    def __init__(self, teachers: list[Teacher]):
+        d = len(teachers[0].model.weights)
+        self.weights, shift = np.zeros((d, len(teachers)), np.float32), []
+        for k, t in enumerate(teachers):
+            slope = float(t.scale.weights[0] / t.scale.scale[0])
+            w = t.model.weights / t.model.scale
+            self.weights[:, k] = w * slope
+            shift.append((t.model.bias - float(t.model.mean @ w) - float(t.scale.mean[0])) * slope + t.scale.bias)
+        self.shift = np.array(shift)
 
+    def labels(self, x: np.ndarray) -> np.ndarray:
+        """The label of each row by the first round that was sure of it, NaN where none was."""
+        p = _sigmoid(x @ self.weights + self.shift)
+        sure = np.maximum(p, 1 - p) >= CONFIDENT
+        first = sure.argmax(axis=1)
+        rows = np.arange(len(x))
+        return np.where(sure[rows, first], (p[rows, first] > 0.5).astype(float), np.nan)
 
-def logistic_sums(z: np.ndarray, y: np.ndarray, w: np.ndarray, curved: bool = True) -> np.ndarray:
-    """Loss, gradient and, if asked for, Hessian of the standardised rows, one after the other."""
-    z = np.hstack([z, np.ones((len(z), 1), z.dtype)])
-    at = np.clip(z @ w, -35, 35)
+
+def logistic_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, mean: np.ndarray, scale: np.ndarray, share: int = 1) -> np.ndarray:
+    """Loss, gradient and Hessian for standardised features, from raw rows, one after the other.
+
+    The Hessian only shapes a step; it is taken from one row in ``share``.
+    """
+    inverse = 1 / scale  # 0 for constant features
+    v = w[:-1] * inverse
+    at = np.clip((x @ v.astype(np.float32)).astype(np.float64) + (w[-1] - float(mean @ v)), -35, 35)
     p = _sigmoid(at)
-    out = [[np.sum(np.logaddexp(0, at) - y * at)], z.T @ (p - y)]
-    if curved:
-        curve = np.maximum(p * (1 - p), 1e-6).astype(z.dtype)
-        out.append(((z * curve[:, None]).T @ z).ravel())
-    return np.concatenate(out).astype(np.float64)
+    rest = p - y
+    raw = (x.T @ rest.astype(np.float32)).astype(np.float64)
+    grad = np.append((raw - mean * rest.sum()) * inverse, rest.sum())
+    some = x[::share]
+    curve = np.maximum(p * (1 - p), 1e-6)[::share] * (len(x) / max(len(some), 1))
+    c32 = curve.astype(np.float32)
+    square, side, total = ((some * c32[:, None]).T @ some).astype(np.float64), (some.T @ c32).astype(np.float64), curve.sum()
+    square += total * np.outer(mean, mean) - np.outer(mean, side) - np.outer(side, mean)
+    hess = np.empty((len(w), len(w)))
+    hess[:-1, :-1] = square * np.outer(inverse, inverse)
+    hess[-1, :-1] = hess[:-1, -1] = (side - mean * total) * inverse
+    hess[-1, -1] = total
+    return np.concatenate([[np.sum(np.logaddexp(0, at) - y * at)], grad, hess.ravel()])
 
 
 VIEWS = ("text", "meta")
@@ -244,55 +268,43 @@ def _standard(x: dict[str, np.ndarray], pool: DataFrame) -> dict[str, tuple[np.n
     return out
 
 
-def _pool_sums(standard: dict, teachers: dict[str, list[Teacher]], weights: dict[str, np.ndarray], curved: set[str]):
-    """Sums of the pool's rows for the views in ``weights``, by the labels of the other view; Hessians of those in ``curved``."""
+def _pool_sums(standard: dict, teachers: dict[str, Teachers], weights: dict[str, np.ndarray]):
+    """Sums of the pool's rows for the views in ``weights``, by the labels of the other view."""
 
     def sums(x: dict[str, np.ndarray]) -> np.ndarray:
         out = []
         for k, w in weights.items():
-            y = taught(teachers[OTHER[k]], x[OTHER[k]])
+            y = teachers[OTHER[k]].labels(x[OTHER[k]])
             has = ~np.isnan(y)
-            mean, scale = standard[k]
-            out.append(logistic_sums(((x[k][has] - mean) / scale).astype(np.float32), y[has], w, k in curved))
+            out.append(logistic_sums(x[k][has], y[has], w, *standard[k], CURVE_SHARE))
         return np.concatenate(out)
 
     return sums
 
 
 def _fit_views(x: dict[str, np.ndarray], y: np.ndarray, pool: DataFrame | None, standard: dict, teachers: dict[str, list[Teacher]], weights: dict[str, np.ndarray], ridge: float = 1.0) -> dict[str, np.ndarray]:
-    """Newton's method for both views at once over labelled rows and, if given, the taught pool.
-
-    The Hessian of a view is that of its first step, as long as steps gain what they should;
-    where a step gains too little or goes too far, it is taken anew.
-    """
-    z = lambda part, k: ((part[k] - standard[k][0]) / standard[k][1]).astype(np.float32)
-    now, best, done, hess, curved = dict(weights), {}, {}, {}, set(weights)
+    """Newton's method for both views at once over labelled rows and, if given, the taught pool."""
+    now, best, done = dict(weights), {}, {}
+    folded = {k: Teachers(t) for k, t in teachers.items() if t}
     for _ in range(STEPS):
-        rest = _summed(pool, _pool_sums(standard, teachers, now, curved)) if pool is not None else None
-        at, again = 0, set()
+        rest = _summed(pool, _pool_sums(standard, folded, now)) if pool is not None else None
+        at = 0
         for k, w in list(now.items()):
             d = len(w)
-            n = 1 + d + (d * d if k in curved else 0)
-            total = _in_parts(x, lambda part, a, b, k=k, w=w: logistic_sums(z(part, k), y[a:b], w, k in curved)) + (0 if rest is None else rest[at : at + n])
+            n = 1 + d + d * d
+            total = _in_parts(x, lambda part, a, b, k=k, w=w: logistic_sums(part[k], y[a:b], w, *standard[k])) + (0 if rest is None else rest[at : at + n])
             at += n
             penalty = np.append(np.full(d - 1, ridge), 1e-6)
             loss = total[0] + 0.5 * float(penalty @ (w * w))
-            if k in best and loss > best[k][0]:  # a step too far: half of it, and the curvature there
+            if k in best and loss > best[k][0]:  # a step too far: half of it
                 now[k] = (w + best[k][1]) / 2
-                again.add(k)
                 continue
-            grad = total[1 : 1 + d] + penalty * w
-            if k in curved:
-                hess[k] = total[1 + d :].reshape(d, d) + np.diag(penalty)
-            elif k in best and best[k][0] - loss < 0.5 * best[k][2]:  # less than half of what was promised
-                again.add(k)
-            step = np.linalg.solve(hess[k], grad)
-            promised = float(grad @ step) / 2
-            best[k] = (loss, w, promised)
+            grad, hess = total[1 : 1 + d] + penalty * w, total[1 + d :].reshape(d, d) + np.diag(penalty)
+            best[k] = (loss, w)
+            step = np.linalg.solve(hess, grad)
             now[k] = w - step
-            if promised < GAIN * (1 + loss):
+            if float(grad @ step) / 2 < GAIN * (1 + loss):
                 done[k] = now.pop(k)
-        curved = again & set(now)
         if not now:
             break
     return {k: done[k] if k in done else best[k][1] for k in weights}
