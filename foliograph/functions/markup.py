@@ -13,8 +13,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .accents import ACCENTS
 from .rules import apply_rules
-from .scanner import first_group
+from .scanner import arguments_at
 
 # Font macro, element for each target.
 FONTS = [
@@ -34,16 +35,31 @@ DELETED_WITH_ARGUMENT = (
 ).split()
 UNWRAPPED = "centerline lowercase framebox boxed text mbox textup ensuremath".split()
 
-ACCENTS = [("'", "acute"), ("`", "grave"), ("^", "circ"), ("~", "tilde"), ('"', "uml")]
+# Text macros, number of arguments, template for each target.
+TEXT_MACROS = [
+    ("paragraph", 1, "<br /><br />\n<b>#1</b> ", "#1"), ("paragraphs", 1, "<br /><br />\n<b>#1</b> ", "\\paragraphs{#1}"), ("enquote", 1, "&ldquo;#1&rdquo;", "<q>#1</q>"),
+    ("textsuperscript", 1, "<sup>#1</sup>", "<sup>#1</sup>"), ("textcolor", 2, "#2", "#2"), ("numberwithin", 2, "", ""), ("addtolength", 2, "", ""), ("markboth", 2, "", ""),
+    ("color", 2, "#2", "#2"), ("newline", 0, "<br />", "<br />"), ("indent", 0, "&nbsp;" * 8, ""), ("hrule", 0, '\n<hr style="width:50%;" align="left" />\n', '\n<hr style="width:50%;" align="left" />\n'),
+    ("lq", 0, "`", "`"), ("ldots", 0, "...", "<ellipsis />"), ("dots", 0, "...", "<ellipsis />"), ("xautoref", 1, "#1", '<xref ref="#1" autoname="yes" />'),
+    ("href", 2, '<a href="#1">#2</a>', '<url href="#1">#2</url>'), ("url", 1, '<a href="#1">#1</a>', '<url href="#1"/>'), ("knownterminology", 1, '<span class="terminology">#1</span>', "<term>#1</term>"),
+    ("terminology", 1, '<span class="terminology">#1</span>', "<term>#1</term>"), ("knownindex", 1, "", "<idx>#1</idx>"), ("index", 1, "", "<idx><h>#1</h></idx>"),
+]
+# Commands without meaning in text.
+DELETED_IN_TEXT = (
+    "nopagebreak reallynopagebreak pagebreak bigpagebreak leavevmode goodbreak NoBlackBoxes nolinebreak unskip hfil hfill vfil vfill makeatletter makeatother tiny footnotesize "
+    "scriptsize normalsize onehalfspace rm itshape slshape upshape protect topmatter endtopmatter eject mathopen paperintro backmatter printindex makeshorttitle clearpage today "
+    "boldmath allowdisplaybreaks"
+).split()
+
 #: Accented letters have entities by a rule: letter and accent name.
+_SIGNS = [(sign, name) for sign, name, _ in ACCENTS if name not in ("dot", "macr", "dblac")]
 ACCENT_RULES = [
-    (r"\\(['`^~\x22])\{\\([ij])\}", r"\\$1$2"),
-    (r"\\(['`^~\x22])\{([a-zA-Z])\}", r"\\$1$2"),
-    *[(rf"\\{re.escape(sign)}([a-zA-Z])", f"&$1{name};") for sign, name in ACCENTS],
-    (r"\\c\{([cC])\}", "&$1cedil;"),
-    (r"\\v\{([a-zA-Z])\}", "&$1caron;"),
+    (r"\\([^A-Za-z\s])\{\\([ij])\}", r"\\$1$2"),
+    *[(rf"\\{re.escape(sign)}\{{([a-zA-Z])\}}", f"&$1{name};") for sign, name in _SIGNS],
+    *[(rf"\\{re.escape(sign)}([a-zA-Z])", f"&$1{name};") for sign, name in _SIGNS if not sign.isalpha()],
     (r"\{\\ss\}", "&szlig;"),
     (r"\{\\([oO])\}", "&$1slash;"),
+    (r"\{\\(oe|OE|ae|AE)\}", "&$1lig;"),
     (r"\\S(?![a-zA-Z]) ?", "&#xa7;"),
 ]
 DASH_RULES = [(r"([^-])---([^-])", "$1&#8202;&#x2014;&#8202;$2"), (r"--", "&#x2013;")]
@@ -68,8 +84,8 @@ def macro_table(target: str) -> dict[str, tuple[int, str]]:
     k = 1 if target == "html" else 2
     table = {row[0]: (1, f"<{row[k]}>#1</{row[k]}>") for row in FONTS}
     table |= {name: (1, "") for name in DELETED_WITH_ARGUMENT} | {name: (1, "#1") for name in UNWRAPPED}
-    table |= {name: (0, "") for name in DELETED}
-    return table | {"textcolor": (2, "#2"), "href": (2, '<a href="#1">#2</a>' if target == "html" else '<url href="#1">#2</url>'), "ldots": (0, "..."), "dots": (0, "...")}
+    table |= {name: (0, "") for name in DELETED + DELETED_IN_TEXT}
+    return table | {row[0]: (row[1], row[k + 1]) for row in TEXT_MACROS}
 
 
 def convert(text: str, table: dict[str, tuple[int, str]]) -> str:
@@ -80,18 +96,13 @@ def convert(text: str, table: dict[str, tuple[int, str]]) -> str:
         if m.start() < at or m.group(1) not in table:
             continue
         n, template = table[m.group(1)]
-        rest, args = text[m.end() :], []
-        for _ in range(n):
-            group, after = first_group(rest)
-            if not group:
-                break
-            args.append(convert(group[1:-1], table))
-            rest = after
+        args, end = arguments_at(text, m.end(), n)
         if len(args) < n:
             continue
+        args = [convert(a, table) for a in args]
         out.append(text[at : m.start()])
         out.append(re.sub(r"#([1-9])", lambda k, a=args: a[int(k.group(1)) - 1], template))
-        at = len(text) - len(rest)
+        at = end
         if n == 0 and text[at : at + 1] == " ":
             at += 1
     return "".join([*out, text[at:]])

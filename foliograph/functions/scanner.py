@@ -1,4 +1,8 @@
-"""Bracket scanning: nesting is not regular, so these are Arrow-batched Python functions."""
+"""Bracket scanning: nesting is not regular, so these are Arrow-batched Python functions.
+
+All of them take a place to start from and return places, so that a text is walked once
+however many groups it has.
+"""
 
 from __future__ import annotations
 
@@ -8,31 +12,53 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_BLANK = re.compile(r"\s*")
+_MARKS: dict[str, re.Pattern] = {}
 
-def first_group(text: str, left: str = "{", right: str = "}") -> tuple[str, str]:
-    """The leading bracket group with its brackets, and the text after it.
 
-    White space before it is skipped. A bracket after a backslash does not count, unless
-    the backslash itself is escaped. Without a group the first part is empty; an open
-    group that never closes loses its bracket.
+def group_at(text: str, at: int = 0, left: str = "{", right: str = "}") -> tuple[int, int]:
+    """(start, end) of the bracket group at ``at``, white space before it skipped; start = end without one.
+
+    A bracket after a backslash does not count, unless the backslash itself is escaped.
     """
-    text = (text or "").lstrip()
-    if not text.startswith(left):
-        return "", text
-    depth, i = 0, 0
-    while i < len(text):
-        c = text[i]
-        if c == "\\":
-            i += 2
-            continue
-        if c == left:
+    start = _BLANK.match(text, at).end()
+    if not text.startswith(left, start):
+        return start, start
+    marks = _MARKS.setdefault(left + right, re.compile(rf"\\.|[{re.escape(left + right)}]", re.S))
+    depth = 0
+    for m in marks.finditer(text, start):
+        if m.group(0) == left:
             depth += 1
-        elif c == right:
+        elif m.group(0) == right:
             depth -= 1
             if depth == 0:
-                return text[: i + 1], text[i + 1 :]
-        i += 1
-    return "", text[len(left) :]
+                return start, m.end()
+    return start, start
+
+
+def first_group(text: str, left: str = "{", right: str = "}") -> tuple[str, str]:
+    """The leading bracket group with its brackets, and the text after it.
+
+    White space before it is skipped. Without a group the first part is empty; an open
+    group that never closes loses its bracket.
+    """
+    text = text or ""
+    start, end = group_at(text, 0, left, right)
+    if start == end:
+        return "", text[start + text.startswith(left, start) :]
+    return text[start:end], text[end:]
+
+
+def arguments_at(text: str, at: int, count: int) -> tuple[list[str], int]:
+    """Up to ``count`` braced arguments from ``at`` on, without their braces, and where they end."""
+    found = []
+    for _ in range(count):
+        start, end = group_at(text, at)
+        if start == end:
+            break
+        found.append(text[start + 1 : end - 1])
+        at = end
+    return found, at
 
 
 def strip_groups(text: str, left: str = "{", right: str = "}", depth: int | None = None) -> str:
@@ -51,29 +77,71 @@ def balanced(text: str) -> bool:
     return bare.count("{") == bare.count("}")
 
 
+def rewrite_macro(text: str, name: str, count: int, template: str) -> str:
+    r"""Every ``\name`` with ``count`` braced arguments by ``template``, in which ``#k`` is argument k.
+
+    Inner uses are rewritten too. A use with fewer arguments loses its macro only.
+    """
+    use = re.compile(rf"\\{re.escape(name)}\*?(?![A-Za-z])")
+    out, at = [], 0
+    while (m := use.search(text, at)) is not None:
+        args, end = arguments_at(text, m.end(), count)
+        out.append(text[at : m.start()])
+        if len(args) == count:
+            args = [rewrite_macro(a, name, count, template) for a in args]
+            out.append(re.sub(r"#([1-9])", lambda k: args[int(k.group(1)) - 1] if int(k.group(1)) <= count else k.group(0), template))
+            at = end
+        else:
+            at = m.end()
+    return "".join([*out, text[at:]])
+
+
+def nth_argument(text: str, name: str, number: int = 1) -> str:
+    """Argument ``number`` of the first use of a macro; empty without it."""
+    m = re.search(rf"\\{re.escape(name)}(?![A-Za-z])", text or "")
+    args = arguments_at(text, m.end(), number)[0] if m else []
+    return args[number - 1] if len(args) == number else ""
+
+
+def delete_environment(text: str, name: str) -> str:
+    """``text`` without its environments of a name, each up to the first end."""
+    return re.sub(rf"\\begin\{{{re.escape(name)}\}}.*?\\end\{{{re.escape(name)}\}}", "", text, flags=re.S)
+
+
+def column(function, kind: T.DataType = T.StringType()):  # noqa: B008
+    """A function of one text as a column function; null stays null."""
+
+    @F.pandas_udf(kind)
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(lambda x: None if x is None else function(x))
+
+    return run
+
+
 @F.pandas_udf(T.StructType([T.StructField("group", T.StringType()), T.StructField("rest", T.StringType())]))
 def split_group(text: pd.Series) -> pd.DataFrame:
     """``first_group`` of a column."""
     return pd.DataFrame([first_group(x) for x in text], columns=["group", "rest"])
 
 
-@F.pandas_udf(T.StringType())
-def strip_outer(text: pd.Series) -> pd.Series:
-    """``strip_groups`` of a column; null stays null."""
-    return text.map(lambda x: None if x is None else strip_groups(x))
+strip_outer = column(strip_groups)
+
+
+def macro_column(name: str, count: int, template: str):
+    """``rewrite_macro`` as a column function; an empty template deletes, ``#1`` keeps the argument."""
+    return column(lambda text: rewrite_macro(text, name, count, template) if "\\" + name in text else text)
 
 
 def expand_conditionals(text: str) -> str:
     r"""Resolve ``\ifthenelse{test}{yes}{no}``: yes only where the test reads ``true``."""
-    while (at := text.find("\\ifthenelse")) >= 0:
-        rest, parts = text[at + len("\\ifthenelse") :], []
-        for _ in range(3):
-            group, rest = first_group(rest)
-            parts.append(group[1:-1])
-        text = text[:at] + (parts[1] if parts[0].strip() == "true" else parts[2]) + rest
-    return text
+    out, at = [], 0
+    while (start := text.find("\\ifthenelse", at)) >= 0:
+        parts, end = arguments_at(text, start + len("\\ifthenelse"), 3)
+        out.append(text[at:start])
+        if len(parts) == 3:
+            out.append(expand_conditionals(parts[1] if parts[0].strip() == "true" else parts[2]))
+        at = end
+    return "".join([*out, text[at:]])
 
 
-@F.pandas_udf(T.StringType())
-def choose_branches(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: None if x is None else expand_conditionals(x))
+choose_branches = column(expand_conditionals)

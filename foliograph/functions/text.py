@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .accents import ACCENTS, accented, tex_accent
 from .rules import apply_literals, apply_rules
 
 # Accented letters and typographic characters as markup.
@@ -20,57 +21,39 @@ UNICODE_TO_TEX = [
 ENTITIES_TO_TEX = [
     ("&#xc1;", "\\'A"), ("&#xc4;", '\\"A'), ("&#xc8;", "\\`E"), ("&#xc9;", "\\'E"), ("&#xd6;", '\\"O'), ("&#xe1;", "\\'a"), ("&#xe4;", '\\"a'),
     ("&#xe8;", "\\`e"), ("&#xe9;", "\\'e"), ("&#xf3;", "\\'o"), ("&#xf8;", "{\\o}"), ("&#xfa;", "\\'u"), ("&#xfc;", '\\"u'), ("&#xf1;", "\\~n"),
-    ("&#x27;", "'"), ("&szlig;", "{\\ss}"), ("&#223;", "{\\ss}"), ("&ndash;", "--"), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"),
+    ("&#355;", "\\c{t}"), ("&#169;", "\\~u"), ("&#259;", "\\u{a}"), ("&#287;", "\\u{g}"), ("&#281;", "\\c{e}"), ("&#301;", "\\u{\\i}"), ("&#350;", "\\c{S}"),
+    ("&#351;", "\\c{s}"), ("&#x107;", "\\'c"), ("&#x10c;", "\\v{C}"), ("&#x10d;", "\\v{c}"), ("&#x11a;", "\\v{E}"), ("&#x11b;", "\\v{e}"), ("&#x141;", "\\L"),
+    ("&#x160;", "\\v{S}"), ("&#x161;", "\\v{s}"), ("&#x27;", "'"), ("&iuml;", '\\"{\\i}'), ("&szlig;", "{\\ss}"), ("&#223;", "{\\ss}"), ("&ndash;", "--"),
+    ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&iacute;", "\\'{\\i}"), ("&oslash;", "{\\o}"), ("&Oslash;", "{\\O}"),
+]
+#: Entities of a letter and an accent's name follow from the table of accents.
+ENTITY_RULES = [(f"&([A-Za-z]){name};", (f"\\\\{sign}{{$1}}" if sign.isalpha() else f"\\\\{sign}$1")) for sign, name, _ in ACCENTS]
+
+# Greek letters, which stand for themselves in ASCII.
+GREEK = "alpha beta gamma delta epsilon zeta eta theta mu nu tau rho sigma xi kappa iota lambda upsilon omicron phi chi omega psi pi".split()
+# Macros with another form in ASCII.
+ASCII_FORMS = {
+    "ge": " >= ", "geq": " >= ", "le": " <= ", "leq": " <= ", "times": " x ", "varphi": "phi", "varrho": "rho", "varnu": "nu", "varepsilon": "epsilon",
+    "pm": "+-", "ell": "l", "i": "i", "l": "l", "L": "L", "o": "o", "oe": "oe", "ss": "ss", "cprime": "'", "vert": "|",
+}
+# Macros that leave nothing in ASCII.
+ASCII_DELETED = "left right rm it sl bf tt em emph Bbb mathbb bold scr roman Cal cal mathcal mathrm mathit mathsl mathbf mathsf mathtt germ frak mathfrak v u c H".split()
+#: Macros of letters and accents, which take the blank after them along.
+EATS_BLANK = ("ell", "i", "l", "L", "o", "oe", "ss", "cprime", "vert", "left", "right", "v", "u", "c", "H")
+
+# Numbers as words; openings and words without weight; spellings that count as equal.
+NUMBER_WORDS = "one two three four five six seven eight nine ten".split()
+ROMAN_PARTS = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "iiii": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10, "xi": 11, "xii": 12}
+TITLE_OPENINGS = ["a note on", "notes on", "remark on", "on the", "on"]
+TITLE_STOP_WORDS = ["a", "an", "the", "on", "in", "of", "at", "for"]
+SPELLINGS = [
+    ("mueller", "muller"), ("goedel", "godel"), ("moebius", "mobius"), ("schroed", "schrod"), ("hoelder", "holder"), ("kaehler", "kahler"),
+    ("alogue", "alog"), ("colour", "color"), ("flavour", "flavor"), ("tumour", "tumor"), ("rigour", "rigor"), ("mould", "mold"),
+    ("modell", "model"), ("travell", "travel"), ("cancell", "cancel"), ("annell", "annel"), ("avell", "avel"), ("biass", "bias"),
+    ("disc", "disk"), ("cheque", "check"), ("centre", "center"), ("fibre", "fiber"),
+    ("alise", "alize"), ("alisi", "alizi"), ("orisa", "oriza"), ("orise", "orize"), ("orisi", "orizi"), ("erisa", "eriza"), ("erise", "erize"), ("erisi", "erizi"),
+    ("randomis", "randomiz"), ("itemis", "itemiz"), ("cypher", "cipher"), ("grey", "gray"), ("gramme", "gram"), ("neurone", "neuron"), ("sceptic", "skeptic"),
 ]
-ENTITY_RULES = [
-    (r"&([A-Za-z])uml;", r'\\"$1'),
-    (r"&iacute;", r"\\'{\\i}"),
-    (r"&([A-Za-z])acute;", r"\\'$1"),
-    (r"&([A-Za-z])grave;", r"\\`$1"),
-    (r"&([A-Za-z])tilde;", r"\\~$1"),
-    (r"&([A-Za-z])caron;", r"\\v{$1}"),
-    (r"&([A-Za-z])cedil;", r"\\c{$1}"),
-    (r"&([oO])slash;", r"{\\$1}"),
-]
-
-# Markup to plain ASCII.
-ASCII_RULES = [
-    (r"\\(?:geq|ge)\b", " >= "),
-    (r"\\(?:leq|le)\b", " <= "),
-    (r"\s*\\times\s*", " x "),
-    (r"\\(alpha|beta|gamma|delta|epsilon|zeta|eta|theta|mu|nu|tau|rho|sigma|xi|kappa|iota|lambda|upsilon|omicron|phi|chi|omega|psi|pi)\b", "$1"),
-    (r"\\var(phi|rho|nu|epsilon)", "$1"),
-    (r"\\pm\b", "+-"),
-    (r"\\[\^'`\x22~=-]\s*", ""),
-    (r"\{\\(i|l|L|o|oe|ss)\}", "$1"),
-    (r"\\(?:rm|it|sl|bf|tt|em|emph|mathbb|mathcal|mathrm|mathit|mathbf|mathsf|mathtt|mathfrak|frak|scr|cal)\b", ""),
-    (r"\\[vuc]\s*\{([a-zA-Z])\}", "$1"),
-    (r"\\\.([a-zA-Z])", "$1"),
-    (r"\{([^}])\}", "$1"),
-    (r"\{([^}])\}", "$1"),
-    (r"\s+", " "),
-]
-
-# Spelling of titles: words and endings that count as equal, after lower-casing.
-TITLE_RULES = [
-    (r"--", "-"),
-    (r"on-", "on"),
-    (r"-", " "),
-    (r"'s\b", ""),
-    (r"([a-z]{3}(?:x|ch|sh|ss))es\b", "$1"),
-    (r"([a-z]{4})ies\b", "$1y"),
-    (r"([a-z]{3}[a-rt-z])s\b", "$1"),
-    (r"[\^'`\x22~_{}$\;:,.()-]", ""),
-    *[(rf"\b{word}\b", str(n)) for n, word in enumerate("one two three four five six seven eight nine ten".split(), 1)],
-    *[(rf"part\s{roman}\b", f"part {n}") for n, roman in enumerate("i ii iii iv v vi vii viii ix x xi xii".split(), 1)],
-    (r"^(?:a note on|notes on|remark on|on the|on )", ""),
-    (r"\b(?:a|an|the|on|in|of|at|for)\b", ""),
-    (r"(mu|ho|ka)e(ller|lder|hler)", "$1$2"),
-    (r"(col|flav|tum|rig)our", "$1or"),
-    (r"(al|or|er)is(a|e|i)", "$1iz$2"),
-    (r"(cent|fib)re", "$1er"),
-    (r"[^a-z0-9]", ""),
-]
 
 
 def content_id(text: Column, kind: str = "") -> Column:
@@ -84,15 +67,48 @@ def file_stub(path: Column) -> Column:
 
 
 def unicode_to_tex(text: Column) -> Column:
-    return apply_literals(text, UNICODE_TO_TEX)
+    """Typographic characters by a table, accented Latin letters by their decomposition: a sign before the letter, which then loses its mark."""
+    out = apply_literals(text, UNICODE_TO_TEX)
+    letters = accented()
+    out = apply_literals(out, [(c, tex_accent(sign, letter)) for c, letter, sign in letters if letter in "ij"])
+    for sign, _, _ in ACCENTS:
+        group = "".join(c for c, letter, s in letters if s == sign and letter not in "ij")
+        out = F.regexp_replace(out, f"([{group}])", f"\\\\{sign}{{$1}}" if sign.isalpha() else f"\\\\{sign}$1")
+    out = F.translate(out, "".join(c for c, _, _ in letters), "".join(letter for _, letter, _ in letters))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), out).otherwise(text)
 
 
 def entities_to_tex(text: Column) -> Column:
-    return apply_rules(apply_literals(text, ENTITIES_TO_TEX), ENTITY_RULES)
+    return F.when(text.contains("&"), apply_rules(apply_literals(text, ENTITIES_TO_TEX), ENTITY_RULES)).otherwise(text)
+
+
+def tex_to_ascii(text: Column) -> Column:
+    """Macros looked up one by one in a table of ASCII forms; unknown ones stay as they are.
+
+    The text is cut at its macros. A macro of a letter or accent takes the blank after it
+    along, unless a capital follows.
+    """
+    forms = {g: g for g in GREEK} | ASCII_FORMS | dict.fromkeys(ASCII_DELETED, "")
+    known = F.create_map(*[F.lit(x) for pair in forms.items() for x in pair])
+    bare = F.regexp_replace(text, r"\\[\^'`\x22~=-]\s*|\\\.(?=[A-Za-z])", "")
+    bare = F.regexp_replace(bare, r"\{\\([A-Za-z]+)\s*\}", "\\\\$1\u0001")  # a macro alone in braces takes no blank along
+    macro = r"\\([A-Za-z]+)"
+    names, gaps = F.regexp_extract_all(bare, F.lit(macro), F.lit(1)), F.split(bare, macro, -1)
+    shown = F.transform(names, lambda n: F.coalesce(F.try_element_at(known, n), F.concat(F.lit("\\"), n)))
+    after = F.zip_with(names, F.slice(gaps, 2, F.size(names)), lambda n, g: F.when(n.isin(*EATS_BLANK), F.regexp_replace(g, r"^\s+(?![A-Z])", "")).otherwise(g))
+    body = F.array_join(F.zip_with(shown, after, lambda m, g: F.concat(m, g)), "")
+    whole = F.when(bare.contains("\\"), F.replace(F.concat(F.element_at(gaps, 1), F.coalesce(body, F.lit(""))), F.lit("\u0001"), F.lit(""))).otherwise(bare)
+    return apply_rules(whole, [(r"\{([^}])\}", "$1"), (r"\{([^}])\}", "$1"), (r"\s+", " ")])
 
 
 def to_ascii(text: Column) -> Column:
-    return apply_rules(unicode_to_tex(entities_to_tex(text)), ASCII_RULES)
+    return tex_to_ascii(unicode_to_tex(entities_to_tex(text)))
+
+
+def rearrange_subscripts(text: Column) -> Column:
+    """``x^2_1`` as ``x_1^2``."""
+    part = r"(\{[^{}]+\}|[a-zA-Z0-9]|\\[a-zA-Z]+)"
+    return F.regexp_replace(text, rf"\^{part}_{part}", "_$2^$1")
 
 
 UNSAFE = r"[: ~!@#$%^&*|(){}<>,+=;/\\`'\x22.]"
@@ -105,9 +121,35 @@ def safe_name(text: Column, as_id: bool = False) -> Column:
     return name
 
 
+def title_words(text: Column) -> Column:
+    """The words of a title that carry weight, in the singular, numbers as digits; an array.
+
+    Hyphens part words but for the prefix ``non-`` and the like; accents count as none.
+    """
+    t = F.lower(to_ascii(rearrange_subscripts(F.regexp_replace(text, r"\\sb\b", "_"))))
+    t = F.regexp_replace(F.regexp_replace(t, r"'s\b|\\(?:frac|backslash)\b|['`^~\x22_{}$\\:;,.()]", ""), r"on-", "on")
+    t = F.regexp_replace(F.trim(F.regexp_replace(t, r"[^a-z0-9]+", " ")), rf"^(?:{'|'.join(TITLE_OPENINGS)}) ", "")
+    roman = F.create_map(*[F.lit(x) for k, n in ROMAN_PARTS.items() for x in (k, str(n))])
+    numbers = F.create_map(*[F.lit(x) for n, w in enumerate(NUMBER_WORDS, 1) for x in (w, str(n))])
+    words = F.split(t, " ")
+    words = F.transform(words, lambda w, i: F.when((i > 0) & (F.get(words, i - 1) == "part"), F.coalesce(F.try_element_at(roman, w), w)).otherwise(w))
+    words = F.filter(words, lambda w: ~w.isin("", *TITLE_STOP_WORDS))
+    return F.transform(words, lambda w: F.coalesce(F.try_element_at(numbers, w), singular(w)))
+
+
+def singular(word: Column) -> Column:
+    """A long word without its plural ending."""
+    return (
+        F.when(word.rlike("[a-z]{3}(?:x|ch|sh|ss)es$"), F.regexp_replace(word, "es$", ""))
+        .when(word.rlike("[a-z]{4}ies$"), F.regexp_replace(word, "ies$", "y"))
+        .when(word.rlike("[a-z]{3}[a-rt-z]s$"), F.regexp_replace(word, "s$", ""))
+        .otherwise(word)
+    )
+
+
 def title_key(text: Column) -> Column:
-    """A reduced form under which equal titles are equal."""
-    return apply_rules(F.lower(to_ascii(text)), TITLE_RULES)
+    """A reduced form under which equal titles are equal: its words without blanks, in one spelling."""
+    return F.replace(apply_literals(F.array_join(title_words(text), " "), SPELLINGS), F.lit(" "), F.lit(""))
 
 
 # A comment runs from an unescaped % to the end of its line; one that fills its line takes the line along.
@@ -139,3 +181,46 @@ def code_ordinal(code: Column, scale: int = 100, depth: int = 4) -> Column:
     parts = F.transform(F.split(code, r"\."), lambda p: F.coalesce(F.try_to_number(F.nullif(F.regexp_replace(p, "[^0-9]", ""), F.lit("")), F.lit("9999999999")).cast("double"), F.lit(0.0)))
     weighted = F.transform(parts, lambda p, i: p * F.pow(F.lit(float(scale)), F.lit(depth) - i))
     return F.when(F.coalesce(code, F.lit("")) == "", F.lit(0.0)).otherwise(F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x))
+
+
+def text_before(text: Column, *targets: str) -> Column:
+    """(before, rest): the text up to the first of several targets, which begins the rest; all of it without one."""
+    at = F.array_min(F.filter(F.array(*[F.locate(t, text) for t in targets]), lambda k: k > 0))
+    return F.struct(F.when(at.isNull(), text).otherwise(F.substring(text, 1, at - 1)).alias("before"), F.when(at.isNull(), "").otherwise(text.substr(at, F.length(text))).alias("rest"))
+
+
+def text_up_to(text: Column, target: str) -> Column:
+    """The text up to and with the first target; empty without one."""
+    at = F.locate(target, text)
+    return F.when(at > 0, F.substring(text, F.lit(1), at + F.lit(len(target) - 1))).otherwise("")
+
+
+def has_macro(text: Column, name: str) -> Column:
+    r"""Whether ``\name`` occurs as a whole macro."""
+    return text.rlike(rf"\\{name}(?![A-Za-z])")
+
+
+def author_slug(first: Column, last: Column, preferred: Column) -> Column:
+    """The name of an author for links: the preferred full name or first and last, as a safe name."""
+    return safe_name(F.coalesce(F.nullif(preferred, F.lit("")), F.concat_ws(" ", first, last)))
+
+
+def rescale_svg(svg: Column, scale: float = 1.4) -> Column:
+    """The first height and width in points times ``scale``; a text without both is left as it is."""
+    out = svg
+    for name in ("height", "width"):
+        value = F.regexp_extract(svg, rf'{name}="([0-9.]+)pt', 1).try_cast("double") * scale
+        cut = F.split(out, rf'{name}="[0-9.]+pt', 2)
+        out = F.concat(F.element_at(cut, 1), F.lit(f'{name}="'), value.cast("string"), F.lit("pt"), F.try_element_at(cut, F.lit(2)))
+    return F.coalesce(out, svg)
+
+
+# Braces around one character or capitals, which change nothing.
+SILLY_BRACES = [
+    (r"(^|\W)\{([A-Z])\}", "$1$2"), (r"\{\s+\}", ""), (r"([^a-zA-Z])\{([A-Za-z0-9])\}", "$1$2"), (r" \{([A-Z]+)\}", " $1"), (r"\{([A-Z]+)\} ", "$1 "),
+    (r"\{(&#?[0-9a-zA-Z]+;\s*)\}", "$1"), (r"\{'\s*\}", "'"), (r"\{(\$[^$]+\$)\}", "$1"), (r"\{(\\['`\x22^][a-zA-Z])\}", "$1"),
+]
+
+
+def remove_silly_braces(text: Column) -> Column:
+    return apply_rules(text, SILLY_BRACES)

@@ -24,7 +24,7 @@ def _element(unit: Column, tag: str) -> Column:
 
 def unit_markup(units: Column) -> Column:
     """``kg.m/s^2``: factors joined by dots; everything after the first slash divides."""
-    top, bottom = F.element_at(F.split(units, "/"), 1), F.array_join(F.slice(F.split(units, "/"), 2, 99), ".")
+    top, bottom = F.element_at(F.split(units, "/"), 1), F.array_join(F.slice(F.split(units, "/"), 2, F.size(F.split(units, "/"))), ".")
     part = lambda x, tag: F.array_join(F.transform(F.filter(F.split(x, r"\."), lambda u: u != ""), lambda u: _element(u, tag)), "")
     return F.concat(part(top, "unit"), part(bottom, "per"))
 

@@ -2,12 +2,17 @@ r"""Paragraphs, comments, tables, index, terms, session cells, authors, math spa
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import title_key, to_ascii
-from .peel import CLOSE, OPEN, PLACEHOLDER
+from ..session import ship
+from .peel import CLOSE, OPEN, PLACEHOLDER, unescape
 
 
 def paragraphs(docs: DataFrame, separator: str = r"\n[ \t]*\n\s*") -> DataFrame:
@@ -36,14 +41,19 @@ def document_parts(docs: DataFrame) -> DataFrame:
 
 
 def table_cells(tables: DataFrame, text: str = "body") -> DataFrame:
-    r"""(doc_id, row, col, cell, rule): cells of tabular bodies; ``rule`` marks rows below an ``\hline``."""
+    r"""(doc_id, row, col, cell, rule, lined): cells of tabular bodies.
+
+    ``rule`` marks rows below an ``\hline``, ``lined`` cells below a ``\cline`` over their column.
+    """
     rows = tables.select("doc_id", F.posexplode(F.filter(F.split(text, r"\\\\"), lambda r: r.rlike(r"\S"))).alias("row", "line"))
-    rule = F.col("line").contains("\\hline")
+    clines = F.regexp_extract_all("line", F.lit(r"\\cline\{\s*([0-9]+\s*-\s*[0-9]+)\s*\}"), F.lit(1))
+    ends = lambda c, k: F.trim(F.element_at(F.split(c, "-"), k)).cast("int")
+    lined = F.flatten(F.transform(clines, lambda c: F.sequence(ends(c, 1), ends(c, 2))))
     line = F.regexp_replace(F.regexp_replace("line", r"\\hline|\\cline\{[^}]*\}", ""), r"^\s+|\s+$", "")
-    rows = rows.select("doc_id", "row", rule.alias("rule"), line.alias("line")).where("line <> ''")
+    rows = rows.select("doc_id", "row", F.col("line").contains("\\hline").alias("rule"), lined.alias("lined"), line.alias("line")).where("line <> ''")
     rows = rows.withColumn("row", F.row_number().over(W.partitionBy("doc_id").orderBy("row")))
-    cells = rows.select("doc_id", "row", "rule", F.posexplode(F.split("line", "&")).alias("col", "cell"))
-    return cells.withColumn("col", F.col("col") + 1).withColumn("cell", F.trim("cell"))
+    cells = rows.select("doc_id", "row", "rule", "lined", F.posexplode(F.split("line", "&")).alias("col", "cell"))
+    return cells.withColumn("col", F.col("col") + 1).withColumn("cell", F.trim("cell")).withColumn("lined", F.array_contains("lined", F.col("col")))
 
 
 def column_layout(spec: Column) -> Column:
@@ -56,7 +66,7 @@ def tables_html(tables: DataFrame, text: str = "body", spec: str = "spec") -> Da
     align = F.map_from_arrays(F.array(*[F.lit(x) for x in "clrX"]), F.array(*[F.lit(x) for x in ("center", "left", "right", "justify")]))
     cells = table_cells(tables, text).join(tables.select("doc_id", column_layout(F.col(spec)).alias("layout")), "doc_id")
     kind = F.coalesce(F.try_element_at(align, F.try_element_at("layout", F.col("col"))), F.lit("left"))
-    cells = cells.withColumn("td", F.concat(F.lit('<td class="'), kind, F.lit('">'), "cell", F.lit("</td>")))
+    cells = cells.withColumn("td", F.concat(F.lit('<td class="'), kind, F.when(F.col("lined"), " t2").otherwise(""), F.lit('">'), "cell", F.lit("</td>")))
     lines = cells.groupBy("doc_id", "row", "rule").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col", "td"))), lambda x: x["td"]), "").alias("tds"))
     lines = lines.withColumn("tr", F.concat(F.when(F.col("rule"), F.lit('<tr class="hline">')).otherwise(F.lit("<tr>")), "tds", F.lit("</tr>")))
     return lines.groupBy("doc_id").agg(F.concat(F.lit("<table>"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "tr"))), lambda x: x["tr"]), ""), F.lit("</table>")).alias("html"))
@@ -83,22 +93,75 @@ def build_index(entries: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def normal_term(term: Column) -> Column:
-    """A term without brackets, end punctuation and the plural s of long words."""
-    t = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(term, r"[()]", ""), r"[.,;:!?]+$", ""), r"\s+", " "))
-    return F.regexp_replace(t, r"([A-Za-z]{4,})s$", "$1")
+    """A term without outer brackets and end punctuation, blanks as single spaces, long words without the plural s."""
+    t = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(term), r"^\((.*)\)$", "$1"), r"[:;,.]$", ""), r"\s+", " "))
+    return F.regexp_replace(t, r"([a-z]{2}[a-rt-z])s\b", "$1")
+
+
+# Terms that are never linked.
+RESERVED_TERMS = ["lemma", "proposition", "theorem"]
+
+
+def term_forms(terms: DataFrame, min_length: int = 4) -> DataFrame:
+    """(phrase, term, n_words): the forms that a term of letters, blanks and hyphens takes in a text."""
+    t = terms.where((F.length("term") >= min_length) & F.col("term").rlike("^[A-Za-z]+(?:[ -][A-Za-z]+)*$") & ~F.col("term").isin(*RESERVED_TERMS)).select("term")
+    plural = F.when(F.col("term").rlike("[^aeiou]y$"), F.regexp_replace("term", "y$", "ies")).when(F.col("term").rlike("(?:s|x|ch|sh)$"), F.concat("term", F.lit("es"))).otherwise(F.concat("term", F.lit("s")))
+    forms = t.select("term", F.explode(F.array("term", plural)).alias("phrase")).groupBy("phrase").agg(F.min("term").alias("term"))
+    return forms.withColumn("n_words", F.size(F.split("phrase", " ")))
 
 
 def link_terms(docs: DataFrame, terms: DataFrame, min_length: int = 4) -> DataFrame:
-    """(doc_id, word, term): words of documents that are a term or its plural.
+    """(doc_id, phrase, term): phrases of documents that are a term or its plural.
 
-    Words are matched by equality on the forms that a term can take, a hash join in place
-    of a test of every term against every text. Longer terms win by being other words.
+    Runs of words as long as the terms are, a few lengths, are joined with the forms by
+    equality, in place of a test of every term against every text.
     """
-    t = terms.where((F.length("term") >= min_length) & F.col("term").rlike("^[A-Za-z]+$")).select("term")
-    plural = F.when(F.col("term").rlike("[^aeiou]y$"), F.regexp_replace("term", "y$", "ies")).when(F.col("term").rlike("(?:s|x|ch|sh)$"), F.concat("term", F.lit("es"))).otherwise(F.concat("term", F.lit("s")))
-    forms = t.select("term", F.explode(F.array("term", plural)).alias("word")).groupBy("word").agg(F.min("term").alias("term"))
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))).alias("word"))
-    return words.join(forms, "word").select("doc_id", "word", "term")
+    forms = term_forms(terms, min_length)
+    lengths = [r.n_words for r in forms.select("n_words").distinct().collect()]  # a handful of numbers
+    words = docs.select("doc_id", F.regexp_extract_all("text", F.lit(r"[A-Za-z]+(?:-[A-Za-z]+)*"), F.lit(0)).alias("w"), F.split("text", r"[A-Za-z]+(?:-[A-Za-z]+)*", -1).alias("gap"))
+
+    def of_length(n: int) -> DataFrame:
+        size = F.size("w")
+        at = F.when(size >= n, F.sequence(F.lit(1), size - (n - 1))).otherwise(F.array().cast("array<int>"))
+        # Only blanks may stand between the words of a phrase.
+        joined = F.transform(at, lambda i: F.when(F.forall(F.slice("gap", i + 1, F.lit(n - 1)), lambda g: g.rlike(r"^\s+$")), F.array_join(F.slice("w", i, F.lit(n)), " ")))
+        return words.select("doc_id", F.explode(F.array_distinct(F.filter(joined, lambda x: x.isNotNull()))).alias("phrase"))
+
+    runs = None
+    for n in lengths:
+        runs = of_length(n) if runs is None else runs.unionByName(of_length(n))
+    if runs is None:
+        return docs.select("doc_id", F.lit("").alias("phrase"), F.lit("").alias("term")).limit(0)
+    return runs.join(forms, "phrase").select("doc_id", "phrase", "term")
+
+
+def write_term_links(docs: DataFrame, found: DataFrame, targets: DataFrame) -> DataFrame:
+    """Documents with their terms as links: ``found`` as of ``link_terms``, targets (term, file).
+
+    Longer phrases win: all phrases of a document are alternatives of one pattern, longest
+    first, so no link lies in another. A phrase needs a blank before it and a blank,
+    punctuation or the end after it; blanks inside become ties.
+    """
+    own = found.join(targets, "term").groupBy("doc_id").agg(F.collect_set(F.struct("phrase", "file")).alias("links"))
+
+    @F.pandas_udf(T.StringType())
+    def write(text: pd.Series, links: pd.Series) -> pd.Series:
+        def one(t: str, rows) -> str:
+            if t is None or rows is None or not len(rows):
+                return t
+            file = {r["phrase"]: r["file"] for r in sorted(rows, key=lambda r: r["file"], reverse=True)}
+            any_ = "|".join(re.escape(x).replace(r"\ ", r"\s+") for x in sorted(file, key=lambda x: (-len(x), x)))
+
+            def link(m: re.Match) -> str:
+                phrase = re.sub(r"\s+", " ", m.group(1))
+                return f' <span class="autoterm"><a knowl="{file[phrase]}">{phrase.replace(" ", "&nbsp;")}</a></span>'
+
+            return re.sub(rf"\s({any_})(?=[\s,:;.?!]|$)", link, t)
+
+        return pd.Series([one(t, rows) for t, rows in zip(text, links, strict=True)])
+
+    ship(docs.sparkSession)
+    return docs.join(own, "doc_id", "left").withColumn("text", write("text", "links")).drop("links")
 
 
 def session_cells(lines: DataFrame, prompt: Column, order: str = "ordinal") -> DataFrame:
@@ -136,27 +199,39 @@ def wrap(nodes: DataFrame, templates: DataFrame) -> DataFrame:
     return joined.withColumn("open_tag", F.concat(F.lit("<"), tag, ident, F.lit(">"))).withColumn("close_tag", F.concat(F.lit("</"), tag, F.lit(">"))).drop("tag")
 
 
-def assemble(nodes: DataFrame, before: str = "opening", after: str = "closing", max_depth: int = 64) -> DataFrame:
-    """(doc_id, text): placeholders filled bottom-up, one join per level of the tree.
+def fill(rows: list[tuple[int, str, str, str]]) -> str:
+    """The text of a document from its (pos, before, body, after), each child at its placeholder."""
+    held = {pos: (before or "", body or "", after or "") for pos, before, body, after in rows}
+    cut = re.compile(PLACEHOLDER)
+    out, todo = [], [(0, None)]
+    while todo:
+        pos, text = todo.pop()
+        if text is not None:
+            out.append(text)
+            continue
+        before, body, after = held[pos]
+        parts = cut.split(body)
+        steps = [(0, before), (0, parts[0])]
+        for child, gap in zip(parts[1::2], parts[2::2], strict=True):
+            steps += [(int(child), None), (0, gap)]
+        todo.extend(reversed([*steps, (0, after)]))
+    return "".join(out)
+
+
+@F.pandas_udf(T.StringType())
+def _fill(nodes: pd.Series) -> pd.Series:
+    return nodes.map(lambda rows: fill([(r["pos"], r["before"], r["body"], r["after"]) for r in rows]))
+
 
-    A level joins the texts of its children by (document, position); no text is used as a
-    pattern.
+def assemble(nodes: DataFrame, before: str = "opening", after: str = "closing") -> DataFrame:
+    """(doc_id, text): placeholders filled from the root down, a document at a time.
+
+    One exchange brings a document's nodes together, however deep its tree is; texts are
+    never used as patterns. Rows of other documents are not touched.
     """
-    deepest = nodes.agg(F.max("depth")).first()[0] or 0
-    if deepest > max_depth:
-        raise ValueError(f"tree of depth {deepest}")
-    done = None
-    for depth in range(deepest, -1, -1):
-        level = nodes.where(F.col("depth") == depth)
-        whole = lambda text: F.concat(F.coalesce(before, F.lit("")), text, F.coalesce(after, F.lit("")))
-        if done is None:
-            done = level.select("doc_id", "parent", "pos", whole(F.col("body")).alias("text"))
-            continue
-        filled = done.groupBy("doc_id", F.col("parent").alias("pos")).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("pos").alias("child"), "text"))), lambda x: x["text"]).alias("texts"))
-        gaps = F.split("body", PLACEHOLDER, -1)
-        text = F.array_join(F.zip_with(gaps, F.coalesce("texts", F.array().cast("array<string>")), lambda g, t: F.concat(F.coalesce(g, F.lit("")), F.coalesce(t, F.lit("")))), "")
-        done = level.join(filled, ["doc_id", "pos"], "left").select("doc_id", "parent", "pos", whole(text).alias("text"))
-    return done.select("doc_id", "text")
+    ship(nodes.sparkSession)
+    one = F.struct("pos", F.col(before).alias("before"), "body", F.col(after).alias("after"))
+    return nodes.groupBy("doc_id").agg(unescape(_fill(F.collect_list(one))).alias("text"))
 
 
 def edges(nodes: DataFrame) -> DataFrame:

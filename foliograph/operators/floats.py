@@ -9,27 +9,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scanner import first_group
+from ..functions.scanner import group_at
 from ..session import ship
 
 _FOUND = T.ArrayType(T.StructType([T.StructField(k, T.StringType()) for k in ("kind", "about", "content")]))
 _START = re.compile(r"\\(captionof|caption|footnote|includegraphics)\*?")
+_OPTION = re.compile(r"\s*\[([^\]]*)\]")
 
 
 def find_floats(text: str) -> list[tuple[str, str, str]]:
     r"""(kind, about, content): about is the type of a ``\captionof`` or an option list."""
-    out = []
-    for m in _START.finditer(text or ""):
-        rest, about = text[m.end() :], ""
-        if option := re.match(r"\s*\[([^\]]*)\]", rest):
-            about, rest = option.group(1), rest[option.end() :]
+    out, text = [], text or ""
+    for m in _START.finditer(text):
+        at, about = m.end(), ""
+        if option := _OPTION.match(text, at):
+            about, at = option.group(1), option.end()
         if m.group(1) == "captionof":
-            group, rest = first_group(rest)
-            about = group[1:-1]
-        group, _ = first_group(rest)
-        if group:
+            start, at = group_at(text, at)
+            about = text[start + 1 : at - 1]
+        start, end = group_at(text, at)
+        if start < end:
             kind = {"captionof": "caption", "includegraphics": "image"}.get(m.group(1), m.group(1))
-            out.append((kind, about, group[1:-1].strip()))
+            out.append((kind, about, text[start + 1 : end - 1].strip()))
     return out
 
 

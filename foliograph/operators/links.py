@@ -54,7 +54,8 @@ def resolve_citations(cites: DataFrame, bib: DataFrame) -> DataFrame:
 def bib_entries(docs: DataFrame) -> DataFrame:
     r"""(doc_id, ordinal, key, label, raw) of ``\bibitem[label]{key} text``; without a label the ordinal."""
     body = F.regexp_extract("text", r"(?s)\\begin\{thebibliography\}(?:\{[^}]*\})?(.*)\\end\{thebibliography\}", 1)
-    parts = F.slice(F.split(body, r"\\bibitem\b", -1), 2, 1_000_000)
+    parts = F.split(body, r"\\bibitem\b", -1)
+    parts = F.slice(parts, 2, F.size(parts))
     rows = docs.select("doc_id", F.posexplode(parts).alias("k", "part"))
     head = r"(?s)^\s*(?:\[([^\]]*)\])?\s*\{([^}]*)\}\s*(.*?)\s*$"
     label = F.regexp_extract("part", head, 1)
@@ -70,9 +71,9 @@ def dependency_edges(nodes: DataFrame, labels: DataFrame, kinds: tuple[str, ...]
 
     of = F.broadcast(env_catalog(nodes.sparkSession).where(F.col("class").isin(*kinds)).select("marker"))
     inside = nodes.join(of, "marker").where("label is not null and label <> ''")
-    refs = references(inside).join(inside.select("doc_id", "pos", F.col("label").alias("source")), ["doc_id", "pos"])
+    refs = inside.select("doc_id", F.col("label").alias("source"), F.explode(F.regexp_extract_all("body", F.lit(REF_RE), F.lit(1))).alias("target"))
     known = labels.select("doc_id", F.col("label").alias("target"))
-    return refs.select("doc_id", "source", F.col("label").alias("target")).join(known, ["doc_id", "target"], "left_semi").distinct()
+    return refs.distinct().join(known, ["doc_id", "target"], "left_semi").select("doc_id", "source", "target")
 
 
 def prev_next(pages: DataFrame, order: Column | str, key: str = "file") -> DataFrame:

@@ -11,15 +11,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..catalog import aliases
-from ..functions.scanner import balanced, first_group, strip_groups
+from ..functions.scanner import balanced, group_at, strip_groups
 from ..session import ship
 
 MACROS = "doc_id long, ordinal int, command string, name string, numargs int, default string, definition string"
 _COMMAND = re.compile(r"\\(let|def|newcommand|renewcommand|providecommand|DeclareMathOperator)\b\*?")
 _NAME = re.compile(r"\s*(?:\{\s*\\([A-Za-z]+|.)\s*\}|\\([A-Za-z]+|.))")
 
-# Macros that authors never redefine.
-KNOWN_MACROS = "frac sqrt sum int lim sin cos tan log exp alpha beta gamma delta theta lambda mu pi sigma omega infty cdot times leq geq ref label cite".split()
+# Macros that an author cannot redefine.
+KNOWN_MACROS = "ref eqref cite href emph textbf textit texttt mathcal mathbb Cal rm date address hfill S H begin end term terminology knownterminology index sum prod int i u".split()
+# Macros whose definitions are not taken over.
+IGNORED_MACROS = (
+    "thetitle theshorttitle theauthors lastauthor theshortauthors theaddress thededicatory doubletitle singletitle lefthead righthead maketitle bysame "
+    "thesection thesubsection thesubsubsection xymatrix urladdr email isdraft newcommand bar frac cr \\ to ref href eqref cite qed big mod bmod pmod mid nmid label "
+    "longlongrightarrow longlonglongrightarrow sum prod mathcal mathbb bibitem endbibitem gamma mu begin end address"
+).split()
+# Macros that are another name of one.
+RENAMED_MACROS = [("upmu", "mu"), ("upgamma", "gamma"), ("uppsi", "psi")]
+#: A definition with one of these shapes the document and is expanded before its structure is read.
+STRUCTURAL = r"\\(?:begin|end|(?:sub)*section|item|bibitem|ref|cite|label|newcommand|DeclareMathOperator)(?![A-Za-z])"
 
 
 def find_macros(text: str) -> list[tuple[str, str, int, str, str]]:
@@ -45,10 +55,10 @@ def find_macros(text: str) -> list[tuple[str, str, int, str, str]]:
             n, at = int(count.group(1)), count.end()
             if given := re.compile(r"\s*\[([^\]]*)\]").match(text, at):
                 default, at = given.group(1), given.end()
-        group, rest = first_group(text[at:])
-        if group:
-            out.append((m.group(1), word, n, default, strip_groups(group, depth=1)))
-            at = len(text) - len(rest)
+        start, end = group_at(text, at)
+        if start < end:
+            out.append((m.group(1), word, n, default, strip_groups(text[start:end], depth=1)))
+            at = end
     return out
 
 
@@ -59,12 +69,19 @@ def _macros(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def extract_macros(docs: DataFrame) -> DataFrame:
-    """One row per definition, with ``expandable``: not recursive, short enough, balanced, no internals."""
+    """One row per definition, with three verdicts.
+
+    ``accepted``: not one of the ignored macros. ``expandable``: also not a known macro, not
+    recursive, named by letters, without internals. ``structural``: expandable early, as it
+    has at most one argument and is empty or holds markup of the document's structure.
+    """
     ship(docs.sparkSession)
     m = docs.select("doc_id", "text").mapInPandas(_macros, MACROS)
     recursive = F.expr(r"definition rlike concat('\\\\', name, '(?![A-Za-z])')")
-    ok = ~recursive & F.col("name").rlike("^[A-Za-z]") & ~F.col("definition").contains("@") & ~F.col("name").isin(*KNOWN_MACROS) & (F.length("definition") < 1000)
-    return m.withColumn("expandable", ok)
+    accepted = ~F.col("name").isin(*IGNORED_MACROS)
+    ok = accepted & ~recursive & F.col("name").rlike("^[A-Za-z]") & ~F.col("definition").contains("@") & ~F.col("name").isin(*KNOWN_MACROS)
+    early = ok & (F.col("numargs") <= 1) & (F.length("name") > 1) & (F.length("definition") < 100) & ~F.col("definition").contains("newif") & ((F.trim("definition") == "") | F.col("definition").rlike(STRUCTURAL))
+    return m.withColumns({"accepted": accepted, "expandable": ok, "structural": early})
 
 
 def macro_usage(docs: DataFrame) -> DataFrame:
@@ -73,12 +90,15 @@ def macro_usage(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", found).groupBy("doc_id", "name").agg(F.count("*").alias("uses"))
 
 
-def missing_macros(docs: DataFrame, macros: DataFrame, known: tuple[str, ...] = tuple(KNOWN_MACROS)) -> DataFrame:
+def missing_macros(docs: DataFrame, macros: DataFrame, known: tuple[str, ...] = (*KNOWN_MACROS, *IGNORED_MACROS)) -> DataFrame:
     """Used names that nothing defines."""
     used = macro_usage(docs).where(~F.col("name").isin(*known, "newcommand", "def", "let", "renewcommand", "providecommand", "DeclareMathOperator", "begin", "end", "section", "item"))
     return used.join(macros.select("doc_id", "name").distinct(), ["doc_id", "name"], "left_anti")
 
 
+_SINGLE = re.compile(r"\s*(\\[A-Za-z]+|[0-9A-Za-z])")
+
+
 def expand_text(text: str, table: dict[str, tuple[int, str]], rounds: int = 20) -> str:
     """Expand uses left to right until none is left; more rounds than allowed are an error.
 
@@ -94,18 +114,18 @@ def expand_text(text: str, table: dict[str, tuple[int, str]], rounds: int = 20)
             changed = True
             n, body = table[m.group(1)]
             out.append(text[at : m.start()])
-            rest, args = text[m.end() :], []
+            args, end = [], m.end()
             for _ in range(n):
-                group, after = first_group(rest)
-                if group:
-                    args.append(group[1:-1])
-                    rest = after
-                elif single := re.match(r"\s*(\\[A-Za-z]+|[0-9A-Za-z])", rest):
+                start, after = group_at(text, end)
+                if start < after:
+                    args.append(text[start + 1 : after - 1])
+                    end = after
+                elif single := _SINGLE.match(text, end):
                     args.append(single.group(1))
-                    rest = rest[single.end() :]
+                    end = single.end()
             if len(args) == n:
-                out.append(re.sub(r"#([1-9])", lambda k: args[int(k.group(1)) - 1] if int(k.group(1)) <= n else k.group(0), body))
-            at = len(text) - len(rest)
+                out.append(re.sub(r"#([1-9])", lambda k, args=args, n=n: args[int(k.group(1)) - 1] if int(k.group(1)) <= n else k.group(0), body))
+            at = end
         out.append(text[at:])
         text = "".join(out)
         if not changed:
@@ -119,9 +139,9 @@ def _expand(text: pd.Series, names: pd.Series, counts: pd.Series, bodies: pd.Ser
     return pd.Series([expand_text(t or "", {n: (int(c), b) for n, c, b in zip(ns, cs, bs, strict=True) if balanced(b)} if ns is not None else {}) for t, ns, cs, bs in rows])
 
 
-def expand_macros(docs: DataFrame, macros: DataFrame) -> DataFrame:
-    """Documents with their own expandable macros expanded; definitions are taken out of the text first."""
-    last = macros.where("expandable").groupBy("doc_id", "name").agg(F.max_by(F.struct("numargs", "definition"), "ordinal").alias("d"))
+def expand_macros(docs: DataFrame, macros: DataFrame, which: str = "expandable") -> DataFrame:
+    """Documents with their own macros of a verdict expanded; definitions are taken out of the text first."""
+    last = macros.where(which).groupBy("doc_id", "name").agg(F.max_by(F.struct("numargs", "definition"), "ordinal").alias("d"))
     own = last.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("name", "d.numargs", "d.definition"))).alias("m"))
     joined = docs.join(own, "doc_id", "left")
     text = F.regexp_replace("text", r"(?m)^\\(?:newcommand|renewcommand|providecommand|def|let|DeclareMathOperator)\b.*\n?", "")

@@ -2,8 +2,9 @@ r"""Decomposition of markup into a tree of nodes, one row per node.
 
 One pass over the tokens of a document with a stack of open nodes: headings, ``\begin`` and
 ``\end``, items, math delimiters, labels, verbatim. A node's body holds a placeholder for
-each child, so bodies and tree together reproduce the text. Documents are independent; the
-pass runs in Arrow batches, and everything after it is joins and windows on the node table.
+each child, so bodies and tree together reproduce the text. Rows of multi-row math are nodes
+from the start, so what a row holds has the row as its parent. Documents are independent;
+the pass runs in Arrow batches, and everything after it is joins and windows on the node table.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import LISTS, MULTILINE_MATH, SECTION_LEVELS, VERBATIM
-from ..functions.scanner import first_group
+from ..functions.rules import apply_literals
+from ..functions.scanner import group_at
 from ..session import ship
 
 NODES = (
@@ -26,6 +28,9 @@ NODES = (
 #: A child in its parent's body: the child's position between these two.
 OPEN, CLOSE = "\u27e6", "\u27e7"
 PLACEHOLDER = OPEN + "([0-9]+)" + CLOSE
+#: A document's own placeholder signs are escaped by a private character and a letter.
+ESCAPE = "\ue000"
+_ESCAPES = {ord(OPEN): ESCAPE + "a", ord(CLOSE): ESCAPE + "b", ord(ESCAPE): ESCAPE + "c"}
 
 _TOKEN = re.compile(
     r"\\verb\*?(?P<vd>[^A-Za-z\s*])(?P<verb>.*?)(?P=vd)"
@@ -36,7 +41,8 @@ _TOKEN = re.compile(
     r"|\\label\{(?P<label>[^}]*)\}"
     r"|(?P<dollar>\$\$?)"
     r"|\\(?P<delim>[\[\]()])"
-    r"|\\\\|\\.",
+    r"|(?P<row>\\\\(?:\[[^\[\]&]*\])?|\\cr(?![A-Za-z]))"
+    r"|\\.",
     re.S,
 )
 _LEVEL = {m: k for k, m in enumerate([*SECTION_LEVELS, "exercises", "worksheet", "paragraphs"])}
@@ -76,6 +82,21 @@ def parse(text: str, doc_id: int = 0) -> list[tuple]:
     def close_to(depth: int) -> None:
         del stack[depth:]
 
+    def open_row() -> None:
+        open_node("mathrow", "")
+
+    def end_row(closing: str) -> None:
+        """Close the row on top of the stack; an empty last row was none."""
+        row, owner = stack.pop(), top()
+        row.closing = closing
+        row.star = owner.star or closing.startswith("\\cr") or "\\nonumber" in "".join(row.parts)
+        if not closing:
+            row.option = "end"
+            if not "".join(row.parts).strip() and row.pos == len(nodes) - 1:
+                nodes.pop()
+                owner.children -= 1
+                owner.parts[-1] = "".join(row.parts)
+
     at = 0
     while (m := _TOKEN.search(text, at)) is not None:
         top().parts.append(text[at : m.start()])
@@ -92,6 +113,8 @@ def parse(text: str, doc_id: int = 0) -> list[tuple]:
                 opening, option = opening[: opening.index("}") + 1], ""
                 at = m.start() + len(opening)
             node = open_node(name, opening, star=bool(m.group("bstar")) or name == "split", option=option)
+            if name in MULTILINE_MATH:
+                open_row()
             if name in VERBATIM:
                 stop = text.find(f"\\end{{{name}", at)
                 if stop >= 0:
@@ -101,13 +124,15 @@ def parse(text: str, doc_id: int = 0) -> list[tuple]:
             held = [k for k in range(len(stack) - 1, 0, -1) if stack[k].marker == m.group("end")]
             if held:
                 stack[held[0]].closing = m.group(0)
+                if stack[held[0]].marker in MULTILINE_MATH and len(stack) == held[0] + 2:
+                    end_row("")
                 close_to(held[0])
             else:  # closes nothing: ordinary text
                 top().parts.append(m.group(0))
         elif m.group("sec"):
             marker = m.group("sec")
-            title, rest = first_group(text[at:])
-            at = len(text) - len(rest)
+            start, at = group_at(text, at)
+            title = text[start:at]
             inner = re.search(r"\\label\{([^}]*)\}", title)
             opening = text[m.start() : at]
             if not title[1:-1].strip():
@@ -130,7 +155,7 @@ def parse(text: str, doc_id: int = 0) -> list[tuple]:
                 top().parts.append(m.group(0))
         elif m.group("label") is not None:
             owner = top()
-            while owner.marker in ("mathrow", "verb") and owner.parent is not None:
+            while owner.marker == "verb" and owner.parent is not None:
                 owner = owner.parent
             if not owner.label:
                 owner.label = m.group("label")
@@ -147,35 +172,33 @@ def parse(text: str, doc_id: int = 0) -> list[tuple]:
                 if mark == "equation" and "&" in body:
                     mark = "align"
                 node = open_node(mark, m.group(0), star=mark == "equation")
-                node.parts.append(body)
+                if mark == "align":
+                    open_row()
+                    *rows, last = re.split(r"(\\\\(?:\[[^\[\]&]*\])?|\\cr(?![A-Za-z]))", body)
+                    for row, closing in zip(rows[::2], rows[1::2], strict=True):
+                        top().parts.append(row)
+                        end_row(closing)
+                        open_row()
+                    top().parts.append(last)
+                    end_row("")
+                else:
+                    node.parts.append(body)
                 node.closing = close if sign[0] == "$" else "\\" + close
                 at = stop + len(node.closing)
                 stack.pop()
-        elif m.group(0) == "\\\\" and top().marker in MULTILINE_MATH:
-            top().parts.append("\0")  # a row ends
+        elif m.group("row") and top().marker == "mathrow":
+            end_row(m.group("row"))
+            open_row()
         else:
             top().parts.append(m.group(0))
         del kind
     top().parts.append(text[at:])
-    for node in [n for n in nodes if n.marker in MULTILINE_MATH]:
-        rows = "".join(node.parts).split("\0")
-        node.parts = []
-        for k, body in enumerate(rows):
-            if k + 1 == len(rows) and not body.strip():
-                node.parts.append(body)
-                continue
-            row = _Node(len(nodes), node, "mathrow", "", star=node.star or "\\nonumber" in body, option="end" if k + 1 == len(rows) else "")
-            label = re.search(r"\\label\{([^}]*)\}", body)
-            row.label = label.group(1) if label else ""
-            row.parts, row.closing = [body], "" if k + 1 == len(rows) else "\\\\"
-            nodes.append(row)
-        node.label = ""
     return _numbered(doc_id, nodes)
 
 
 def _numbered(doc_id: int, nodes: list[_Node]) -> list[tuple]:
     """Rows with positions in depth-first order; placeholders renamed to match."""
-    body = {n.pos: "".join(n.parts).replace("\0", "\\\\") for n in nodes}
+    body = {n.pos: "".join(n.parts) for n in nodes}
     by_pos = {n.pos: n for n in nodes}
     order, todo = [], [0]
     while todo:
@@ -195,12 +218,21 @@ def _numbered(doc_id: int, nodes: list[_Node]) -> list[tuple]:
 def _peel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in NODES.split(", ")]
     for pdf in batches:
-        rows = [r for i, t in zip(pdf["doc_id"], pdf["text"], strict=True) for r in parse((t or "").translate({0x27E6: "[", 0x27E7: "]", 0: ""}), i)]
+        rows = [r for i, t in zip(pdf["doc_id"], pdf["text"], strict=True) for r in parse((t or "").translate(_ESCAPES), i)]
         yield pd.DataFrame(rows, columns=names)
 
 
+def unescape(text: Column) -> Column:
+    """A text with its own placeholder signs as they were; for whole texts, placeholders filled."""
+    return F.when(text.contains(ESCAPE), apply_literals(text, [(ESCAPE + "a", OPEN), (ESCAPE + "b", CLOSE), (ESCAPE + "c", ESCAPE)])).otherwise(text)
+
+
 def peel(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) to nodes, with ``content_hash`` (kind and text) and ``node_id`` (place)."""
+    """(doc_id, text) to nodes, with ``content_hash`` (kind and text) and ``node_id`` (place).
+
+    A null text is an empty one. Texts that hold the placeholders' own signs have them
+    escaped in the nodes; ``content.assemble`` restores them.
+    """
     ship(docs.sparkSession)
     nodes = docs.select("doc_id", "text").mapInPandas(_peel, NODES)
     return nodes.withColumn("content_hash", F.sha1(F.concat("opening", "body", "closing", "marker"))).withColumn("node_id", F.sha1(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("pos").cast("string"))))

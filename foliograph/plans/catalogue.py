@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import structure, text_queries
+from . import output, structure, text_queries
 
-QUERIES = text_queries.QUERIES | structure.QUERIES
-ORACLES = text_queries.ORACLES | structure.ORACLES
+QUERIES = text_queries.QUERIES | structure.QUERIES | output.QUERIES
+ORACLES = text_queries.ORACLES | structure.ORACLES | output.ORACLES

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import units
-from ..functions.rules import sql_literals, sql_rules
+from ..functions.rules import sql_literals
 from ..operators import content
 from ..sources.synthetic import table
 
@@ -44,7 +44,7 @@ TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 
 
 def html_entities_to_tex(spark, sf_dir):
-    return titles(spark, sf_dir).select("page_id", X.entities_to_tex(F.col("title")).alias("tex"))
+    return table(spark, sf_dir, "pages").select("page_id", F.sha1(X.entities_to_tex(F.col("html"))).alias("tex_sha1"))
 
 
 def unicode_to_tex(spark, sf_dir):
@@ -52,7 +52,7 @@ def unicode_to_tex(spark, sf_dir):
 
 
 def ascii_fold(spark, sf_dir):
-    return titles(spark, sf_dir).select("page_id", X.to_ascii(F.col("title")).alias("ascii"))
+    return table(spark, sf_dir, "pages").select("page_id", F.sha1(X.to_ascii(F.col("html"))).alias("ascii_sha1"))
 
 
 def safe_names(spark, sf_dir):
@@ -134,24 +134,39 @@ o AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS ordin
 _CELLS = """t AS (SELECT *, role = '{role}' AS is_input, coalesce(lag(role = '{role}') OVER w <> (role = '{role}'), true) AS starts FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 c AS (SELECT *, sum(starts::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS cell FROM t),
 g AS (SELECT conv_id, cell, is_input, count(*) AS n_lines, string_agg(text, chr(10) ORDER BY turn) AS text FROM c GROUP BY conv_id, cell, is_input)"""
-_ASCII = sql_rules(sql_literals(sql_rules(sql_literals(TITLE, X.ENTITIES_TO_TEX), X.ENTITY_RULES), X.UNICODE_TO_TEX), X.ASCII_RULES)
-_URL = sql_rules(sql_literals(sql_rules(sql_literals(r"trim(regexp_replace(url, '\s+', ' ', 'g'), ' ')", X.ENTITIES_TO_TEX), X.ENTITY_RULES), X.UNICODE_TO_TEX), X.ASCII_RULES)
+# The letters that the tables hold, by hand: what they are in markup and in ASCII.
+_LETTERS = [
+    ("è", "\\`e"), ("ç", "\\c{c}"), ("Í", "\\'I"), ("Ü", '\\"U'), ("È", "\\`E"), ("Ç", "\\c{C}"), ("Ä", '\\"A'), ("Ó", "\\'O"), ("ñ", "\\~n"), ("É", "\\'E"), ("ß", "{\\ss}"), ("ê", "\\^e"),
+    ("Ö", '\\"O'), ("Ê", "\\^E"), ("í", "\\'{\\i}"), ("ö", '\\"o'), ("Ñ", "\\~N"), ("ó", "\\'o"), ("é", "\\'e"), ("ä", '\\"a'), ("ü", '\\"u'),
+]
+_PLAIN = "replace(translate({0}, 'èçÍÜÈÇÄÓñÉêÖÊíöÑóéäü', 'ecIUECAOnEeOEioNoeau'), 'ß', 'ss')"
+_KEY = rf"""
+WITH t AS (SELECT page_id AS id, lower({_PLAIN.format("replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', chr(34))")}) AS t FROM pages),
+c AS (SELECT id, trim(regexp_replace(replace(regexp_replace(regexp_replace(t, '''s\b', '', 'g'), '[''`^~"_{{}}$\\:;,.()]', '', 'g'), 'on-', 'on'), '[^a-z0-9]+', ' ', 'g')) AS t FROM t),
+o AS (SELECT id, regexp_replace(t, '^(a note on|notes on|remark on|on the|on) ', '') AS t FROM c),
+w AS (SELECT id, list_filter(string_split(t, ' '), lambda x: x NOT IN ('', 'a', 'an', 'the', 'on', 'in', 'of', 'at', 'for')) AS w FROM o),
+n AS (SELECT id, list_transform(w, lambda x: CASE WHEN list_position(['one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten'], x) > 0
+    THEN list_position(['one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten'], x)::VARCHAR
+  WHEN regexp_matches(x, '[a-z]{{3}}(x|ch|sh|ss)es$') THEN regexp_replace(x, 'es$', '') WHEN regexp_matches(x, '[a-z]{{4}}ies$') THEN regexp_replace(x, 'ies$', 'y')
+  WHEN regexp_matches(x, '[a-z]{{3}}[a-rt-z]s$') THEN regexp_replace(x, 's$', '') ELSE x END) AS w FROM w),
+k AS (SELECT id, replace({{spelled}}, ' ', '') AS key FROM (SELECT id, array_to_string(w, ' ') AS s FROM n))
+SELECT key, count(*) AS n, min(id) AS first_id FROM k WHERE key <> '' GROUP BY key"""
 
 ORACLES = {
     "content_ids": "SELECT doc_id, sha1(coalesce(text, '') || 'text') AS content_id FROM documents",
     "duplicate_nodes": f"WITH {_LINES} SELECT content_hash, count(*) AS n, min(doc_id) AS first_doc FROM o GROUP BY content_hash HAVING count(*) > 1",
     "paragraphs": f"WITH {_LINES} SELECT doc_id, ordinal, content_hash FROM o",
     "paragraph_tree": f"WITH {_LINES} SELECT doc_id, count(*) AS n_children, sum(length(p)) AS chars FROM o GROUP BY doc_id",
-    "html_entities_to_tex": f"SELECT page_id, {sql_rules(sql_literals(TITLE, X.ENTITIES_TO_TEX), X.ENTITY_RULES)} AS tex FROM pages",
-    "unicode_to_tex": f"SELECT doc_id, sha1({sql_literals('text', X.UNICODE_TO_TEX)}) AS tex_sha1 FROM documents",
-    "ascii_fold": f"SELECT page_id, {_ASCII} AS ascii FROM pages",
-    "safe_names": f"SELECT page_id, regexp_replace({_URL}, '[: ~!@#$%^&*|(){{}}<>,+=;/\\\\`''\".]', '_', 'g') AS name FROM pages",
+    "html_entities_to_tex": "SELECT page_id, sha1(replace(html, '&quot;', chr(34))) AS tex_sha1 FROM pages",
+    "unicode_to_tex": f"SELECT doc_id, sha1({sql_literals('text', _LETTERS)}) AS tex_sha1 FROM documents",
+    "ascii_fold": rf"SELECT page_id, sha1(regexp_replace({_PLAIN.format("replace(html, '&quot;', chr(34))")}, '\s+', ' ', 'g')) AS ascii_sha1 FROM pages",
+    "safe_names": r"""SELECT page_id, regexp_replace(trim(regexp_replace(url, '\s+', ' ', 'g')), '[: ~!@#$%^&*|(){}<>,+=;/\\\\`''".]', '_', 'g') AS name FROM pages""",
     "file_stub": "SELECT page_id, regexp_replace(regexp_replace(url, '\\.[^./]*$', ''), '^.*/', '', 's') AS stub FROM pages",
-    "title_key": f"WITH k AS (SELECT page_id AS id, {sql_rules(f'lower({_ASCII})', X.TITLE_RULES)} AS key FROM pages) SELECT key, count(*) AS n, min(id) AS first_id FROM k WHERE key <> '' GROUP BY key",
+    "title_key": _KEY.replace("{spelled}", sql_literals("s", X.SPELLINGS)),
     "inline_math": """WITH m AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS math FROM (SELECT doc_id, regexp_extract_all(text, '\\$([^$]+)\\$', 1) AS x FROM documents))
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS ordinal, math FROM m WHERE NOT regexp_matches(math, '\\n[ \\t]*\\n')""",
-    "kill_comments": f"SELECT doc_id, sha1({sql_rules('text', X.COMMENT_RULES)}) AS clean_sha1 FROM documents",
-    "smart_punctuation": f"""SELECT doc_id, sha1({sql_rules("text", [(r"([^-])---([^-])", "$1\u2014$2"), (r"--", "\u2013"), (r"``", "\u201c"), (r"''", "\u201d"), (r"(^|[\s(])\x22", "$1\u201c"), (r"\x22", "\u201d")])}) AS smart_sha1 FROM documents""",
+    "kill_comments": r"SELECT doc_id, sha1(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '%+', '%', 'g'), '(?m)^[ \t]*%[^\n]*\n', '', 'g'), '%[^\n]*\n[ \t]*', '', 'g'), '%[^\n]*$', '', 'g')) AS clean_sha1 FROM documents",
+    "smart_punctuation": r"""SELECT doc_id, sha1(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(text, '([^-])---([^-])', '\1' || chr(8212) || '\2', 'g'), '--', chr(8211)), '``', chr(8220)), '''''', chr(8221)), '(^|[\s(])"', '\1' || chr(8220), 'g'), '"', chr(8221), 'g')) AS smart_sha1 FROM documents""",
     "lt_escape": "SELECT page_id, sha1(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped_sha1 FROM pages",
     "author_match": """WITH n AS (SELECT regexp_extract(c_name, '([0-9]+)$', 1) AS k FROM customer), p AS (SELECT s_suppkey, regexp_replace(regexp_extract(s_name, '([0-9]+)$', 1), '^0+', '') AS k FROM supplier)
 SELECT 'S ' || n.k AS name, min(s_suppkey) AS person_id FROM n JOIN p ON p.k <> '' AND (suffix(n.k, p.k) OR suffix(p.k, n.k)) GROUP BY n.k HAVING count(*) = 1""",

@@ -27,14 +27,15 @@ def includes(files: DataFrame) -> DataFrame:
     return files.select("file", found).select("file", (F.col("k") + 1).alias("ordinal"), "target")
 
 
-def expand_includes(files: DataFrame, root: DataFrame, max_depth: int = 20) -> DataFrame:
+def expand_includes(files: DataFrame, root: DataFrame, max_depth: int = 20, edges: DataFrame | None = None) -> DataFrame:
     """(root, file, depth, place, cyclic): every file reached from each root, in reading order.
 
     ``place`` orders the files as an expansion would meet them. A file that is among its own
     ancestors is reported once as cyclic and not followed; other repeats are legitimate.
-    Deeper chains than ``max_depth`` are an error and not a silent stop.
+    Deeper chains than ``max_depth`` are an error and not a silent stop. ``edges`` are those
+    of ``includes``, by default, or of ``located``.
     """
-    edge = includes(files)
+    edge = (includes(files) if edges is None else edges).select("file", "ordinal", "target")
     level = root.select(F.col("file").alias("root"), "file", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("place"), F.array("file").alias("chain"), F.lit(False).alias("cyclic"))
     out = level
     for depth in range(1, max_depth + 1):
@@ -53,6 +54,55 @@ def expand_includes(files: DataFrame, root: DataFrame, max_depth: int = 20) -> D
     raise ValueError(f"includes are nested deeper than {max_depth}")
 
 
+def located(edges: DataFrame, files: DataFrame, folder: str = "", working: str = "") -> DataFrame:
+    """Include edges with the file that a target means: with and without ``.tex``, in the input folder and then the working folder.
+
+    ``files`` has the names that exist. A target that is nowhere keeps its name, with ``missing``.
+    """
+    names = [F.concat(F.lit(f), "target", F.lit(x)) for f in (folder, working) for x in (".tex", "")]
+    tried = edges.withColumn("row", F.monotonically_increasing_id()).select("*", F.posexplode(F.array(*names)).alias("turn", "name"))
+    found = tried.join(files.select(F.col("file").alias("name")).distinct(), "name")
+    best = found.groupBy("file", "ordinal", "target").agg(F.min(F.struct("turn", "name")).alias("b")).select("file", "ordinal", "target", "b.name")
+    return edges.join(best, ["file", "ordinal", "target"], "left").select("file", "ordinal", F.coalesce("name", "target").alias("target"), F.col("name").isNull().alias("missing"))
+
+
+def included_text(files: DataFrame, found: DataFrame) -> DataFrame:
+    """(root, text): the whole text of each root with the files of ``expand_includes`` in their places.
+
+    Texts are cut at their includes. A piece sorts by the way to it: the place of its file,
+    then its own number; a file included between two pieces sorts between them. What is
+    cyclic or missing leaves nothing.
+    """
+    way = F.transform("place", lambda p: p * 2)
+    rows = found.where(~F.col("cyclic")).join(files.select("file", "text"), "file")
+    pieces = rows.select("root", way.alias("way"), F.posexplode(F.split("text", INCLUDE_RE, -1)).alias("k", "piece"))
+    whole = pieces.groupBy("root").agg(F.sort_array(F.collect_list(F.struct(F.concat("way", F.array(F.col("k") * 2 + 1)).alias("key"), "piece"))).alias("p"))
+    return whole.select("root", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("text"))
+
+
+# Packages of journals and publishers that are never read.
+OMITTED_PACKAGES = (
+    "imsart arximspdf IEEEtran gtpart gtart birkjour birkjour_t2 dmtcs svmult svjour pnastwo babel cleveref lms HandbookOfModuli AmsArt siamltex agtart_a mdpi e-jc "
+    "egastyle pinlabel graphs jtbbook jtbart diagrams elsart physics geompsfi amlts amsppt jheppub loops skeyval algorithm algorithm2e algorithmic algpseudocode "
+    "jmlr2e amltd spconf amsmath amssymb amsfonts mathtools url color subfigure graphicx lgrind cite fancyhdr psfig pgfplots arximspdf smfthm smfart smfbook mhequ mhfig mhenvs "
+    "subenv revtex caption subcaption ScriptFonts Symbols birkmult elsart3-1 revtex4-1 aims aomamlt2e ejpecp ltexpprt acmsmall epl2 JINST iopart iopams mysymbol acmnew mhchem "
+    "amsrefs jmlrmod infocom acmart natbib llncs oldllncs ieeeconf acm_proc_article-sp aaai ltexpprt sig-alternate tufte-book sagetex tabmac chngcntr gastex mathfont yjsco"
+).split()
+
+
+def packages(docs: DataFrame) -> DataFrame:
+    r"""(doc_id, ordinal, package): names of ``\usepackage`` and ``\documentclass``, lists taken apart."""
+    lists = F.regexp_extract_all("text", F.lit(r"\\(?:usepackage|documentclass)\s*(?:\[[^\]]*\])?\s*\{([^}]*)\}"), F.lit(1))
+    names = F.filter(F.transform(F.flatten(F.transform(lists, lambda x: F.split(x, ","))), lambda x: F.trim(x)), lambda x: x != "")
+    return docs.select("doc_id", F.posexplode(names).alias("k", "package")).select("doc_id", (F.col("k") + 1).alias("ordinal"), "package")
+
+
+def package_texts(docs: DataFrame, files: DataFrame) -> DataFrame:
+    """(doc_id, ordinal, package, file): packages that are not omitted and stand next to the document as ``.sty`` or ``.cls``."""
+    used = packages(docs).where(~F.col("package").isin(*OMITTED_PACKAGES))
+    return used.select("*", F.explode(F.array(*[F.concat("package", F.lit(x)) for x in (".sty", ".cls")])).alias("file")).join(files.select("file"), "file", "left_semi").select("doc_id", "ordinal", "package", "file")
+
+
 def local_packages(used: DataFrame, omitted: DataFrame, present: DataFrame) -> DataFrame:
     """Package names that are used, not on the omit list, and stand next to the document."""
     return used.join(omitted, "package", "left_anti").join(present, "package")

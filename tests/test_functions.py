@@ -4,7 +4,7 @@ from hypothesis import settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from foliograph.functions import rules, scanner, text, units
+from foliograph.functions import markup, rules, scanner, text, units
 
 
 @pytest.mark.parametrize(
@@ -74,7 +74,7 @@ def test_content_id_of_null(spark):
     assert column(spark, [None, ""], text.content_id)[0] == column(spark, [""], text.content_id)[0]
 
 
-@pytest.mark.parametrize("table", [text.ENTITY_RULES, text.ASCII_RULES, text.TITLE_RULES, text.COMMENT_RULES])
+@pytest.mark.parametrize("table", [text.ENTITY_RULES, text.SILLY_BRACES, text.COMMENT_RULES, markup.ACCENT_RULES, markup.spacing_rules("ptx")])
 def test_patterns_compile(spark, table):
     for pattern, replacement in table:
         assert column(spark, ["abc"], lambda c, p=pattern, r=replacement: rules.apply_rules(c, [(p, r)])) is not None

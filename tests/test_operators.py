@@ -145,7 +145,7 @@ def test_content(spark):
     assert [(r.letter, r.main, r["sub"]) for r in content.build_index(e).orderBy("place").collect()] == [("A", "Alpha", None), ("A", "Alpha", "two"), ("B", "beta", None), ("Z", "beta", None)]
     terms = spark.createDataFrame([("graph",), ("category",), ("box",), ("boss",)], "term string")
     found = content.link_terms(docs(spark, "graphs categories bosses boxes graph photograph"), terms).collect()
-    assert {(r.word, r.term) for r in found} == {("graphs", "graph"), ("graph", "graph"), ("categories", "category"), ("bosses", "boss")}
+    assert {(r.phrase, r.term) for r in found} == {("graphs", "graph"), ("graph", "graph"), ("categories", "category"), ("bosses", "boss")}
     assert spark.createDataFrame([("(The) groups.",)], "t string").select(content.normal_term(F.col("t"))).first()[0] == "The group"
 
 
@@ -174,7 +174,8 @@ def test_files_sinks_and_stream(spark, tmp_path):
     sinks.write_nodes(n, str(tmp_path / "nodes"), 2)
     assert spark.read.parquet(str(tmp_path / "nodes")).count() == n.count()
     sinks.write_pages(spark.createDataFrame([(1, "a.html", "x\ny")], "doc_id long, file string, text string"), str(tmp_path / "pages"))
-    assert spark.read.text(str(tmp_path / "pages")).first().value == '{"file":"a.html","text":"x\\ny"}'
+    page = spark.read.text(str(tmp_path / "pages"), wholetext=True).first()
+    assert (page.value, page.doc_id, page.file) == ("x\ny\n", 1, "a.html")
     docs(spark, BOOK, "plain").write.parquet(str(tmp_path / "arriving"))
     q = streaming.run_batches(streaming.stream_documents(spark, str(tmp_path / "arriving")), peel, str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
