@@ -336,7 +336,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _stars(sets: DataFrame, rarity) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs of short lists (a, b), members of long lists, and (sid, head) with the partner of each set that agrees with it most."""
+    """Pairs of short lists (a, b), places of sets in long lists (sid, places), and (sid, head) with the partner of each set that agrees with it most."""
     spark = sets.sparkSession
     lists = sets.select("sid", "sig").mapInArrow(_posted(rarity), "token long, sid long").groupBy("token").agg(F.min("sid").alias("head"), F.count("*").alias("m"))
     lists = materialize(lists.where("m > 1"), "dup-lists")
@@ -356,7 +356,9 @@ def _stars(sets: DataFrame, rarity) -> tuple[DataFrame, DataFrame, DataFrame]:
     heads = near.select(F.col("a").alias("head"), F.col("b").alias("sid"), "alike").unionByName(near.select(F.col("a").alias("head"), F.col("a").alias("sid"), alone))
     heads = heads.unionByName(long.select("head", "sid", F.when(F.col("sid") > F.col("head"), F.col("alike")).otherwise(-1).alias("alike")))
     best = heads.groupBy("sid").agg(F.max(F.struct("alike", (-F.col("head")).alias("first"), "head")).alias("h"))
-    return near.drop("alike"), long.drop("alike"), materialize(best.select("sid", "h.head"), "dup-heads")
+    # A set's places in long lists, a prefix of them at most, stay together where they are joined by set.
+    placed = materialize(long.groupBy("sid").agg(F.collect_list(F.struct("token", "coord")).alias("places")), "dup-long")
+    return near.drop("alike"), placed, materialize(best.select("sid", "h.head"), "dup-heads")
 
 
 def _near_duplicates(docs: DataFrame) -> DataFrame:
@@ -429,7 +431,7 @@ def _crossing(near: DataFrame, long: DataFrame, labels: DataFrame, sets: DataFra
     of short lists wait.
     """
     of = lambda c: labels.select(F.col("sid").alias(c), F.col("label").alias(f"label_{c}"), F.col("blk").alias(f"blk_{c}"))
-    known = long.drop("head").join(labels, "sid")
+    known = long.join(labels, "sid").select("sid", "blk", "label", F.explode("places").alias("p")).select("sid", "blk", "label", "p.token", "p.coord")
     open_lists = known.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x <> y")
     open_lists = materialize(open_lists.select("token", F.ceil(F.col("m") / LIST_BLOCK).cast("int").alias("nb")), "dup-open-lists")
     members = known.join(open_lists, "token").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int"))
