@@ -172,17 +172,24 @@ def session_cells(lines: DataFrame, prompt: Column, order: str = "ordinal") -> D
     return marked.groupBy("doc_id", "cell", "is_input").agg(F.count("*").alias("n_lines"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "line"))), lambda x: x["line"]), "\n").alias("text"))
 
 
+def suffix_pairs(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str) -> DataFrame:
+    """Rows whose names ``a`` and ``b`` end one like the other, joined by equality of a whole name with an ending of the other."""
+    endings = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.col(c).substr(i, F.length(c)))).alias("__end")
+    one = left.withColumn("__end", F.col(a)).join(right.select("*", endings(b)), [*on, "__end"])
+    two = left.select("*", endings(a)).join(right.withColumn("__end", F.col(b)), [*on, "__end"])
+    return one.drop("__end").unionByName(two.drop("__end")).distinct()
+
+
 def author_matches(names: DataFrame, people: DataFrame) -> DataFrame:
     """Names with the one person whose last name ends like theirs and whose first initial is equal.
 
-    ``names(name)`` and ``people(person_id, firstname, lastname)``. Candidates share the
-    initial and the last letter of the last name, a join on equality; the affix test follows.
+    ``names(name)`` and ``people(person_id, firstname, lastname)``. Candidates come from joins
+    on the initial and a whole last name, of either side, that is an ending of the other.
     """
     ascii_name = to_ascii(F.col("name"))
     n = names.select("name", F.substring(ascii_name, 1, 1).alias("initial"), F.element_at(F.split(ascii_name, r"\s+"), -1).alias("last"))
-    p = people.select("person_id", to_ascii(F.col("firstname")).alias("pf"), to_ascii(F.col("lastname")).alias("pl"))
-    n, p = n.withColumn("end", F.right("last", F.lit(1))), p.withColumn("initial", F.substring("pf", 1, 1)).withColumn("end", F.right("pl", F.lit(1)))
-    both = n.join(p, ["initial", "end"]).where(F.col("pl").endswith(F.col("last")) | F.col("last").endswith(F.col("pl")))
+    p = people.select("person_id", F.substring(to_ascii(F.col("firstname")), 1, 1).alias("initial"), to_ascii(F.col("lastname")).alias("pl")).where("pl <> ''")
+    both = suffix_pairs(n, p, ["initial"], "last", "pl")
     return both.groupBy("name").agg(F.count("*").alias("n"), F.min("person_id").alias("person_id")).where("n = 1").select("name", "person_id")
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scanner import group_at, rewrite_macro
-from ..functions.text import entities_to_tex
+from ..functions.text import entities_to_tex, to_ascii
 from ..session import ship
+from . import content
 
 _KIND = T.StructType([T.StructField("title", T.StringType()), T.StructField("title_short", T.StringType()), T.StructField("authors", T.ArrayType(T.StringType())), T.StructField("thanks", T.StringType()), T.StructField("email", T.StringType()), T.StructField("abstract", T.StringType()), T.StructField("appendix", T.StringType())])
 
@@ -69,11 +70,8 @@ def paper_authors(pages: DataFrame, people: DataFrame, limit: int = 12) -> DataF
     """(page_id, person_id): people among the ``citation_author`` entries of a page.
 
     Last names match if one ends like the other, first names if one begins like the other;
-    an initial counts only on pages of at most ``limit`` authors. Candidates share the
-    initial of the first name and the last two letters of the last name, a join on equality.
+    an initial counts only on pages of at most ``limit`` authors.
     """
-    from ..functions.text import to_ascii
-
     metas = F.regexp_extract_all("html", F.lit(r'<meta\s+name="citation_author"\s+content="([^"]*)"'), F.lit(1))
     each = pages.select("page_id", F.size(metas).alias("n"), F.explode(metas).alias("author"))
     name = F.regexp_replace(to_ascii(F.col("author")), "'", "")
@@ -81,9 +79,8 @@ def paper_authors(pages: DataFrame, people: DataFrame, limit: int = 12) -> DataF
     first = F.regexp_replace(F.trim(F.coalesce(F.get(F.split(name, ","), 1), F.lit(""))), r"\..*", "")
     each = each.select("page_id", "n", last.alias("al"), first.alias("af"))
     p = people.select("person_id", to_ascii(F.col("lastname")).alias("pl"), to_ascii(F.col("firstname")).alias("pf"))
-    keys = lambda l, f: (F.right(l, F.lit(2)).alias("end"), F.substring(f, 1, 1).alias("initial"))  # noqa: E731, E741
-    both = each.select("*", *keys(F.col("al"), F.col("af"))).join(p.select("*", *keys(F.col("pl"), F.col("pf"))), ["end", "initial"])
-    same = (F.col("al").endswith(F.col("pl")) | F.col("pl").endswith(F.col("al"))) & (F.col("af").startswith(F.col("pf")) | F.col("pf").startswith(F.col("af")))
+    both = content.suffix_pairs(each.withColumn("initial", F.substring("af", 1, 1)), p.withColumn("initial", F.substring("pf", 1, 1)).where("pl <> ''"), ["initial"], "al", "pl")
+    same = F.col("af").startswith(F.col("pf")) | F.col("pf").startswith(F.col("af"))
     return both.where(same & ((F.length("af") > 1) | (F.col("n") <= limit))).select("page_id", "person_id").distinct()
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical, pages, scanner
 from ..functions import text as X
-from ..operators import content, frontmatter, links, macros, numbering, references, tags
+from ..operators import content, frontmatter, links, macros, navigation, numbering, references, tags
 from ..operators.peel import peel
 from ..sources import documents, sinks, synthetic
 from ..sources.synthetic import joined, table
@@ -245,16 +245,71 @@ def paper_authors(spark, sf_dir):
     return frontmatter.paper_authors(page, people)
 
 
+def toc_linked(spark, sf_dir):
+    return navigation.toc_html(numbering.number_nodes(peel(synthetic.atlas(spark, sf_dir)))).select(F.col("doc_id").alias("r_regionkey"), F.sha1("toc").alias("toc_sha1"), F.length("toc").cast("long").alias("chars"))
+
+
+def page_buttons(spark, sf_dir):
+    pages_of = links.page_names(numbering.number_nodes(peel(synthetic.customer_books(spark, sf_dir))))
+    around = links.prev_next(pages_of, "pos")
+    return around.select(F.col("doc_id").alias("c_custkey"), "file", navigation.buttons(F.col("prev"), F.col("next")).alias("html"))
+
+
+def framed_pages(spark, sf_dir):
+    n = numbering.number_nodes(peel(synthetic.atlas(spark, sf_dir)))
+    pages_of = links.page_names(n).join(n.select("doc_id", "pos", "title"), ["doc_id", "pos"]).where("title is not null").withColumn("text", F.col("title"))
+    shown = navigation.framed(pages_of, navigation.toc_html(n).withColumn("toc", F.lit("T")))
+    return shown.select(F.col("doc_id").alias("r_regionkey"), "file", "text")
+
+
+def index_pages(spark, sf_dir):
+    """An index per region: nations under their first letter, with a sort key, a sub-entry and links of two kinds."""
+    n = table(spark, sf_dir, "nation")
+    row = lambda entry, marker: F.struct(entry.alias("entry"), F.lit(marker).alias("marker"))
+    both = F.array(row(F.concat("n_name", F.lit("@"), F.initcap("n_name")), "theorem"), row(F.concat("n_name", F.lit("!"), "n_nationkey"), "text"))
+    entries = n.select(F.col("n_regionkey").alias("doc_id"), F.explode(both).alias("e"), F.col("n_nationkey").cast("string").alias("number"), F.concat(F.lit("k"), "n_nationkey", F.lit(".knowl")).alias("file")).select("doc_id", "e.*", "number", "file")
+    return navigation.index_page(entries).select(F.col("doc_id").alias("n_regionkey"), "html")
+
+
+def macro_preludes(spark, sf_dir):
+    text = F.format_string("\\newcommand{\\be}[1]{a #1 %d}\\providecommand{\\xx}{x}\\def\\be{b%d}\\newcommand{\\frac}{f}", "p_size", "p_size")
+    m = macros.extract_macros(part(spark, sf_dir).select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
+    return navigation.macro_prelude(m).join(navigation.macro_prelude(m, "ptx").withColumnRenamed("prelude", "ptx"), "doc_id").select(F.col("doc_id").alias("p_partkey"), "prelude", "ptx")
+
+
+def drawing_documents(spark, sf_dir):
+    text = F.format_string("\\newcommand{\\be}{%d}\\begin{tikzpicture}d%d\\end{tikzpicture}", "p_size", "p_size")
+    docs = part(spark, sf_dir).select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
+    made = navigation.drawing_documents(sinks.render_requests(peel(docs)), navigation.macro_prelude(macros.extract_macros(docs)))
+    return made.select(F.col("doc_id").alias("p_partkey"), F.substring_index(F.substring_index("tex", "\\require{cancel}", -1), "\\end{document}", 1).alias("tail"), F.substring_index("tex", "\n", 1).alias("head"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         nested_math, page_statements, page_lists, page_math, page_hints, page_tags, page_layout, page_finished, tags_html, tags_ptx, hidden_proofs, links_html, links_ptx, cites_html, paper_links,
         term_phrases, term_links_written, normal_terms, marked_entries, front_matter, canonical_form, included_text, packages, table_lines, text_cuts, svg_sizes, early_macros, main_files, snippets,
-        render_manifest, display_math, paper_authors,
+        render_manifest, display_math, paper_authors, toc_linked, page_buttons, framed_pages, index_pages, macro_preludes, drawing_documents,
     )
 }
 
+_SECTIONS = "s AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS s FROM nation)"
+_MACROS = " || chr(10) || ".join(f"'{x}'" for x in (r"\def\C{\mathbb C}", r"\def\R{\mathbb R}", r"\def\Z{\mathbb Z}", r"\def\Q{\mathbb Q}", r"\def\F{\mathbb F}", r"\def\smash{}", r"\def\phantomplus{}", r"\def\nobreak{}", r"\def\omit{}", r"\def\hidewidth{}", r"\require{cancel}"))
 ORACLES = {
+    "toc_linked": f"""WITH {_SECTIONS}, t AS (SELECT r_regionkey::BIGINT AS r_regionkey, '<h2 class="link"><a href="chapter1.html" data-scroll="chapter1"><span class="codenumber">1.</span><span class="title">' || r_name || '</span></a></h2>' || chr(10) || '<ul>' || chr(10)
+ || string_agg('<li><a href="section1-' || s || '.html" data-scroll="section1-' || s || '">' || n_name || '</a></li>' || chr(10), '' ORDER BY s) || '</ul>' || chr(10) AS toc FROM s JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name) SELECT r_regionkey, sha1(toc) AS toc_sha1, length(toc) AS chars FROM t""",
+    "page_buttons": """WITH o AS (SELECT o_custkey, row_number() OVER w AS s, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
+SELECT o_custkey AS c_custkey, 'section' || s || '.html' AS file, '<a class="previous-button toolbar-item button' || CASE WHEN s = 1 THEN ' disabled" href="' ELSE '" href="section' || (s - 1) || '.html' END || '">Previous</a><a class="next-button toolbar-item button' || CASE WHEN s = n THEN ' disabled" href="' ELSE '" href="section' || (s + 1) || '.html' END || '">Next</a>' AS html FROM o""",
+    "framed_pages": f"""WITH {_SECTIONS}, p AS (SELECT n_regionkey::BIGINT AS r, 'section1-' || s || '.html' AS file, n_name AS t, s FROM s UNION ALL SELECT r_regionkey, 'chapter1.html', r_name, 0 FROM region),
+q AS (SELECT *, lag(file) OVER w AS a, lead(file) OVER w AS b FROM p WINDOW w AS (PARTITION BY r ORDER BY s))
+SELECT r AS r_regionkey, file, '<!DOCTYPE html>' || chr(10) || '<html>' || chr(10) || '<head><title>' || t || '</title></head>' || chr(10) || '<body>' || chr(10) || '<nav><a class="previous-button toolbar-item button' || coalesce('" href="' || a, ' disabled" href="') || '">Previous</a><a class="next-button toolbar-item button' || coalesce('" href="' || b, ' disabled" href="') || '">Next</a></nav>' || chr(10)
+ || '<div class="page">' || chr(10) || '<aside id="sidebar-left" class="sidebar"><nav id="toc">T</nav></aside>' || chr(10) || '<main class="main">' || chr(10) || '<div id="content" class="pretext-content">' || chr(10) || t || '</div></main></div></body></html>' AS text FROM q""",
+    "index_pages": """WITH i AS (SELECT n_regionkey, n_name, lower(left(n_name, 1)) AS letter, chr(10) || '<div class="indexitem">' || n_name || chr(10) || '<div class="subindexitem">' || n_nationkey || '<span class="indexknowl"><a knowl="k' || n_nationkey || '.knowl">&sect;' || n_nationkey || '-p</a></span></div></div>' AS a,
+  chr(10) || '<div class="indexitem">' || upper(left(n_name, 1)) || lower(substr(n_name, 2)) || '<span class="indexknowl"><a knowl="k' || n_nationkey || '.knowl">thm-' || n_nationkey || '</a></span></div>' AS b FROM nation),
+l AS (SELECT n_regionkey, letter, string_agg(line, '' ORDER BY k) AS s FROM (SELECT *, a AS line, upper(n_name) || '!' AS k FROM i UNION ALL SELECT *, b, upper(n_name) || '@' FROM i) GROUP BY 1, 2)
+SELECT n_regionkey, string_agg(chr(10) || '<div id="indexletter-' || letter || '" class="indexletter">' || s || chr(10) || '</div>', '' ORDER BY letter) AS html FROM l GROUP BY 1""",
+    "macro_preludes": f"""SELECT p_partkey, {_MACROS} || chr(10) || '\\renewcommand{{\\xx}}{{x}}' || chr(10) || '\\def\\be{{b' || p_size || '}}' || chr(10) AS prelude, '<macros>' || chr(10) || '\\renewcommand{{\\xx}}{{x}}' || chr(10) || '\\def\\be{{b' || p_size || '}}' || chr(10) || '</macros>' || chr(10) AS ptx FROM part""",
+    "drawing_documents": """SELECT p_partkey, chr(10) || '\\newcommand{\\be}{' || p_size || '}' || chr(10) || '\\begin{document}' || chr(10) || '\\pagestyle{empty}' || chr(10) || '\\begin{tikzpicture}d' || p_size || '\\end{tikzpicture}' || chr(10) AS tail, '\\documentclass{article}' AS head FROM part""",
     "nested_math": "SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS row, 3 AS depth, true AS same FROM lineitem",
     "page_statements": """SELECT p_partkey, 'a' || chr(10) || chr(10) || '<theorem xml:id="t' || p_partkey || '">' || chr(10) || '<title>' || p_name || '</title><statement><p>b</p></statement><proof><p>c</p></proof>' || chr(10) || '</theorem>' || chr(10) || chr(10)
  || 'd' || chr(10) || chr(10) || '<example>' || chr(10) || '<statement><p>' || p_size || '</p></statement>' || chr(10) || '</example>' || chr(10) || chr(10) AS page FROM part""",

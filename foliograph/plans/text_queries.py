@@ -114,10 +114,10 @@ def dialogue_lines(spark, sf_dir):
 
 
 def index_build(spark, sf_dir):
-    """Part names as entries: brand as main entry, name as sub-entry, sorted under the name."""
+    """Part names as entries, an index for each size: brand as main entry, name as sub-entry, sorted under the name."""
     part = table(spark, sf_dir, "part")
-    entries = part.select(F.lit(0).alias("doc_id"), F.concat("p_name", F.lit("@"), "p_brand", F.lit("!"), "p_name").alias("entry"))
-    return content.build_index(entries).select("place", "letter", "main", "sub", "new_letter", "new_main")
+    entries = part.select(F.col("p_size").alias("doc_id"), F.concat("p_name", F.lit("@"), "p_brand", F.lit("!"), "p_name").alias("entry"))
+    return content.build_index(entries).select(F.col("doc_id").alias("p_size"), "place", "letter", "main", "sub", "new_letter", "new_main")
 
 
 QUERIES = {
@@ -178,6 +178,6 @@ SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS n_links FROM w JOIN g
     "si_units": """SELECT p_partkey, '<quantity><mag>' || p_size || '</mag><unit prefix="kilo" base="gram"/><unit prefix="centi" base="meter" exp="2"/><per base="second"/></quantity>' AS quantity FROM part""",
     "session_cells": f"WITH {_CELLS.format(role='user')} SELECT conv_id, cell, is_input, n_lines, sha1(text) AS text_sha1 FROM g",
     "dialogue_lines": f"WITH {_CELLS.format(role='assistant')} SELECT conv_id, count(*) AS n_changes, max(n_lines) AS longest FROM g GROUP BY conv_id",
-    "index_build": """WITH e AS (SELECT DISTINCT upper(p_name) AS s, p_brand AS main, p_name AS sub, p_name || '@' || p_brand || '!' || p_name AS entry FROM part), w AS (SELECT *, left(s, 1) AS letter FROM e)
-SELECT row_number() OVER o AS place, letter, main, sub, coalesce(lag(letter) OVER o <> letter, true) AS new_letter, coalesce(lag(main) OVER o <> main, true) AS new_main FROM w WINDOW o AS (ORDER BY s, entry)""",
+    "index_build": """WITH e AS (SELECT DISTINCT p_size, upper(p_name) AS s, p_brand AS main, p_name AS sub, p_name || '@' || p_brand || '!' || p_name AS entry FROM part), w AS (SELECT *, left(s, 1) AS letter FROM e)
+SELECT p_size, row_number() OVER o AS place, letter, main, sub, coalesce(lag(letter) OVER o <> letter, true) AS new_letter, coalesce(lag(main) OVER o <> main, true) AS new_main FROM w WINDOW o AS (PARTITION BY p_size ORDER BY s, entry)""",
 }
