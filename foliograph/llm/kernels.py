@@ -163,6 +163,18 @@ def shingles(words: np.ndarray, q: int) -> np.ndarray:
     return mix(out)
 
 
+def byte_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How often each byte occurs in each row: (rows, 256)."""
+    return np.array([np.bincount(data[a:b], minlength=256) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.int64).reshape(-1, 256)
+
+
+def first_of_each(keys: np.ndarray) -> np.ndarray:
+    """The index of one occurrence of each distinct key."""
+    order = np.argsort(keys)
+    key = keys[order]
+    return order[np.concatenate([np.ones(min(len(key), 1), bool), key[1:] != key[:-1]])]
+
+
 def segment_rows(first: np.ndarray) -> np.ndarray:
     """The row of each element, from the index of each row's first element."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))

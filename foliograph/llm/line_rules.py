@@ -46,16 +46,15 @@ def measure(data: np.ndarray, offsets: np.ndarray, normalised: bool = True) -> d
     first = np.searchsorted(starts, offsets)
     word_row = K.segment_rows(first)
     exact = K.word_hashes(data, starts, ends, lower=False)
-    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    out = {"n_words": np.diff(first), "word_chars": np.bincount(word_row, points[ends] - points[starts], minlength=n).astype(np.int64)}
-    symbols = np.concatenate([[0], np.cumsum(_SYMBOL[data])])
-    out["n_symbols"] = symbols[offsets[1:]] - symbols[offsets[:-1]]
+    counts = K.byte_counts(data, offsets)
+    # A code point of a word is a byte that is no white space and continues none.
+    out = {"n_words": np.diff(first), "word_chars": counts[:, K.NOT_SPACE & ((np.arange(256) & 0xC0) != 0x80)].sum(axis=1), "n_symbols": counts[:, _SYMBOL].sum(axis=1), "bytes": counts}
     # Windows found again in the text.
     w = K.shingles(exact, REPEAT_WINDOW)
     inside = word_row[: len(w)] == word_row[REPEAT_WINDOW - 1 :] if len(w) else np.zeros(0, bool)
     at = np.flatnonzero(inside)
     key = _per_row(w[at], word_row[at])
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     same = key[order][1:] == key[order][:-1]
     again = np.zeros(len(at), bool)
     again[order[1:][same]] = again[order[:-1][same]] = True
@@ -73,11 +72,12 @@ def measure(data: np.ndarray, offsets: np.ndarray, normalised: bool = True) -> d
     cut, stop, row, lo, hi = cut[own], stop[own], row[own], lo[own], hi[own]
     stop = stop - (data[stop - 1] == 10)
     raw = _per_row(K.word_hashes(data, cut, stop, lower=False), row) if len(cut) else np.zeros(0, np.uint64)
-    _, kept = np.unique(raw, return_index=True)
+    kept = K.first_of_each(raw)
     out["n_dup_lines"] = np.bincount(row, minlength=n) - np.bincount(row[kept], minlength=n)
     out |= {"starts": starts, "ends": ends, "first": first, "word_row": word_row}
     if not normalised:
         return out
+    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     line = K.range_hashes(K.word_hashes(data, starts, ends), lo, hi)
     key, kept, which = np.unique(_per_row(line, row), return_index=True, return_inverse=True)
     words = np.bincount(which, hi - lo, minlength=len(key)).astype(np.int64)

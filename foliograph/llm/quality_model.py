@@ -32,8 +32,6 @@ ROUNDS = 4
 CONFIDENT = 0.97
 #: A fit over the corpus ends where another Newton step would gain less than this share of the loss, or after so many.
 GAIN, STEPS = 1e-4, 12
-#: The pool's Hessian, which only shapes steps, is taken from one row in so many; gradients are those of all rows.
-CURVE_SHARE = 8
 #: Pieces in which sums are added up, and rows of features taken at once.
 PIECES, ROWS = 16, 2048
 #: Documents with a combined score below this are rejected.
@@ -51,11 +49,6 @@ _PUNCT = np.zeros(256, bool)
 _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
-def _share(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    c = np.concatenate([[0], np.cumsum(flags)])
-    return (c[offsets[1:]] - c[offsets[:-1]]) / np.maximum(np.diff(offsets), 1)
-
-
 def text_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The content view of each text, and its layout (part of the metadata view)."""
     n = len(offsets) - 1
@@ -65,24 +58,22 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     slots = np.bincount(row * WORD_SLOTS + (words >> np.uint64(55)).astype(np.int64), minlength=n * WORD_SLOTS).reshape(n, WORD_SLOTS)
     slots = np.sqrt(slots)
     slots /= np.maximum(np.linalg.norm(slots, axis=1, keepdims=True), 1)
-    count = np.maximum(m["n_words"], 1)
-    distinct = np.unique(K.mix(words + row.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)), return_index=True)[1]
+    count, size = np.maximum(m["n_words"], 1), np.maximum(np.diff(offsets), 1)
+    distinct = K.first_of_each(K.mix(words + row.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)))
     again = np.zeros(len(words), bool)
     if len(words) > 1:
         again[1:] = (words[1:] == words[:-1]) & (row[1:] == row[:-1])
     shape = np.column_stack([
         m["n_symbols"] / count,
-        _share(_UPPER[data], offsets),
-        _share(_DIGIT[data], offsets),
-        _share(_PUNCT[data], offsets),
-        _share(data == 33, offsets),
-        _share(data == 124, offsets),
+        *(m["bytes"][:, kind].sum(axis=1) / size for kind in (_UPPER, _DIGIT, _PUNCT)),
+        m["bytes"][:, 33] / size,
+        m["bytes"][:, 124] / size,
         np.bincount(row[distinct], minlength=n) / count,
         m["word_chars"] / count,
         m["n_repeat_words"] / count,
         np.bincount(row[again], minlength=n) / count,
     ])
-    lines = np.bincount(np.searchsorted(offsets, np.flatnonzero(data == 10), "right") - 1, minlength=n) + 1
+    lines = m["bytes"][:, 10] + 1
     layout = np.column_stack([np.log1p(m["n_words"]), np.log1p(lines), np.log1p(np.diff(offsets) / lines), m["n_dup_lines"] / lines])
     return np.hstack([shape, slots]).astype(np.float32), layout
 
@@ -186,11 +177,8 @@ class Teachers:
         return np.where(sure[rows, first], (p[rows, first] > 0.5).astype(float), np.nan)
 
 
-def logistic_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, mean: np.ndarray, scale: np.ndarray, share: int = 1) -> np.ndarray:
-    """Loss, gradient and Hessian for standardised features, from raw rows, one after the other.
-
-    The Hessian only shapes a step; it is taken from one row in ``share``.
-    """
+def logistic_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Loss, gradient and Hessian for standardised features, from raw rows, one after the other."""
     inverse = 1 / scale  # 0 for constant features
     v = w[:-1] * inverse
     at = np.clip((x @ v.astype(np.float32)).astype(np.float64) + (w[-1] - float(mean @ v)), -35, 35)
@@ -198,10 +186,9 @@ def logistic_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, mean: np.ndarray,
     rest = p - y
     raw = (x.T @ rest.astype(np.float32)).astype(np.float64)
     grad = np.append((raw - mean * rest.sum()) * inverse, rest.sum())
-    some = x[::share]
-    curve = np.maximum(p * (1 - p), 1e-6)[::share] * (len(x) / max(len(some), 1))
+    curve = np.maximum(p * (1 - p), 1e-6)
     c32 = curve.astype(np.float32)
-    square, side, total = ((some * c32[:, None]).T @ some).astype(np.float64), (some.T @ c32).astype(np.float64), curve.sum()
+    square, side, total = ((x * c32[:, None]).T @ x).astype(np.float64), (x.T @ c32).astype(np.float64), curve.sum()
     square += total * np.outer(mean, mean) - np.outer(mean, side) - np.outer(side, mean)
     hess = np.empty((len(w), len(w)))
     hess[:-1, :-1] = square * np.outer(inverse, inverse)
@@ -276,7 +263,7 @@ def _pool_sums(standard: dict, teachers: dict[str, Teachers], weights: dict[str,
         for k, w in weights.items():
             y = teachers[OTHER[k]].labels(x[OTHER[k]])
             has = ~np.isnan(y)
-            out.append(logistic_sums(x[k][has], y[has], w, *standard[k], CURVE_SHARE))
+            out.append(logistic_sums(x[k][has], y[has], w, *standard[k]))
         return np.concatenate(out)
 
     return sums
