@@ -84,3 +84,27 @@ def test_short_secrets_go(spark):
     got = {r.doc_id: r for r in corpus_pipeline.secret_scan(spark, docs, "").collect()}
     assert [got[i].text for i in range(3)] == ["[redacted] x", "[redacted]", "nothing here"]
     assert [got[i].n_chars for i in range(3)] == [12, 10, 12]
+
+
+def test_awkward_rows(spark, tmp_path):
+    """Every stage on null ids and texts, repeated rows, one id with two texts, a very long text, extra columns with names used inside."""
+    rng = random.Random(13)
+    body = words(rng, 80)
+    rows = [(None, body, "en", None, None), (5, body, "en", "a", 3), (5, body, "en", "a", 3), (5, words(rng, 60), None, "a", 3), (7, None, None, None, None), (7, "", "", "", 0)]
+    rows += [(8, " ".join(words(rng, 50) for _ in range(600)), "fr", "b", -1), (None, None, None, None, None), (9, body + " password=abc123xyz", "en", "a", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("row_id", "i1", "suspect", "_k", "c0", "y", "live", "k_0", "size"):
+        docs = docs.withColumn(c, F.lit("x"))
+    spark.createDataFrame([(5, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, words(rng, 30)), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    counts = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        out = spark.read.parquet(f"{tmp_path}/{k}")
+        assert k == 4 or out.columns == docs.columns
+        counts.append(out.count())
+        docs = out
+    # Everything is kept without labels of both kinds; the copies of a text go; what has words is taken from.
+    assert counts[0] == len(rows) and counts[1] == 6 and counts[2] == counts[3] == 6
+    kept = {(r.doc_id, (r.text or "")[:20]) for r in spark.read.parquet(f"{tmp_path}/3").collect()}
+    assert (8, rows[6][1][:20]) in kept and (5, body[:20]) in kept and not any("abc123" in t for _, t in kept)
