@@ -11,8 +11,9 @@ from .common import materialize
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_steps: int = 60) -> DataFrame:
     """(node, root) for every node that has an edge; root is the smallest node of its component.
 
-    Each step groups by node with a partial minimum and joins it back, so a hub's edges
-    are never in one group. Step results are shared tables.
+    Each step groups by node with a partial minimum and joins it back. A hub's edges meet in
+    that join only, where adaptive execution splits them, and never in a group. Step
+    results are shared tables.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = materialize(e, "cc-edges")

@@ -26,6 +26,7 @@ TOTAL_SHARE = 1.5
 #: A source's target stops at this many times its size.
 MAX_EPOCHS = 2
 SLOTS = 256
+LEAST_WEIGHT = 0.25
 
 
 def text_size(text: Column) -> Column:
@@ -34,10 +35,10 @@ def text_size(text: Column) -> Column:
 
 
 def quality_weight(text: Column) -> Column:
-    """0.25 to 1: rises with the share of letters and spaces in the text."""
+    """``LEAST_WEIGHT`` to 1: rises with the share of letters and spaces in the text."""
     letters = F.length(F.regexp_replace(text, r"[^\p{L}\x20]+", ""))
     share = F.try_divide(letters.cast("double"), F.length(text))
-    return F.lit(0.25) + F.lit(0.75) * F.coalesce(share, F.lit(0.0))
+    return F.lit(LEAST_WEIGHT) + F.lit(1 - LEAST_WEIGHT) * F.coalesce(share, F.lit(0.0))
 
 
 def source_targets(totals: DataFrame, weights=SOURCE_WEIGHTS, share=TOTAL_SHARE, max_epochs=MAX_EPOCHS) -> DataFrame:
@@ -79,7 +80,7 @@ def mix_sources(
     Taken words of a source add up to its target, rounded: the last document selected
     is cut where the budget ends, and nothing else is cut.
 
-    Null or empty texts have size 0 and are taken 0 times. The null source is a source of
+    Null or empty texts have size 0 and are taken 0 times; a very long text counts whole. The null source is a source of
     its own, last in rank. Equal rows draw equal keys and are interchangeable; equal keys
     of other rows are ordered by id. An empty table gives an empty result. Only
     ``doc_id``, ``text``, ``source`` and the ``keep`` columns are read; other columns,
@@ -95,7 +96,8 @@ def mix_sources(
         (-F.ln(u) / quality_weight(text)).alias("key"),
         seed.alias("seed"),
     )
-    level = F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * (SLOTS * SLOTS)).cast("int")
+    # Draws of the least weight fall evenly into the slots; no slot gets more than 1 / LEAST_WEIGHT times its share of any.
+    level = F.least(F.floor((F.lit(1.0) - F.exp(F.col("key") * -LEAST_WEIGHT)) * (SLOTS * SLOTS)), F.lit(SLOTS * SLOTS - 1)).cast("int")
     slim = materialize(slim.withColumn("slot1", level / SLOTS).withColumn("slot1", F.col("slot1").cast("int")).withColumn("slot2", level % SLOTS), "mix-docs")
 
     totals = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
