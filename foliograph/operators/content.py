@@ -72,6 +72,46 @@ def tables_html(tables: DataFrame, text: str = "body", spec: str = "spec") -> Da
     return lines.groupBy("doc_id").agg(F.concat(F.lit("<table>"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "tr"))), lambda x: x["tr"]), ""), F.lit("</table>")).alias("html"))
 
 
+def column_classes(spec: Column) -> Column:
+    """Per column its letter and a ``v`` for each rule beside it; widths count as left-aligned, ``*{n}{x}`` as n columns."""
+    plain = F.regexp_replace(F.regexp_replace(spec, r"p\{[^}]*\}", "l"), r"\s|@\{[^}]*\}", "")
+    many = r"^\*\{([0-9]+)\}\{([a-zA-Z])\}$"
+    plain = F.when(plain.rlike(many), _repeated(plain, many)).otherwise(plain)
+    parts = F.regexp_extract_all(plain, F.lit("([clrX][^clrX]*)"), F.lit(1))
+    named = F.transform(parts, lambda p: F.concat(F.substring(p, 1, 1), F.repeat(F.lit("v"), F.length(p) - 1)))
+    return F.transform(named, lambda c, i: F.when((i == 0) & ~plain.rlike("^[clrX]"), F.concat(F.lit("v"), c)).otherwise(c))
+
+
+def _repeated(spec: Column, pattern: str) -> Column:
+    return F.repeat(F.regexp_extract(spec, pattern, 2), F.coalesce(F.regexp_extract(spec, pattern, 1).try_cast("int"), F.lit(0)))
+
+
+def arrays(tables: DataFrame, target: str = "html", text: str = "body", spec: str = "spec") -> DataFrame:
+    r"""(doc_id, markup): tabular bodies as rows and cells of a target, with rules of rows and columns.
+
+    An ``\hline`` is a row of its own above the row it stands before, two of them a thick one;
+    cells below a ``\cline`` and columns with rules have them in their class. Rows without text are dropped.
+    """
+    row_tag, cell_tag = {"html": ("tr", "td"), "ptx": ("row", "cell")}[target]
+    body = F.regexp_replace(F.col(text), r"\\tabularnewline", r"\\\\")
+    rows = tables.select("doc_id", column_classes(F.col(spec)).alias("layout"), F.posexplode(F.filter(F.split(body, r"\\\\|\\cr\b"), lambda r: r.rlike(r"\S"))).alias("row", "line"))
+    rules = F.size(F.regexp_extract_all("line", F.lit(r"(\\hline)"), F.lit(1)))
+    clines = F.regexp_extract_all("line", F.lit(r"\\cline\{\s*([0-9]+\s*-\s*[0-9]+)\s*\}"), F.lit(1))
+    ends = lambda c, k: F.trim(F.element_at(F.split(c, "-"), k)).cast("int")
+    rows = rows.withColumns({"rules": rules, "lined": F.flatten(F.transform(clines, lambda c: F.sequence(ends(c, 1), ends(c, 2)))), "rest": F.trim(F.regexp_replace("line", r"\\hline|\\cline\{[^}]*\}", ""))})
+    shown = lambda c, i: F.concat(F.coalesce(F.get("layout", i), F.lit("unknown")), F.when(F.array_contains("lined", (i + 1).cast("int")), " t2").otherwise(""))
+    opening = (lambda c, i: F.concat(F.lit(f'<{cell_tag} class="'), shown(c, i), F.lit('">'))) if target == "html" else (lambda c, i: F.lit(f"<{cell_tag}>"))
+    cells = F.transform(F.split("rest", "&"), lambda c, i: F.concat(opening(c, i), F.trim(c), F.lit(f"</{cell_tag}>")))
+    own = F.when(F.col("rest") != "", F.concat(F.lit(f"<{row_tag}>"), F.array_join(cells, ""), F.lit(f"</{row_tag}>\n"))).otherwise("")
+    n = F.size("layout")
+    if target == "html":
+        rule = F.concat(F.lit("<tr><td class='hline"), F.when(F.col("rules") > 1, "thick").otherwise(""), F.lit("' colspan='"), n.cast("string"), F.lit("'><hr/></td></tr>\n"))
+    else:
+        rule = F.concat(F.lit('<row bottom="'), F.when(F.col("rules") > 1, "medium").otherwise("minor"), F.lit('">'), F.repeat(F.lit("<cell></cell>"), n), F.lit("</row>\n"))
+    line = F.concat(F.when(F.col("rules") > 0, rule).otherwise(""), own)
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", line.alias("t")))), lambda x: x["t"]), "").alias("markup"))
+
+
 def index_entries(docs: DataFrame) -> DataFrame:
     r"""(doc_id, k, entry) of every ``\index{...}``."""
     return docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\\index\{([^}]*)\}"), F.lit(1))).alias("k", "entry"))

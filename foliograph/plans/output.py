@@ -193,6 +193,20 @@ def table_lines(spark, sf_dir):
     return content.table_cells(t).select(F.col("doc_id").alias("s_suppkey"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "cell", "rule", "lined")
 
 
+def _arrays(spark, sf_dir, target):
+    body = F.format_string("%s & %d & c \\\\ \\hline\\hline d & e & f & g \\\\ \\cline{2-3} h & i \\\\ \\hline", "s_name", "s_suppkey")
+    t = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), body.alias("body"), F.when(F.col("s_suppkey") % 2 == 0, "|l|p{2cm} r").otherwise("*{3}{c}").alias("spec"))
+    return content.arrays(t, target).withColumnRenamed("doc_id", "s_suppkey")
+
+
+def arrays_html(spark, sf_dir):
+    return _arrays(spark, sf_dir, "html")
+
+
+def arrays_ptx(spark, sf_dir):
+    return _arrays(spark, sf_dir, "ptx")
+
+
 def text_cuts(spark, sf_dir):
     text = F.format_string("\\size{%d} a^{2}_%d <b> {R}ough \\term{x{y}} rest", "p_size", "p_size")
     cut = X.text_before(text, "<b>", "rest")
@@ -289,7 +303,7 @@ QUERIES = {
     for f in (
         nested_math, page_statements, page_lists, page_math, page_hints, page_tags, page_layout, page_finished, tags_html, tags_ptx, hidden_proofs, links_html, links_ptx, cites_html, paper_links,
         term_phrases, term_links_written, normal_terms, marked_entries, front_matter, canonical_form, included_text, packages, table_lines, text_cuts, svg_sizes, early_macros, main_files, snippets,
-        render_manifest, display_math, paper_authors, toc_linked, page_buttons, framed_pages, index_pages, macro_preludes, drawing_documents,
+        render_manifest, display_math, paper_authors, toc_linked, page_buttons, framed_pages, index_pages, macro_preludes, drawing_documents, arrays_html, arrays_ptx,
     )
 }
 
@@ -310,6 +324,11 @@ l AS (SELECT n_regionkey, letter, string_agg(line, '' ORDER BY k) AS s FROM (SEL
 SELECT n_regionkey, string_agg(chr(10) || '<div id="indexletter-' || letter || '" class="indexletter">' || s || chr(10) || '</div>', '' ORDER BY letter) AS html FROM l GROUP BY 1""",
     "macro_preludes": f"""SELECT p_partkey, {_MACROS} || chr(10) || '\\renewcommand{{\\xx}}{{x}}' || chr(10) || '\\def\\be{{b' || p_size || '}}' || chr(10) AS prelude, '<macros>' || chr(10) || '\\renewcommand{{\\xx}}{{x}}' || chr(10) || '\\def\\be{{b' || p_size || '}}' || chr(10) || '</macros>' || chr(10) AS ptx FROM part""",
     "drawing_documents": """SELECT p_partkey, chr(10) || '\\newcommand{\\be}{' || p_size || '}' || chr(10) || '\\begin{document}' || chr(10) || '\\pagestyle{empty}' || chr(10) || '\\begin{tikzpicture}d' || p_size || '\\end{tikzpicture}' || chr(10) AS tail, '\\documentclass{article}' AS head FROM part""",
+    "arrays_html": """WITH k AS (SELECT *, s_suppkey % 2 = 0 AS e FROM supplier), c AS (SELECT *, CASE WHEN e THEN 'vlv' ELSE 'c' END AS a, CASE WHEN e THEN 'l' ELSE 'c' END AS b, CASE WHEN e THEN 'r' ELSE 'c' END AS d FROM k)
+SELECT s_suppkey, '<tr><td class="' || a || '">' || s_name || '</td><td class="' || b || '">' || s_suppkey || '</td><td class="' || d || '">c</td></tr>' || chr(10) || '<tr><td class=''hlinethick'' colspan=''3''><hr/></td></tr>' || chr(10)
+ || '<tr><td class="' || a || '">d</td><td class="' || b || '">e</td><td class="' || d || '">f</td><td class="unknown">g</td></tr>' || chr(10) || '<tr><td class="' || a || '">h</td><td class="' || b || ' t2">i</td></tr>' || chr(10) || '<tr><td class=''hline'' colspan=''3''><hr/></td></tr>' || chr(10) AS markup FROM c""",
+    "arrays_ptx": """SELECT s_suppkey, '<row><cell>' || s_name || '</cell><cell>' || s_suppkey || '</cell><cell>c</cell></row>' || chr(10) || '<row bottom="medium"><cell></cell><cell></cell><cell></cell></row>' || chr(10) || '<row><cell>d</cell><cell>e</cell><cell>f</cell><cell>g</cell></row>' || chr(10)
+ || '<row><cell>h</cell><cell>i</cell></row>' || chr(10) || '<row bottom="minor"><cell></cell><cell></cell><cell></cell></row>' || chr(10) AS markup FROM supplier""",
     "nested_math": "SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS row, 3 AS depth, true AS same FROM lineitem",
     "page_statements": """SELECT p_partkey, 'a' || chr(10) || chr(10) || '<theorem xml:id="t' || p_partkey || '">' || chr(10) || '<title>' || p_name || '</title><statement><p>b</p></statement><proof><p>c</p></proof>' || chr(10) || '</theorem>' || chr(10) || chr(10)
  || 'd' || chr(10) || chr(10) || '<example>' || chr(10) || '<statement><p>' || p_size || '</p></statement>' || chr(10) || '</example>' || chr(10) || chr(10) AS page FROM part""",
