@@ -87,8 +87,13 @@ class Slice:
     def __init__(self, data: np.ndarray, ends: np.ndarray, own: int):
         n = len(data)
         self.n_windows = max(n - LENGTH + 1, 0)
-        # The eight bytes from each byte on, as one number.
-        self.words = np.ndarray((max(n - 7, 0),), "<u8", np.ascontiguousarray(data), 0, (1,)) if n >= 8 else np.zeros(0, np.uint64)
+        # The eight bytes from each byte on, as one number, scrambled: texts that differ in few
+        # bits must not differ in few bits here, or periodic ones cancel out in a chain.
+        raw = np.ndarray((max(n - 7, 0),), "<u8", np.ascontiguousarray(data), 0, (1,)) if n >= 8 else np.zeros(0, np.uint64)
+        self.words = raw * _M2
+        self.words ^= self.words >> np.uint64(29)
+        self.words *= _M3
+        self.words ^= self.words >> np.uint64(32)
         at = np.arange(self.n_windows)
         end = np.repeat(ends, np.diff(ends, prepend=0))[: self.n_windows]
         self.valid = (at + LENGTH <= end) & (at < own)
@@ -98,11 +103,8 @@ class Slice:
         if not self.valid.any():
             return
         # A gram's rank: the sum of scrambled words in it. It only chooses anchors.
-        step = self.words * _M2
-        step ^= step >> np.uint64(29)
-        step *= _M3
-        sums = np.zeros(len(step) + 1, np.uint64)
-        np.cumsum(step, out=sums[1:])
+        sums = np.zeros(len(self.words) + 1, np.uint64)
+        np.cumsum(self.words, out=sums[1:])
         tagged = sums[GRAM - 7 :] - sums[: -(GRAM - 7)]
         mask = np.uint64((1 << _POSITION_BITS) - 1)
         tagged &= ~mask
