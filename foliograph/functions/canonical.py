@@ -103,3 +103,25 @@ def canonical_text(text: str) -> str:
 def canonical(text: Column) -> Column:
     """A text in canonical form; null stays null."""
     return column(canonical_text)(text)
+
+
+def _uncommented(text: str, starts_line: bool = True) -> str:
+    """Text without comments: one that fills its line takes the line along, others join it with the next."""
+    text = text if starts_line else "\0" + text
+    for pattern in (r"(?m)^[ \t]*%[^\n]*(?:\n|\Z)", r"(?<!\\)%[^\n]*\n[ \t]*", r"(?<!\\)%[^\n]*\Z"):
+        text = re.sub(pattern, "", text)
+    return text if starts_line else text[1:]
+
+
+def uncommented(text: str) -> str:
+    """A text without its comments; literal stretches keep their signs."""
+    out, at = [], 0
+    for m in _LITERAL.finditer(text):
+        out += [_uncommented(text[at : m.start()], at == 0), m.group(0)]
+        at = m.end()
+    return "".join([*out, _uncommented(text[at:], at == 0)])
+
+
+def without_comments(text: Column) -> Column:
+    """``uncommented`` of a column; null stays null."""
+    return column(uncommented)(text)

@@ -207,11 +207,44 @@ def write_term_links(docs: DataFrame, found: DataFrame, targets: DataFrame) -> D
 def session_cells(lines: DataFrame, prompt: Column, order: str = "ordinal") -> DataFrame:
     """Runs of prompt and answer lines as cells: (doc_id, cell, is_input, text)."""
     w = W.partitionBy("doc_id").orderBy(order)
-    marked = lines.withColumn("is_input", prompt)
+    marked = lines.withColumn("is_input", prompt)  # replaces a column of that name
     marked = marked.withColumn("cell", F.sum(F.when(F.coalesce(F.lag("is_input").over(w) != F.col("is_input"), F.lit(True)), 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
     return marked.groupBy("doc_id", "cell", "is_input").agg(F.count("*").alias("n_lines"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "line"))), lambda x: x["line"]), "\n").alias("text"))
 
 
+# Prompts of sessions.
+PROMPT = r"^\s*(?:sage:|\.\.\.\.:)"
+
+
+def session_lines(docs: DataFrame) -> DataFrame:
+    r"""(doc_id, ordinal, line, is_input): lines of sessions without their prompts.
+
+    A line is input if it has a prompt, or if the line before it is input that ends in a backslash.
+    """
+    doc = W.partitionBy("doc_id").orderBy("ordinal")
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ordinal", "raw")).withColumn("prompt", F.col("raw").rlike(PROMPT))
+    rows = rows.withColumn("goes_on", ~F.col("prompt") & F.coalesce(F.lag("raw").over(doc).endswith("\\"), F.lit(False)))
+    rows = rows.withColumn("run", F.sum((~F.col("goes_on")).cast("int")).over(doc.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    first = F.first("prompt").over(W.partitionBy("doc_id", "run").orderBy("ordinal").rowsBetween(W.unboundedPreceding, W.currentRow))
+    bare = F.regexp_replace(F.regexp_replace("raw", r"^\s*sage:\s?", ""), r"^\s*\.\.\.\.:\s?", "    ")
+    return rows.select("doc_id", "ordinal", F.when(F.col("prompt"), bare).otherwise(F.col("raw")).alias("line"), first.alias("is_input"))
+
+
+def session_markup(docs: DataFrame) -> DataFrame:
+    """(doc_id, markup): sessions as cells of input and output; a text without a prompt is preformatted."""
+    has = F.coalesce(F.col("text").contains("sage:"), F.lit(False))
+    cells = session_cells(session_lines(docs.where(has)), F.col("is_input"))
+    w = W.partitionBy("doc_id").orderBy("cell")
+    answered = F.lead("is_input").over(w).isNotNull()
+    inside = F.concat(F.replace("text", F.lit("<"), F.lit("&lt;")), F.lit("\n"))
+    piece = F.when(F.col("is_input"), F.concat(F.lit("\n<sage><input>"), inside, F.lit("</input>"), F.when(answered, "").otherwise("</sage>"), F.lit("\n"))).otherwise(F.concat(F.lit("\n<output>"), inside, F.lit("</output></sage>\n")))
+    # An answer before any prompt stands alone.
+    piece = F.when(~F.col("is_input") & (F.col("cell") == 1), F.concat(F.lit("\n<pre>"), inside, F.lit("</pre>\n"))).otherwise(piece)
+    made = cells.withColumn("piece", piece).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cell", "piece"))), lambda x: x["piece"]), "").alias("markup"))
+    plain = docs.where(~has).select("doc_id", F.concat(F.lit("<pre>"), F.replace(F.coalesce("text", F.lit("")), F.lit("<"), F.lit("&lt;")), F.lit("</pre>")).alias("markup"))
+    return made.unionByName(plain)
+
+
 def suffix_pairs(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str) -> DataFrame:
     """Rows whose names ``a`` and ``b`` end one like the other, joined by equality of a whole name with an ending of the other."""
     endings = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.col(c).substr(i, F.length(c)))).alias("__end")

@@ -207,6 +207,17 @@ def arrays_ptx(spark, sf_dir):
     return _arrays(spark, sf_dir, "ptx")
 
 
+def sessions(spark, sf_dir):
+    """Sessions with indented prompts, continued lines, two cells, a cell without an answer, and texts without prompts."""
+    text = F.when(F.col("p_size") % 5 == 0, F.col("p_name")).otherwise(F.format_string("sage: f(%d)\n....: g\\\\\nh\n%s <1\nmore\n  sage: k", "p_size", "p_name"))
+    return content.session_markup(part(spark, sf_dir).select(F.col("p_partkey").alias("doc_id"), text.alias("text"))).withColumnRenamed("doc_id", "p_partkey")
+
+
+def comments_guarded(spark, sf_dir):
+    text = F.format_string("a%%x\n  b %d \\verb|%%| \\%% c %%y\n%% whole\n\\begin{verbatim}%%k\n\\end{verbatim}%%z", "p_size")
+    return part(spark, sf_dir).select("p_partkey", canonical.without_comments(text).alias("text"))
+
+
 def text_cuts(spark, sf_dir):
     text = F.format_string("\\size{%d} a^{2}_%d <b> {R}ough \\term{x{y}} rest", "p_size", "p_size")
     cut = X.text_before(text, "<b>", "rest")
@@ -303,7 +314,7 @@ QUERIES = {
     for f in (
         nested_math, page_statements, page_lists, page_math, page_hints, page_tags, page_layout, page_finished, tags_html, tags_ptx, hidden_proofs, links_html, links_ptx, cites_html, paper_links,
         term_phrases, term_links_written, normal_terms, marked_entries, front_matter, canonical_form, included_text, packages, table_lines, text_cuts, svg_sizes, early_macros, main_files, snippets,
-        render_manifest, display_math, paper_authors, toc_linked, page_buttons, framed_pages, index_pages, macro_preludes, drawing_documents, arrays_html, arrays_ptx,
+        render_manifest, display_math, paper_authors, toc_linked, page_buttons, framed_pages, index_pages, macro_preludes, drawing_documents, arrays_html, arrays_ptx, sessions, comments_guarded,
     )
 }
 
@@ -329,6 +340,9 @@ SELECT s_suppkey, '<tr><td class="' || a || '">' || s_name || '</td><td class="'
  || '<tr><td class="' || a || '">d</td><td class="' || b || '">e</td><td class="' || d || '">f</td><td class="unknown">g</td></tr>' || chr(10) || '<tr><td class="' || a || '">h</td><td class="' || b || ' t2">i</td></tr>' || chr(10) || '<tr><td class=''hline'' colspan=''3''><hr/></td></tr>' || chr(10) AS markup FROM c""",
     "arrays_ptx": """SELECT s_suppkey, '<row><cell>' || s_name || '</cell><cell>' || s_suppkey || '</cell><cell>c</cell></row>' || chr(10) || '<row bottom="medium"><cell></cell><cell></cell><cell></cell></row>' || chr(10) || '<row><cell>d</cell><cell>e</cell><cell>f</cell><cell>g</cell></row>' || chr(10)
  || '<row><cell>h</cell><cell>i</cell></row>' || chr(10) || '<row bottom="minor"><cell></cell><cell></cell><cell></cell></row>' || chr(10) AS markup FROM supplier""",
+    "sessions": """SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN '<pre>' || p_name || '</pre>' ELSE chr(10) || '<sage><input>f(' || p_size || ')' || chr(10) || '    g\\\\' || chr(10) || 'h' || chr(10) || '</input>' || chr(10) || chr(10) || '<output>' || p_name || ' &lt;1' || chr(10) || 'more' || chr(10) || '</output></sage>' || chr(10)
+ || chr(10) || '<sage><input>k' || chr(10) || '</input></sage>' || chr(10) END AS markup FROM part""",
+    "comments_guarded": """SELECT p_partkey, 'ab ' || p_size || ' \\verb|%| \\% c \\begin{verbatim}%k' || chr(10) || '\\end{verbatim}' AS text FROM part""",
     "nested_math": "SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS row, 3 AS depth, true AS same FROM lineitem",
     "page_statements": """SELECT p_partkey, 'a' || chr(10) || chr(10) || '<theorem xml:id="t' || p_partkey || '">' || chr(10) || '<title>' || p_name || '</title><statement><p>b</p></statement><proof><p>c</p></proof>' || chr(10) || '</theorem>' || chr(10) || chr(10)
  || 'd' || chr(10) || chr(10) || '<example>' || chr(10) || '<statement><p>' || p_size || '</p></statement>' || chr(10) || '</example>' || chr(10) || chr(10) AS page FROM part""",
