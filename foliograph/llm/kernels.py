@@ -6,6 +6,7 @@ bytes of 0x80 and over only occur in code points beyond ASCII.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -178,3 +179,12 @@ def first_of_each(keys: np.ndarray) -> np.ndarray:
 def segment_rows(first: np.ndarray) -> np.ndarray:
     """The row of each element, from the index of each row's first element."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
+
+
+def release() -> None:
+    """Give memory that a task no longer uses back to the system; workers are used again and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -50,7 +50,7 @@ NUM, DEN = 75, 100
 #: Slots of the rarity table: as many as there are sets, up to this power of two.
 RARITY_BITS = 20
 #: Members of a posting list compared at once.
-LIST_BLOCK = 8192
+LIST_BLOCK = 4096
 #: Shingles of the sets of a block; cells of two blocks are confirmed at once.
 BLOCK_SHINGLES = 1 << 18
 #: Members of a list that is compared directly.
@@ -103,6 +103,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key.append(np.array([s.sum(), np.bitwise_xor.reduce(K.mix(s.copy() + np.uint64(77)))], np.uint64).tobytes() if len(s) else None)
             sig.append(signature(s).tobytes() if len(s) else None)
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], [*batch.schema.names[:-1], "n_shingles", "key", "sig"])
+    K.release()
 
 
 def _tokens(sig: np.ndarray) -> np.ndarray:
@@ -167,6 +168,7 @@ def _posted(rarity):
             tokens, order = _prefix_order(_signatures(batch.column(1)), rarity.value)
             sid = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), order.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(np.take_along_axis(tokens, order, 1).ravel().view(np.int64)), pa.array(sid)], ["token", "sid"])
+        K.release()
 
     return post
 
@@ -183,6 +185,7 @@ def _poster(rarity, marked):
             f1, f2 = _fragments(sig)
             sid = batch.column(0).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(keys[at, k].view(np.int64)), pa.array(order[at, k].astype(np.int32)), pa.array(sid[at]), pa.array(f1[at]), pa.array(f2[at])], ["token", "coord", "sid", "f1", "f2"])
+        K.release()
 
     return post
 
@@ -216,6 +219,7 @@ def _picker(marked):
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(_hit(batch.column(0).to_numpy(zero_copy_only=False), marked.value)))
+        K.release()
 
     return pick
 
@@ -248,6 +252,8 @@ def _confirm(key: tuple, texts: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFra
             if ra != rb and _linked(held[a], held[b]):
                 root[max(ra, rb)] = min(ra, rb)
                 out.append((a, b))
+    held.clear()
+    K.release()
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
@@ -315,6 +321,7 @@ def _masker(rarity):
             np.put_along_axis(bits, order, 1, axis=1)
             sharp = [signature(s, _SHARP_MUL, _SHARP_ADD).astype(np.uint8).tobytes() for s in shingle_sets(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in np.packbits(bits, axis=1)], pa.binary()), pa.array(sharp, pa.binary())], ["sid", "sig", "mask", "sharp"])
+        K.release()
 
     return mask
 
