@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, line_rules, mixing, neardup, quality_model, secrets, suffix_dedup, tokens, warc
+from . import decontam, divergence, langid, line_rules, mixing, neardup, page_text, quality_model, secrets, suffix_dedup, tokens, variants, warc
 from .common import table
 
 
@@ -48,5 +48,17 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_decontaminate": op2_decontaminate, "op3_minhash": op3_minhash, "op4_langid": op4_langid, "op5_tokens": op5_tokens, "op6_quality": op6_quality, "op7_suffix_array": op7_suffix_array, "op8_secrets": op8_secrets, "op9_line_rules": op9_line_rules, "op10_warc": op10_warc}
-ORACLES = {"op1_mix": mixing.MIX_SQL, "op2_decontaminate": decontam.LEAKS_SQL, "op8_secrets": secrets.SECRETS_SQL, "op9_line_rules": line_rules.RULES_SQL, "op10_warc": warc.WARC_SQL}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_mix": op1_mix, "op2_decontaminate": op2_decontaminate, "op3_minhash": op3_minhash, "op4_langid": op4_langid, "op5_tokens": op5_tokens, "op6_quality": op6_quality, "op7_suffix_array": op7_suffix_array, "op8_secrets": op8_secrets, "op9_line_rules": op9_line_rules, "op10_warc": op10_warc, "op11_divergence": op11_divergence, "op12_variants": op12_variants, "op13_page_text": op13_page_text}
+ORACLES = {"op1_mix": mixing.MIX_SQL, "op2_decontaminate": decontam.LEAKS_SQL, "op8_secrets": secrets.SECRETS_SQL, "op9_line_rules": line_rules.RULES_SQL, "op10_warc": warc.WARC_SQL, "op11_divergence": divergence.AUDIT_SQL, "op12_variants": variants.VARIANTS_SQL, "op13_page_text": page_text.PAGES_SQL}
