@@ -1,39 +1,43 @@
 """Bracket scanning: nesting is not regular, so these are Arrow-batched Python functions.
 
-All of them take a place to start from and return places, so that a text is walked once
-however many groups it has.
+A text's brackets are paired once, in one walk; after that the group at any place is a
+lookup, also in texts whose groups never close. Macros are read by one walk too, which
+takes what stands in their arguments along, so nesting of any depth costs no more.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Mapping
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _BLANK = re.compile(r"\s*")
-_MARKS: dict[str, re.Pattern] = {}
+_MACRO = re.compile(r"\\(?:([A-Za-z]+)\*?|.)", re.S)
 
 
-def group_at(text: str, at: int = 0, left: str = "{", right: str = "}") -> tuple[int, int]:
-    """(start, end) of the bracket group at ``at``, white space before it skipped; start = end without one.
+@lru_cache(16)
+def group_ends(text: str, left: str = "{", right: str = "}") -> dict[int, int]:
+    """Where the group of each opening bracket ends; those that never close are not in it.
 
     A bracket after a backslash does not count, unless the backslash itself is escaped.
     """
-    start = _BLANK.match(text, at).end()
-    if not text.startswith(left, start):
-        return start, start
-    marks = _MARKS.setdefault(left + right, re.compile(rf"\\.|[{re.escape(left + right)}]", re.S))
-    depth = 0
-    for m in marks.finditer(text, start):
+    ends, held = {}, []
+    for m in re.finditer(rf"\\.|[{re.escape(left + right)}]", text, re.S):
         if m.group(0) == left:
-            depth += 1
-        elif m.group(0) == right:
-            depth -= 1
-            if depth == 0:
-                return start, m.end()
-    return start, start
+            held.append(m.start())
+        elif m.group(0) == right and held:
+            ends[held.pop()] = m.end()
+    return ends
+
+
+def group_at(text: str, at: int = 0, left: str = "{", right: str = "}") -> tuple[int, int]:
+    """(start, end) of the bracket group at ``at``, white space before it skipped; start = end without one."""
+    start = _BLANK.match(text, at).end()
+    return start, group_ends(text, left, right).get(start, start) if text.startswith(left, start) else start
 
 
 def first_group(text: str, left: str = "{", right: str = "}") -> tuple[str, str]:
@@ -63,13 +67,15 @@ def arguments_at(text: str, at: int, count: int) -> tuple[list[str], int]:
 
 def strip_groups(text: str, left: str = "{", right: str = "}", depth: int | None = None) -> str:
     """``text`` without whole outer layers of brackets, at most ``depth`` of them."""
-    while depth is None or depth > 0:
-        group, rest = first_group(text, left, right)
-        if not group:
+    ends, at, tails = group_ends(text, left, right), 0, []
+    stop = len(text)
+    while depth is None or len(tails) < depth:
+        start = _BLANK.match(text, at, stop).end()
+        if start not in ends or ends[start] > stop:
             break
-        text = group[1:-1] + rest
-        depth = None if depth is None else depth - 1
-    return text
+        tails.append(text[ends[start] : stop])
+        at, stop = start + 1, ends[start] - 1
+    return text[at:stop] + "".join(reversed(tails))
 
 
 def balanced(text: str) -> bool:
@@ -77,23 +83,77 @@ def balanced(text: str) -> bool:
     return bare.count("{") == bare.count("}")
 
 
+#: What a macro's arguments become, and how many it takes.
+Action = tuple[int, Callable[[list[str]], str]]
+_SINGLE = re.compile(r"\s*(\\[A-Za-z]+|[0-9A-Za-z])")
+
+
+def filled(template: str) -> Callable[[list[str]], str]:
+    """The action that puts arguments in place of ``#1`` to ``#9``."""
+    parts = re.split(r"#([1-9])", template)
+    if len(parts) == 1:
+        return lambda args: template
+    return lambda args: "".join(p if k % 2 == 0 else args[int(p) - 1] if int(p) <= len(args) else f"#{p}" for k, p in enumerate(parts))
+
+
+def rewrite_uses(text: str, actions: Mapping[str, Action], bare: bool = False, short: Callable[[str], str] = lambda use: "") -> str:
+    r"""Each use of the macros of ``actions`` by what they make of it, uses inside arguments first.
+
+    Arguments are braced; ``bare`` also takes a digit, a letter or a macro. A use with fewer arguments becomes
+    what ``short`` makes of it, nothing by default. One walk: an open use waits on a stack while its arguments are read.
+    """
+    ends = group_ends(text)
+    stack: list[list] = [[None, [], [], [], len(text)]]  # action, spans to come, arguments so far, parts of the current one, where it stops
+    at = 0
+    while True:
+        action, spans, args, parts, stop = stack[-1]
+        m = _MACRO.search(text, at, stop)
+        if m is None:
+            parts.append(text[at:stop])
+            if action is None:
+                return "".join(parts)
+            args.append("".join(parts))
+            if len(spans) > 1:
+                spans.pop(0)
+                stack[-1][3], stack[-1][4], at = [], spans[0][1], spans[0][0]
+                continue
+            stack.pop()
+            at = spans[0][2]
+            stack[-1][3].append(action(args))
+            continue
+        parts.append(text[at : m.start()])
+        at = m.end()
+        known = actions.get(m.group(1)) if m.group(1) else None
+        if known is None:
+            parts.append(m.group(0))
+            continue
+        count, use = known
+        found, end = [], at
+        while len(found) < count:
+            start = _BLANK.match(text, end).end()
+            single = None
+            if start in ends and start < stop:
+                found.append((start + 1, ends[start] - 1, ends[start]))
+            elif bare and (single := _SINGLE.match(text, end, stop)):
+                found.append((single.start(1), single.end(1), single.end()))
+            else:
+                break
+            end = found[-1][2]
+        if len(found) < count:
+            parts.append(short(m.group(0)))
+        elif not count:
+            parts.append(use([]))
+        else:
+            stack.append([use, found, [], [], found[0][1]])
+            at = found[0][0]
+
+
 def rewrite_macro(text: str, name: str, count: int, template: str) -> str:
     r"""Every ``\name`` with ``count`` braced arguments by ``template``, in which ``#k`` is argument k.
 
     Inner uses are rewritten too. A use with fewer arguments loses its macro only.
     """
-    use = re.compile(rf"\\{re.escape(name)}\*?(?![A-Za-z])")
-    out, at = [], 0
-    while (m := use.search(text, at)) is not None:
-        args, end = arguments_at(text, m.end(), count)
-        out.append(text[at : m.start()])
-        if len(args) == count:
-            args = [rewrite_macro(a, name, count, template) for a in args]
-            out.append(re.sub(r"#([1-9])", lambda k: args[int(k.group(1)) - 1] if int(k.group(1)) <= count else k.group(0), template))
-            at = end
-        else:
-            at = m.end()
-    return "".join([*out, text[at:]])
+    return rewrite_uses(text, {name: (count, filled(template))})
 
 
 def nth_argument(text: str, name: str, number: int = 1) -> str:
@@ -134,14 +194,7 @@ def macro_column(name: str, count: int, template: str):
 
 def expand_conditionals(text: str) -> str:
     r"""Resolve ``\ifthenelse{test}{yes}{no}``: yes only where the test reads ``true``."""
-    out, at = [], 0
-    while (start := text.find("\\ifthenelse", at)) >= 0:
-        parts, end = arguments_at(text, start + len("\\ifthenelse"), 3)
-        out.append(text[at:start])
-        if len(parts) == 3:
-            out.append(expand_conditionals(parts[1] if parts[0].strip() == "true" else parts[2]))
-        at = end
-    return "".join([*out, text[at:]])
+    return rewrite_uses(text, {"ifthenelse": (3, lambda a: a[1] if a[0].strip() == "true" else a[2])})
 
 
 choose_branches = column(expand_conditionals)

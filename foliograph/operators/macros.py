@@ -3,7 +3,7 @@ r"""Author macros: extraction, filters, usage, expansion; declared theorems."""
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..catalog import aliases
-from ..functions.scanner import balanced, group_at, strip_groups
+from ..functions.scanner import balanced, filled, group_at, rewrite_uses, strip_groups
 from ..session import ship
 
-MACROS = "doc_id long, ordinal int, command string, name string, numargs int, default string, definition string"
-_COMMAND = re.compile(r"\\(let|def|newcommand|renewcommand|providecommand|DeclareMathOperator)\b\*?")
-_NAME = re.compile(r"\s*(?:\{\s*\\([A-Za-z]+|.)\s*\}|\\([A-Za-z]+|.))")
+FOUND = "ordinal int, start int, end int, command string, name string, numargs int, default string, definition string"
+_COMMAND = re.compile(r"\\(let|def|newcommand|renewcommand|providecommand|DeclareMathOperator)(?![A-Za-z])\*?")
+_NAME = re.compile(r"\s*(?:\{\s*\\([A-Za-z]+|[^A-Za-z])\s*\}|\\([A-Za-z]+|[^A-Za-z]))")
+_LET = re.compile(r"\s*=?\s*(\\[A-Za-z]+|\S)")
+_PLACES = re.compile(r"(?:#[1-9])*")
+_COUNT = re.compile(r"\s*\[([0-9])\]")
 
 # Macros that an author cannot redefine.
 KNOWN_MACROS = "ref eqref cite href emph textbf textit texttt mathcal mathbb Cal rm date address hfill S H begin end term terminology knownterminology index sum prod int i u".split()
@@ -32,40 +35,58 @@ RENAMED_MACROS = [("upmu", "mu"), ("upgamma", "gamma"), ("uppsi", "psi")]
 STRUCTURAL = r"\\(?:begin|end|(?:sub)*section|item|bibitem|ref|cite|label|newcommand|DeclareMathOperator)(?![A-Za-z])"
 
 
-def find_macros(text: str) -> list[tuple[str, str, int, str, str]]:
-    """(command, name, numargs, default, definition) in order of appearance."""
+def find_macros(text: str) -> list[tuple[int, int, str, str, int, str, str]]:
+    """(start, end, command, name, numargs, default, definition) in order of appearance.
+
+    A command that defines nothing (no name, no closed body) is ordinary text.
+    """
     out, at = [], 0
     while (m := _COMMAND.search(text, at)) is not None:
         at = m.end()
         name = _NAME.match(text, at)
         if not name:
             continue
-        at = name.end()
-        word, n, default = name.group(1) or name.group(2), 0, ""
+        end, word, n, default = name.end(), name.group(1) or name.group(2), 0, ""
         if m.group(1) == "let":
-            other = re.compile(r"\s*=?\s*(\\[A-Za-z]+|\S)").match(text, at)
+            other = _LET.match(text, end)
             if other:
-                out.append((m.group(1), word, 0, "", other.group(1)))
                 at = other.end()
+                out.append((m.start(), at, m.group(1), word, 0, "", other.group(1)))
             continue
         if m.group(1) == "def":
-            args = re.compile(r"(?:#[1-9])*").match(text, at)
-            n, at = len(args.group(0)) // 2, args.end()
-        elif count := re.compile(r"\s*\[([0-9])\]").match(text, at):
-            n, at = int(count.group(1)), count.end()
-            if given := re.compile(r"\s*\[([^\]]*)\]").match(text, at):
-                default, at = given.group(1), given.end()
-        start, end = group_at(text, at)
-        if start < end:
-            out.append((m.group(1), word, n, default, strip_groups(text[start:end], depth=1)))
-            at = end
+            args = _PLACES.match(text, end)
+            n, end = len(args.group(0)) // 2, args.end()
+        elif count := _COUNT.match(text, end):
+            n, end = int(count.group(1)), count.end()
+            first, last = group_at(text, end, "[", "]")
+            if first < last:
+                default, end = text[first + 1 : last - 1], last
+        first, last = group_at(text, end)
+        if first < last:
+            out.append((m.start(), last, m.group(1), word, n, default, strip_groups(text[first:last], depth=1)))
+            at = last
     return out
 
 
-def _macros(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = [(i, k, *m) for i, t in zip(pdf["doc_id"], pdf["text"], strict=True) for k, m in enumerate(find_macros(t or ""), 1)]
-        yield pd.DataFrame(rows, columns=[x.split()[0] for x in MACROS.split(", ")])
+def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without the spans; one that has its lines to itself takes the end of line along."""
+    out, at = [], 0
+    for start, end in spans:
+        out.append(text[at:start])
+        alone = text[text.rfind("\n", 0, start) + 1 : start].strip() == "" and start >= at
+        line = text.find("\n", end)
+        line = len(text) if line < 0 else line
+        at = min(line + 1, len(text)) if alone and not text[end:line].strip() else end
+    return "".join([*out, text[at:]])
+
+
+@F.udtf(returnType=FOUND)
+class MacroDefinitions:
+    """The definitions of a text, one row each, with the span that each takes up."""
+
+    def eval(self, text: str):
+        for k, found in enumerate(find_macros(text or ""), 1):
+            yield (k, *found)
 
 
 def extract_macros(docs: DataFrame) -> DataFrame:
@@ -76,7 +97,7 @@ def extract_macros(docs: DataFrame) -> DataFrame:
     has at most one argument and is empty or holds markup of the document's structure.
     """
     ship(docs.sparkSession)
-    m = docs.select("doc_id", "text").mapInPandas(_macros, MACROS)
+    m = docs.select("doc_id", "text").lateralJoin(MacroDefinitions(F.col("text").outer())).drop("text")
     recursive = F.expr(r"definition rlike concat('\\\\', name, '(?![A-Za-z])')")
     accepted = ~F.col("name").isin(*IGNORED_MACROS)
     ok = accepted & ~recursive & F.col("name").rlike("^[A-Za-z]") & ~F.col("definition").contains("@") & ~F.col("name").isin(*KNOWN_MACROS)
@@ -96,56 +117,56 @@ def missing_macros(docs: DataFrame, macros: DataFrame, known: tuple[str, ...] =
     return used.join(macros.select("doc_id", "name").distinct(), ["doc_id", "name"], "left_anti")
 
 
-_SINGLE = re.compile(r"\s*(\\[A-Za-z]+|[0-9A-Za-z])")
+#: What a reader's target shows of macros whose definitions no page needs; they go last.
+TARGET_MACROS = {"thinspace": (0, " "), "negthinspace": (0, ""), "protect": (0, ""), "ignorespaces": (0, ""), "leavevmode": (0, "")}
 
 
-def expand_text(text: str, table: dict[str, tuple[int, str]], rounds: int = 20) -> str:
+def expand_text(text: str, table: Mapping[str, tuple[int, str]], rounds: int = 20) -> str:
     """Expand uses left to right until none is left; more rounds than allowed are an error.
 
     A use without its argument is removed and the rest goes on. An argument that is a digit
     or a macro stands without braces.
     """
-    if not table:
+    actions = {name: (n, filled(body)) for name, (n, body) in table.items()}
+    if not actions:
         return text
-    use = re.compile(r"\\(" + "|".join(sorted(map(re.escape, table), key=len, reverse=True)) + r")\*?(?![A-Za-z])")
+    wanted = re.compile(r"\\(?:" + "|".join(sorted(map(re.escape, actions), key=len, reverse=True)) + r")(?![A-Za-z])")
     for _ in range(rounds):
-        out, at, changed = [], 0, False
-        while (m := use.search(text, at)) is not None:
-            changed = True
-            n, body = table[m.group(1)]
-            out.append(text[at : m.start()])
-            args, end = [], m.end()
-            for _ in range(n):
-                start, after = group_at(text, end)
-                if start < after:
-                    args.append(text[start + 1 : after - 1])
-                    end = after
-                elif single := _SINGLE.match(text, end):
-                    args.append(single.group(1))
-                    end = single.end()
-            if len(args) == n:
-                out.append(re.sub(r"#([1-9])", lambda k, args=args, n=n: args[int(k.group(1)) - 1] if int(k.group(1)) <= n else k.group(0), body))
-            at = end
-        out.append(text[at:])
-        text = "".join(out)
-        if not changed:
+        if not wanted.search(text):
             return text
+        after = rewrite_uses(text, actions, bare=True)
+        if after == text:
+            return text
+        text = after
     raise ValueError("macros do not settle")
 
 
-@F.pandas_udf(T.StringType())
-def _expand(text: pd.Series, names: pd.Series, counts: pd.Series, bodies: pd.Series) -> pd.Series:
-    rows = zip(text, names, counts, bodies, strict=True)
-    return pd.Series([expand_text(t or "", {n: (int(c), b) for n, c, b in zip(ns, cs, bs, strict=True) if balanced(b)} if ns is not None else {}) for t, ns, cs, bs in rows])
+def staged_text(text: str, names, counts, bodies, early, target: Mapping[str, tuple[int, str]] = {}) -> str:  # noqa: B006
+    """A text without its definitions, its own macros expanded: those that shape the document, the others, the target's."""
+    text = without_spans(text, [(x[0], x[1]) for x in find_macros(text)])
+    rows = [] if names is None else [(n, (int(c), b), e) for n, c, b, e in zip(names, counts, bodies, early, strict=True) if balanced(b)]
+    for table in ({n: d for n, d, e in rows if e}, {n: d for n, d, e in rows if not e}, target):
+        text = expand_text(text, table)
+    # What a late macro has brought in may itself be shaped by an early one.
+    return expand_text(text, {n: d for n, d, e in rows}) if any(e for *_, e in rows) else text
+
+
+def expand_macros(docs: DataFrame, macros: DataFrame, which: str = "expandable", target: Mapping[str, tuple[int, str]] = {}) -> DataFrame:  # noqa: B006
+    """Documents with their own macros of a verdict expanded in stages; the definitions' spans are cut out first.
 
+    Structural macros come first, then the author's other macros, then the ``target``'s
+    (name to arguments and template). Text beside, between and after definitions stays.
+    """
+    last = macros.where(which).groupBy("doc_id", "name").agg(F.max_by(F.struct("numargs", "definition", "structural"), "ordinal").alias("d"))
+    own = last.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("name", "d.numargs", "d.definition", "d.structural"))).alias("m"))
+
+    @F.pandas_udf(T.StringType())
+    def expand(text: pd.Series, names: pd.Series, counts: pd.Series, bodies: pd.Series, early: pd.Series) -> pd.Series:
+        return pd.Series([staged_text(t or "", *row, target) for t, *row in zip(text, names, counts, bodies, early, strict=True)])
 
-def expand_macros(docs: DataFrame, macros: DataFrame, which: str = "expandable") -> DataFrame:
-    """Documents with their own macros of a verdict expanded; definitions are taken out of the text first."""
-    last = macros.where(which).groupBy("doc_id", "name").agg(F.max_by(F.struct("numargs", "definition"), "ordinal").alias("d"))
-    own = last.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("name", "d.numargs", "d.definition"))).alias("m"))
+    ship(docs.sparkSession)
     joined = docs.join(own, "doc_id", "left")
-    text = F.regexp_replace("text", r"(?m)^\\(?:newcommand|renewcommand|providecommand|def|let|DeclareMathOperator)\b.*\n?", "")
-    return joined.withColumn("text", _expand(text, F.col("m.name"), F.col("m.numargs"), F.col("m.definition"))).drop("m")
+    return joined.withColumn("text", expand("text", "m.name", "m.numargs", "m.definition", "m.structural")).drop("m")
 
 
 def declared_theorems(docs: DataFrame) -> DataFrame:
