@@ -4,6 +4,9 @@ Every element's subtree is hashed by its tag, text and children. Spark counts on
 pages of a host each subtree stands; those on many are deleted. Pages that differ in nothing but
 their address count once, so copies of an article do not make it a template. Names, roles and
 classes of elements tell the rest (``elements``): adverts and notices that no other page has.
+
+What is to be deleted from which page is joined with the pages, as a broadcast where its measured
+size is small and else by a shuffle. It holds only subtrees that names and classes have not deleted already.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from .elements import Page
 
 #: A subtree on so many different pages of a host is the host's template.
 MIN_PAGES = 5
+#: Hashes to be deleted that are broadcast at most, over all pages.
+BROADCAST_HASHES = 1 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -34,13 +39,16 @@ def _signed(x: int) -> int:
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hashes, said = [], []
+        hashes, kept, said = [], [], []
         for html in batch.column(batch.num_columns - 1).to_pylist():
             page = Page(html)
             page.survey()
-            hashes.append([_signed(h) for h in page.subtrees()])
+            found = page.subtrees()
+            hashes.append([_signed(h) for h in found])
+            kept.append([_signed(h) for h, elements in found.items() if any(page.inside[e] and not page.dropped[e] for e in elements)])
             said.append(_signed(xxhash.xxh64_intdigest("\n".join(page.blocks()))))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(said, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], [*batch.schema.names[:-1], "said", "hashes"])
+        lists = [pa.array(x, pa.list_(pa.int64())) for x in (hashes, kept)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(said, pa.int64()), *lists], [*batch.schema.names[:-1], "said", "hashes", "kept"])
     K.release()
 
 
@@ -66,10 +74,14 @@ def extract_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), m
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     slim = pages.select(*[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)], host_of(F.col("url")).alias("host"), F.xxhash64("url", html).alias("a"), F.hash(html, F.length(html)).alias("b"), html.alias("html"))
-    seen = materialize(slim.select("host", "a", "b", "html").mapInArrow(_subtrees, "host string, a long, b int, said long, hashes array<long>").distinct(), "pages-subtrees")
-    each = seen.select("host", "a", "b", "said", F.explode("hashes").alias("hash"))
-    template = each.select("host", "hash", "said").distinct().groupBy("host", "hash").count().where(F.col("count") >= min_pages).select("host", "hash")
-    cut = each.join(template, ["host", "hash"]).groupBy("a", "b").agg(F.collect_set("hash").alias("template"))
+    seen = slim.select("host", "a", "b", "html").mapInArrow(_subtrees, "host string, a long, b int, said long, hashes array<long>, kept array<long>")
+    seen = materialize(seen.dropDuplicates(["a", "b"]), "pages-subtrees")
+    each = seen.select("host", "said", F.explode("hashes").alias("hash"))
+    template = each.distinct().groupBy("host", "hash").count().where(F.col("count") >= min_pages).select("host", "hash")
+    cut = seen.where(F.size("kept") > 0).select("host", "a", "b", F.explode("kept").alias("hash")).join(template, ["host", "hash"])
+    cut = materialize(cut.groupBy("a", "b").agg(F.collect_set("hash").alias("template")), "pages-template")
+    n = cut.agg(F.coalesce(F.sum(F.size("template") + 4), F.lit(0))).first()[0]
+    cut = F.broadcast(cut) if n <= BROADCAST_HASHES else cut
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields if f.name.startswith("k_"))
     found = slim.join(cut, ["a", "b"], "left").select(*[f"k_{i}" for i in range(len(keep))], "html", "template").mapInArrow(_articles, f"{fields}, text string")
     return found.select(*[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)], "text", F.length("text").cast("long").alias("n_chars"))
