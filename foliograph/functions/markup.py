@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from .accents import ACCENTS
 from .rules import apply_rules
-from .scanner import arguments_at
+from .scanner import filled, rewrite_uses
 
 # Font macro, element for each target.
 FONTS = [
@@ -63,6 +63,8 @@ ACCENT_RULES = [
     (r"\\S(?![a-zA-Z]) ?", "&#xa7;"),
 ]
 DASH_RULES = [(r"([^-])---([^-])", "$1&#8202;&#x2014;&#8202;$2"), (r"--", "&#x2013;")]
+#: Stands after what a macro without arguments leaves, until the blank there is taken.
+_EATEN = "\0\ue001"
 SPACE = {"html": "&nbsp;", "ptx": "<nbsp/>"}
 
 
@@ -91,21 +93,9 @@ def macro_table(target: str) -> dict[str, tuple[int, str]]:
 def convert(text: str, table: dict[str, tuple[int, str]]) -> str:
     """Replace macros by their templates, arguments first; other text is left as it is."""
     text = re.sub(r"\{\\(it|sl|sc|tt|bf|sf)\b\s*", lambda m: "\\text" + m.group(1) + "{", text)
-    out, at = [], 0
-    for m in re.finditer(r"\\([A-Za-z]+)\*?", text):
-        if m.start() < at or m.group(1) not in table:
-            continue
-        n, template = table[m.group(1)]
-        args, end = arguments_at(text, m.end(), n)
-        if len(args) < n:
-            continue
-        args = [convert(a, table) for a in args]
-        out.append(text[at : m.start()])
-        out.append(re.sub(r"#([1-9])", lambda k, a=args: a[int(k.group(1)) - 1], template))
-        at = end
-        if n == 0 and text[at : at + 1] == " ":
-            at += 1
-    return "".join([*out, text[at:]])
+    actions = {name: (n, filled(template if n else template + _EATEN)) for name, (n, template) in table.items()}
+    # A macro without arguments takes the blank after it along.
+    return rewrite_uses(text, actions, short=lambda use: use).replace(f"{_EATEN} ", "").replace(_EATEN, "")
 
 
 def _converter(target: str):

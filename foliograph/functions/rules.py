@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Rules = Iterable[tuple[str, str]]
@@ -42,3 +42,19 @@ def sql_rules(column: str, rules: Rules) -> str:
         out = replacement.replace("\\\\", "\0").replace("\\$", "\1").replace("$", "\\").replace("\0", "\\\\").replace("\1", "$")
         column = f"regexp_replace({column}, {quote(pattern)}, {quote(out)}, 'g')"
     return column
+
+
+RULE_SCHEMA = "pack string, stage string, seq int, pattern string, replacement string"
+
+
+def apply_packs(docs: DataFrame, rules: DataFrame, stage: str, pack: str = "pack", text: str = "text") -> DataFrame:
+    """Documents with the rules of their own pack applied, in the order of ``seq``, at run time.
+
+    ``rules`` has (pack, stage, seq, pattern, replacement) in Java's syntax. Which pack a document has is in its
+    column ``pack``; without one, or one without rules for the stage, the text stays. Rules are folded over
+    an array in the plan, so packs are data: no code depends on them.
+    """
+    own = rules.where(F.col("stage") == stage).groupBy("pack").agg(F.sort_array(F.collect_list(F.struct("seq", "pattern", "replacement"))).alias("__rules"))
+    joined = docs.join(own.withColumnRenamed("pack", "__pack"), F.col(pack) == F.col("__pack"), "left")
+    folded = F.expr(f"aggregate(coalesce(__rules, array()), `{text}`, (t, r) -> regexp_replace(t, r.pattern, r.replacement))")
+    return joined.withColumn(text, folded).drop("__rules", "__pack")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .accents import ACCENTS, accented, tex_accent
 from .rules import apply_literals, apply_rules
+from .scanner import column, group_ends
 
 # Accented letters and typographic characters as markup.
 UNICODE_TO_TEX = [
@@ -66,43 +69,67 @@ def file_stub(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"\.[^./]*$", ""), r"(?s)^.*/", "")
 
 
+#: Characters as markup: accented Latin letters by their decomposition, others by the table.
+_MARKUP = {ord(c): tex_accent(sign, letter) for c, letter, sign in accented()} | {ord(c): x for c, x in UNICODE_TO_TEX}
+_ENTITY = re.compile(r"&#?[0-9A-Za-z]+;")
+_ENTITIES = dict(ENTITIES_TO_TEX) | {f"&{letter}{name};": f"\\{sign}{{{letter}}}" if sign.isalpha() else f"\\{sign}{letter}" for sign, name, _ in ACCENTS for letter in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" if f"&{letter}{name};" not in dict(ENTITIES_TO_TEX)}
+
+
+def _as_markup(text: str) -> str:
+    return text if text.isascii() else text.translate(_MARKUP)
+
+
 def unicode_to_tex(text: Column) -> Column:
-    """Typographic characters by a table, accented Latin letters by their decomposition: a sign before the letter, which then loses its mark."""
-    out = apply_literals(text, UNICODE_TO_TEX)
-    letters = accented()
-    out = apply_literals(out, [(c, tex_accent(sign, letter)) for c, letter, sign in letters if letter in "ij"])
-    for sign, _, _ in ACCENTS:
-        group = "".join(c for c, letter, s in letters if s == sign and letter not in "ij")
-        out = F.regexp_replace(out, f"([{group}])", f"\\\\{sign}{{$1}}" if sign.isalpha() else f"\\\\{sign}$1")
-    out = F.translate(out, "".join(c for c, _, _ in letters), "".join(letter for _, letter, _ in letters))
-    return F.when(text.rlike(r"[^\x00-\x7F]"), out).otherwise(text)
+    """Typographic characters and accented Latin letters as markup, by one table of characters."""
+    return column(_as_markup)(text)
 
 
 def entities_to_tex(text: Column) -> Column:
     return F.when(text.contains("&"), apply_rules(apply_literals(text, ENTITIES_TO_TEX), ENTITY_RULES)).otherwise(text)
 
 
-def tex_to_ascii(text: Column) -> Column:
+_FORMS = {g: g for g in GREEK} | ASCII_FORMS | dict.fromkeys(ASCII_DELETED, "")
+_ACCENT = re.compile(r"\\[\^'`\x22~=-][ \t\n\r\f\v]*|\\\.(?=[A-Za-z])")
+_ALONE = re.compile(r"\{\\([A-Za-z]+)[ \t\n\r\f\v]*\}")
+_MACRO = re.compile(r"\\([A-Za-z]+)([ \t\n\r\f\v]*)")
+_BRACED = re.compile(r"\{([^}])\}")
+_BLANKS = re.compile(r"[ \t\n\r\f\v]+")
+
+
+def _ascii_form(m: re.Match) -> str:
+    name, blank = m.groups()
+    follows = m.string[m.end() : m.end() + 1]
+    if name in EATS_BLANK and blank:
+        # Before a capital the last blank stays.
+        blank = blank[-1] if follows.isascii() and follows.isupper() else ""
+    return _FORMS.get(name, f"\\{name}") + blank
+
+
+def _as_ascii(text: str) -> str:
     """Macros looked up one by one in a table of ASCII forms; unknown ones stay as they are.
 
-    The text is cut at its macros. A macro of a letter or accent takes the blank after it
-    along, unless a capital follows.
+    A macro of a letter or accent takes the blank after it along, unless a capital follows;
+    one that is alone in braces takes none.
     """
-    forms = {g: g for g in GREEK} | ASCII_FORMS | dict.fromkeys(ASCII_DELETED, "")
-    known = F.create_map(*[F.lit(x) for pair in forms.items() for x in pair])
-    bare = F.regexp_replace(text, r"\\[\^'`\x22~=-]\s*|\\\.(?=[A-Za-z])", "")
-    bare = F.regexp_replace(bare, r"\{\\([A-Za-z]+)\s*\}", "\\\\$1\u0001")  # a macro alone in braces takes no blank along
-    macro = r"\\([A-Za-z]+)"
-    names, gaps = F.regexp_extract_all(bare, F.lit(macro), F.lit(1)), F.split(bare, macro, -1)
-    shown = F.transform(names, lambda n: F.coalesce(F.try_element_at(known, n), F.concat(F.lit("\\"), n)))
-    after = F.zip_with(names, F.slice(gaps, 2, F.size(names)), lambda n, g: F.when(n.isin(*EATS_BLANK), F.regexp_replace(g, r"^\s+(?![A-Z])", "")).otherwise(g))
-    body = F.array_join(F.zip_with(shown, after, lambda m, g: F.concat(m, g)), "")
-    whole = F.when(bare.contains("\\"), F.replace(F.concat(F.element_at(gaps, 1), F.coalesce(body, F.lit(""))), F.lit("\u0001"), F.lit(""))).otherwise(bare)
-    return apply_rules(whole, [(r"\{([^}])\}", "$1"), (r"\{([^}])\}", "$1"), (r"\s+", " ")])
+    if "\\" in text:
+        text = _ALONE.sub("\\\\\\1\1", _ACCENT.sub("", text))
+        text = _MACRO.sub(_ascii_form, text).replace("\1", "")
+    return _BLANKS.sub(" ", _BRACED.sub(r"\1", _BRACED.sub(r"\1", text)))
+
+
+def ascii_text(text: str) -> str:
+    """A text in ASCII: entities, letters and macros by what they stand for, white space as single blanks."""
+    if "&" in text:
+        text = _ENTITY.sub(lambda m: _ENTITIES.get(m.group(0), m.group(0)), text)
+    return _as_ascii(_as_markup(text))
+
+
+def tex_to_ascii(text: Column) -> Column:
+    return column(_as_ascii)(text)
 
 
 def to_ascii(text: Column) -> Column:
-    return tex_to_ascii(unicode_to_tex(entities_to_tex(text)))
+    return column(ascii_text)(text)
 
 
 def rearrange_subscripts(text: Column) -> Column:
@@ -121,35 +148,44 @@ def safe_name(text: Column, as_id: bool = False) -> Column:
     return name
 
 
-def title_words(text: Column) -> Column:
-    """The words of a title that carry weight, in the singular, numbers as digits; an array.
+_OPENING = re.compile(rf"^(?:{'|'.join(TITLE_OPENINGS)}) ")
+_DIGITS = {w: str(n) for n, w in enumerate(NUMBER_WORDS, 1)}
+_SCRIPTS = re.compile(r"\^(\{[^{}]+\}|[a-zA-Z0-9]|\\[a-zA-Z]+)_(\{[^{}]+\}|[a-zA-Z0-9]|\\[a-zA-Z]+)")
+_SIGNS = re.compile(r"'s(?![A-Za-z0-9_])|\\(?:frac|backslash)(?![A-Za-z0-9_])|['`^~\x22_{}$\\:;,.()]")
+#: Plural endings after enough of a word, and what replaces them.
+_PLURALS = [(re.compile("[a-z]{3}(?:x|ch|sh|ss)es$"), 2, ""), (re.compile("[a-z]{4}ies$"), 3, "y"), (re.compile("[a-z]{3}[a-rt-z]s$"), 1, "")]
+
+
+def singular(word: str) -> str:
+    """A long word without its plural ending."""
+    for ending, cut, left in _PLURALS:
+        if ending.search(word):
+            return word[:-cut] + left
+    return word
+
+
+def title_words(title: str) -> list[str]:
+    """The words of a title that carry weight, in the singular, numbers as digits.
 
     Hyphens part words but for the prefix ``non-`` and the like; accents count as none.
     """
-    t = F.lower(to_ascii(rearrange_subscripts(F.regexp_replace(text, r"\\sb\b", "_"))))
-    t = F.regexp_replace(F.regexp_replace(t, r"'s\b|\\(?:frac|backslash)\b|['`^~\x22_{}$\\:;,.()]", ""), r"on-", "on")
-    t = F.regexp_replace(F.trim(F.regexp_replace(t, r"[^a-z0-9]+", " ")), rf"^(?:{'|'.join(TITLE_OPENINGS)}) ", "")
-    roman = F.create_map(*[F.lit(x) for k, n in ROMAN_PARTS.items() for x in (k, str(n))])
-    numbers = F.create_map(*[F.lit(x) for n, w in enumerate(NUMBER_WORDS, 1) for x in (w, str(n))])
-    words = F.split(t, " ")
-    words = F.transform(words, lambda w, i: F.when((i > 0) & (F.get(words, i - 1) == "part"), F.coalesce(F.try_element_at(roman, w), w)).otherwise(w))
-    words = F.filter(words, lambda w: ~w.isin("", *TITLE_STOP_WORDS))
-    return F.transform(words, lambda w: F.coalesce(F.try_element_at(numbers, w), singular(w)))
-
-
-def singular(word: Column) -> Column:
-    """A long word without its plural ending."""
-    return (
-        F.when(word.rlike("[a-z]{3}(?:x|ch|sh|ss)es$"), F.regexp_replace(word, "es$", ""))
-        .when(word.rlike("[a-z]{4}ies$"), F.regexp_replace(word, "ies$", "y"))
-        .when(word.rlike("[a-z]{3}[a-rt-z]s$"), F.regexp_replace(word, "s$", ""))
-        .otherwise(word)
-    )
+    t = ascii_text(_SCRIPTS.sub(r"_\2^\1", re.sub(r"\\sb(?![A-Za-z0-9_])", "_", title))).lower()
+    t = _OPENING.sub("", re.sub("[^a-z0-9]+", " ", _SIGNS.sub("", t).replace("on-", "on")).strip())
+    words = t.split(" ")
+    words = [str(ROMAN_PARTS[w]) if k and words[k - 1] == "part" and w in ROMAN_PARTS else w for k, w in enumerate(words)]
+    return [_DIGITS.get(w) or singular(w) for w in words if w and w not in TITLE_STOP_WORDS]
 
 
-def title_key(text: Column) -> Column:
+def key_of_title(title: str) -> str:
     """A reduced form under which equal titles are equal: its words without blanks, in one spelling."""
-    return F.replace(apply_literals(F.array_join(title_words(text), " "), SPELLINGS), F.lit(" "), F.lit(""))
+    key = " ".join(title_words(title))
+    for old, new in SPELLINGS:
+        key = key.replace(old, new)
+    return key.replace(" ", "")
+
+
+def title_key(text: Column) -> Column:
+    return column(key_of_title)(text)
 
 
 # A comment runs from an unescaped % to the end of its line; one that fills its line takes the line along.
@@ -206,21 +242,43 @@ def author_slug(first: Column, last: Column, preferred: Column) -> Column:
 
 
 def rescale_svg(svg: Column, scale: float = 1.4) -> Column:
-    """The first height and width in points times ``scale``; a text without both is left as it is."""
+    """The first height and width in points times ``scale``, exactly; a text without both is left as it is."""
     out = svg
     for name in ("height", "width"):
-        value = F.regexp_extract(svg, rf'{name}="([0-9.]+)pt', 1).try_cast("double") * scale
+        value = F.regexp_extract(svg, rf'{name}="([0-9.]+)pt', 1).try_cast("decimal(18,6)") * F.lit(str(scale)).cast("decimal(9,4)")
+        # As the shortest decimal with one place at least.
+        shown = F.regexp_replace(F.regexp_replace(value.cast("string"), "0+$", ""), r"\.$", ".0")
         cut = F.split(out, rf'{name}="[0-9.]+pt', 2)
-        out = F.concat(F.element_at(cut, 1), F.lit(f'{name}="'), value.cast("string"), F.lit("pt"), F.try_element_at(cut, F.lit(2)))
+        out = F.concat(F.element_at(cut, 1), F.lit(f'{name}="'), shown, F.lit("pt"), F.try_element_at(cut, F.lit(2)))
     return F.coalesce(out, svg)
 
 
-# Braces around one character or capitals, which change nothing.
-SILLY_BRACES = [
-    (r"(^|\W)\{([A-Z])\}", "$1$2"), (r"\{\s+\}", ""), (r"([^a-zA-Z])\{([A-Za-z0-9])\}", "$1$2"), (r" \{([A-Z]+)\}", " $1"), (r"\{([A-Z]+)\} ", "$1 "),
-    (r"\{(&#?[0-9a-zA-Z]+;\s*)\}", "$1"), (r"\{'\s*\}", "'"), (r"\{(\$[^$]+\$)\}", "$1"), (r"\{(\\['`\x22^][a-zA-Z])\}", "$1"),
-]
+_QUOTE_ALONE = re.compile(r"'\s*")
+_ENTITY_ALONE = re.compile(r"&#?[0-9A-Za-z]+;\s*")
+_ACCENTED_ALONE = re.compile(r"\\['`\x22^][A-Za-z]")
+_MATH_ALONE = re.compile(r"\$[^$]+\$")
+
+
+def _silly(before: str, inside: str, after: str) -> bool:
+    """Whether braces around ``inside`` change nothing, between the characters before and after them."""
+    if not inside.strip():
+        return bool(inside)
+    if len(inside) == 1 and inside.isascii() and inside.isalnum():
+        # One letter: not as the argument of a macro.
+        return not (before.isalpha() and before.isascii()) if before else inside.isupper()
+    if inside.isascii() and inside.isalpha() and inside.isupper():
+        return before == " " or after == " "
+    return any(x.fullmatch(inside) for x in (_QUOTE_ALONE, _ENTITY_ALONE, _ACCENTED_ALONE, _MATH_ALONE))
+
+
+def without_silly_braces(text: str) -> str:
+    """A text without braces around one character, capitals or an accented letter, which change nothing."""
+    cut = set()
+    for start, end in group_ends(text).items():
+        if _silly(text[start - 1 : start] if start else "", text[start + 1 : end - 1], text[end : end + 1]):
+            cut |= {start, end - 1} if text[start + 1 : end - 1].strip() else set(range(start, end))
+    return "".join(c for k, c in enumerate(text) if k not in cut) if cut else text
 
 
 def remove_silly_braces(text: Column) -> Column:
-    return apply_rules(text, SILLY_BRACES)
+    return column(without_silly_braces)(text)

@@ -1,4 +1,4 @@
-r"""Paragraphs, comments, tables, index, terms, session cells, authors, math spans, assembly."""
+r"""Paragraphs, comments, tables, index, session cells, authors, math spans, assembly."""
 
 from __future__ import annotations
 
@@ -112,11 +112,6 @@ def arrays(tables: DataFrame, target: str = "html", text: str = "body", spec: st
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", line.alias("t")))), lambda x: x["t"]), "").alias("markup"))
 
 
-def index_entries(docs: DataFrame) -> DataFrame:
-    r"""(doc_id, k, entry) of every ``\index{...}``."""
-    return docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\\index\{([^}]*)\}"), F.lit(1))).alias("k", "entry"))
-
-
 def build_index(entries: DataFrame, key: str = "doc_id") -> DataFrame:
     """Sorted index lines: letter, main entry, sub-entry; adjacent equal entries become one.
 
@@ -132,78 +127,6 @@ def build_index(entries: DataFrame, key: str = "doc_id") -> DataFrame:
     return e.withColumn("place", F.row_number().over(w)).withColumn("new_letter", F.coalesce(F.lag("letter").over(w) != F.col("letter"), F.lit(True))).withColumn("new_main", F.coalesce(F.lag("main").over(w) != F.col("main"), F.lit(True))).drop("sort", "entry")
 
 
-def normal_term(term: Column) -> Column:
-    """A term without outer brackets and end punctuation, blanks as single spaces, long words without the plural s."""
-    t = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(term), r"^\((.*)\)$", "$1"), r"[:;,.]$", ""), r"\s+", " "))
-    return F.regexp_replace(t, r"([a-z]{2}[a-rt-z])s\b", "$1")
-
-
-# Terms that are never linked.
-RESERVED_TERMS = ["lemma", "proposition", "theorem"]
-
-
-def term_forms(terms: DataFrame, min_length: int = 4) -> DataFrame:
-    """(phrase, term, n_words): the forms that a term of letters, blanks and hyphens takes in a text."""
-    t = terms.where((F.length("term") >= min_length) & F.col("term").rlike("^[A-Za-z]+(?:[ -][A-Za-z]+)*$") & ~F.col("term").isin(*RESERVED_TERMS)).select("term")
-    plural = F.when(F.col("term").rlike("[^aeiou]y$"), F.regexp_replace("term", "y$", "ies")).when(F.col("term").rlike("(?:s|x|ch|sh)$"), F.concat("term", F.lit("es"))).otherwise(F.concat("term", F.lit("s")))
-    forms = t.select("term", F.explode(F.array("term", plural)).alias("phrase")).groupBy("phrase").agg(F.min("term").alias("term"))
-    return forms.withColumn("n_words", F.size(F.split("phrase", " ")))
-
-
-def link_terms(docs: DataFrame, terms: DataFrame, min_length: int = 4) -> DataFrame:
-    """(doc_id, phrase, term): phrases of documents that are a term or its plural.
-
-    Runs of words as long as the terms are, a few lengths, are joined with the forms by
-    equality, in place of a test of every term against every text.
-    """
-    forms = term_forms(terms, min_length)
-    lengths = [r.n_words for r in forms.select("n_words").distinct().collect()]  # a handful of numbers
-    words = docs.select("doc_id", F.regexp_extract_all("text", F.lit(r"[A-Za-z]+(?:-[A-Za-z]+)*"), F.lit(0)).alias("w"), F.split("text", r"[A-Za-z]+(?:-[A-Za-z]+)*", -1).alias("gap"))
-
-    def of_length(n: int) -> DataFrame:
-        size = F.size("w")
-        at = F.when(size >= n, F.sequence(F.lit(1), size - (n - 1))).otherwise(F.array().cast("array<int>"))
-        # Only blanks may stand between the words of a phrase.
-        joined = F.transform(at, lambda i: F.when(F.forall(F.slice("gap", i + 1, F.lit(n - 1)), lambda g: g.rlike(r"^\s+$")), F.array_join(F.slice("w", i, F.lit(n)), " ")))
-        return words.select("doc_id", F.explode(F.array_distinct(F.filter(joined, lambda x: x.isNotNull()))).alias("phrase"))
-
-    runs = None
-    for n in lengths:
-        runs = of_length(n) if runs is None else runs.unionByName(of_length(n))
-    if runs is None:
-        return docs.select("doc_id", F.lit("").alias("phrase"), F.lit("").alias("term")).limit(0)
-    return runs.join(forms, "phrase").select("doc_id", "phrase", "term")
-
-
-def write_term_links(docs: DataFrame, found: DataFrame, targets: DataFrame) -> DataFrame:
-    """Documents with their terms as links: ``found`` as of ``link_terms``, targets (term, file).
-
-    Longer phrases win: all phrases of a document are alternatives of one pattern, longest
-    first, so no link lies in another. A phrase needs a blank before it and a blank,
-    punctuation or the end after it; blanks inside become ties.
-    """
-    own = found.join(targets, "term").groupBy("doc_id").agg(F.collect_set(F.struct("phrase", "file")).alias("links"))
-
-    @F.pandas_udf(T.StringType())
-    def write(text: pd.Series, links: pd.Series) -> pd.Series:
-        def one(t: str, rows) -> str:
-            if t is None or rows is None or not len(rows):
-                return t
-            file = {r["phrase"]: r["file"] for r in sorted(rows, key=lambda r: r["file"], reverse=True)}
-            any_ = "|".join(re.escape(x).replace(r"\ ", r"\s+") for x in sorted(file, key=lambda x: (-len(x), x)))
-
-            def link(m: re.Match) -> str:
-                phrase = re.sub(r"\s+", " ", m.group(1))
-                return f' <span class="autoterm"><a knowl="{file[phrase]}">{phrase.replace(" ", "&nbsp;")}</a></span>'
-
-            return re.sub(rf"\s({any_})(?=[\s,:;.?!]|$)", link, t)
-
-        return pd.Series([one(t, rows) for t, rows in zip(text, links, strict=True)])
-
-    ship(docs.sparkSession)
-    return docs.join(own, "doc_id", "left").withColumn("text", write("text", "links")).drop("links")
-
-
 def session_cells(lines: DataFrame, prompt: Column, order: str = "ordinal") -> DataFrame:
     """Runs of prompt and answer lines as cells: (doc_id, cell, is_input, text)."""
     w = W.partitionBy("doc_id").orderBy(order)
@@ -280,10 +203,10 @@ def wrap(nodes: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 def fill(rows: list[tuple[int, str, str, str]]) -> str:
-    """The text of a document from its (pos, before, body, after), each child at its placeholder."""
+    """The text of a tree from its (pos, before, body, after), each child at its placeholder; the first node is the root."""
     held = {pos: (before or "", body or "", after or "") for pos, before, body, after in rows}
     cut = re.compile(PLACEHOLDER)
-    out, todo = [], [(0, None)]
+    out, todo = [], [(min(held), None)]
     while todo:
         pos, text = todo.pop()
         if text is not None:
@@ -303,15 +226,15 @@ def _fill(nodes: pd.Series) -> pd.Series:
     return nodes.map(lambda rows: fill([(r["pos"], r["before"], r["body"], r["after"]) for r in rows]))
 
 
-def assemble(nodes: DataFrame, before: str = "opening", after: str = "closing") -> DataFrame:
-    """(doc_id, text): placeholders filled from the root down, a document at a time.
+def assemble(nodes: DataFrame, before: str = "opening", after: str = "closing", by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(doc_id, text): placeholders filled from the root down, a document at a time, or a part of one by further keys.
 
-    One exchange brings a document's nodes together, however deep its tree is; texts are
+    One exchange brings a tree's nodes together, however deep it is; texts are
     never used as patterns. Rows of other documents are not touched.
     """
     ship(nodes.sparkSession)
     one = F.struct("pos", F.col(before).alias("before"), "body", F.col(after).alias("after"))
-    return nodes.groupBy("doc_id").agg(unescape(_fill(F.collect_list(one))).alias("text"))
+    return nodes.groupBy(*by).agg(unescape(_fill(F.collect_list(one))).alias("text"))
 
 
 def edges(nodes: DataFrame) -> DataFrame:

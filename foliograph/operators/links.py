@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..catalog import env_catalog
+from . import bibliography
+from .intervals import contained
+
 REF_RE = r"\\(?:ref|eqref|autoref|fullref)\{([^}]*)\}"
 CITE_RE = r"\\cite(?:\[[^\]]*\])?\{([^}]*)\}"
 CITE_NOTE_RE = r"\\cite(?:\[([^\]]*)\])?\{"
@@ -52,28 +56,21 @@ def resolve_citations(cites: DataFrame, bib: DataFrame) -> DataFrame:
 
 
 def bib_entries(docs: DataFrame) -> DataFrame:
-    r"""(doc_id, ordinal, key, label, raw) of ``\bibitem[label]{key} text``; without a label the ordinal."""
-    body = F.regexp_extract("text", r"(?s)\\begin\{thebibliography\}(?:\{[^}]*\})?(.*)\\end\{thebibliography\}", 1)
-    parts = F.split(body, r"\\bibitem\b", -1)
-    parts = F.slice(parts, 2, F.size(parts))
-    rows = docs.select("doc_id", F.posexplode(parts).alias("k", "part"))
-    head = r"(?s)^\s*(?:\[([^\]]*)\])?\s*\{([^}]*)\}\s*(.*?)\s*$"
-    label = F.regexp_extract("part", head, 1)
-    ordinal = (F.col("k") + 1).cast("int")
-    return rows.select(
-        "doc_id", ordinal.alias("ordinal"), F.regexp_extract("part", head, 2).alias("key"), F.when(label != "", label).otherwise(ordinal.cast("string")).alias("label"), F.regexp_extract("part", head, 3).alias("raw")
-    )
+    r"""(doc_id, ordinal, key, label, raw) of ``\bibitem[label]{key} text``, brackets and braces nested; without a label the ordinal."""
+    found = bibliography.entries(bibliography.record_fields(docs.where(F.col("text").contains("\\bibitem"))).where("notation = 'items'"))
+    return found.select("doc_id", "ordinal", "key", "label", "raw")
 
 
 def dependency_edges(nodes: DataFrame, labels: DataFrame, kinds: tuple[str, ...] = ("theorem", "definition")) -> DataFrame:
-    """(doc_id, source, target) labels: references inside nodes of the given classes."""
-    from .numbering import env_catalog
-
+    """(doc_id, source, target) labels: references anywhere inside nodes of the given classes, in items, equations and titles too."""
     of = F.broadcast(env_catalog(nodes.sparkSession).where(F.col("class").isin(*kinds)).select("marker"))
-    inside = nodes.join(of, "marker").where("label is not null and label <> ''")
-    refs = inside.select("doc_id", F.col("label").alias("source"), F.explode(F.regexp_extract_all("body", F.lit(REF_RE), F.lit(1))).alias("target"))
+    statements = nodes.join(of, "marker").where("label is not null and label <> ''").select("doc_id", F.col("pos").alias("start"), "last", F.col("label").alias("source"))
+    text = F.concat_ws(" ", "body", "option", "title")
+    refs = nodes.where(F.col("body").contains("ref") | F.col("option").contains("ref") | F.col("title").contains("ref"))
+    refs = refs.select("doc_id", "pos", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(REF_RE), F.lit(1)))).alias("target"))
+    found = contained(refs, statements).select("doc_id", "source", "target").distinct()
     known = labels.select("doc_id", F.col("label").alias("target"))
-    return refs.distinct().join(known, ["doc_id", "target"], "left_semi").select("doc_id", "source", "target")
+    return found.join(known, ["doc_id", "target"], "left_semi").select("doc_id", "source", "target")
 
 
 def prev_next(pages: DataFrame, order: Column | str, key: str = "file") -> DataFrame:

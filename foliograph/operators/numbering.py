@@ -11,9 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..catalog import SECTION_LEVELS, env_catalog
-
-ENV_COUNTERS = ("theorem", "equation", "figure")
+from ..catalog import ENV_COUNTERS, SECTION_LEVELS, env_catalog
 
 
 def number_nodes(nodes: DataFrame) -> DataFrame:
@@ -59,12 +57,7 @@ def number_nodes(nodes: DataFrame) -> DataFrame:
 
 def item_codes(nodes: DataFrame) -> DataFrame:
     """(doc_id, pos, code) of list items: their place in the list, after those of the lists around it."""
-    items = nodes.where("marker = 'item'")
-    place = items.withColumn("k", F.row_number().over(W.partitionBy("doc_id", "parent").orderBy("pos"))).select("doc_id", "pos", "ancestors", "k")
-    around = place.select("doc_id", "pos", F.explode(F.concat("ancestors", F.array("pos"))).alias("up"))
-    known = place.select("doc_id", F.col("pos").alias("up"), "k")
-    found = around.join(known, ["doc_id", "up"]).groupBy("doc_id", "pos").agg(F.sort_array(F.collect_list(F.struct("up", "k"))).alias("ks"))
-    return found.select("doc_id", "pos", F.array_join(F.transform("ks", lambda x: x["k"].cast("string")), ".").alias("code"))
+    return nodes.where("marker = 'item'").select("doc_id", "pos", F.col("place").alias("code"))
 
 
 def assign_ids(numbered: DataFrame) -> DataFrame:
@@ -81,13 +74,10 @@ def labels(numbered: DataFrame) -> DataFrame:
 
 def nearest_number(numbered: DataFrame) -> DataFrame:
     """(doc_id, pos, near): the node's own number, or that of its nearest numbered ancestor."""
-    up = numbered.select("doc_id", "pos", F.explode(F.concat("ancestors", F.array("pos"))).alias("up"))
-    known = numbered.where("codenumber is not null").select("doc_id", F.col("pos").alias("up"), "codenumber")
-    return up.join(known, ["doc_id", "up"]).groupBy("doc_id", "pos").agg(F.max_by("codenumber", "up").alias("near"))
+    known = numbered.where("codenumber is not null").select("doc_id", F.col("pos").alias("at"), F.col("codenumber").alias("number"))
+    return numbered.select("doc_id", "pos", F.col("near").alias("at")).join(known, ["doc_id", "at"]).select("doc_id", "pos", F.col("number").alias("near"))
 
 
 def containing_section(nodes: DataFrame) -> DataFrame:
     """(doc_id, pos, section_pos): the innermost heading around a node."""
-    up = nodes.select("doc_id", "pos", F.explode("ancestors").alias("up"))
-    heads = nodes.where(F.col("marker").isin(*SECTION_LEVELS)).select("doc_id", F.col("pos").alias("up"))
-    return up.join(heads, ["doc_id", "up"]).groupBy("doc_id", "pos").agg(F.max("up").alias("section_pos"))
+    return nodes.where("section is not null").select("doc_id", "pos", F.col("section").alias("section_pos"))

@@ -3,8 +3,10 @@ r"""Decomposition of markup into a tree of nodes, one row per node.
 One pass over the tokens of a document with a stack of open nodes: headings, ``\begin`` and
 ``\end``, items, math delimiters, labels, verbatim. A node's body holds a placeholder for
 each child, so bodies and tree together reproduce the text. Rows of multi-row math are nodes
-from the start, so what a row holds has the row as its parent. Documents are independent;
-the pass runs in Arrow batches, and everything after it is joins and windows on the node table.
+from the start, so what a row holds has the row as its parent. Each node has the position of
+its last descendant, so a subtree is an interval, and of the nodes around it that others ask for,
+which the parser's stack knows. Documents are independent; the pass runs in Arrow
+batches, and everything after it is joins and windows on the node table.
 """
 
 from __future__ import annotations
@@ -16,13 +18,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import LISTS, MULTILINE_MATH, SECTION_LEVELS, VERBATIM
+from ..catalog import ENV_COUNTERS, ENVIRONMENTS, LISTS, MULTILINE_MATH, SECTION_LEVELS, VERBATIM
 from ..functions.rules import apply_literals
 from ..functions.scanner import group_at
 from ..session import ship
 
+#: ``section`` is the innermost heading around a node, ``near`` the innermost node that carries a number, itself included, ``float`` the
+#: figure or table that holds it directly or through layout, ``place`` an item's place in the lists around it.
 NODES = (
-    "doc_id long, pos int, parent int, ordinal int, depth int, ancestors array<int>, marker string, star boolean, "
+    "doc_id long, pos int, parent int, ordinal int, depth int, last int, section int, near int, float int, place string, marker string, star boolean, "
     "title string, option string, label string, body string, opening string, closing string"
 )
 #: A child in its parent's body: the child's position between these two.
@@ -34,10 +38,10 @@ _ESCAPES = {ord(OPEN): ESCAPE + "a", ord(CLOSE): ESCAPE + "b", ord(ESCAPE): ESCA
 
 _TOKEN = re.compile(
     r"\\verb\*?(?P<vd>[^A-Za-z\s*])(?P<verb>.*?)(?P=vd)"
-    r"|\\begin\{(?P<begin>[A-Za-z]+)(?P<bstar>\*?)\}(?:\s*\[(?P<opt>[^\]]*)\])?"
+    r"|\\begin\{(?P<begin>[A-Za-z]+)(?P<bstar>\*?)\}"
     r"|\\end\{(?P<end>[A-Za-z]+)\*?\}"
     r"|\\(?P<sec>chapter|section|subsection|subsubsection|worksheet|exercises|paragraphs)(?P<sstar>\*?)\s*(?=\{)"
-    r"|\\item\b[ \t]*(?P<ilab>\[[^\]]*\])?"
+    r"|\\item\b[ \t]*"
     r"|\\label\{(?P<label>[^}]*)\}"
     r"|(?P<dollar>\$\$?)"
     r"|\\(?P<delim>[\[\]()])"
@@ -47,116 +51,169 @@ _TOKEN = re.compile(
 )
 _LEVEL = {m: k for k, m in enumerate([*SECTION_LEVELS, "exercises", "worksheet", "paragraphs"])}
 _INLINE_CLOSE = {"$": "$", "$$": "$$", "(": ")", "[": "]"}
+_ROW = re.compile(r"(\\\\(?:\[[^\[\]&]*\])?|\\cr(?![A-Za-z]))")
+_LABEL = re.compile(r"\\label\{([^}]*)\}")
+_COUNTED = {m for _, _, counter, names in ENVIRONMENTS if counter in (*ENV_COUNTERS, *SECTION_LEVELS) for m in names.split()}
+_FLOATS = {m for c, _, _, names in ENVIRONMENTS if c == "figure" for m in names.split()}
+_LAYOUT = {m for c, _, _, names in ENVIRONMENTS if c == "layout" for m in names.split()} - set(VERBATIM) - {"footnote"}
 
 
 class _Node:
     def __init__(self, pos: int, parent: _Node | None, marker: str, opening: str, star: bool = False, option: str = "", title: str = ""):
         self.pos, self.parent, self.marker, self.opening, self.closing = pos, parent, marker, opening, ""
         self.star, self.option, self.title, self.label, self.parts, self.children = star, option, title, "", [], 0
-        self.ordinal = 0
+        self.ordinal = self.depth = self.items = 0
+        self.section = self.near = self.float = None
+        self.place = ""
         if parent is not None:
             parent.children += 1
-            self.ordinal = parent.children
+            self.ordinal, self.depth = parent.children, parent.depth + 1
             parent.parts.append(f"{OPEN}{pos}{CLOSE}")
+            self.section = parent if parent.marker in SECTION_LEVELS else parent.section
+            self.near, self.place = parent.near, parent.place
+            self.float = parent.float if marker in _LAYOUT else None
+            if marker == "item":
+                parent.items += 1
+                self.place = f"{parent.place}.{parent.items}" if parent.place else str(parent.items)
+        if marker in _COUNTED:
+            self.near = self
+        if marker in _FLOATS:
+            self.float = self
 
-    def ancestors(self) -> list[int]:
-        out, up = [], self.parent
-        while up is not None:
-            out.append(up.pos)
-            up = up.parent
-        return out[::-1]
+
+class _Open:
+    """The open nodes, from the document inwards, and where in the stack those of a marker are."""
+
+    def __init__(self, root: _Node):
+        self.nodes, self.at, self.heads, self.lists = [root], {}, [], []
+
+    def push(self, node: _Node) -> None:
+        self.at.setdefault(node.marker, []).append(len(self.nodes))
+        if node.marker in _LEVEL:
+            self.heads.append(len(self.nodes))
+        if node.marker in LISTS:
+            self.lists.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def close_to(self, depth: int) -> None:
+        while len(self.nodes) > depth:
+            self.at[self.nodes.pop().marker].pop()
+        for held in (self.heads, self.lists):
+            while held and held[-1] >= depth:
+                held.pop()
+
+    def innermost(self, marker: str) -> int | None:
+        places = self.at.get(marker)
+        return places[-1] if places else None
 
 
 def parse(text: str, doc_id: int = 0) -> list[tuple]:
     """The nodes of one document in depth-first order; the document itself is position 0."""
     nodes = [_Node(0, None, "document", "")]
-    stack = [nodes[0]]
-    top = lambda: stack[-1]
+    stack = _Open(nodes[0])
+    top = lambda: stack.nodes[-1]
+    ended: set[str] = set()
+
+    def find(sign: str, at: int) -> int:
+        """Where a sign stands next; one that is not found stands nowhere behind either."""
+        stop = -1 if sign in ended else text.find(sign, at)
+        if stop < 0:
+            ended.add(sign)
+        return stop
 
     def open_node(*args, **named) -> _Node:
         node = _Node(len(nodes), top(), *args, **named)
         nodes.append(node)
-        stack.append(node)
+        stack.push(node)
         return node
 
-    def close_to(depth: int) -> None:
-        del stack[depth:]
+    def close_node() -> _Node:
+        node = top()
+        stack.close_to(len(stack.nodes) - 1)
+        return node
 
     def open_row() -> None:
         open_node("mathrow", "")
 
     def end_row(closing: str) -> None:
         """Close the row on top of the stack; an empty last row was none."""
-        row, owner = stack.pop(), top()
+        row = close_node()
+        owner = top()
         row.closing = closing
-        row.star = owner.star or closing.startswith("\\cr") or "\\nonumber" in "".join(row.parts)
+        body = "".join(row.parts)
+        row.star = owner.star or closing.startswith("\\cr") or "\\nonumber" in body
         if not closing:
             row.option = "end"
-            if not "".join(row.parts).strip() and row.pos == len(nodes) - 1:
+            if not body.strip() and row.pos == len(nodes) - 1:
                 nodes.pop()
                 owner.children -= 1
-                owner.parts[-1] = "".join(row.parts)
+                owner.parts[-1] = body
+
+    def option_at(at: int) -> int:
+        """Where a bracketed option at a place ends; the place itself without one."""
+        start, end = group_at(text, at, "[", "]")
+        return end if end > start else at
 
     at = 0
     while (m := _TOKEN.search(text, at)) is not None:
         top().parts.append(text[at : m.start()])
         at = m.end()
-        kind = m.lastgroup
         if m.group("vd"):
             node = open_node("verb", m.group(0)[: m.group(0).index(m.group("vd")) + 1])
             node.parts.append(m.group("verb"))
             node.closing = m.group("vd")
-            stack.pop()
+            close_node()
         elif m.group("begin"):
-            name, opening, option = m.group("begin"), m.group(0), m.group("opt") or ""
-            if name == "equation" and option:  # a bracket here is content
-                opening, option = opening[: opening.index("}") + 1], ""
-                at = m.start() + len(opening)
-            node = open_node(name, opening, star=bool(m.group("bstar")) or name == "split", option=option)
+            name = m.group("begin")
+            if name != "equation":  # there a bracket is content
+                at = option_at(at)
+            option = text[m.end() : at].strip()[1:-1]
+            node = open_node(name, text[m.start() : at], star=bool(m.group("bstar")) or name == "split", option=option)
             if name in MULTILINE_MATH:
                 open_row()
             if name in VERBATIM:
-                stop = text.find(f"\\end{{{name}", at)
+                stop = find(f"\\end{{{name}", at)
                 if stop >= 0:
                     node.parts.append(text[at:stop])
                     at = stop
         elif m.group("end"):
-            held = [k for k in range(len(stack) - 1, 0, -1) if stack[k].marker == m.group("end")]
-            if held:
-                stack[held[0]].closing = m.group(0)
-                if stack[held[0]].marker in MULTILINE_MATH and len(stack) == held[0] + 2:
+            held = stack.innermost(m.group("end"))
+            if held is not None:
+                stack.nodes[held].closing = m.group(0)
+                if m.group("end") in MULTILINE_MATH and len(stack.nodes) == held + 2:
                     end_row("")
-                close_to(held[0])
+                stack.close_to(held)
             else:  # closes nothing: ordinary text
                 top().parts.append(m.group(0))
         elif m.group("sec"):
             marker = m.group("sec")
             start, at = group_at(text, at)
             title = text[start:at]
-            inner = re.search(r"\\label\{([^}]*)\}", title)
+            inner = _LABEL.search(title)
             opening = text[m.start() : at]
-            if not title[1:-1].strip():
-                continue  # a heading without a title is no heading
-            depth = next((k for k, n in enumerate(stack) if n.marker in _LEVEL and _LEVEL[n.marker] >= _LEVEL[marker]), None)
-            if depth is None:
-                depth = max((k for k, n in enumerate(stack) if n.marker in _LEVEL or k == 0)) + 1
-            close_to(depth)
-            if marker == "subsubsection" and not any(n.marker == "subsection" for n in stack):
+            if not title[1:-1].strip():  # an empty heading is none; one without a title is text
+                if start == at:
+                    top().parts.append(opening)
+                continue
+            outer = next((k for k in stack.heads if _LEVEL[stack.nodes[k].marker] >= _LEVEL[marker]), None)
+            stack.close_to(outer if outer is not None else (stack.heads[-1] if stack.heads else 0) + 1)
+            if marker == "subsubsection" and stack.innermost("subsection") is None:
                 marker = "subsection"
-            node = open_node(marker, opening, star=bool(m.group("sstar")), title=re.sub(r"\\label\{[^}]*\}", "", title[1:-1]).strip())
+            node = open_node(marker, opening, star=bool(m.group("sstar")), title=_LABEL.sub("", title[1:-1]).strip())
             if inner:
                 node.label = inner.group(1)
-        elif m.group(0).startswith("\\item"):
-            held = [k for k in range(len(stack) - 1, -1, -1) if stack[k].marker in LISTS]
-            if held:
-                close_to(held[0] + 1)
-                open_node("item", m.group(0), option=m.group("ilab") or "")
+        elif m.group(0).startswith("\\item") and not m.group(0)[5:].strip():
+            if stack.lists:
+                stack.close_to(stack.lists[-1] + 1)
+                if text.startswith("[", at):
+                    at = option_at(at)
+                open_node("item", text[m.start() : at], option=text[m.end() : at])
             else:
                 top().parts.append(m.group(0))
         elif m.group("label") is not None:
             owner = top()
-            while owner.marker == "verb" and owner.parent is not None:
-                owner = owner.parent
+            # What only lays out hands its label to the figure around it.
+            owner = owner.float if owner.float is not None and not owner.float.label else owner
             if not owner.label:
                 owner.label = m.group("label")
             top().parts.append(m.group(0))
@@ -164,9 +221,9 @@ def parse(text: str, doc_id: int = 0) -> list[tuple]:
             sign = m.group("dollar") or m.group("delim")
             close = _INLINE_CLOSE.get(sign)
             mark = "$" if sign in ("$", "(") else "equation"
-            stop = text.find(close if sign[0] == "$" else "\\" + close, at) if close else -1
+            stop = find(close if sign[0] == "$" else "\\" + close, at) if close else -1
             body = text[at:stop] if stop >= 0 else ""
-            if stop < 0 or mark == "$" and re.search(r"\n[ \t]*\n", body):
+            if stop < 0 or mark == "$" and _BLANK_LINE.search(body):
                 top().parts.append(m.group(0))
             else:
                 if mark == "equation" and "&" in body:
@@ -174,7 +231,7 @@ def parse(text: str, doc_id: int = 0) -> list[tuple]:
                 node = open_node(mark, m.group(0), star=mark == "equation")
                 if mark == "align":
                     open_row()
-                    *rows, last = re.split(r"(\\\\(?:\[[^\[\]&]*\])?|\\cr(?![A-Za-z]))", body)
+                    *rows, last = _ROW.split(body)
                     for row, closing in zip(rows[::2], rows[1::2], strict=True):
                         top().parts.append(row)
                         end_row(closing)
@@ -185,17 +242,20 @@ def parse(text: str, doc_id: int = 0) -> list[tuple]:
                     node.parts.append(body)
                 node.closing = close if sign[0] == "$" else "\\" + close
                 at = stop + len(node.closing)
-                stack.pop()
+                close_node()
         elif m.group("row") and top().marker == "mathrow":
             end_row(m.group("row"))
             open_row()
         else:
             top().parts.append(m.group(0))
-        del kind
     top().parts.append(text[at:])
     return _numbered(doc_id, nodes)
 
 
+_BLANK_LINE = re.compile(r"\n[ \t]*\n")
+_CHILD = re.compile(PLACEHOLDER)
+
+
 def _numbered(doc_id: int, nodes: list[_Node]) -> list[tuple]:
     """Rows with positions in depth-first order; placeholders renamed to match."""
     body = {n.pos: "".join(n.parts) for n in nodes}
@@ -204,14 +264,19 @@ def _numbered(doc_id: int, nodes: list[_Node]) -> list[tuple]:
     while todo:
         pos = todo.pop()
         order.append(pos)
-        todo.extend(reversed([int(x) for x in re.findall(PLACEHOLDER, body[pos])]))
+        todo.extend(reversed([int(x) for x in _CHILD.findall(body[pos])]))
     new = {old: k for k, old in enumerate(order)}
+    last = list(range(len(order)))
+    for k in range(len(order) - 1, 0, -1):
+        up = new[by_pos[order[k]].parent.pos]
+        last[up] = max(last[up], last[k])
+    where = lambda n: None if n is None else new[n.pos]
     rows = []
-    for old in order:
+    for k, old in enumerate(order):
         n = by_pos[old]
-        text = re.sub(PLACEHOLDER, lambda m: f"{OPEN}{new[int(m.group(1))]}{CLOSE}", body[old])
-        up = [new[x] for x in n.ancestors()]
-        rows.append((doc_id, new[old], new[n.parent.pos] if n.parent else None, n.ordinal, len(up), up, n.marker, n.star, n.title, n.option, n.label, text, n.opening, n.closing))
+        text = _CHILD.sub(lambda m: f"{OPEN}{new[int(m.group(1))]}{CLOSE}", body[old])
+        place = n.place if n.marker == "item" else None
+        rows.append((doc_id, k, where(n.parent), n.ordinal, n.depth, last[k], where(n.section), where(n.near), where(n.float), place, n.marker, n.star, n.title, n.option, n.label, text, n.opening, n.closing))
     return rows
 
 
@@ -219,7 +284,8 @@ def _peel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in NODES.split(", ")]
     for pdf in batches:
         rows = [r for i, t in zip(pdf["doc_id"], pdf["text"], strict=True) for r in parse((t or "").translate(_ESCAPES), i)]
-        yield pd.DataFrame(rows, columns=names)
+        out = pd.DataFrame(rows, columns=names)
+        yield out.astype({k: "Int32" for k in ("parent", "section", "near", "float")})
 
 
 def unescape(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical, pages, scanner
 from ..functions import text as X
-from ..operators import content, frontmatter, links, macros, navigation, numbering, references, tags
+from ..operators import content, frontmatter, links, macros, navigation, numbering, references, tags, terms
 from ..operators.peel import peel
 from ..sources import documents, sinks, synthetic
 from ..sources.synthetic import joined, table
@@ -134,20 +134,20 @@ def term_phrases(spark, sf_dir):
     """Terms of one and two words in texts made of them: phrases with plurals, hyphens and words in between."""
     text = F.format_string("The normal groups of size %d and a Cayley graph; %s. normal, group", "p_size", F.when(F.col("p_size") % 2 == 0, "normal group").otherwise("symmetries"))
     docs = part(spark, sf_dir).select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
-    terms = spark.createDataFrame([("normal group",), ("symmetry",), ("Cayley graph",), ("lemma",), ("abc",)], "term string")
-    return content.link_terms(docs, terms).select(F.col("doc_id").alias("p_partkey"), "phrase", "term")
+    wanted = spark.createDataFrame([("normal group",), ("symmetry",), ("Cayley graph",), ("lemma",), ("abc",)], "term string")
+    return terms.link_terms(docs, wanted).select(F.col("doc_id").alias("p_partkey"), "phrase", "term")
 
 
 def term_links_written(spark, sf_dir):
     text = F.format_string("A normal  group of %d is a group, a subgroup.", "p_size")
     docs = part(spark, sf_dir).select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
-    terms = spark.createDataFrame([("normal group", "n.knowl"), ("group", "g.knowl")], "term string, file string")
-    return content.write_term_links(docs, content.link_terms(docs, terms), terms).select(F.col("doc_id").alias("p_partkey"), "text")
+    wanted = spark.createDataFrame([("normal group", "n.knowl"), ("group", "g.knowl")], "term string, file string")
+    return terms.write_term_links(docs, terms.link_terms(docs, wanted), wanted).select(F.col("doc_id").alias("p_partkey"), "text")
 
 
 def normal_terms(spark, sf_dir):
     term = F.format_string("(normal  groups of class%d),", "p_size")
-    return part(spark, sf_dir).select("p_partkey", content.normal_term(F.regexp_replace(term, ",$", "")).alias("a"), content.normal_term(F.concat(F.col("p_brand"), F.lit(" rings;"))).alias("b"))
+    return part(spark, sf_dir).select("p_partkey", terms.normal_term(F.regexp_replace(term, ",$", "")).alias("a"), terms.normal_term(F.concat(F.col("p_brand"), F.lit(" rings;"))).alias("b"))
 
 
 def marked_entries(spark, sf_dir):

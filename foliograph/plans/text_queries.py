@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import units
 from ..functions.rules import sql_literals
-from ..operators import content
+from ..operators import content, terms
 from ..sources.synthetic import table
 
 
@@ -92,8 +92,8 @@ def author_match(spark, sf_dir):
 
 
 def term_links(spark, sf_dir):
-    terms = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("term")).where("term rlike '^[a-z]{4,}$'").distinct()
-    return content.link_terms(docs(spark, sf_dir), terms).groupBy("term").agg(F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n_links"))
+    wanted = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("term")).where("term rlike '^[a-z]{4,}$'").distinct()
+    return terms.link_terms(docs(spark, sf_dir), wanted).groupBy("term").agg(F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n_links"))
 
 
 def si_units(spark, sf_dir):

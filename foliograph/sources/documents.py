@@ -27,31 +27,25 @@ def includes(files: DataFrame) -> DataFrame:
     return files.select("file", found).select("file", (F.col("k") + 1).alias("ordinal"), "target")
 
 
-def expand_includes(files: DataFrame, root: DataFrame, max_depth: int = 20, edges: DataFrame | None = None) -> DataFrame:
+_REACHED = """
+WITH RECURSIVE reached(root, file, depth, place, chain, cyclic) MAX RECURSION LEVEL {levels} AS (
+  SELECT file, file, 0, CAST(array() AS array<int>), array(file), false FROM {root}
+  UNION ALL
+  SELECT r.root, e.target, r.depth + 1, concat(r.place, array(e.ordinal)), concat(r.chain, array(e.target)), array_contains(r.chain, e.target)
+  FROM reached r JOIN {edge} e ON r.file = e.file WHERE NOT r.cyclic)
+SELECT root, file, depth, place, cyclic FROM reached LIMIT ALL"""
+
+
+def expand_includes(files: DataFrame, root: DataFrame, max_depth: int = 100, edges: DataFrame | None = None) -> DataFrame:
     """(root, file, depth, place, cyclic): every file reached from each root, in reading order.
 
-    ``place`` orders the files as an expansion would meet them. A file that is among its own
+    One recursive query. ``place`` orders the files as an expansion would meet them. A file that is among its own
     ancestors is reported once as cyclic and not followed; other repeats are legitimate.
-    Deeper chains than ``max_depth`` are an error and not a silent stop. ``edges`` are those
+    Deeper chains than ``max_depth`` are an error when the result is used, and not a silent stop. ``edges`` are those
     of ``includes``, by default, or of ``located``.
     """
     edge = (includes(files) if edges is None else edges).select("file", "ordinal", "target")
-    level = root.select(F.col("file").alias("root"), "file", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("place"), F.array("file").alias("chain"), F.lit(False).alias("cyclic"))
-    out = level
-    for depth in range(1, max_depth + 1):
-        step = level.where(~F.col("cyclic")).join(edge, "file")
-        level = step.select(
-            "root",
-            F.col("target").alias("file"),
-            F.lit(depth).alias("depth"),
-            F.concat("place", F.array("ordinal")).alias("place"),
-            F.concat("chain", F.array("target")).alias("chain"),
-            F.array_contains("chain", F.col("target")).alias("cyclic"),
-        )
-        if level.isEmpty():
-            return out.select("root", "file", "depth", "place", "cyclic")
-        out = out.unionByName(level)
-    raise ValueError(f"includes are nested deeper than {max_depth}")
+    return files.sparkSession.sql(_REACHED.replace("{levels}", str(int(max_depth) + 1)), root=root.select("file"), edge=edge)
 
 
 def located(edges: DataFrame, files: DataFrame, folder: str = "", working: str = "") -> DataFrame:

@@ -70,11 +70,20 @@ def test_columns(spark, f, source, want):
     assert column(spark, [source], f) == [want]
 
 
+@pytest.mark.parametrize(("source", "want"), [("{R}ough {\\\"a}", "Rough \\\"a"), ("x{ABC} y", "xABC y"), ("\\sqrt{x}", "\\sqrt{x}"), ("a{  }b", "ab"), ("{a{B}c", "{a{B}c")])
+def test_silly_braces(source, want):
+    assert text.without_silly_braces(source) == want
+
+
+def test_rescaled(spark):
+    assert column(spark, ['<svg height="5.5pt" width="10pt">', "<svg>"], text.rescale_svg) == ['<svg height="7.7pt" width="14.0pt">', "<svg>"]
+
+
 def test_content_id_of_null(spark):
     assert column(spark, [None, ""], text.content_id)[0] == column(spark, [""], text.content_id)[0]
 
 
-@pytest.mark.parametrize("table", [text.ENTITY_RULES, text.SILLY_BRACES, text.COMMENT_RULES, markup.ACCENT_RULES, markup.spacing_rules("ptx")])
+@pytest.mark.parametrize("table", [text.ENTITY_RULES, text.COMMENT_RULES, markup.ACCENT_RULES, markup.spacing_rules("ptx")])
 def test_patterns_compile(spark, table):
     for pattern, replacement in table:
         assert column(spark, ["abc"], lambda c, p=pattern, r=replacement: rules.apply_rules(c, [(p, r)])) is not None

@@ -8,8 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from foliograph.functions import canonical, pages, scanner
-from foliograph.operators import content, peel, references
+from foliograph.functions import canonical, markup, pages, scanner
+from foliograph.operators import content, macros, peel, references
 
 ENVIRONMENTS = ["theorem", "proof", "align", "cases", "equation", "gather", "itemize", "quote"]
 
@@ -17,7 +17,7 @@ ENVIRONMENTS = ["theorem", "proof", "align", "cases", "equation", "gather", "ite
 def back(text):
     """A text taken apart and put together."""
     rows = peel.parse(text.translate(peel._ESCAPES))
-    out = content.fill([(r[1], r[12], r[11], r[13]) for r in rows])
+    out = content.fill([(r[1], r[16], r[15], r[17]) for r in rows])
     for k, x in (("a", peel.OPEN), ("b", peel.CLOSE), ("c", peel.ESCAPE)):
         out = out.replace(peel.ESCAPE + k, x)
     return out
@@ -44,10 +44,10 @@ def test_tree_gives_the_text_back(text):
 def test_rows_own_what_they_hold():
     rows = peel.parse(r"\begin{align}a &= \begin{cases}1 \\ 2\end{cases} \\ b &= \begin{cases}3\end{cases}\label{x} \nonumber \cr c\end{align}")
     by = {r[1]: r for r in rows}
-    assert [(r[6], by[r[2]][6] if r[2] is not None else None, r[4]) for r in rows] == [
+    assert [(r[10], by[r[2]][10] if r[2] is not None else None, r[4]) for r in rows] == [
         ("document", None, 0), ("align", "document", 1), ("mathrow", "align", 2), ("cases", "mathrow", 3), ("mathrow", "align", 2), ("cases", "mathrow", 3), ("mathrow", "align", 2),
     ]
-    assert [r[7] for r in rows if r[6] == "mathrow"] == [False, True, False] and [r[10] for r in rows if r[6] == "mathrow"] == ["", "x", ""]
+    assert [r[11] for r in rows if r[10] == "mathrow"] == [False, True, False] and [r[14] for r in rows if r[10] == "mathrow"] == ["", "x", ""]
 
 
 def test_signs_of_placeholders_survive():
@@ -66,6 +66,24 @@ def test_time_grows_with_the_text():
     assert took(4000) < 10 * took(1000)
 
 
+@pytest.mark.parametrize("one", ["\\section{", "\\emph{", "\\begin{verbatim}", "\\begin{theorem}[", "\\[", "\\item[", "\\begin{align}", "{", "$", "\\title ", "{a\\over "])
+def test_open_groups_take_no_longer(one):
+    """What never closes is looked for once."""
+    text = one * 50_000
+    table = markup.macro_table("html")
+    for f in (peel.parse, canonical.canonical_text, lambda t: markup.convert(t, table), lambda t: scanner.rewrite_macro(t, "emph", 1, "#1"), macros.find_macros):
+        start = time.process_time()
+        f(text)
+        assert time.process_time() - start < 8
+
+
+def test_labels_of_floats():
+    """What layout inside a figure holds is the figure's."""
+    rows = peel.parse(r"\begin{figure}\begin{minipage}\includegraphics{a}\caption{C}\label{f}\end{minipage}\begin{equation}\label{e}\end{equation}\end{figure}")
+    assert [(r[10], r[14], r[8]) for r in rows] == [("document", "", None), ("figure", "f", 1), ("minipage", "", 1), ("equation", "e", None)]
+    assert [(r[1], r[5]) for r in rows] == [(0, 3), (1, 3), (2, 2), (3, 3)]
+
+
 @pytest.mark.parametrize(
     ("f", "page", "want"),
     [
