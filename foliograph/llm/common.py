@@ -24,15 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Where the session names none, a local master gets a temporary folder of its own and
-    any other master the warehouse, which its executors share too.
+    Where the session names none, a local master gets a temporary folder of its own; on a cluster
+    no folder of one machine would do, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if spark.sparkContext.master.startswith("local["):
-            root = tempfile.mkdtemp(prefix="foliograph-")
-        else:
-            root = spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="foliograph-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 

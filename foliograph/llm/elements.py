@@ -40,6 +40,8 @@ WORDS = frozenset(
 )
 PARTS = ("sidebar", "navbar", "breadcrumb", "newsletter", "cookie", "advert", "sponsor", "pagination", "masthead", "copyright")
 COMMENTS = frozenset("comment commentary comments commentlist comentarios commentaires disqus kommentare replies reply respond".split())
+#: Words in names of layout: with a sidebar, comments open.
+AROUND = frozenset("has no with without open opened closed off on enabled disabled".split())
 #: Elements that hold what an article says; they are never taken for template inside an article.
 CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr tbody thead tfoot caption figcaption".split())
 
@@ -60,13 +62,13 @@ def kind_of(tag: str, attributes: str) -> int:
         return BOILERPLATE
     if values.get("role", "").lower() in ROLES:
         return BOILERPLATE
-    named = f"{values.get('class', '')} {values.get('id', '')}"
-    words = {w.lower() for w in _WORD.findall(named)}
-    if words & COMMENTS:
-        return READERS
-    if words & WORDS or any(x in named.lower() for x in PARTS):
-        return BOILERPLATE
-    return HEADER if tag == "header" or "header" in words else NONE
+    kinds = {HEADER} if tag == "header" else {NONE}
+    for name in f"{values.get('class', '')} {values.get('id', '')}".split():
+        words = {w.lower() for w in _WORD.findall(name)}
+        if words & AROUND:  # says what a page has beside this
+            continue
+        kinds.add(READERS if words & COMMENTS else BOILERPLATE if words & WORDS or any(x in name.lower() for x in PARTS) else HEADER if "header" in words else NONE)
+    return READERS if READERS in kinds else BOILERPLATE if BOILERPLATE in kinds else HEADER if HEADER in kinds else NONE
 
 
 class Page:

@@ -207,7 +207,36 @@ def _features(batch: pa.RecordBatch) -> Iterator[dict[str, np.ndarray]]:
         yield {k: np.frombuffer(b"".join(part.column(i).to_pylist()), np.float32).reshape(part.num_rows, -1) for i, k in enumerate(VIEWS)}
 
 
-def _summed(pool: DataFrame, sums) -> np.ndarray | None:
+#: Partial sums that are added up in one group at most.
+FAN_IN = 64
+
+
+def _added(rows: DataFrame, tasks: int) -> DataFrame:
+    """(piece, task, v) added up by piece, at most ``FAN_IN`` of them at a time, so that no group grows with the number of tasks."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        # In the order of tasks: rounding does not depend on which came first.
+        rows = rows.sort_by("task")
+        v = sum(np.frombuffer(x, np.float64) for x in rows.column("v").to_pylist())
+        return pa.table({"piece": rows.column("piece").slice(0, 1), "task": rows.column("task").slice(0, 1), "v": pa.array([v.tobytes()], pa.binary())})
+
+    width = 1
+    while True:
+        width *= FAN_IN
+        rows = rows.groupBy("piece", F.expr(f"task div {width}")).applyInArrow(lambda key, rows: add(rows), "piece int, task int, v binary")
+        if width >= tasks:
+            return rows
+
+
+@dataclass
+class Pool:
+    """Stored features (content, meta) of the unlabelled documents, and how many tasks read them."""
+
+    rows: DataFrame
+    tasks: int
+
+
+def _summed(pool: Pool, sums) -> np.ndarray | None:
     """``sums(features)`` added up over all rows in the executors; None without rows."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,12 +251,7 @@ def _summed(pool: DataFrame, sums) -> np.ndarray | None:
             task = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([task] * PIECES, pa.int32()), pa.array([v.tobytes() for v in np.array_split(total, PIECES)], pa.binary())], ["piece", "task", "v"])
 
-    def add(rows: pa.Table) -> pa.Table:
-        # In the order of tasks: rounding does not depend on which came first.
-        v = sum(np.frombuffer(x, np.float64) for x in rows.sort_by("task").column("v").to_pylist())
-        return pa.table({"piece": rows.column("piece").slice(0, 1), "v": pa.array([v.tobytes()], pa.binary())})
-
-    got = pool.mapInArrow(partial, "piece int, task int, v binary").groupBy("piece").applyInArrow(add, "piece int, v binary").collect()
+    got = _added(pool.rows.mapInArrow(partial, "piece int, task int, v binary"), pool.tasks).collect()
     return np.concatenate([np.frombuffer(r.v, np.float64) for r in sorted(got, key=lambda r: r.piece)]) if got else None
 
 
@@ -241,7 +265,7 @@ def _moments(x: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([[len(x["text"])], *[f(x[k].astype(np.float64)) for k in VIEWS for f in (lambda v: v.sum(axis=0), lambda v: np.square(v).sum(axis=0))]])
 
 
-def _standard(x: dict[str, np.ndarray], pool: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+def _standard(x: dict[str, np.ndarray], pool: Pool) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Mean and scale of each view's features over the given labelled rows and the whole pool."""
     total = _in_parts(x, lambda part, a, b: _moments(part))
     rest = _summed(pool, _moments)
@@ -269,7 +293,7 @@ def _pool_sums(standard: dict, teachers: dict[str, Teachers], weights: dict[str,
     return sums
 
 
-def _fit_views(x: dict[str, np.ndarray], y: np.ndarray, pool: DataFrame | None, standard: dict, teachers: dict[str, list[Teacher]], weights: dict[str, np.ndarray], ridge: float = 1.0) -> dict[str, np.ndarray]:
+def _fit_views(x: dict[str, np.ndarray], y: np.ndarray, pool: Pool | None, standard: dict, teachers: dict[str, list[Teacher]], weights: dict[str, np.ndarray], ridge: float = 1.0) -> dict[str, np.ndarray]:
     """Newton's method for both views at once over labelled rows and, if given, the taught pool."""
     now, best, done = dict(weights), {}, {}
     folded = {k: Teachers(t) for k, t in teachers.items() if t}
@@ -297,7 +321,7 @@ def _fit_views(x: dict[str, np.ndarray], y: np.ndarray, pool: DataFrame | None,
     return {k: done[k] if k in done else best[k][1] for k in weights}
 
 
-def co_train(views: dict[str, np.ndarray], y: np.ndarray, pool: DataFrame) -> Model | None:
+def co_train(views: dict[str, np.ndarray], y: np.ndarray, pool: Pool) -> Model | None:
     """Fit both views and their combination; None unless both labels occur on either side of the split."""
     aside = np.arange(len(y)) % ASIDE == 0
     if len(np.unique(y[aside])) < 2 or len(np.unique(y[~aside])) < 2:
@@ -350,7 +374,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ca
     mixed = K.mix(got["id"].to_numpy(np.int64).astype(np.uint64))
     got = got.iloc[np.argsort(mixed, kind="stable")]
     views = {v: np.frombuffer(b"".join(got.pop(k)), np.float32).reshape(len(got), -1) if len(got) else np.zeros((0, 1), np.float32) for v, k in zip(VIEWS, ("content", "meta"), strict=True)}
-    return co_train(views, got["y"].to_numpy(float), rows.where("y is null").select("content", "meta")), rows
+    pool = rows.where("y is null").select("content", "meta")
+    return co_train(views, got["y"].to_numpy(float), Pool(pool, pool.rdd.getNumPartitions())), rows
 
 
 def _scores(model, content: np.ndarray, meta: np.ndarray) -> list[pa.Array]:
@@ -388,7 +413,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = (
     Scores are probabilities of quality 1. Null texts are empty ones, null metadata values
     a value of their own. Labels with a null id or quality and labels of other documents
     are ignored; of several labels of an id the lowest counts, of several documents of a
-    labelled id one is learned from. All documents are scored, repeated ones each; a very long
+    labelled id one is learned from, and rows of one id that are equal in features are one. Equal scores are equal verdicts: nothing is
+    ranked. All documents are scored, repeated ones each; a very long
     text is measured whole. Without labels of both kinds every score is 0.5 and everything is
     kept. Columns that are not named are ignored. An empty table gives an empty result.
     """

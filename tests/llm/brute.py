@@ -127,3 +127,119 @@ def languages(docs, smoothing=0.5, buckets=1 << 15):
         score = {lang: math.log(n[lang] / len(train)) + sum(k * math.log((counts[lang][b] + smoothing) / whole[lang]) for b, k in g.items()) for lang in sorted(n)}
         out[d] = (held[d], max(sorted(score), key=score.get))
     return out
+
+
+def co_trained(content, meta, y, order, rounds=4, confident=0.97, aside_every=4, steps=12, gain=1e-4):
+    """Scores of all rows by co-training with dense matrices: ``y`` is NaN without a label, ``order`` the labelled rows in the sample's order."""
+    import numpy as np
+
+    sigmoid = lambda t: 1 / (1 + np.exp(-np.clip(t, -35, 35)))
+    views = [np.asarray(content, float), np.asarray(meta, float)]
+    held = np.arange(len(order)) % aside_every == 0
+    train, aside, pool = order[~held], order[held], np.flatnonzero(np.isnan(y))
+    scaled = []
+    for x in views:
+        base = x[np.concatenate([train, pool])]
+        mean, dev = base.mean(axis=0), base.std(axis=0)
+        z = np.where(dev > 1e-6, (x - mean) / np.where(dev > 1e-6, dev, 1), 0)
+        scaled.append(np.hstack([z, np.ones((len(x), 1))]))
+
+    def newton(z, t, w, ridge, most=steps, enough=gain):
+        penalty = np.append(np.full(z.shape[1] - 1, ridge), 1e-6)
+        best = None
+        for _ in range(most):
+            at = np.clip(z @ w, -35, 35)
+            p = sigmoid(at)
+            loss = np.sum(np.logaddexp(0, at) - t * at) + 0.5 * penalty @ (w * w)
+            if best is not None and loss > best[0]:
+                w = (w + best[1]) / 2
+                continue
+            grad = z.T @ (p - t) + penalty * w
+            hess = (z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z + np.diag(penalty)
+            best, step = (loss, w), np.linalg.solve(hess, grad)
+            w = w - step
+            if grad @ step / 2 < enough * (1 + loss):
+                return w
+        return best[1]
+
+    def calibration(x, t, ridge):
+        mean, dev = x.mean(axis=0), x.std(axis=0)
+        z = np.hstack([(x - mean) / np.where(dev > 1e-6, dev, np.inf), np.ones((len(x), 1))])
+        w = newton(z, t, np.zeros(z.shape[1]), ridge, enough=1e-15)
+        return lambda v: np.hstack([(v - mean) / np.where(dev > 1e-6, dev, np.inf), np.ones((len(v), 1))]) @ w
+
+    weights = [newton(z[train], y[train], np.zeros(z.shape[1]), 1.0) for z in scaled]
+    said = [[], []]
+    for _ in range(rounds):
+        for k in (0, 1):
+            logit = scaled[k] @ weights[k]
+            said[k].append(sigmoid(calibration(logit[aside][:, None], y[aside], 1e-3)(logit[:, None])))
+        new = []
+        for k in (0, 1):
+            p = np.array(said[1 - k])[:, pool]
+            sure = np.maximum(p, 1 - p) >= confident
+            first = sure.argmax(axis=0)
+            has = sure.any(axis=0)
+            label = (p[first, np.arange(len(pool))] > 0.5).astype(float)
+            rows = np.concatenate([train, pool[has]])
+            new.append(newton(scaled[k][rows], np.concatenate([y[train], label[has]]), weights[k], 1.0))
+        weights = new
+    both = []
+    for k in (0, 1):
+        logit = scaled[k] @ weights[k]
+        both.append(calibration(logit[aside][:, None], y[aside], 1e-2)(logit[:, None]))
+    both = np.column_stack(both)
+    return sigmoid(both[:, 0]), sigmoid(both[:, 1]), sigmoid(calibration(both[aside], y[aside], 1e-1)(both))
+
+
+def audit(docs, min_docs=3, top=200):
+    """{(lang, source, part, item): (value, rank)} densely, from (lang, source, text) rows."""
+    docs = [(a or "", s or "", re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lower(t or ""))) for a, s, t in docs]
+    out = {}
+    for lang in {a for a, *_ in docs}:
+        own = [(s, w) for a, s, w in docs if a == lang]
+        df = collections.Counter(x for _, w in own for x in set(w))
+        kept = sorted(x for x, n in df.items() if n >= min_docs)
+        counts = {s: collections.Counter() for s, _ in own}
+        for s, w in own:
+            counts[s].update(x for x in w if df[x] >= min_docs)
+        share = lambda c: {x: 1 + 10**9 * (c[x] + 1) // (sum(c.values()) + len(kept)) for x in kept}
+        p, q = {s: share(c) for s, c in counts.items()}, share(sum(counts.values(), collections.Counter()))
+        gap = lambda a, b: (a - b) * (a - b) // b
+        for s in counts:
+            pairs = [(sum(gap(p[s][x], p[o][x]) for x in kept), o) for o in counts if o != s]
+            terms = [(gap(p[s][x], q[x]), x) for x in kept if counts[s][x] and p[s][x] > q[x]]
+            for part, rows, most in (("pair", pairs, None), ("term", terms, top)):
+                rows = sorted(rows, key=lambda r: (-r[0], r[1].encode()))[:most]
+                out |= {(lang, s, part, item): (v, k) for k, (v, item) in enumerate(rows, 1)}
+    return out
+
+
+def variants(docs, least=5, often=3, times=2):
+    """{word: (form, root, n, n_near, form_n)} from (doc_id, text) rows, by comparing each word with all that it could be one letter away from."""
+    n = collections.Counter()
+    for i, t in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = lower(run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % 97 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            n[run] += 1
+    n = {w: k for w, k in n.items() if len(w) >= least and k >= often}
+    letters = sorted({c for w in n for c in w})
+    near = {}
+    for w in n:
+        edits = {w[:k] + w[k + 1 :] for k in range(len(w))} | {w[:k] + c + w[k:] for k in range(len(w) + 1) for c in letters} | {w[:k] + c + w[k + 1 :] for k in range(len(w)) for c in letters}
+        near[w] = (edits & n.keys()) - {w}
+    form = {}
+    for w in n:
+        best = min(near[w], key=lambda x: (-n[x], x), default=None)
+        if best is not None and n[best] >= times * n[w]:
+            form[w] = best
+    out = {}
+    for w in n:
+        root = w
+        while root in form:
+            root = form[root]
+        out[w] = (form.get(w), root, n[w], len(near[w]), n[form[w]] if w in form else None)
+    return out
