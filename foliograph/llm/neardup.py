@@ -2,11 +2,11 @@
 
 A document's set (five-word shingles) has a signature of ``COORDS`` minima. Documents are
 posted under (coordinate, value) pairs; two documents are candidates if they collide in at
-least ``MATCHES`` coordinates. At a similarity of 0.75 the number of collisions has mean 48
+least ``matches`` coordinates. At a similarity of 0.75 the number of collisions has mean 48
 and standard deviation 3.5, so a pair at the very threshold is missed with a chance of a
 few in a million, and pairs above it less often still.
 
-*Prefix*: a pair with ``MATCHES`` collisions shares one of any ``COORDS - MATCHES + 1``
+*Prefix*: a pair with ``matches`` collisions shares one of any ``COORDS - matches + 1``
 coordinates chosen by a common order, so documents are posted under their rarest ones
 only; frequent values (shared passages) are skipped and enter only in the count. Lists are
 first counted, with partial sums, and only postings of lists with several members are
@@ -30,6 +30,7 @@ of random sums (``kernels``); a set of n shingles is one too small with chance n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -44,7 +45,6 @@ from .components import connected_components
 
 SHINGLE = 5
 COORDS = 64
-MATCHES = 32
 #: Similarity as a ratio of integers.
 NUM, DEN = 75, 100
 #: Slots of the rarity table: as many as there are sets, up to this power of two.
@@ -55,13 +55,30 @@ LIST_BLOCK = 4096
 BLOCK_SHINGLES = 1 << 18
 #: Members of a list that is compared directly.
 SHORT_LIST = 32
-#: Of the 64 two-bit fragments of a posting, those that must agree: mean 52, deviation 3.1 at 0.75.
-FRAGMENTS = 37
-#: Sets in lists that stay open are told apart by more coordinates, of one byte each: 192 of 256 agree at 0.75, deviation 6.9.
-SHARP_COORDS, SHARP_MATCHES = 256, 158
+#: Sets in lists that stay open are told apart by more coordinates, of one byte each.
+SHARP_COORDS = 256
 #: Bits of the filters that tell which rows to read again; fixed sizes, false hits are only extra work.
 FILTER_BITS = 1 << 24
 
+
+
+@dataclass(frozen=True)
+class Filters:
+    """How much of two signatures must agree before full sets are compared.
+
+    ``matches`` of the 64 coordinates (mean 48, deviation 3.5 at a similarity of 0.75), in short lists ``fragments`` of the
+    two-bit fragments (mean 52, deviation 3.1), in lists that stay open ``sharp`` of the 256 bytes (192 agree, deviation 6.9).
+    """
+
+    matches: int = 32
+    fragments: int = 37
+    sharp: int = 158
+
+
+USUAL = Filters()
+#: Every pair that shares a single coordinate is compared on full sets: a pair at the threshold shares none with chance 0.25 ** 64.
+EXACT = Filters(1, 0, 0)
+
 _rng = np.random.Generator(np.random.PCG64(97))
 _MUL, _SHARP_MUL = (_rng.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in (COORDS, SHARP_COORDS))
 _ADD, _SHARP_ADD = (_rng.integers(1, 1 << 63, n, dtype=np.uint64) for n in (COORDS, SHARP_COORDS))
@@ -139,10 +156,10 @@ def _rarity(sets: DataFrame, n_sets: int) -> np.ndarray:
     return table
 
 
-def _prefix_order(sig: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _prefix_order(sig: np.ndarray, rarity: np.ndarray, matches: int) -> tuple[np.ndarray, np.ndarray]:
     """Posting keys and the coordinates of the prefix of each row, in one order for all rows."""
     tokens = _tokens(sig)
-    order = np.lexsort((tokens, rarity[_slots(tokens, len(rarity))]), axis=1)[:, : COORDS - MATCHES + 1]
+    order = np.lexsort((tokens, rarity[_slots(tokens, len(rarity))]), axis=1)[:, : COORDS - matches + 1]
     return tokens, order
 
 
@@ -160,12 +177,12 @@ def _agreeing(f: Column, g: Column) -> Column:
     return F.lit(32) - F.bit_count(x)
 
 
-def _posted(rarity):
+def _posted(rarity, matches: int):
     """(token) of every posting, to be counted."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, order = _prefix_order(_signatures(batch.column(1)), rarity.value)
+            tokens, order = _prefix_order(_signatures(batch.column(1)), rarity.value, matches)
             sid = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), order.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(np.take_along_axis(tokens, order, 1).ravel().view(np.int64)), pa.array(sid)], ["token", "sid"])
         K.release()
@@ -173,13 +190,13 @@ def _posted(rarity):
     return post
 
 
-def _poster(rarity, marked):
+def _poster(rarity, marked, matches: int):
     """Postings of the lists that the filter knows, with their fragments."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sig = _signatures(batch.column(1))
-            tokens, order = _prefix_order(sig, rarity.value)
+            tokens, order = _prefix_order(sig, rarity.value, matches)
             keys = np.take_along_axis(tokens, order, 1)
             at, k = np.nonzero(_hit(keys.view(np.int64).ravel(), marked.value).reshape(keys.shape))
             f1, f2 = _fragments(sig)
@@ -276,7 +293,7 @@ def _pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 PACKED = "token long, i int, j int, own int, coord int, sid binary, label binary, blk binary, sig binary, mask binary, sharp binary"
 
 
-def _compare_lists(key: tuple, rows: pd.DataFrame, best: bool = False) -> pd.DataFrame:
+def _compare_lists(key: tuple, rows: pd.DataFrame, best: bool = False, at: Filters = USUAL) -> pd.DataFrame:
     """Pairs across components in the cells of a bucket that collide often enough; or the best one of each set."""
     out = []
     for (_, i, j), cell in rows.groupby(["token", "i", "j"]):
@@ -293,9 +310,9 @@ def _compare_lists(key: tuple, rows: pd.DataFrame, best: bool = False) -> pd.Dat
             if not len(ys):
                 continue
             same = sig[ys] == sig[x]
-            ys, same = ys[(n := same.sum(axis=1)) >= MATCHES], same[n >= MATCHES]
+            ys, same = ys[(n := same.sum(axis=1)) >= at.matches], same[n >= at.matches]
             alike = (sharp[ys] == sharp[x]).sum(axis=1)
-            near = alike >= SHARP_MATCHES
+            near = alike >= at.sharp
             ys, same, alike = ys[near], same[near], alike[near]
             if not len(ys):
                 continue
@@ -311,12 +328,12 @@ def _compare_lists(key: tuple, rows: pd.DataFrame, best: bool = False) -> pd.Dat
     return pd.DataFrame(out, columns=["a", "blk_a", "blk_b", "bs", "alike"])
 
 
-def _masker(rarity):
+def _masker(rarity, matches: int):
     """The coordinates of the prefix as bits, and the sharper sketch of the text."""
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, order = _prefix_order(_signatures(batch.column(1)), rarity.value)
+            _, order = _prefix_order(_signatures(batch.column(1)), rarity.value, matches)
             bits = np.zeros((batch.num_rows, COORDS), np.uint8)
             np.put_along_axis(bits, order, 1, axis=1)
             sharp = [signature(s, _SHARP_MUL, _SHARP_ADD).astype(np.uint8).tobytes() for s in shingle_sets(batch.column(2))]
@@ -326,8 +343,11 @@ def _masker(rarity):
     return mask
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(row_id, doc_id, n_shingles, component_id, kept) of every document.
+def near_duplicates(docs: DataFrame, at: Filters = USUAL) -> DataFrame:
+    """(row_id, doc_id, n_shingles, component_id, kept) of every document; ``doc_id`` is a long.
+
+    ``at`` says how much of two signatures must agree before sets are compared; ``EXACT`` compares all that share
+    anything, and misses nothing at far more work.
 
     A null text and a text without words have an empty set and no links. A null doc_id
     takes part in links but never names a component, unless all its members are null;
@@ -338,23 +358,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     an empty result.
     """
     with scratch_scope(docs.sparkSession) as keep:
-        keep.append(materialize(_near_duplicates(docs).drop("root", "i1", "i2"), "dup-result"))
+        keep.append(materialize(_near_duplicates(docs, at).drop("root", "i1", "i2"), "dup-result"))
     return keep[0]
 
 
-def _stars(sets: DataFrame, rarity) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _stars(sets: DataFrame, rarity, at: Filters) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs of short lists (a, b), places of sets in long lists (sid, places), and (sid, head) with the partner of each set that agrees with it most."""
     spark = sets.sparkSession
-    lists = sets.select("sid", "sig").mapInArrow(_posted(rarity), "token long, sid long").groupBy("token").agg(F.min("sid").alias("head"), F.count("*").alias("m"))
+    lists = sets.select("sid", "sig").mapInArrow(_posted(rarity, at.matches), "token long, sid long").groupBy("token").agg(F.min("sid").alias("head"), F.count("*").alias("m"))
     lists = materialize(lists.where("m > 1"), "dup-lists")
     known = spark.sparkContext.broadcast(_bitmap(lists.select("token")))
-    postings = sets.select("sid", "sig").mapInArrow(_poster(rarity, known), "token long, coord int, sid long, f1 long, f2 long")
+    postings = sets.select("sid", "sig").mapInArrow(_poster(rarity, known, at.matches), "token long, coord int, sid long, f1 long, f2 long")
     members = materialize(postings.join(lists, "token"), "dup-members")
     short = members.where(F.col("m") <= SHORT_LIST)
     left = short.select("token", F.col("sid").alias("a"), F.col("f1").alias("g1"), F.col("f2").alias("g2"))
     right = short.select("token", F.col("sid").alias("b"), "f1", "f2")
     alike = (_agreeing(F.col("f1"), F.col("g1")) + _agreeing(F.col("f2"), F.col("g2"))).alias("alike")
-    pairs = left.join(right, (left["token"] == right["token"]) & (F.col("a") < F.col("b"))).select("a", "b", alike).where(F.col("alike") >= FRAGMENTS)
+    pairs = left.join(right, (left["token"] == right["token"]) & (F.col("a") < F.col("b"))).select("a", "b", alike).where(F.col("alike") >= at.fragments)
     near = materialize(pairs.groupBy("a", "b").agg(F.max("alike").alias("alike")), "dup-near")
     long = members.where(F.col("m") > SHORT_LIST)
     first = long.where("sid = head").select("token", F.col("f1").alias("g1"), F.col("f2").alias("g2"))
@@ -368,7 +388,7 @@ def _stars(sets: DataFrame, rarity) -> tuple[DataFrame, DataFrame, DataFrame]:
     return near.drop("alike"), placed, materialize(best.select("sid", "h.head"), "dup-heads")
 
 
-def _near_duplicates(docs: DataFrame) -> DataFrame:
+def _near_duplicates(docs: DataFrame, at: Filters = USUAL) -> DataFrame:
     """near_duplicates with the component's root and two hashes of id and text."""
     spark = docs.sparkSession
     own = [h("doc_id", "text").alias(f"i{k}") for k, h in enumerate(TEXT, 1)]
@@ -379,7 +399,7 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     sets = rows.where("n_shingles > 0").groupBy("key", "n_shingles").agg(F.min(F.struct(F.col("row_id").alias("sid"), "h1", "h2", "sig")).alias("s"), F.min("doc_id").alias("set_doc"))
     sets = materialize(sets.select("key", "n_shingles", "set_doc", "s.*"), "dup-sets")
     rarity = spark.sparkContext.broadcast(_rarity(sets, sets.count()))
-    near, long, heads = _stars(sets, rarity)
+    near, long, heads = _stars(sets, rarity, at)
 
     # Blocks of related sets: those with the same first partner, split where they have many shingles.
     heads = heads.join(sets.select("sid", "n_shingles", "h1", "h2"), "sid")
@@ -404,7 +424,7 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     labels = materialize(labels, "dup-labels")
 
     for best in (True, False):
-        labels = _joined(_crossing(near, long, labels, sets, texts, rarity, best), texts, labels)
+        labels = _joined(_crossing(near, long, labels, sets, texts, rarity, best, at), texts, labels)
     parts = labels.select("sid", F.col("label").alias("root"))
     named = sets.select("key", "n_shingles", "sid", "set_doc").join(parts, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     named = materialize(named, "dup-named")
@@ -431,7 +451,7 @@ def _joined(crossing: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFra
     return materialize(labels.join(parts, "label", "left").select("sid", "blk", F.coalesce("root", "label").alias("label")), "dup-labels")
 
 
-def _crossing(near: DataFrame, long: DataFrame, labels: DataFrame, sets: DataFrame, texts: DataFrame, rarity, best: bool) -> DataFrame:
+def _crossing(near: DataFrame, long: DataFrame, labels: DataFrame, sets: DataFrame, texts: DataFrame, rarity, best: bool, at: Filters) -> DataFrame:
     """(a, blk_a, blk_b, bs): candidates of short and long lists that lie in different components.
 
     With ``best`` each set has the one partner of long lists that is most like it, and pairs
@@ -444,13 +464,13 @@ def _crossing(near: DataFrame, long: DataFrame, labels: DataFrame, sets: DataFra
     members = known.join(open_lists, "token").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int"))
     members = materialize(members, "dup-open")
     signed = members.select("sid").distinct().join(sets.select("sid", "sig"), "sid").join(texts, "sid")
-    signed = signed.mapInArrow(_masker(rarity), "sid long, sig binary, mask binary, sharp binary")
+    signed = signed.mapInArrow(_masker(rarity, at.matches), "sid long, sig binary, mask binary, sharp binary")
     n_buckets = max(64, -(-members.count() // 4096))
     bucket = lambda *c: F.pmod(F.xxhash64(*c), F.lit(n_buckets)).alias("bucket")
     packed = members.join(signed, "sid").groupBy(bucket("token", "own")).applyInPandas(_pack, PACKED)
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _compare_lists(key, rows, best)
+        return _compare_lists(key, rows, best, at)
 
     found = packed.groupBy(bucket("token", "i", "j")).applyInPandas(compare, "a long, blk_a long, blk_b long, bs array<long>, alike long")
     if best:
@@ -459,7 +479,7 @@ def _crossing(near: DataFrame, long: DataFrame, labels: DataFrame, sets: DataFra
     return found.drop("alike").unionByName(apart)
 
 
-def keep_one_each(docs: DataFrame) -> DataFrame:
+def keep_one_each(docs: DataFrame, at: Filters = USUAL) -> DataFrame:
     """The documents without those that a link joins to a smaller id; one row of each component stays.
 
     Rows are as in ``near_duplicates``; of rows equal in id and text any one stays. All
@@ -468,7 +488,7 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     with scratch_scope(spark) as keep:
-        found = materialize(_near_duplicates(docs), "dup-result")
+        found = materialize(_near_duplicates(docs, at), "dup-result")
         first = found.where("kept").groupBy(F.coalesce(F.col("root"), -1 - F.col("row_id")).alias("part")).agg(F.min("row_id").alias("row_id"))
         stays = found.select("row_id", "i1", "i2").join(first.select("row_id", F.lit(1).alias("stay")), "row_id", "left")
         fate = stays.groupBy("i1", "i2").agg(F.count("*").alias("n"), F.count("stay").alias("k")).where("k < n")

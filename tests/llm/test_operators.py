@@ -133,6 +133,23 @@ def test_near_duplicates_long_lists(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near(rows)
 
 
+def test_near_duplicates_exactly(spark):
+    """Filters that compare all pairs that share anything find every pair at the threshold, in short and long lists."""
+    rng = random.Random(21)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    base = [rng.choice(vocabulary) for _ in range(204)]
+    rows = []
+    for i in range(60):  # 200 shingles, of which some 28 differ: similarities on either side of 0.75
+        w = list(base)
+        for k in rng.sample(range(200), rng.choice([2, 4, 5, 6, 7])):
+            w[k] = f"x{i}.{k}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, neardup.EXACT).collect()}
+    assert got == brute.near(rows)
+    assert neardup.keep_one_each(df, neardup.EXACT).count() == len({c for _, c in got.values()})
+
+
 def test_repeated_and_null_ids(spark):
     rows = [(7, "a b c d e f g"), (7, "a b c d e f g"), (None, "a b c d e f g"), (None, "q r s t u v w"), (3, None), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
