@@ -226,15 +226,17 @@ def _fill(nodes: pd.Series) -> pd.Series:
     return nodes.map(lambda rows: fill([(r["pos"], r["before"], r["body"], r["after"]) for r in rows]))
 
 
-def assemble(nodes: DataFrame, before: str = "opening", after: str = "closing", by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def assemble(nodes: DataFrame, before: str = "opening", after: str = "closing", by: tuple[str, ...] = ("doc_id",), also: tuple[Column, ...] = ()) -> DataFrame:
     """(doc_id, text): placeholders filled from the root down, a document at a time, or a part of one by further keys.
 
+    ``also`` are further aggregates over the same nodes, so that what else is asked of them needs no second parse.
+
     One exchange brings a tree's nodes together, however deep it is; texts are
     never used as patterns. Rows of other documents are not touched.
     """
     ship(nodes.sparkSession)
     one = F.struct("pos", F.col(before).alias("before"), "body", F.col(after).alias("after"))
-    return nodes.groupBy(*by).agg(unescape(_fill(F.collect_list(one))).alias("text"))
+    return nodes.groupBy(*by).agg(unescape(_fill(F.collect_list(one))).alias("text"), *also)
 
 
 def edges(nodes: DataFrame) -> DataFrame:

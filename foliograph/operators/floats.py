@@ -50,3 +50,9 @@ def image_sizes(found: DataFrame) -> DataFrame:
     """Images with their width in per cent of the line, null where none is given."""
     width = F.try_to_number(F.nullif(F.regexp_extract("about", r"(?:width|scale)\s*=\s*([0-9]*\.?[0-9]+)", 1), F.lit("")), F.lit("999999.999999")).cast("double")
     return found.where("kind = 'image'").select("doc_id", "pos", "k", F.col("content").alias("file"), (F.lit(100.0) * width).cast("int").alias("percent"))
+
+
+def owned(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Captions, footnotes and images with ``owner``: the figure or table that holds them directly or through layout, else their own node."""
+    up = nodes.select("doc_id", "pos", F.coalesce("float", "pos").alias("owner"))
+    return found.join(up, ["doc_id", "pos"])

@@ -24,9 +24,9 @@ from ..functions.scanner import group_at
 from ..session import ship
 
 #: ``section`` is the innermost heading around a node, ``near`` the innermost node that carries a number, itself included, ``float`` the
-#: figure or table that holds it directly or through layout, ``place`` an item's place in the lists around it.
+#: figure or table that holds it directly or through layout, ``place`` an item's place in the lists around it, ``outer`` its parent's ordinal.
 NODES = (
-    "doc_id long, pos int, parent int, ordinal int, depth int, last int, section int, near int, float int, place string, marker string, star boolean, "
+    "doc_id long, pos int, parent int, ordinal int, depth int, last int, section int, near int, float int, place string, outer int, marker string, star boolean, "
     "title string, option string, label string, body string, opening string, closing string"
 )
 #: A child in its parent's body: the child's position between these two.
@@ -276,7 +276,7 @@ def _numbered(doc_id: int, nodes: list[_Node]) -> list[tuple]:
         n = by_pos[old]
         text = _CHILD.sub(lambda m: f"{OPEN}{new[int(m.group(1))]}{CLOSE}", body[old])
         place = n.place if n.marker == "item" else None
-        rows.append((doc_id, k, where(n.parent), n.ordinal, n.depth, last[k], where(n.section), where(n.near), where(n.float), place, n.marker, n.star, n.title, n.option, n.label, text, n.opening, n.closing))
+        rows.append((doc_id, k, where(n.parent), n.ordinal, n.depth, last[k], where(n.section), where(n.near), where(n.float), place, n.parent.ordinal if n.parent else None, n.marker, n.star, n.title, n.option, n.label, text, n.opening, n.closing))
     return rows
 
 
@@ -285,7 +285,7 @@ def _peel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = [r for i, t in zip(pdf["doc_id"], pdf["text"], strict=True) for r in parse((t or "").translate(_ESCAPES), i)]
         out = pd.DataFrame(rows, columns=names)
-        yield out.astype({k: "Int32" for k in ("parent", "section", "near", "float")})
+        yield out.astype({k: "Int32" for k in ("parent", "section", "near", "float", "outer")})
 
 
 def unescape(text: Column) -> Column:

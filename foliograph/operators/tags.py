@@ -2,12 +2,14 @@ r"""Opening tag, heading and closing tag of every node, by class and target, fro
 
 A template holds fields in braces. A field that depends on an optional value (a label, a
 title, a number) is empty where the value is. The node table is joined with the templates
-by marker where the marker has its own and else by class; filling in is a chain of literal
-replacements, so everything stays in one projection after a broadcast of fixed size.
+by marker where the marker has its own and else by class. Templates are cut at their fields beforehand; the
+values of a node are one map, computed once, in which each piece of its three templates is looked up.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,7 +91,7 @@ def _fields(target: str) -> dict[str, Column]:
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     when = lambda value, *parts: F.when(value != "", F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])).otherwise("")
     label, option, number, marker, title, caption = (text(c) for c in ("label", "option", "codenumber", "marker", "title", "caption"))
-    shown = option if target == "ptx" else tex_to_html(option)
+    shown = text("__option")
     star = F.coalesce("star", F.lit(False))
     names = F.create_map(*[F.lit(x) for pair in TYPE_NAMES.items() for x in pair])
     kind = F.coalesce(F.try_element_at(names, marker), F.initcap(marker))
@@ -107,7 +109,7 @@ def _fields(target: str) -> dict[str, Column]:
     caption_of = when(caption, '<div class="caption"><span class="heading">', F.initcap(text("caption_type")), '</span><span class="codenumber">', number, "</span>", caption, "</div>")
     figure_open = F.when(caption == "", "<figure>\n").otherwise(F.concat(F.lit("<figure"), xid_space, F.when(marker == "wrapfigure", ' class = "wrap" ').otherwise(""), F.lit(">")))
     level = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(x) for x in SECTION_LEVELS]), marker), F.lit(0)), F.lit(2)).cast("string")
-    name = F.when(title == "XXXX", "").otherwise(title if target == "ptx" else tex_to_html(title))
+    name = text("__title")
     heading_of = F.when(marker == "wrapfigure", "Figure").otherwise(F.initcap(marker))
     return {
         "{class}": text("class"), "{marker}": marker, "{type}": kind, "{tag}": F.when(F.lower(kind) == "task", marker).otherwise(F.lower(kind)), "{id}": text("out_id"), "{number}": number,
@@ -141,19 +143,26 @@ def tagged(nodes: DataFrame, target: str = "html") -> DataFrame:
     """
     spark = nodes.sparkSession
     full = nodes.withColumns({c: F.lit(None).cast("string") for c in OPTIONAL if c not in nodes.columns})
-    table = spark.createDataFrame([(k, o, h, c) for k, t, o, h, c in TEMPLATES if t == target], "key string, open_tag string, heading string, close_tag string")
+    table = spark.createDataFrame([(k, *map(_pieces, row)) for k, t, *row in TEMPLATES if t == target], f"key string, {', '.join(f'{n} array<string>' for n in PARTS)}")
     own = sorted({k for k, t, *_ in TEMPLATES if t == target} & _markers())
     key = F.when(F.col("marker").isin(*own), F.col("marker")).otherwise(F.coalesce("class", F.lit("unknown")))
     joined = full.withColumn("key", key).join(F.broadcast(table), "key", "left")
-    fields = _fields(target)
-    out = {}
-    for k, (name, unknown) in enumerate(zip(("open_tag", "heading", "close_tag"), UNKNOWN, strict=True)):
-        used = [f for f in fields if any(t == target and f in row[k] for _, t, *row in TEMPLATES)]
-        text = F.coalesce(name, F.lit(unknown))
-        for f in used:
-            text = F.replace(text, F.lit(f), fields[f])
-        out[name] = text
-    return joined.withColumns(out).drop("key", *[c for c in OPTIONAL if c not in nodes.columns])
+    # What needs conversion is converted once, before the fields that show it.
+    convert = (lambda c: c) if target == "ptx" else tex_to_html
+    option, title = (F.coalesce(c, F.lit("")) for c in ("option", "title"))
+    joined = joined.withColumns({"__option": convert(option), "__title": F.when(title == "XXXX", "").otherwise(convert(title))})
+    used = {p for _, t, *row in TEMPLATES if t == target for x in row for p in _pieces(x)}
+    joined = joined.withColumn("__fields", F.create_map(*[x for name, value in _fields(target).items() if name in used for x in (F.lit(name), value)]))
+    out = {name: F.array_join(F.transform(F.coalesce(name, F.array(*[F.lit(p) for p in _pieces(unknown)])), lambda p: F.coalesce(F.try_element_at("__fields", p), p)), "") for name, unknown in zip(PARTS, UNKNOWN, strict=True)}
+    return joined.withColumns(out).drop("key", "__option", "__title", "__fields", *[c for c in OPTIONAL if c not in nodes.columns])
+
+
+PARTS = ("open_tag", "heading", "close_tag")
+
+
+def _pieces(template: str) -> list[str]:
+    """A template cut at its fields, which are pieces of their own."""
+    return [p for p in re.split(r"(\{[a-zA-Z:]+\})", template) if p] or [""]
 
 
 def _markers() -> set[str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import output, structure, text_queries
+from . import output, structure, text_queries, whole
 
-QUERIES = text_queries.QUERIES | structure.QUERIES | output.QUERIES
-ORACLES = text_queries.ORACLES | structure.ORACLES | output.ORACLES
+QUERIES = text_queries.QUERIES | structure.QUERIES | output.QUERIES | whole.QUERIES
+ORACLES = text_queries.ORACLES | structure.ORACLES | output.ORACLES | whole.ORACLES

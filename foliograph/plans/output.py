@@ -19,11 +19,10 @@ def nested_math(spark, sf_dir):
     s = F.format_string("x_{%d} &= \\begin{cases}%d & a\\\\ 0 & b\\end{cases}", "l_linenumber", F.col("l_quantity").cast("int"))
     rows = synthetic.line_items(spark, sf_dir).groupBy("l_orderkey").agg(joined(F.collect_list(F.struct("l_linenumber", s.alias("s"))), " \\\\\n").alias("rows"))
     docs = rows.select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("⟦7⟧ \\begin{align}"), "rows", F.lit("\\end{align}")).alias("text"))
-    nodes = peel(docs)
-    rows = nodes.where("marker = 'mathrow'").select("doc_id", F.col("pos").alias("parent"), F.col("ordinal").alias("row"))
-    inside = nodes.where("marker = 'cases'").join(rows, ["doc_id", "parent"])
-    same = content.assemble(nodes).select("doc_id", F.col("text").alias("back")).join(docs, "doc_id").select("doc_id", (F.col("back") == F.col("text")).alias("same"))
-    return inside.join(same, "doc_id").select(F.col("doc_id").alias("l_orderkey"), F.col("row").cast("long").alias("row"), F.col("depth").cast("long").alias("depth"), "same")
+    cases = F.collect_list(F.when(F.col("marker") == "cases", F.struct(F.col("outer").alias("row"), "depth"))).alias("cases")
+    back = content.assemble(peel(docs), also=(cases,)).withColumnRenamed("text", "back").join(docs, "doc_id")
+    each = back.select("doc_id", (F.col("back") == F.col("text")).alias("same"), F.explode("cases").alias("c"))
+    return each.select(F.col("doc_id").alias("l_orderkey"), F.col("c.row").cast("long").alias("row"), F.col("c.depth").cast("long").alias("depth"), "same")
 
 
 def part(spark, sf_dir):
@@ -77,8 +76,7 @@ def _tagged_docs(spark, sf_dir):
 
 def tags_html(spark, sf_dir):
     n = _tagged_docs(spark, sf_dir)
-    codes = numbering.item_codes(n)
-    n = n.join(codes, ["doc_id", "pos"], "left").withColumn("codenumber", F.coalesce("codenumber", "code")).drop("code")
+    n = n.withColumn("codenumber", F.coalesce("codenumber", "place"))
     n = n.withColumn("out_id", F.when(F.col("marker").isin("item", "proof"), F.col("marker")).otherwise(F.col("out_id")))
     return tags.pages_text(n, "html").select(F.col("doc_id").alias("p_partkey"), "text")
 

@@ -17,7 +17,7 @@ ENVIRONMENTS = ["theorem", "proof", "align", "cases", "equation", "gather", "ite
 def back(text):
     """A text taken apart and put together."""
     rows = peel.parse(text.translate(peel._ESCAPES))
-    out = content.fill([(r[1], r[16], r[15], r[17]) for r in rows])
+    out = content.fill([(r[1], r[17], r[16], r[18]) for r in rows])
     for k, x in (("a", peel.OPEN), ("b", peel.CLOSE), ("c", peel.ESCAPE)):
         out = out.replace(peel.ESCAPE + k, x)
     return out
@@ -44,10 +44,10 @@ def test_tree_gives_the_text_back(text):
 def test_rows_own_what_they_hold():
     rows = peel.parse(r"\begin{align}a &= \begin{cases}1 \\ 2\end{cases} \\ b &= \begin{cases}3\end{cases}\label{x} \nonumber \cr c\end{align}")
     by = {r[1]: r for r in rows}
-    assert [(r[10], by[r[2]][10] if r[2] is not None else None, r[4]) for r in rows] == [
+    assert [(r[11], by[r[2]][11] if r[2] is not None else None, r[4]) for r in rows] == [
         ("document", None, 0), ("align", "document", 1), ("mathrow", "align", 2), ("cases", "mathrow", 3), ("mathrow", "align", 2), ("cases", "mathrow", 3), ("mathrow", "align", 2),
     ]
-    assert [r[11] for r in rows if r[10] == "mathrow"] == [False, True, False] and [r[14] for r in rows if r[10] == "mathrow"] == ["", "x", ""]
+    assert [r[12] for r in rows if r[11] == "mathrow"] == [False, True, False] and [r[15] for r in rows if r[11] == "mathrow"] == ["", "x", ""]
 
 
 def test_signs_of_placeholders_survive():
@@ -80,7 +80,7 @@ def test_open_groups_take_no_longer(one):
 def test_labels_of_floats():
     """What layout inside a figure holds is the figure's."""
     rows = peel.parse(r"\begin{figure}\begin{minipage}\includegraphics{a}\caption{C}\label{f}\end{minipage}\begin{equation}\label{e}\end{equation}\end{figure}")
-    assert [(r[10], r[14], r[8]) for r in rows] == [("document", "", None), ("figure", "f", 1), ("minipage", "", 1), ("equation", "e", None)]
+    assert [(r[11], r[15], r[8]) for r in rows] == [("document", "", None), ("figure", "f", 1), ("minipage", "", 1), ("equation", "e", None)]
     assert [(r[1], r[5]) for r in rows] == [(0, 3), (1, 3), (2, 2), (3, 3)]
 
 
