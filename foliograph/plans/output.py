@@ -74,11 +74,13 @@ def _tagged_docs(spark, sf_dir):
     return numbering.assign_ids(numbering.number_nodes(peel(docs)))
 
 
+def _html_nodes(spark, sf_dir):
+    n = _tagged_docs(spark, sf_dir).withColumn("codenumber", F.coalesce("codenumber", "place"))
+    return n.withColumn("out_id", F.when(F.col("marker").isin("item", "proof"), F.col("marker")).otherwise(F.col("out_id")))
+
+
 def tags_html(spark, sf_dir):
-    n = _tagged_docs(spark, sf_dir)
-    n = n.withColumn("codenumber", F.coalesce("codenumber", "place"))
-    n = n.withColumn("out_id", F.when(F.col("marker").isin("item", "proof"), F.col("marker")).otherwise(F.col("out_id")))
-    return tags.pages_text(n, "html").select(F.col("doc_id").alias("p_partkey"), "text")
+    return tags.pages_text(_html_nodes(spark, sf_dir), "html").select(F.col("doc_id").alias("p_partkey"), "text")
 
 
 def tags_ptx(spark, sf_dir):
@@ -87,40 +89,37 @@ def tags_ptx(spark, sf_dir):
 
 
 def hidden_proofs(spark, sf_dir):
-    n = _tagged_docs(spark, sf_dir).where("marker in ('document', 'proof')")
-    n = n.withColumn("body", F.when(F.col("marker") == "document", F.concat(F.lit("⟦"), F.get(F.regexp_extract_all("body", F.lit("⟦([0-9]+)⟧"), F.lit(1)), 0), F.lit("⟧"))).otherwise(F.col("body")))
-    n = n.withColumn("body", F.when(F.col("marker") == "document", "").otherwise(F.col("body"))).withColumn("node_id", F.lit("k"))
-    shown = tags.hidden(tags.tagged(n, "html")).where("marker = 'proof'")
-    return shown.select(F.col("doc_id").alias("p_partkey"), F.concat("open_tag", "heading", "body", "close_tag").alias("text"))
+    """Whole documents whose proofs are links to snippets of their own."""
+    return tags.pages_text(_html_nodes(spark, sf_dir), "html", hide=("proof",)).select(F.col("doc_id").alias("p_partkey"), "text")
 
 
 def _referring(spark, sf_dir):
-    """Each item refers to the section and theorem of its part, to an equation, and to a label that nothing has."""
+    """An order is a document; its first item refers to the section and theorem of its part, to an equation, and to a label that nothing has."""
     item = synthetic.line_items(spark, sf_dir).where("l_linenumber = 1")
     body = F.format_string("See Section~\\ref{s:%d} and \\ref{t:%d}, Theorem \\ref{t:%d} by \\eqref{e:%d}; \\autoref{t:%d} or Lemma \\ref{none}.", *["l_partkey"] * 5)
-    nodes = item.select(F.lit(0).alias("doc_id"), F.col("l_orderkey").alias("pos"), body.alias("body"))
+    nodes = item.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("pos"), body.alias("body"))
     one = lambda p, m, c: F.struct(F.concat(F.lit(p), "p_partkey").alias("label"), F.lit(m).alias("marker"), c.cast("string").alias("codenumber"), F.concat(F.lit(p[0]), "p_partkey").alias("node_id"))
-    known = part(spark, sf_dir).select(F.lit(0).alias("doc_id"), F.explode(F.array(one("s:", "section", F.col("p_size")), one("t:", "theorem", F.concat("p_size", F.lit(".1"))), one("e:", "equation", F.concat("p_size", F.lit(".2"))))).alias("l"))
-    return nodes, known.select("doc_id", "l.*")
+    known = part(spark, sf_dir).select("p_partkey", F.explode(F.array(one("s:", "section", F.col("p_size")), one("t:", "theorem", F.concat("p_size", F.lit(".1"))), one("e:", "equation", F.concat("p_size", F.lit(".2"))))).alias("l"))
+    return nodes, item.select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("p_partkey")).join(known, "p_partkey").select("doc_id", "l.*")
 
 
 def links_html(spark, sf_dir):
     nodes, known = _referring(spark, sf_dir)
-    return references.with_links(nodes, known, "html").select(F.col("pos").alias("l_orderkey"), F.col("body").alias("text"))
+    return references.with_links(nodes, known, "html").select(F.col("doc_id").alias("l_orderkey"), F.col("body").alias("text"))
 
 
 def links_ptx(spark, sf_dir):
     nodes, known = _referring(spark, sf_dir)
-    return references.with_links(nodes, known, "ptx").select(F.col("pos").alias("l_orderkey"), F.col("body").alias("text"))
+    return references.with_links(nodes, known, "ptx").select(F.col("doc_id").alias("l_orderkey"), F.col("body").alias("text"))
 
 
 def cites_html(spark, sf_dir):
     item = synthetic.line_items(spark, sf_dir).where("l_linenumber = 1")
     body = F.format_string("By \\cite[p. %d]{s%d}. Also \\cite{s%d, none} and \\citeib[ibid.][p. 2]{s%d}", "l_partkey", "l_suppkey", "l_suppkey", "l_suppkey")
-    nodes = item.select(F.lit(0).alias("doc_id"), F.col("l_orderkey").alias("pos"), body.alias("body"))
-    bib = table(spark, sf_dir, "supplier").select(F.lit(0).alias("doc_id"), F.concat(F.lit("s"), "s_suppkey").alias("key"), F.concat(F.lit("S"), "s_suppkey").alias("label"))
+    nodes = item.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("pos"), body.alias("body"))
+    bib = item.select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("s"), "l_suppkey").alias("key"), F.concat(F.lit("S"), "l_suppkey").alias("label"))
     shown = links.splice(nodes, references.resolve_cites(nodes, bib), references.CITE_RE)
-    return shown.select(F.col("pos").alias("l_orderkey"), F.col("body").alias("text"))
+    return shown.select(F.col("doc_id").alias("l_orderkey"), F.col("body").alias("text"))
 
 
 def paper_links(spark, sf_dir):
@@ -243,8 +242,9 @@ def main_files(spark, sf_dir):
 
 
 def snippets(spark, sf_dir):
+    """Statements, proofs and equations as snippets, with what they hold."""
     n = peel(synthetic.nested_orders(spark, sf_dir)).withColumn("text", F.col("body"))
-    return sinks.snippets(n).groupBy(F.col("doc_id").alias("l_orderkey")).agg(F.count("*").alias("n"))
+    return sinks.snippets(n).withColumnRenamed("doc_id", "l_orderkey")
 
 
 def render_manifest(spark, sf_dir):
@@ -281,8 +281,7 @@ def page_buttons(spark, sf_dir):
 def framed_pages(spark, sf_dir):
     n = numbering.number_nodes(peel(synthetic.atlas(spark, sf_dir)))
     pages_of = links.page_names(n).join(n.select("doc_id", "pos", "title"), ["doc_id", "pos"]).where("title is not null").withColumn("text", F.col("title"))
-    shown = navigation.framed(pages_of, navigation.toc_html(n).withColumn("toc", F.lit("T")))
-    return shown.select(F.col("doc_id").alias("r_regionkey"), "file", "text")
+    return navigation.framed(pages_of, navigation.toc_html(n)).select(F.col("doc_id").alias("r_regionkey"), "file", "text")
 
 
 def index_pages(spark, sf_dir):
@@ -304,7 +303,7 @@ def drawing_documents(spark, sf_dir):
     text = F.format_string("\\newcommand{\\be}{%d}\\begin{tikzpicture}d%d\\end{tikzpicture}", "p_size", "p_size")
     docs = part(spark, sf_dir).select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
     made = navigation.drawing_documents(sinks.render_requests(peel(docs)), navigation.macro_prelude(macros.extract_macros(docs)))
-    return made.select(F.col("doc_id").alias("p_partkey"), F.substring_index(F.substring_index("tex", "\\require{cancel}", -1), "\\end{document}", 1).alias("tail"), F.substring_index("tex", "\n", 1).alias("head"))
+    return made.select(F.col("doc_id").alias("p_partkey"), "node_id", "tex")
 
 
 QUERIES = {
@@ -318,21 +317,24 @@ QUERIES = {
 
 _SECTIONS = "s AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS s FROM nation)"
 _MACROS = " || chr(10) || ".join(f"'{x}'" for x in (r"\def\C{\mathbb C}", r"\def\R{\mathbb R}", r"\def\Z{\mathbb Z}", r"\def\Q{\mathbb Q}", r"\def\F{\mathbb F}", r"\def\smash{}", r"\def\phantomplus{}", r"\def\nobreak{}", r"\def\omit{}", r"\def\hidewidth{}", r"\require{cancel}"))
+_TOC = """t AS (SELECT r_regionkey::BIGINT AS r_regionkey, '<h2 class="link"><a href="chapter1.html" data-scroll="chapter1"><span class="codenumber">1.</span><span class="title">' || r_name || '</span></a></h2>' || chr(10) || '<ul>' || chr(10)
+ || string_agg('<li><a href="section1-' || s || '.html" data-scroll="section1-' || s || '">' || n_name || '</a></li>' || chr(10), '' ORDER BY s) || '</ul>' || chr(10) AS toc FROM s JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name)"""
+_TOP = " || ".join(f"'{x}' || chr(10)" for x in [*navigation.PREAMBLE, *navigation.PREAMBLE_TIKZ])
 ORACLES = {
-    "toc_linked": f"""WITH {_SECTIONS}, t AS (SELECT r_regionkey::BIGINT AS r_regionkey, '<h2 class="link"><a href="chapter1.html" data-scroll="chapter1"><span class="codenumber">1.</span><span class="title">' || r_name || '</span></a></h2>' || chr(10) || '<ul>' || chr(10)
- || string_agg('<li><a href="section1-' || s || '.html" data-scroll="section1-' || s || '">' || n_name || '</a></li>' || chr(10), '' ORDER BY s) || '</ul>' || chr(10) AS toc FROM s JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name) SELECT r_regionkey, sha1(toc) AS toc_sha1, length(toc) AS chars FROM t""",
+    "toc_linked": f"WITH {_SECTIONS}, {_TOC} SELECT r_regionkey, sha1(toc) AS toc_sha1, length(toc) AS chars FROM t",
     "page_buttons": """WITH o AS (SELECT o_custkey, row_number() OVER w AS s, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
 SELECT o_custkey AS c_custkey, 'section' || s || '.html' AS file, '<a class="previous-button toolbar-item button' || CASE WHEN s = 1 THEN ' disabled" href="' ELSE '" href="section' || (s - 1) || '.html' END || '">Previous</a><a class="next-button toolbar-item button' || CASE WHEN s = n THEN ' disabled" href="' ELSE '" href="section' || (s + 1) || '.html' END || '">Next</a>' AS html FROM o""",
     "framed_pages": f"""WITH {_SECTIONS}, p AS (SELECT n_regionkey::BIGINT AS r, 'section1-' || s || '.html' AS file, n_name AS t, s FROM s UNION ALL SELECT r_regionkey, 'chapter1.html', r_name, 0 FROM region),
-q AS (SELECT *, lag(file) OVER w AS a, lead(file) OVER w AS b FROM p WINDOW w AS (PARTITION BY r ORDER BY s))
+{_TOC},
+q AS (SELECT p.*, toc, lag(file) OVER w AS a, lead(file) OVER w AS b FROM p JOIN t ON r = r_regionkey WINDOW w AS (PARTITION BY r ORDER BY s))
 SELECT r AS r_regionkey, file, '<!DOCTYPE html>' || chr(10) || '<html>' || chr(10) || '<head><title>' || t || '</title></head>' || chr(10) || '<body>' || chr(10) || '<nav><a class="previous-button toolbar-item button' || coalesce('" href="' || a, ' disabled" href="') || '">Previous</a><a class="next-button toolbar-item button' || coalesce('" href="' || b, ' disabled" href="') || '">Next</a></nav>' || chr(10)
- || '<div class="page">' || chr(10) || '<aside id="sidebar-left" class="sidebar"><nav id="toc">T</nav></aside>' || chr(10) || '<main class="main">' || chr(10) || '<div id="content" class="pretext-content">' || chr(10) || t || '</div></main></div></body></html>' AS text FROM q""",
+ || '<div class="page">' || chr(10) || '<aside id="sidebar-left" class="sidebar"><nav id="toc">' || toc || '</nav></aside>' || chr(10) || '<main class="main">' || chr(10) || '<div id="content" class="pretext-content">' || chr(10) || t || '</div></main></div></body></html>' AS text FROM q""",
     "index_pages": """WITH i AS (SELECT n_regionkey, n_name, lower(left(n_name, 1)) AS letter, chr(10) || '<div class="indexitem">' || n_name || chr(10) || '<div class="subindexitem">' || n_nationkey || '<span class="indexknowl"><a knowl="k' || n_nationkey || '.knowl">&sect;' || n_nationkey || '-p</a></span></div></div>' AS a,
   chr(10) || '<div class="indexitem">' || upper(left(n_name, 1)) || lower(substr(n_name, 2)) || '<span class="indexknowl"><a knowl="k' || n_nationkey || '.knowl">thm-' || n_nationkey || '</a></span></div>' AS b FROM nation),
 l AS (SELECT n_regionkey, letter, string_agg(line, '' ORDER BY k) AS s FROM (SELECT *, a AS line, upper(n_name) || '!' AS k FROM i UNION ALL SELECT *, b, upper(n_name) || '@' FROM i) GROUP BY 1, 2)
 SELECT n_regionkey, string_agg(chr(10) || '<div id="indexletter-' || letter || '" class="indexletter">' || s || chr(10) || '</div>', '' ORDER BY letter) AS html FROM l GROUP BY 1""",
     "macro_preludes": f"""SELECT p_partkey, {_MACROS} || chr(10) || '\\renewcommand{{\\xx}}{{x}}' || chr(10) || '\\def\\be{{b' || p_size || '}}' || chr(10) AS prelude, '<macros>' || chr(10) || '\\renewcommand{{\\xx}}{{x}}' || chr(10) || '\\def\\be{{b' || p_size || '}}' || chr(10) || '</macros>' || chr(10) AS ptx FROM part""",
-    "drawing_documents": """SELECT p_partkey, chr(10) || '\\newcommand{\\be}{' || p_size || '}' || chr(10) || '\\begin{document}' || chr(10) || '\\pagestyle{empty}' || chr(10) || '\\begin{tikzpicture}d' || p_size || '\\end{tikzpicture}' || chr(10) AS tail, '\\documentclass{article}' AS head FROM part""",
+    "drawing_documents": f"""SELECT p_partkey, sha1(p_partkey || ':1') AS node_id, {_TOP} || {_MACROS} || chr(10) || '\\newcommand{{\\be}}{{' || p_size || '}}' || chr(10) || '\\begin{{document}}' || chr(10) || '\\pagestyle{{empty}}' || chr(10) || '\\begin{{tikzpicture}}d' || p_size || '\\end{{tikzpicture}}' || chr(10) || '\\end{{document}}' || chr(10) AS tex FROM part""",
     "arrays_html": """WITH k AS (SELECT *, s_suppkey % 2 = 0 AS e FROM supplier), c AS (SELECT *, CASE WHEN e THEN 'vlv' ELSE 'c' END AS a, CASE WHEN e THEN 'l' ELSE 'c' END AS b, CASE WHEN e THEN 'r' ELSE 'c' END AS d FROM k)
 SELECT s_suppkey, '<tr><td class="' || a || '">' || s_name || '</td><td class="' || b || '">' || s_suppkey || '</td><td class="' || d || '">c</td></tr>' || chr(10) || '<tr><td class=''hlinethick'' colspan=''3''><hr/></td></tr>' || chr(10)
  || '<tr><td class="' || a || '">d</td><td class="' || b || '">e</td><td class="' || d || '">f</td><td class="unknown">g</td></tr>' || chr(10) || '<tr><td class="' || a || '">h</td><td class="' || b || ' t2">i</td></tr>' || chr(10) || '<tr><td class=''hline'' colspan=''3''><hr/></td></tr>' || chr(10) AS markup FROM c""",
@@ -357,7 +359,6 @@ SELECT s_suppkey, '<tr><td class="' || a || '">' || s_name || '</td><td class="'
  || '<ol><li label="(1)" id="item">one</li>' || chr(10) || '<li class="custom-list-style-type" label="(b)" id="item"> two</li>' || chr(10) || '</ol>\\begin{equation}q=' || p_size || '\\quad\\quad\\tag{1.1}' || chr(10) || '\\end{equation}' || chr(10) || '</section>' || chr(10) AS text FROM part""",
     "tags_ptx": """SELECT p_partkey, chr(10) || '<section xml:id="s:' || p_partkey || '">' || chr(10) || '<title>Part ' || p_partkey || '</title>' || chr(10) || '<theorem xml:id="t:' || p_partkey || '"><title>of ' || p_brand || '</title>' || chr(10) || 'Size <m>x<' || p_size || '</m>.' || chr(10) || '</theorem>' || chr(10)
  || chr(10) || '<proof>' || chr(10) || 'Clear.' || chr(10) || '</proof>' || chr(10) || '<ol><li>one</li>' || chr(10) || '<li class="custom-list-style-type" label="(b)" > two</li>' || chr(10) || '</ol>' || chr(10) || '<men xml:id="e:' || p_partkey || '" >' || chr(10) || 'q=' || p_size || chr(10) || '</men>' || chr(10) || '</section>' AS text FROM part""",
-    "hidden_proofs": """SELECT p_partkey, chr(10) || '<article class=''hiddenproof''><a knowl=''k.knowl''><h5 class=''heading''><span class=''type''>Proof</span></h5></a></article>' || chr(10) AS text FROM part""",
     "links_html": """SELECT l_orderkey, 'See <a class="internal" href="section' || p_size || '.html">Section&nbsp;' || p_size || '</a> and <a knowl="t' || p_partkey || '.knowl">' || p_size || '.1</a>, <a knowl="t' || p_partkey || '.knowl">Theorem&nbsp;' || p_size || '.1</a> by <a knowl="e' || p_partkey || '.knowl">(' || p_size || '.2)</a>; <a knowl="t' || p_partkey || '.knowl">Theorem&nbsp;' || p_size || '.1</a> or \\missingreflink{none}.' AS text
  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1""",
     "links_ptx": """SELECT l_orderkey, 'See <xref ref="s_' || p_partkey || '">Section</xref> and <xref ref="t_' || p_partkey || '"></xref>, <xref ref="t_' || p_partkey || '">Theorem</xref> by <xref ref="e_' || p_partkey || '" />; <xref ref="t_' || p_partkey || '">Theorem</xref> or <xref ref="none">Lemma</xref>.' AS text
@@ -380,10 +381,16 @@ SELECT s_suppkey, '<tr><td class="' || a || '">' || s_name || '</td><td class="'
  UNION ALL SELECT p_partkey, 'emph', true, false, false FROM part UNION ALL SELECT p_partkey, 're', true, false, false FROM part""",
     "main_files": """WITH o AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS s FROM orders)
 SELECT o_custkey AS c_custkey, '<?xml version="1.0" encoding="UTF-8" ?>' || chr(10) || '<pretext xmlns:xi="http://www.w3.org/2001/XInclude">' || chr(10) || '<book>' || chr(10) || string_agg('<xi:include href="./section' || s || '.ptx"/>', chr(10) ORDER BY s) || chr(10) || '</book>' || chr(10) || '</pretext>' || chr(10) AS text FROM o GROUP BY 1""",
-    "snippets": "SELECT l_orderkey, 1 + 2 * count(*) AS n FROM lineitem GROUP BY 1",
+    "snippets": """WITH i AS (SELECT l_orderkey, l_linenumber AS l, l_quantity::INT AS q FROM lineitem)
+SELECT l_orderkey, sha1(l_orderkey || ':1') || '.knowl' AS file, '\\label{t:' || l_orderkey || '}' || chr(10) || string_agg('⟦' || 2 * l || '⟧' || chr(10), '' ORDER BY l) AS text FROM i GROUP BY 1
+UNION ALL SELECT l_orderkey, sha1(l_orderkey || ':' || 2 * l) || '.knowl', 'Item ' || l || '.⟦' || (2 * l + 1) || '⟧' FROM i UNION ALL SELECT l_orderkey, sha1(l_orderkey || ':' || (2 * l + 1)) || '.knowl', '\\label{e:' || l_orderkey || ':' || l || '}q=' || q FROM i""",
     "render_manifest": "SELECT p_partkey, '\\begin{tikzpicture}\\draw (0,0) -- (' || p_size || ',1);\\end{tikzpicture}' AS tex FROM part",
     "display_math": """SELECT p_partkey, marker, star, n FROM part, (VALUES ('$', false, 2), ('equation', true, 2), ('align', false, 1), ('mathrow', false, 2)) AS v(marker, star, n)""",
     "paper_authors": """SELECT s_suppkey AS page_id, 1 AS person_id FROM supplier WHERE s_suppkey % 7 = 3 UNION ALL SELECT s_suppkey, 2 FROM supplier""",
 }
 _ITEMS = f"(SELECT * REPLACE (row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(synthetic.ITEM_ORDER)}) AS l_linenumber) FROM lineitem)"
+#: The documents of ``tags_html`` with their proof, the fourth node after the inline math, as a link.
+_PROOF = """chr(10) || '<article class="proof" id="proof"><h5 class="heading">Proof</h5>Clear.' || chr(10) || '</article>' || chr(10)"""
+_LINK = """chr(10) || replace('<article class=~hiddenproof~><a knowl=~' || sha1(p_partkey || ':4') || '.knowl~><h5 class=~heading~><span class=~type~>Proof</span></h5></a></article>', '~', chr(39)) || chr(10)"""
+ORACLES["hidden_proofs"] = f"SELECT p_partkey, replace(text, {_PROOF}, {_LINK}) AS text FROM ({ORACLES['tags_html']})"
 ORACLES = {k: re.sub(r"\b(FROM|JOIN) lineitem\b", rf"\1 {_ITEMS} AS li", v) for k, v in ORACLES.items()}

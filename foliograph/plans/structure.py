@@ -54,16 +54,17 @@ def math_rows(spark, sf_dir):
 
 def labels_and_ids(spark, sf_dir):
     n = numbering.assign_ids(numbered_books(spark, sf_dir)).where("marker in ('section', 'theorem')")
-    return n.groupBy(F.col("doc_id").alias("c_custkey"), "marker").agg(F.count("*").alias("n"), F.min("out_id").alias("first_id"), F.max("out_id").alias("last_id"))
+    return n.select(F.col("doc_id").alias("c_custkey"), F.col("pos").cast("long").alias("pos"), "marker", "label", "out_id", "node_id")
 
 
 def refs_resolved(spark, sf_dir):
-    """Line items refer to their part's page; odd parts have no label."""
+    """Line items refer to their part's page within their order; odd parts have no label."""
     item = synthetic.line_items(spark, sf_dir)
-    nodes = item.select(F.lit(0).alias("doc_id"), (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("pos"), F.concat(F.lit("see \\ref{p:"), F.col("l_partkey"), F.lit("}.")).alias("body"))
-    parts = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.lit(0).alias("doc_id"), F.concat(F.lit("p:"), F.col("p_partkey")).alias("label"), F.col("p_partkey").alias("pos"), F.lit("section").alias("marker"), F.col("p_size").cast("string").alias("codenumber"))
+    nodes = item.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"), F.concat(F.lit("see \\ref{p:"), F.col("l_partkey"), F.lit("}.")).alias("body"))
+    used = item.select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("p_partkey")).distinct()
+    parts = used.join(table(spark, sf_dir, "part").where("p_partkey % 2 = 0"), "p_partkey").select("doc_id", F.concat(F.lit("p:"), "p_partkey").alias("label"), F.col("p_partkey").alias("pos"), F.lit("section").alias("marker"), F.col("p_size").cast("string").alias("codenumber"))
     shown = links.splice(nodes, links.resolve(links.references(nodes), parts))
-    return shown.select(F.expr("pos div 1000").alias("l_orderkey"), (F.col("pos") % 1000).alias("l_linenumber"), F.col("body").alias("shown"))
+    return shown.select(F.col("doc_id").alias("l_orderkey"), F.col("pos").cast("long").alias("l_linenumber"), F.col("body").alias("shown"))
 
 
 def citing(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -230,7 +231,8 @@ ORACLES = {
     "env_extract": "WITH c AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT l_orderkey, 'theorem' AS marker, 1 AS depth, 1 AS n FROM c UNION ALL SELECT l_orderkey, 'proof', 2, n FROM c UNION ALL SELECT l_orderkey, 'equation', 3, n FROM c",
     "list_items": "SELECT p_partkey, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_type) || '.' || row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS code FROM part",
     "math_rows": """SELECT l_orderkey, row_number() OVER w AS row, l_returnflag = 'R' AS star, '0.' || (count(*) FILTER (l_returnflag <> 'R') OVER w) AS codenumber FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)""",
-    "labels_and_ids": f"WITH {_BOOK}, x AS (SELECT o_custkey, 'section' AS marker, 'o:' || o_orderkey AS id FROM o UNION ALL SELECT o_custkey, 'theorem', 'l:' || o_orderkey || ':' || l_linenumber FROM i) SELECT o_custkey AS c_custkey, marker, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM x GROUP BY 1, 2",
+    "labels_and_ids": f"""WITH {_BOOK}, x AS (SELECT o_custkey, o_orderkey, 0 AS t, 'section' AS marker, 'o:' || o_orderkey AS id FROM o UNION ALL SELECT o_custkey, o_orderkey, l_linenumber, 'theorem', 'l:' || o_orderkey || ':' || l_linenumber FROM i),
+y AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, t) AS pos FROM x) SELECT o_custkey AS c_custkey, pos, marker, id AS label, id AS out_id, sha1(o_custkey || ':' || pos) AS node_id FROM y""",
     "refs_resolved": "SELECT l_orderkey, l_linenumber, 'see ' || CASE WHEN p_partkey % 2 = 0 THEN p_size::VARCHAR ELSE '\\missingreflink{p:' || l_partkey || '}' END || '.' AS shown FROM lineitem LEFT JOIN part ON l_partkey = p_partkey",
     "cites_multi": "SELECT l_orderkey, '[' || string_agg(CASE WHEN l_suppkey % 2 = 0 THEN 'S' ELSE 's' END || l_suppkey, ',' ORDER BY l_linenumber) || ', p. 1]' AS shown FROM lineitem GROUP BY l_orderkey",
     "bib_entries": "SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey) AS ordinal, 's' || l_suppkey AS key, 'S' || l_suppkey AS label FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_suppkey % 2 = 0)",
