@@ -270,7 +270,7 @@ class _Walk:
             out.append("}")
         elif name in STATEMENT_TAGS:
             # The heading names the statement: Theorem 2.1, Definition, ...
-            heading = re.compile(r"\s*\{?\s*([A-Za-z]*)").match("".join(out[start + 1 : start + 3]))
+            heading = re.compile(r"\s*\{?\s*([A-Za-z]*)").match("".join(out[start + 1 : start + 5]))
             marker = environment_name(heading.group(1) or name)
             marker = marker if marker in _KNOWN else name if name in _KNOWN else "theorem"
             close = next((k for k in range(start + 1, len(out)) if out[k] == "}"), None) if heading.group(0).lstrip().startswith("{") else None

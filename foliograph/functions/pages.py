@@ -791,6 +791,31 @@ def without_empty_labels(text: str) -> str:
     return rewrite_uses(clean_code(text), _GLOSSARY, short=lambda use: use)
 
 
+_SKIP = re.compile(r"\\flexskip\s*\{([^{}]+)\}")
+
+
+@on_tree
+def workspaces(root: Element) -> None:
+    """Room that an exercise or task asks for, as an attribute; a text before a solution as a statement."""
+    for x in reversed(elements(root)):
+        if x.tag not in ("exercise", "task", "subtask") or x.empty:
+            continue
+        found = [m for c in x.children if isinstance(c, str) for m in _SKIP.finditer(c)] or [m for e in elements(x)[1:] for c in e.children if isinstance(c, str) for m in _SKIP.finditer(c)]
+        for e in elements(x) if found else ():
+            e.children = [_SKIP.sub("", c) if isinstance(c, str) else c for c in e.children]
+        if found:
+            x.attributes += f' workspace="{found[0].group(1)}0%"'
+        cut = next((k for k, c in enumerate(x.children) if named(c, "solution")), None)
+        if cut is not None and not any(e.tag == "statement" for e in elements(x)):
+            x.children = [Element("statement", "", x.children[:cut]), "\n", *x.children[cut:]]
+
+
+def video_links(text: str) -> str:
+    """Videos by what follows the last hyphen of their address, as links."""
+    link = lambda a: f'&nbsp;&nbsp;<span class="videolink"><a href="https://www.youtube.com/watch?v={a[0].split("&")[0].rsplit("-", 1)[-1]}">&#127909;</a></span>'
+    return rewrite_uses(text, {"vvideohref": (1, link)}, short=lambda use: use)
+
+
 # ---- the writer
 
 # How tags stand: what is before an opening tag and after it, before a closing tag and after it; None leaves what there is.

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scanner import group_at, group_ends, strip_groups
+from ..functions.scanner import group_at, group_ends
 from ..session import ship
 
 FIELDS = "ordinal int, notation string, kind string, key string, label string, place int, field string, value string"
@@ -33,8 +33,8 @@ AMS_FIELDS = {
 SAME_FIELDS = {"date": "year", "place": "address", "eprint": "arxiv", "editors": "editor"}
 
 
-def _pieces(text: str, at: int, strings: dict[str, str]) -> tuple[str, int]:
-    """A value of a field: braced, quoted or bare pieces joined by #, and where it ends."""
+def _pieces(text: str, at: int, last: int, strings: dict[str, str]) -> tuple[str, int]:
+    """A value of a field: braced, quoted or bare pieces joined by #, and where it ends, before ``last``."""
     out = []
     while True:
         at = re.compile(r"\s*").match(text, at).end()
@@ -45,10 +45,10 @@ def _pieces(text: str, at: int, strings: dict[str, str]) -> tuple[str, int]:
         elif text.startswith('"', at):
             # A quote inside braces does not end the value.
             ends, stop = group_ends(text), at + 1
-            while stop < len(text) and text[stop] != '"':
+            while stop < last and text[stop] != '"':
                 stop = ends.get(stop, stop + (2 if text[stop] == "\\" else 1))
-            out.append(text[at + 1 : stop])
-            at = min(stop + 1, len(text))
+            out.append(text[at + 1 : min(stop, last)])
+            at = min(stop + 1, last)
         elif m := _BARE.match(text, at):
             out.append(strings.get(m.group(0).lower(), m.group(0)))
             at = m.end()
@@ -60,7 +60,7 @@ def _pieces(text: str, at: int, strings: dict[str, str]) -> tuple[str, int]:
 
 def _fields(text: str, at: int, stop: int, strings: dict[str, str]) -> Iterator[tuple[str, str]]:
     while (m := _NAME.match(text, at)) and m.end() < stop:
-        value, at = _pieces(text, m.end(), strings)
+        value, at = _pieces(text, m.end(), stop, strings)
         name = m.group(1).lower()
         yield SAME_FIELDS.get(name, name), value
         comma = text.find(",", at, stop)
@@ -76,7 +76,9 @@ def bib_files(text: str) -> Iterator[tuple[str, str, str, list[tuple[str, str]]]
         sign = m.group(2)
         start, end = group_at(text, m.end() - 1, sign, "}" if sign == "{" else ")")
         at = max(end, m.end())
-        kind, stop = m.group(1).lower(), (end - 1 if end > start else len(text))
+        if start == end:  # never closed: no entry
+            continue
+        kind, stop = m.group(1).lower(), end - 1
         if kind == "string":
             strings |= {k: v for k, v in _fields(text, m.end(), stop, strings)}
         elif kind not in ("comment", "preamble"):
@@ -101,6 +103,11 @@ def amsrefs(text: str) -> Iterator[tuple[str, str, str, list[tuple[str, str]]]]:
             yield text[c:d].strip().lower(), text[a:b].strip(), "", list(_fields(text, e, f, {}))
 
 
+def _bare(value: str) -> str:
+    """A value without braces that hold all of it."""
+    return value[1:-1] if value.startswith("{") and group_ends(value).get(0) == len(value) else value
+
+
 def ams_records(text: str) -> Iterator[tuple[str, str, str, list[tuple[str, str]]]]:
     r"""(kind, key, label, fields) of ``\ref ... \endref``; the key is the record's ``\key`` or ``\no``."""
     opened = None
@@ -119,7 +126,7 @@ def ams_records(text: str) -> Iterator[tuple[str, str, str, list[tuple[str, str]
                 at = x.end()
                 if x.group(1) in AMS_FIELDS:
                     marks.append((x.group(1), x.start(), x.end()))
-            found = [(AMS_FIELDS[n], strip_groups(" ".join(record[e : marks[k + 1][1] if k + 1 < len(marks) else len(record)].split()).rstrip(" ,"))) for k, (n, _, e) in enumerate(marks)]
+            found = [(AMS_FIELDS[n], _bare(" ".join(record[e : marks[k + 1][1] if k + 1 < len(marks) else len(record)].split()).rstrip(" ,"))) for k, (n, _, e) in enumerate(marks)]
             names = dict(found)
             key = names.get("key") or names.get("no") or ""
             if found:

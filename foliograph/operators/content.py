@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..catalog import env_catalog
 from ..functions.text import title_key, to_ascii
 from ..session import ship
 from .peel import CLOSE, OPEN, PLACEHOLDER, unescape
@@ -22,6 +23,47 @@ def paragraphs(docs: DataFrame, separator: str = r"\n[ \t]*\n\s*") -> DataFrame:
     return rows.select("doc_id", (F.col("k") + 1).alias("ordinal"), "paragraph", F.sha1(F.concat("paragraph", F.lit("text"))).alias("content_hash"))
 
 
+#: Classes of nodes whose text is split into paragraphs.
+CONTAINERS = ("section", "theorem", "definition", "example", "remark", "exercise", "proof", "aside", "hint", "item")
+_END = re.compile(r"\n[ \t]*\n\s*")
+_LINE_BREAK = re.compile(r"\\\\(?:\[[^\[\]]*\])?|\\linebreak(?![A-Za-z])")
+_CHILD = re.compile(PLACEHOLDER)
+_NONE = frozenset(("", "\\", "{", "}"))
+
+
+def body_paragraphs(body: str, blocks: frozenset[int], breaks: bool = False) -> list[str]:
+    """Paragraphs of a node's text: they end at blank lines and at children that are blocks; inline children are words."""
+    cut, at = [], 0
+    for m in _CHILD.finditer(body):
+        if int(m.group(1)) in blocks:
+            cut.append(body[at : m.start()])
+            at = m.end()
+    cut.append(body[at:])
+    parts = [p for piece in cut for p in _END.split(_LINE_BREAK.sub("\n\n", piece) if breaks else piece)]
+    return [p for p in (p.strip() for p in parts) if p not in _NONE]
+
+
+def node_paragraphs(nodes: DataFrame, target: str = "html", kinds: tuple[str, ...] = CONTAINERS) -> DataFrame:
+    """(doc_id, pos, ordinal, paragraph): the paragraphs of documents, sections, statements and items.
+
+    A child ends a paragraph if its kind is displayed as a block; math in a line, literal words and footnotes do not.
+    In the structured target forced line breaks end paragraphs too.
+    """
+    ship(nodes.sparkSession)
+    kind = F.broadcast(env_catalog(nodes.sparkSession).select("marker", "class", "display"))
+    known = nodes.join(kind, "marker", "left") if "class" not in nodes.columns else nodes.join(kind.drop("class"), "marker", "left")
+    inline = F.col("marker").isin("$", "verb") | F.coalesce(F.col("display").isin("mathinline", "FOOT"), F.lit(False))
+    blocks = known.where(~inline & F.col("parent").isNotNull()).groupBy("doc_id", F.col("parent").alias("pos")).agg(F.collect_list(nodes["pos"]).alias("blocks"))
+
+    @F.pandas_udf("array<string>")
+    def split(body: pd.Series, blocks: pd.Series) -> pd.Series:
+        return pd.Series([body_paragraphs(t or "", frozenset() if k is None else frozenset(k.tolist()), target == "ptx") for t, k in zip(body, blocks, strict=True)])
+
+    holders = known.where((F.col("marker") == "document") | F.col("class").isin(*kinds)).select("doc_id", "pos", F.regexp_replace("body", r"\\label\{[^}]*\}", "").alias("body"))
+    rows = holders.join(blocks, ["doc_id", "pos"], "left").select("doc_id", "pos", F.posexplode(split("body", "blocks")).alias("k", "paragraph"))
+    return rows.select("doc_id", "pos", (F.col("k") + 1).alias("ordinal"), "paragraph")
+
+
 def inline_math(docs: DataFrame) -> DataFrame:
     """(doc_id, ordinal, math): spans between single dollars without a blank line inside."""
     spans = F.filter(F.regexp_extract_all("text", F.lit(r"\$([^$]+)\$"), F.lit(1)), lambda m: ~m.rlike(r"\n[ \t]*\n"))

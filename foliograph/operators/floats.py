@@ -13,24 +13,37 @@ from ..functions.scanner import group_at
 from ..session import ship
 
 _FOUND = T.ArrayType(T.StructType([T.StructField(k, T.StringType()) for k in ("kind", "about", "content")]))
-_START = re.compile(r"\\(captionof|caption|footnote|includegraphics)\*?")
-_OPTION = re.compile(r"\s*\[([^\]]*)\]")
+_START = re.compile(r"\\(captionof|caption|footnote|includegraphics|psfig|epsfig|epsfbox|epsffile|scalebox)(?![A-Za-z])\*?")
+_FILE = re.compile(r"(?:file|figure)\s*=\s*([^,\s]+)\s*,?")
+_IMAGES = ("includegraphics", "psfig", "epsfig", "epsfbox", "epsffile")
 
 
 def find_floats(text: str) -> list[tuple[str, str, str]]:
-    r"""(kind, about, content): about is the type of a ``\captionof`` or an option list."""
+    r"""(kind, about, content): about is the type of a ``\captionof`` or an option list; an image in a ``\scalebox`` has its scale."""
     out, text = [], text or ""
+    scaled: list[tuple[int, str]] = []  # where open scaled boxes end, and their scale
     for m in _START.finditer(text):
-        at, about = m.end(), ""
-        if option := _OPTION.match(text, at):
-            about, at = option.group(1), option.end()
-        if m.group(1) == "captionof":
+        name, at, about = m.group(1), m.end(), ""
+        while scaled and m.start() >= scaled[-1][0]:
+            scaled.pop()
+        start, end = group_at(text, at, "[", "]")
+        if start < end:
+            about, at = text[start + 1 : end - 1], end
+        if name in ("captionof", "scalebox"):
             start, at = group_at(text, at)
             about = text[start + 1 : at - 1]
         start, end = group_at(text, at)
-        if start < end:
-            kind = {"captionof": "caption", "includegraphics": "image"}.get(m.group(1), m.group(1))
-            out.append((kind, about, text[start + 1 : end - 1].strip()))
+        if start == end:
+            continue
+        content = text[start + 1 : end - 1].strip()
+        if name == "scalebox":
+            scaled.append((end, about))
+            continue
+        if name in ("psfig", "epsfig") and (file := _FILE.search(content)):
+            about, content = (content[: file.start()] + content[file.end() :]).strip(" ,"), file.group(1)
+        if name in _IMAGES and scaled:
+            about = ",".join(x for x in (f"scale={scaled[-1][1].strip()}", about) if x)
+        out.append(("caption" if name == "captionof" else "image" if name in _IMAGES else name, about, content))
     return out
 
 
@@ -42,7 +55,7 @@ def _floats(text: pd.Series) -> pd.Series:
 def floats(nodes: DataFrame, text: str = "body") -> DataFrame:
     """(doc_id, pos, k, kind, about, content) of captions, footnotes and images, in order."""
     ship(nodes.sparkSession)
-    rows = nodes.where(F.col(text).contains("\\caption") | F.col(text).contains("\\footnote") | F.col(text).contains("\\includegraphics"))
+    rows = nodes.where(F.col(text).rlike(r"\\(?:caption|footnote|includegraphics|psfig|epsf|scalebox)"))
     return rows.select("doc_id", "pos", F.posexplode(_floats(text)).alias("k", "f")).select("doc_id", "pos", "k", "f.*")
 
 
@@ -56,3 +69,20 @@ def owned(found: DataFrame, nodes: DataFrame) -> DataFrame:
     """Captions, footnotes and images with ``owner``: the figure or table that holds them directly or through layout, else their own node."""
     up = nodes.select("doc_id", "pos", F.coalesce("float", "pos").alias("owner"))
     return found.join(up, ["doc_id", "pos"])
+
+
+#: Per cent of the line that an image takes that says nothing, and inches of a line.
+USUAL_PERCENT, LINE_INCHES = 73, 5.33
+
+
+def image_markup(found: DataFrame, target: str = "html") -> DataFrame:
+    """(doc_id, pos, k, markup): images as elements of a target; in the structured one with their width and without their folder."""
+    size = r"(scale|width)\s*=\s*([0-9]*\.?[0-9]+)\s*(in)?"
+    images = found.where("kind = 'image'")
+    if target == "html":
+        return images.select("doc_id", "pos", "k", F.concat(F.lit('<img src="'), "content", F.lit('" />')).alias("markup"))
+    value = F.regexp_extract("about", size, 2).try_cast("double")
+    inches = (F.regexp_extract("about", size, 1) == "width") & (F.regexp_extract("about", size, 3) == "in")
+    percent = F.coalesce((F.lit(100.0) * value / F.when(inches, LINE_INCHES).otherwise(1.0)).cast("int"), F.lit(USUAL_PERCENT))
+    file = F.regexp_replace("content", "(?s)^.*/", "")
+    return images.select("doc_id", "pos", "k", F.concat(F.lit('<image width="'), percent.cast("string"), F.lit('%" source="images/'), file, F.lit('" />')).alias("markup"))

@@ -9,9 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import canonical
 from ..functions import pages as P
 from ..functions.rules import apply_packs
-from ..operators import bibliography, floats, links, macros, navigation, numbering, paging, papers, tags
+from ..operators import bibliography, content, floats, links, macros, navigation, numbering, paging, papers, tags
 from ..operators.peel import peel
 from ..sources import documents, project, synthetic
 from ..sources.synthetic import joined, table
@@ -175,11 +176,49 @@ def solution_ids(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", column(P.unique_ids)(text).alias("page"))
 
 
+def node_paragraphs(spark, sf_dir):
+    """Paragraphs around statements, math in a line and on its own, literal words and lists."""
+    text = F.format_string("One\nline $x_%d$ and \\verb|q|.\n\nTwo \\begin{theorem}In %d.\n \nMore\\end{theorem} three $$y$$ {\n\n}\\begin{itemize}\\item a\\\\b\\end{itemize}", "s_suppkey", "s_suppkey")
+    nodes = peel(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), text.alias("text")))
+    found = content.node_paragraphs(nodes).withColumn("target", F.lit("html")).unionByName(content.node_paragraphs(nodes, "ptx").withColumn("target", F.lit("ptx")))
+    return found.select(F.col("doc_id").alias("s_suppkey"), "target", F.col("pos").cast("long").alias("pos"), F.col("ordinal").cast("long").alias("ordinal"), "paragraph")
+
+
+def image_elements(spark, sf_dir):
+    """Images of every kind and size: none, scaled, in inches, in shares of the line, in a scaled box."""
+    text = F.format_string("\\includegraphics{a/b%d.pdf}\\psfig{figure=c.eps,width=2in}\\epsfbox{d.eps}\\includegraphics[width=.%d\\textwidth]{e}\\scalebox{0.25}{x \\includegraphics{f}} \\epsfig{file=g.eps, scale=1.5}", "p_size", "p_size")
+    nodes = part_nodes(spark, sf_dir, text)
+    found = floats.floats(nodes)
+    both = floats.image_markup(found).withColumn("target", F.lit("html")).unionByName(floats.image_markup(found, "ptx").withColumn("target", F.lit("ptx")))
+    return both.groupBy(F.col("doc_id").alias("p_partkey"), "target").agg(navigation.in_order(F.col("k"), F.col("markup")).alias("markup"))
+
+
+def part_nodes(spark, sf_dir, text) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(0).alias("pos"), text.alias("body"))
+
+
+def workspaces(spark, sf_dir):
+    """Room for answers, statements before solutions, and videos."""
+    from ..functions.scanner import column
+
+    text = F.format_string('<exercise>Do %d \\flexskip{%d}<solution>s</solution></exercise><task><p>\\flexskip{2}t</p></task> \\vvideohref{x-y-%d&t=1}.', "p_partkey", "p_size", "p_partkey")
+    return table(spark, sf_dir, "part").select("p_partkey", column(lambda t: P.video_links(P.workspaces(t)))(text).alias("page"))
+
+
+def archaic_forms(spark, sf_dir):
+    """AMS and plain TeX: statements, tags, infixes, rows, alphabets, numbers of equations, zero rules, passages that are passed over."""
+    text = F.format_string(
+        "\\head On %d\\endhead \\proclaim{Lemma 2} \\Bbb R^{a \\over %d} \\endproclaim $$x = 1 \\eqno(%d)$$ $\\matrix{a & b\\cr c}$ \\iffalse no \\ifx y\\fi\\fi $n \\choose k$ \\rule{0in}{2em}\\par end $$\\align u&=v\\endalign$$ \\demo{} p \\enddemo \\Sb i\\endSb",
+        "p_size", "p_size", "p_partkey",
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", canonical.canonical(text).alias("text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         page_files, page_files_ptx, main_pages, bibliography_files, subtree_edges, macro_stages, macro_spans, bib_sources, include_chain, pages_written, project_files, rule_packs, float_labels,
-        paper_records, solution_ids,
+        paper_records, solution_ids, node_paragraphs, image_elements, workspaces, archaic_forms,
     )
 }
 
@@ -193,6 +232,13 @@ UNION ALL SELECT r_regionkey::BIGINT, 'index.html', '<h2 class="link"><a href="c
 _TIKZ = " || ".join(f"'{x}' || chr(10)" for x in navigation.PREAMBLE_TIKZ)
 
 ORACLES = {
+    "node_paragraphs": """WITH v(target, pos, ordinal, a, b) AS (VALUES ('html', 0, 1, 'One' || chr(10) || 'line ⟦1⟧ and ⟦2⟧.', ''), ('html', 0, 2, 'Two', ''), ('html', 0, 3, 'three', ''), ('html', 3, 1, 'In ', '.'), ('html', 3, 2, 'More', ''), ('html', 6, 1, 'a\\\\b', ''))
+SELECT s_suppkey, target, pos, ordinal, CASE WHEN b = '' THEN a ELSE a || s_suppkey || b END AS paragraph FROM supplier, v
+UNION ALL SELECT s_suppkey, 'ptx', pos, ordinal, CASE WHEN b = '' THEN a ELSE a || s_suppkey || b END FROM supplier, v WHERE pos < 6 UNION ALL SELECT s_suppkey, 'ptx', 6, k, ['a', 'b'][k] FROM supplier, (VALUES (1), (2)) AS w(k)""",
+    "image_elements": """SELECT p_partkey, 'html' AS target, '<img src="a/b' || p_size || '.pdf" /><img src="c.eps" /><img src="d.eps" /><img src="e" /><img src="f" /><img src="g.eps" />' AS markup FROM part
+UNION ALL SELECT p_partkey, 'ptx', '<image width="73%" source="images/b' || p_size || '.pdf" /><image width="37%" source="images/c.eps" /><image width="73%" source="images/d.eps" /><image width="' || trunc(100::DOUBLE * ('0.' || p_size)::DOUBLE)::INT || '%" source="images/e" /><image width="25%" source="images/f" /><image width="150%" source="images/g.eps" />' FROM part""",
+    "workspaces": """SELECT p_partkey, '<exercise workspace="' || p_size || '0%"><statement>Do ' || p_partkey || ' </statement>' || chr(10) || '<solution>s</solution></exercise><task workspace="20%"><p>t</p></task> &nbsp;&nbsp;<span class="videolink"><a href="https://www.youtube.com/watch?v=' || p_partkey || '">&#127909;</a></span>.' AS page FROM part""",
+    "archaic_forms": r"""SELECT p_partkey, '\section*{On ' || p_size || '} \begin{lemma} \mathbb  R^{\frac{a }{ ' || p_size || '}} \end{lemma} $$x = 1 \tag{' || p_partkey || '}$$ $\begin{matrix}a & b\\ c\end{matrix}$  $\binom{n }{ k}$ ' || chr(10) || chr(10) || ' end \begin{align} u&=v\end{align} \begin{proof}{} p \end{proof} _{ i}' AS text FROM part""",
     "page_files": f"WITH {_PAGES} SELECT * FROM p",
     "page_files_ptx": f"""WITH {_ATLAS}, a AS (SELECT n_nationkey, string_agg(chr(10) || '<theorem xml:id="c:' || c_custkey || '">' || c_mktsegment || chr(10) || '</theorem>' || chr(10) || chr(10), '' ORDER BY c_custkey) AS body FROM c GROUP BY 1)
 SELECT n_regionkey::BIGINT AS r_regionkey, 'n_' || n_nationkey || '.ptx' AS file, chr(10) || '<section xml:id="n:' || n_nationkey || '">' || chr(10) || '<title>' || n_name || '</title>' || chr(10) || coalesce(body, '') || '</section>' AS text FROM n LEFT JOIN a USING (n_nationkey)
