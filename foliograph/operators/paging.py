@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.markup import tex_to_html
 from ..functions.text import remove_silly_braces, safe_name
 from . import content
-from .intervals import innermost
+from .intervals import contained, innermost
 from .navigation import PREAMBLE_TIKZ, in_order
 
 #: Headings that have a page of their own.
@@ -56,6 +56,28 @@ def pages(nodes: DataFrame, target: str = "html") -> DataFrame:
     return whole.withColumnRenamed("page", "start").join(roots.drop("last"), ["doc_id", "start"])
 
 
+def subtree_texts(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, start, text): the subtrees that begin at ``roots`` (doc_id, start, last), each whole; subtrees may lie in one another."""
+    own = nodes.select("doc_id", "pos", F.col("open_tag").alias("opening"), "body", F.col("close_tag").alias("closing"))
+    return content.assemble(contained(own, roots.select("doc_id", "start", "last")), by=("doc_id", "start"))
+
+
+def context_snippets(nodes: DataFrame, entries: DataFrame) -> DataFrame:
+    """(doc_id, file, text): what surrounds index entries and terms, each context once, with a link to its place on its section's page.
+
+    ``nodes`` are numbered, with ids and tags, ``entries`` as of ``frontmatter.marked_entries``.
+    """
+    places = entries.select("doc_id", F.col("context").alias("pos")).distinct()
+    roots = nodes.join(places, ["doc_id", "pos"]).where("marker <> 'document'").select("doc_id", F.col("pos").alias("start"), "last", "out_id", "node_id")
+    sections = nodes.where("marker = 'section'").select("doc_id", F.col("pos").alias("start"), "last", F.col("codenumber").alias("number"))
+    around = innermost(roots.select("doc_id", F.col("start").alias("pos")), sections, "section").withColumnsRenamed({"pos": "start"})
+    number = sections.select("doc_id", F.col("start").alias("section"), F.replace("number", F.lit("."), F.lit("-")).alias("number"))
+    known = roots.join(around.join(number, ["doc_id", "section"]), ["doc_id", "start"], "left")
+    link = F.concat(F.lit('<span class="incontext"><a href="section'), F.coalesce("number", F.lit("")), F.lit('.html#'), "out_id", F.lit('">in context</a></span>'))
+    whole = subtree_texts(nodes, roots).join(known, ["doc_id", "start"])
+    return whole.select("doc_id", F.concat("node_id", F.lit(".knowl")).alias("file"), F.concat("text", link).alias("text"))
+
+
 def bibliography_pages(entries: DataFrame, target: str = "html") -> DataFrame:
     """(doc_id, file, text): the bibliography of each document, entries (doc_id, ordinal, key, label, raw)."""
     if target == "ptx":

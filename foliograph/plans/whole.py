@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import canonical
 from ..functions import pages as P
 from ..functions.rules import apply_packs
-from ..operators import bibliography, content, floats, links, macros, navigation, numbering, paging, papers, tags
+from ..operators import bibliography, content, floats, frontmatter, links, macros, navigation, numbering, paging, papers, tags
 from ..operators.peel import peel
 from ..sources import documents, project, synthetic
 from ..sources.synthetic import joined, table
@@ -193,6 +193,17 @@ def image_elements(spark, sf_dir):
     return both.groupBy(F.col("doc_id").alias("p_partkey"), "target").agg(navigation.in_order(F.col("k"), F.col("markup")).alias("markup"))
 
 
+def context_snippets(spark, sf_dir):
+    """Terms and index entries in a statement, an item's list and a section: their surroundings, whole, with links to their places."""
+    text = F.format_string(
+        "\\section{Sup %d}\\label{s:%d}\\begin{theorem}\\label{t:%d}A \\index{a}$x$ \\begin{proof}\\label{p:%d}by \\index{b}%d\\end{proof}\\end{theorem}\\section{Two}\\label{u:%d}no \\index{c}.", *["s_suppkey"] * 6
+    )
+    nodes = numbering.assign_ids(numbering.number_nodes(peel(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), text.alias("text")))))
+    entries = frontmatter.marked_entries(nodes, "index")
+    done = tags.converted(tags.tagged(nodes, "html"), "html").withColumn("open_tag", F.concat("open_tag", "heading"))
+    return paging.context_snippets(done, entries).withColumnRenamed("doc_id", "s_suppkey")
+
+
 def part_nodes(spark, sf_dir, text) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(0).alias("pos"), text.alias("body"))
 
@@ -218,7 +229,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         page_files, page_files_ptx, main_pages, bibliography_files, subtree_edges, macro_stages, macro_spans, bib_sources, include_chain, pages_written, project_files, rule_packs, float_labels,
-        paper_records, solution_ids, node_paragraphs, image_elements, workspaces, archaic_forms,
+        paper_records, solution_ids, node_paragraphs, image_elements, workspaces, archaic_forms, context_snippets,
     )
 }
 
@@ -232,6 +243,10 @@ UNION ALL SELECT r_regionkey::BIGINT, 'index.html', '<h2 class="link"><a href="c
 _TIKZ = " || ".join(f"'{x}' || chr(10)" for x in navigation.PREAMBLE_TIKZ)
 
 ORACLES = {
+    "context_snippets": """WITH t AS (SELECT s_suppkey AS k, chr(10) || '<article class="proof" id="p:' || s_suppkey || '"><h5 class="heading">Proof</h5>by ' || s_suppkey || chr(10) || '</article>' || chr(10) AS p FROM supplier)
+SELECT k AS s_suppkey, sha1(k || ':2') || '.knowl' AS file, chr(10) || '<article class="theorem-like" id="t:' || k || '"><h5 class="heading"><span class="type">Theorem</span><span class="codenumber">1.1</span></h5>A \\(x\\) ' || p || chr(10) || '</article>' || chr(10) || '<span class="incontext"><a href="section1.html#t:' || k || '">in context</a></span>' AS text FROM t
+UNION ALL SELECT k, sha1(k || ':4') || '.knowl', p || '<span class="incontext"><a href="section1.html#p:' || k || '">in context</a></span>' FROM t
+UNION ALL SELECT k, sha1(k || ':5') || '.knowl', chr(10) || '<section class="section" id="u:' || k || '"><h2 class="heading hide-type"><span class="type">Section</span> <span class="codenumber">2</span><span class="title">Two</span></h2>no .' || chr(10) || '</section>' || chr(10) || '<span class="incontext"><a href="section2.html#u:' || k || '">in context</a></span>' FROM t""",
     "node_paragraphs": """WITH v(target, pos, ordinal, a, b) AS (VALUES ('html', 0, 1, 'One' || chr(10) || 'line ⟦1⟧ and ⟦2⟧.', ''), ('html', 0, 2, 'Two', ''), ('html', 0, 3, 'three', ''), ('html', 3, 1, 'In ', '.'), ('html', 3, 2, 'More', ''), ('html', 6, 1, 'a\\\\b', ''))
 SELECT s_suppkey, target, pos, ordinal, CASE WHEN b = '' THEN a ELSE a || s_suppkey || b END AS paragraph FROM supplier, v
 UNION ALL SELECT s_suppkey, 'ptx', pos, ordinal, CASE WHEN b = '' THEN a ELSE a || s_suppkey || b END FROM supplier, v WHERE pos < 6 UNION ALL SELECT s_suppkey, 'ptx', 6, k, ['a', 'b'][k] FROM supplier, (VALUES (1), (2)) AS w(k)""",
