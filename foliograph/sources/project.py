@@ -163,9 +163,9 @@ def read_project(spark: SparkSession, path: str, endings: str = "", raw: bool =
 
 
 def write_project(pages: "DataFrame", path: str) -> None:  # noqa: F821, UP037
-    """Pages (folder, file, text) as files ``path/folder/file``; a failed or repeated task leaves nothing behind.
+    """Pages (folder, file, text) as files ``path/folder/file``; a failed or repeated task leaves no page behind.
 
-    Two pages of one name are an error. A file that is there is replaced.
+    What a task that outlives its failed job still writes stays in that job's hidden folder, which readers pass over. Two pages of one name are an error. A file that is there is replaced.
     """
     register(pages.sparkSession)
     pages.select("folder", "file", "text").write.format("foliograph").mode("append").save(path)

@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from foliograph import catalog
@@ -160,7 +159,7 @@ def test_includes(spark):
     files = spark.createDataFrame([("main", "\\input{a} \\input{b} \\input{a}"), ("a", "x \\include{c}"), ("b", ""), ("c", "\\input{main}")], "file string, text string")
     got = documents.expand_includes(files, files.where("file = 'main'").select("file")).orderBy("place").collect()
     assert [(r.file, r.cyclic) for r in got] == [("main", False), ("a", False), ("c", False), ("main", True), ("b", False), ("a", False), ("c", False), ("main", True)]
-    with pytest.raises(PySparkException, match="RECURSION_LEVEL"):
+    with pytest.raises(Exception, match="RECURSION_LEVEL"):
         documents.expand_includes(files, files.where("file = 'main'").select("file"), max_depth=1).collect()
 
 
