@@ -1,7 +1,7 @@
 """Pages of a document: its tree cut at chapters and sections, and the pages that no part of the tree has.
 
-A page is an interval of the node table. Each node belongs to the innermost page around it; where a page is cut out,
-the page above shows a link. Pages are assembled one by one, so no value holds a whole document.
+Each node belongs to the innermost page around it, which the parser's stack knows; where a page is cut out,
+the page above shows a link. Pages are assembled one by one, so no value holds a whole document, in one exchange.
 """
 
 from __future__ import annotations
@@ -9,28 +9,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..catalog import PAGE_MARKERS
 from ..functions.markup import tex_to_html
 from ..functions.text import remove_silly_braces, safe_name
 from . import content
 from .intervals import contained, innermost
 from .navigation import PREAMBLE_TIKZ, in_order
 
-#: Headings that have a page of their own.
-PAGE_MARKERS = ("chapter", "section")
 TOP_PAGE = {"html": "index.html", "ptx": "main.ptx"}
 
 
-def page_roots(numbered: DataFrame, target: str = "html") -> DataFrame:
-    """(doc_id, start, last, marker, title, file) of the nodes that begin a page, the document itself among them.
-
-    A file is named by marker and number; in the structured target by its label, where it has one.
-    """
+def page_file(target: str = "html") -> Column:
+    """The file of a node that begins a page: by marker and number; in the structured target by its label, where it has one."""
     made = F.concat("marker", F.replace(F.coalesce("codenumber", F.lit("")), F.lit("."), F.lit("-")))
     if target == "ptx":
         made = F.when(F.coalesce("label", F.lit("")) != "", safe_name(F.col("label"), as_id=True)).otherwise(made)
-    file = F.when(F.col("marker") == "document", F.lit(TOP_PAGE[target])).otherwise(F.concat(made, F.lit(f".{target}")))
+    return F.when(F.col("marker") == "document", F.lit(TOP_PAGE[target])).otherwise(F.concat(made, F.lit(f".{target}")))
+
+
+def page_roots(numbered: DataFrame, target: str = "html") -> DataFrame:
+    """(doc_id, start, last, marker, title, file) of the nodes that begin a page, the document itself among them."""
     rows = numbered.where(F.col("marker").isin("document", *PAGE_MARKERS))
-    return rows.select("doc_id", F.col("pos").alias("start"), "last", "marker", "title", file.alias("file"))
+    return rows.select("doc_id", F.col("pos").alias("start"), "last", "marker", "title", page_file(target).alias("file"))
 
 
 def page_link(file: Column, title: Column, target: str = "html") -> Column:
@@ -46,14 +46,16 @@ def pages(nodes: DataFrame, target: str = "html") -> DataFrame:
     ``nodes`` are numbered, with bodies in the target's markup. Sections that are cut out leave a link; what no
     chapter or section holds is on the document's own page.
     """
-    roots = page_roots(nodes, target)
-    own = nodes.join(innermost(nodes, roots, "page"), ["doc_id", "pos"]).select("doc_id", "page", "pos", F.col("open_tag").alias("opening"), "body", F.col("close_tag").alias("closing"))
-    # A page's root on the page above it: a link with nothing inside.
-    above = nodes.select("doc_id", F.col("pos").alias("start"), F.col("parent").alias("pos")).where("pos is not null").join(roots, ["doc_id", "start"])
-    cut = above.join(innermost(above.select("doc_id", "pos").distinct(), roots, "page"), ["doc_id", "pos"])
-    cut = cut.select("doc_id", "page", F.col("start").alias("pos"), page_link(F.col("file"), F.col("title"), target).alias("opening"), F.lit("").alias("body"), F.lit("").alias("closing"))
-    whole = content.assemble(own.unionByName(cut), by=("doc_id", "page"))
-    return whole.withColumnRenamed("page", "start").join(roots.drop("last"), ["doc_id", "start"])
+    begins = F.col("pos") == F.col("page")
+    rows = nodes.withColumn("__file", page_file(target)).withColumn("__link", page_link(F.col("__file"), F.col("title"), target))
+    cell = lambda page, before, body, after: F.struct(F.col(page).alias("page"), before.alias("opening"), body.alias("body"), after.alias("closing"))
+    own = cell("page", F.col("open_tag"), F.col("body"), F.col("close_tag"))
+    # A page's root stands on the page above it too: a link with nothing inside.
+    both = F.when(begins & F.col("above").isNotNull(), F.array(own, cell("above", F.col("__link"), F.lit(""), F.lit("")))).otherwise(F.array(own))
+    rows = rows.select("doc_id", "pos", F.when(begins, F.struct(F.col("__file").alias("file"), "marker", "title")).alias("root"), F.explode(both).alias("c")).select("doc_id", "pos", "root", "c.*")
+    root = F.max(F.when(F.col("pos") == F.col("page"), F.col("root"))).alias("root")
+    whole = content.assemble(rows, by=("doc_id", "page"), also=(root,))
+    return whole.select("doc_id", F.col("page").alias("start"), "root.file", "root.marker", "root.title", "text")
 
 
 def subtree_texts(nodes: DataFrame, roots: DataFrame) -> DataFrame:

@@ -18,16 +18,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import ENV_COUNTERS, ENVIRONMENTS, LISTS, MULTILINE_MATH, SECTION_LEVELS, VERBATIM
+from ..catalog import ENV_COUNTERS, ENVIRONMENTS, LISTS, MULTILINE_MATH, PAGE_MARKERS, SECTION_LEVELS, VERBATIM
 from ..functions.rules import apply_literals
 from ..functions.scanner import group_at
 from ..session import ship
 
 #: ``section`` is the innermost heading around a node, ``near`` the innermost node that carries a number, itself included, ``float`` the
-#: figure or table that holds it directly or through layout, ``place`` an item's place in the lists around it, ``outer`` its parent's ordinal.
+#: figure or table that holds it directly or through layout, ``place`` an item's place in the lists around it, ``outer`` its parent's ordinal,
+#: ``page`` the chapter or section whose page a node is on, itself included, or the document, and ``above`` the page that its parent is on.
 NODES = (
     "doc_id long, pos int, parent int, ordinal int, depth int, last int, section int, near int, float int, place string, outer int, marker string, star boolean, "
-    "title string, option string, label string, body string, opening string, closing string"
+    "title string, option string, label string, body string, opening string, closing string, page int, above int"
 )
 #: A child in its parent's body: the child's position between these two.
 OPEN, CLOSE = "\u27e6", "\u27e7"
@@ -64,6 +65,7 @@ class _Node:
         self.star, self.option, self.title, self.label, self.parts, self.children = star, option, title, "", [], 0
         self.ordinal = self.depth = self.items = 0
         self.section = self.near = self.float = None
+        self.page = self if parent is None or marker in PAGE_MARKERS else parent.page
         self.place = ""
         if parent is not None:
             parent.children += 1
@@ -276,7 +278,7 @@ def _numbered(doc_id: int, nodes: list[_Node]) -> list[tuple]:
         n = by_pos[old]
         text = _CHILD.sub(lambda m: f"{OPEN}{new[int(m.group(1))]}{CLOSE}", body[old])
         place = n.place if n.marker == "item" else None
-        rows.append((doc_id, k, where(n.parent), n.ordinal, n.depth, last[k], where(n.section), where(n.near), where(n.float), place, n.parent.ordinal if n.parent else None, n.marker, n.star, n.title, n.option, n.label, text, n.opening, n.closing))
+        rows.append((doc_id, k, where(n.parent), n.ordinal, n.depth, last[k], where(n.section), where(n.near), where(n.float), place, n.parent.ordinal if n.parent else None, n.marker, n.star, n.title, n.option, n.label, text, n.opening, n.closing, where(n.page), where(n.parent.page if n.parent else None)))
     return rows
 
 
@@ -285,7 +287,7 @@ def _peel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = [r for i, t in zip(pdf["doc_id"], pdf["text"], strict=True) for r in parse((t or "").translate(_ESCAPES), i)]
         out = pd.DataFrame(rows, columns=names)
-        yield out.astype({k: "Int32" for k in ("parent", "section", "near", "float", "outer")})
+        yield out.astype({k: "Int32" for k in ("parent", "section", "near", "float", "outer", "above")})
 
 
 def unescape(text: Column) -> Column:
