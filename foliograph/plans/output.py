@@ -123,7 +123,7 @@ def cites_html(spark, sf_dir):
 
 
 def paper_links(spark, sf_dir):
-    entry = F.when(F.col("s_suppkey") % 3 == 0, F.format_string("A. B., arXiv:%04d.1234v2", "s_suppkey")).when(F.col("s_suppkey") % 3 == 1, F.format_string("C. D., MR%07d", "s_suppkey")).otherwise("E. F.")
+    entry = F.when(F.col("s_suppkey") % 3 == 0, F.format_string("A. B., arXiv:%s.1234v2", F.lpad(F.col("s_suppkey").cast("string"), 4, "0"))).when(F.col("s_suppkey") % 3 == 1, F.format_string("C. D., MR%s", F.lpad(F.col("s_suppkey").cast("string"), 7, "0"))).otherwise("E. F.")
     return table(spark, sf_dir, "supplier").select("s_suppkey", references.paper_link(entry).alias("link"))
 
 
