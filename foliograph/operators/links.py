@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import env_catalog
 from . import bibliography
-from .intervals import contained
+from .intervals import WIDTH
 
 REF_RE = r"\\(?:ref|eqref|autoref|fullref)\{([^}]*)\}"
 CITE_RE = r"\\cite(?:\[[^\]]*\])?\{([^}]*)\}"
@@ -61,16 +61,34 @@ def bib_entries(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "ordinal", "key", "label", "raw")
 
 
-def dependency_edges(nodes: DataFrame, labels: DataFrame, kinds: tuple[str, ...] = ("theorem", "definition")) -> DataFrame:
-    """(doc_id, source, target) labels: references anywhere inside nodes of the given classes, in items, equations and titles too."""
-    of = F.broadcast(env_catalog(nodes.sparkSession).where(F.col("class").isin(*kinds)).select("marker"))
-    statements = nodes.join(of, "marker").where("label is not null and label <> ''").select("doc_id", F.col("pos").alias("start"), "last", F.col("label").alias("source"))
-    text = F.concat_ws(" ", "body", "option", "title")
-    refs = nodes.where(F.col("body").contains("ref") | F.col("option").contains("ref") | F.col("title").contains("ref"))
-    refs = refs.select("doc_id", "pos", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(REF_RE), F.lit(1)))).alias("target"))
-    found = contained(refs, statements).select("doc_id", "source", "target").distinct()
-    known = labels.select("doc_id", F.col("label").alias("target"))
-    return found.join(known, ["doc_id", "target"], "left_semi").select("doc_id", "source", "target")
+def dependency_edges(nodes: DataFrame, labels: DataFrame | None = None, kinds: tuple[str, ...] = ("theorem", "definition")) -> DataFrame:
+    """(doc_id, source, target) labels: references anywhere inside nodes of the given classes, in items, equations and titles too.
+
+    A target is a label of the same document, of ``labels`` or by default of the nodes themselves. The nodes are read once: statements,
+    references and labels are rows of one exchange and meet in blocks of positions, as in ``intervals.contained``.
+    """
+    of = [r.marker for r in env_catalog(nodes.sparkSession).where(F.col("class").isin(*kinds)).select("marker").collect()]
+    labelled = F.coalesce(F.col("label"), F.lit("")) != ""
+    block = lambda c: F.floor(F.col(c) / WIDTH).cast("int")
+    cell = lambda block, start, last, source, target: F.struct(block.alias("block"), start.cast("int").alias("start"), last.cast("int").alias("last"), source.cast("string").alias("source"), target.cast("string").alias("target"))
+    none = F.lit(None)
+    statement = F.when(labelled & F.col("marker").isin(*of), F.transform(F.sequence(block("pos"), block("last")), lambda b: cell(b, F.col("pos"), F.col("last"), F.col("label"), none)))
+    texts = F.concat_ws(" ", "body", "option", "title")
+    has = F.col("body").contains("ref") | F.col("option").contains("ref") | F.col("title").contains("ref")
+    refs = F.when(has, F.transform(F.array_distinct(F.regexp_extract_all(texts, F.lit(REF_RE), F.lit(1))), lambda t: cell(block("pos"), F.col("pos"), none, none, t)))
+    known = F.when(labelled, F.array(cell(block("pos"), none, none, none, F.col("label")))) if labels is None else none
+    empty = F.array().cast("array<struct<block:int,start:int,last:int,source:string,target:string>>")
+    rows = nodes.select("doc_id", F.explode(F.concat(*[F.coalesce(c, empty) for c in (statement, refs, known)])).alias("c")).select("doc_id", "c.*")
+    some = lambda when, *names: F.collect_list(F.when(when, F.struct(*names)))
+    is_ref = F.col("source").isNull() & F.col("start").isNotNull()
+    met = rows.groupBy("doc_id", "block").agg(some(F.col("source").isNotNull(), "start", "last", "source").alias("s"), some(is_ref, "start", "target").alias("r"), F.collect_set(F.when(F.col("start").isNull(), F.col("target"))).alias("l"))
+    within = F.flatten(F.transform("r", lambda r: F.transform(F.filter("s", lambda s: (r["start"] >= s["start"]) & (r["start"] <= s["last"])), lambda s: F.struct(s["source"].alias("source"), r["target"].alias("target")))))
+    own = F.transform("l", lambda t: F.struct(F.lit(None).cast("string").alias("source"), t.alias("target")))
+    found = met.select("doc_id", F.explode(F.array_distinct(F.concat(within, own))).alias("e")).select("doc_id", "e.*")
+    if labels is not None:
+        return found.distinct().join(labels.select("doc_id", F.col("label").alias("target")), ["doc_id", "target"], "left_semi").select("doc_id", "source", "target")
+    by_target = found.groupBy("doc_id", "target").agg(F.collect_set("source").alias("sources"), F.max(F.col("source").isNull()).alias("known"))
+    return by_target.where("known").select("doc_id", F.explode("sources").alias("source"), "target")
 
 
 def prev_next(pages: DataFrame, order: Column | str, key: str = "file") -> DataFrame:

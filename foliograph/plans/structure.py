@@ -132,8 +132,7 @@ def dependency_edges(spark, sf_dir):
     item = synthetic.line_items(spark, sf_dir)
     s = F.format_string("\\begin{theorem}\\label{%d}By \\ref{1} and \\ref{none}.\\end{theorem}\n", "l_linenumber")
     docs = item.groupBy(F.col("l_orderkey").alias("doc_id")).agg(joined(F.collect_list(F.struct("l_linenumber", s.alias("s")))).alias("text"))
-    n = numbering.number_nodes(peel(docs))
-    return links.dependency_edges(n, numbering.labels(n)).select(F.col("doc_id").alias("l_orderkey"), "source", "target")
+    return links.dependency_edges(peel(docs)).select(F.col("doc_id").alias("l_orderkey"), "source", "target")
 
 
 def containing_section(spark, sf_dir):

@@ -60,8 +60,7 @@ def subtree_edges(spark, sf_dir):
         "l_linenumber", F.col("l_linenumber") + 1,
     )
     docs = item.groupBy(F.col("l_orderkey").alias("doc_id")).agg(joined(F.collect_list(F.struct("l_linenumber", s.alias("s")))).alias("text"))
-    n = numbering.number_nodes(peel(docs))
-    return links.dependency_edges(n, numbering.labels(n)).select(F.col("doc_id").alias("l_orderkey"), "source", "target")
+    return links.dependency_edges(peel(docs)).select(F.col("doc_id").alias("l_orderkey"), "source", "target")
 
 
 def macro_stages(spark, sf_dir):
