@@ -102,7 +102,7 @@ def include_chain(spark, sf_dir):
     following = F.lead("s_suppkey").over(w)
     leaves = s.select(F.concat(F.lit("s"), "s_suppkey").alias("file"), F.when(following.isNull(), "end").otherwise(F.format_string("x \\input{s%d}", following)).alias("text"))
     roots = s.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("k")).select(F.concat(F.lit("n"), "s_nationkey").alias("file"), F.format_string("\\include{s%d}", "k").alias("text"))
-    found = documents.expand_includes(roots.unionByName(leaves), roots.select("file"), max_depth=2000)
+    found = documents.expand_includes(roots.unionByName(leaves), roots.select("file"), max_depth=None)
     return found.select("root", "file", F.col("depth").cast("long").alias("depth"), "cyclic")
 
 

@@ -31,21 +31,58 @@ _REACHED = """
 WITH RECURSIVE reached(root, file, depth, place, chain, cyclic) MAX RECURSION LEVEL {levels} AS (
   SELECT file, file, 0, CAST(array() AS array<int>), array(file), false FROM {root}
   UNION ALL
-  SELECT r.root, e.target, r.depth + 1, concat(r.place, array(e.ordinal)), concat(r.chain, array(e.target)), array_contains(r.chain, e.target)
+  SELECT r.root, e.target, r.depth + e.steps, concat(r.place, e.way), concat(r.chain, array(e.target)), array_contains(r.chain, e.target)
   FROM reached r JOIN {edge} e ON r.file = e.file WHERE NOT r.cyclic)
 SELECT root, file, depth, place, cyclic FROM reached LIMIT ALL"""
+#: Recursion ends without a limit, as cycles are cut.
+UNLIMITED = 2**31 - 2
 
 
-def expand_includes(files: DataFrame, root: DataFrame, max_depth: int = 100, edges: DataFrame | None = None) -> DataFrame:
+def _runs(edge: DataFrame, root: DataFrame) -> DataFrame:
+    """(file, head, offset, ordinal): files that only one include leads to, the only one of its file, under the first file of such a run.
+
+    Found by doubling: a run of n files takes log2(n) joins. What goes round without a way in from a root has no head and is not in it.
+    """
+    ways_in = edge.groupBy("target").agg(F.count("*").alias("n"), F.min(F.struct("file", "ordinal")).alias("e")).where("n = 1")
+    single = edge.groupBy("file").agg(F.count("*").alias("m")).where("m = 1").select("file")
+    only = ways_in.select(F.col("target").alias("member"), "e.*").join(single, "file").join(root.select(F.col("file").alias("member")).distinct(), "member", "left_anti")
+    way = only.select(F.col("member").alias("file"), F.col("file").alias("head"), F.lit(1).alias("offset"), "ordinal").localCheckpoint()
+    n = way.count()
+    for _ in range(max(n, 1).bit_length()):
+        up = way.select(F.col("file").alias("head"), F.col("head").alias("above"), F.col("offset").alias("more"))
+        way = way.join(up, "head", "left").select("file", F.coalesce("above", "head").alias("head"), (F.col("offset") + F.coalesce("more", F.lit(0))).alias("offset"), "ordinal").localCheckpoint()
+        if way.join(way.select(F.col("file").alias("head")), "head", "left_semi").isEmpty():
+            break
+    return way.join(way.select(F.col("file").alias("head")), "head", "left_anti")
+
+
+def expand_includes(files: DataFrame, root: DataFrame, max_depth: int | None = 100, edges: DataFrame | None = None) -> DataFrame:
     """(root, file, depth, place, cyclic): every file reached from each root, in reading order.
 
-    One recursive query. ``place`` orders the files as an expansion would meet them. A file that is among its own
+    One recursive query, over runs of files that can only follow each other, so that its levels are those where files branch.
+    ``place`` orders the files as an expansion would meet them. A file that is among its own
     ancestors is reported once as cyclic and not followed; other repeats are legitimate.
-    Deeper chains than ``max_depth`` are an error when the result is used, and not a silent stop. ``edges`` are those
+    Deeper chains than ``max_depth`` are an error when the result is used, and not a silent stop; None sets no limit. ``edges`` are those
     of ``includes``, by default, or of ``located``.
     """
-    edge = (includes(files) if edges is None else edges).select("file", "ordinal", "target")
-    return files.sparkSession.sql(_REACHED.replace("{levels}", str(int(max_depth) + 1)), root=root.select("file"), edge=edge)
+    edge = (includes(files) if edges is None else edges).select("file", F.col("ordinal").cast("int").alias("ordinal"), "target").localCheckpoint()
+    run = _runs(edge, root)
+    member = run.groupBy(F.col("head").alias("file")).agg(F.sort_array(F.collect_list(F.struct("offset", "ordinal", F.col("file").alias("name")))).alias("members"))
+    ordinals = lambda members: F.transform(members, lambda m: m["ordinal"])
+    # An include that is no step inside a run starts at the run's last file.
+    inner = run.select(F.col("file").alias("target"))
+    outer = edge.join(inner, "target", "left_anti").join(run.select("file", "head"), "file", "left").select(F.coalesce("head", "file").alias("file"), "ordinal", "target").join(member, "file", "left")
+    none = F.array().cast("array<struct<offset:int,ordinal:int,name:string>>")
+    members = F.coalesce("members", none)
+    steps = outer.select("file", "target", (F.size(members) + 1).alias("steps"), F.concat(ordinals(members), F.array("ordinal")).alias("way"))
+    found = files.sparkSession.sql(_REACHED.replace("{levels}", str(UNLIMITED if max_depth is None else int(max_depth) + 1)), root=root.select("file"), edge=steps)
+    own = F.array(F.struct(F.lit(0).alias("offset"), F.lit(None).cast("int").alias("ordinal"), F.col("file").alias("name")))
+    whole = found.join(member, "file", "left").withColumn("members", F.when(F.col("cyclic"), none).otherwise(members))
+    rows = whole.select("root", F.explode(F.concat(own, "members")).alias("m"), "depth", "place", "members", "cyclic")
+    rows = rows.select("root", F.col("m.name").alias("file"), (F.col("depth") + F.col("m.offset")).alias("depth"), F.concat("place", ordinals(F.slice("members", F.lit(1), F.col("m.offset")))).alias("place"), "cyclic")
+    if max_depth is None:
+        return rows
+    return rows.where(F.when(F.col("depth") > int(max_depth), F.raise_error(F.lit(f"includes are nested deeper than {int(max_depth)}")).cast("boolean")).otherwise(True))
 
 
 def located(edges: DataFrame, files: DataFrame, folder: str = "", working: str = "") -> DataFrame:
