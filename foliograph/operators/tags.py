@@ -152,9 +152,12 @@ def tagged(nodes: DataFrame, target: str = "html") -> DataFrame:
     option, title = (F.coalesce(c, F.lit("")) for c in ("option", "title"))
     joined = joined.withColumns({"__option": convert(option), "__title": F.when(title == "XXXX", "").otherwise(convert(title))})
     used = {p for _, t, *row in TEMPLATES if t == target for x in row for p in _pieces(x)}
-    joined = joined.withColumn("__fields", F.create_map(*[x for name, value in _fields(target).items() if name in used for x in (F.lit(name), value)]))
-    out = {name: F.array_join(F.transform(F.coalesce(name, F.array(*[F.lit(p) for p in _pieces(unknown)])), lambda p: F.coalesce(F.try_element_at("__fields", p), p)), "") for name, unknown in zip(PARTS, UNKNOWN, strict=True)}
-    return joined.withColumns(out).drop("key", "__option", "__title", "__fields", *[c for c in OPTIONAL if c not in nodes.columns])
+    fields = F.create_map(*[x for name, value in _fields(target).items() if name in used for x in (F.lit(name), value)])
+    filled = lambda f, name, unknown: F.array_join(F.transform(F.coalesce(name, F.array(*[F.lit(p) for p in _pieces(unknown)])), lambda p: F.coalesce(F.try_element_at(f, p), p)), "")
+    # The map is a lambda's argument: as a column of its own it would be put into the lambdas below and computed for every piece.
+    made = F.get(F.transform(F.array(fields), lambda f: F.struct(*[filled(f, name, unknown).alias(name) for name, unknown in zip(PARTS, UNKNOWN, strict=True)])), F.lit(0))
+    joined = joined.withColumn("__made", made)
+    return joined.withColumns({name: F.col(f"__made.{name}") for name in PARTS}).drop("key", "__option", "__title", "__made", *[c for c in OPTIONAL if c not in nodes.columns])
 
 
 PARTS = ("open_tag", "heading", "close_tag")
