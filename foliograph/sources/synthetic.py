@@ -11,7 +11,18 @@ from ..session import ship
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(rows) if name in TEXTS else rows
+
+
+#: Tables whose rows become texts, one each: small as files, which Spark reads in a task or two, and long work.
+TEXTS = ("part", "supplier")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows over all cores, also where their file is too small to be read in so many parts."""
+    parts = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(parts) if rows.rdd.getNumPartitions() < parts else rows
 
 
 def joined(rows: Column, sep: str = "") -> Column:
