@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -263,9 +264,11 @@ def fill(rows: list[tuple[int, str, str, str]]) -> str:
     return "".join(out)
 
 
-@F.pandas_udf(T.StringType())
-def _fill(nodes: pd.Series) -> pd.Series:
-    return nodes.map(lambda rows: fill([(r["pos"], r["before"], r["body"], r["after"]) for r in rows]))
+@F.arrow_udf(T.StringType())
+def _fill(nodes: pa.Array) -> pa.Array:
+    """One tree at a time becomes Python values, not all of a batch."""
+    one = lambda rows: fill(list(zip(*(rows.field(name).to_pylist() for name in ("pos", "before", "body", "after")), strict=True)))
+    return pa.array([one(tree.values) if tree.is_valid else None for tree in nodes], pa.string())
 
 
 def assemble(nodes: DataFrame, before: str = "opening", after: str = "closing", by: tuple[str, ...] = ("doc_id",), also: tuple[Column, ...] = ()) -> DataFrame:
