@@ -2,9 +2,8 @@
 
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
-from foliograph.functions import scanner
+from foliograph.functions import markup, scanner
 from foliograph.operators import links, numbering, peel
 from foliograph.plans import output
 from foliograph.sources import documents, synthetic
@@ -26,3 +25,50 @@ def test_groups_from_left_to_right():
     asked = scanner.Groups(text)
     for at in (1, 3, 8, 13):
         assert asked.end(at) == ends.get(at)
+
+
+def test_templates_are_cut_once(monkeypatch):
+    """Converting many texts does not cut the templates of all macros for each."""
+    calls = []
+    monkeypatch.setattr(markup, "filled", lambda t: calls.append(t) or scanner.filled(t))
+    markup.macro_actions.cache_clear()
+    assert [markup.convert_by(f"\\emph{{{k}}}", markup.macro_actions("html")) for k in range(100)] == [f"<em>{k}</em>" for k in range(100)]
+    assert len(calls) == len(markup.macro_table("html"))
+    markup.macro_actions.cache_clear()
+
+
+def test_small_files_are_dealt_out(spark, tmp_path):
+    """A table of one small file is worked on by all cores where each of its rows is a text."""
+    spark.range(100).selectExpr("id p_partkey", "'x' p_name").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    rows = synthetic.table(spark, str(tmp_path), "part")
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert rows.count() == 100
+
+
+def test_edges_of_one_read(spark):
+    """Dependency edges with the nodes' own labels read the documents once and equal those with given labels."""
+    text = "\\begin{theorem}\\label{a}\\ref{b}\\ref{none}" + "\\begin{itemize}\\item x\\end{itemize}" * 300 + "\\ref{c}\\end{theorem}\\begin{proof}\\label{b}\\ref{a}\\end{proof}\\begin{definition}\\label{c}\\begin{proof}\\eqref{c}\\end{proof}\\end{definition}"
+    nodes = peel.peel(spark.createDataFrame([(1, text), (2, text.replace("{b}", "{d}"))], "doc_id long, text string"))
+    edges = links.dependency_edges(nodes)
+    got = sorted(map(tuple, edges.collect()))
+    assert got == [(1, "a", "b"), (1, "a", "c"), (1, "c", "c"), (2, "a", "c"), (2, "a", "d"), (2, "c", "c")]
+    assert got == sorted(map(tuple, links.dependency_edges(nodes, numbering.labels(numbering.number_nodes(nodes))).collect()))
+    assert edges._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_paper_links_of_large_keys(spark, tmp_path):
+    """Keys of five digits: numbers of preprints have four, as in the SQL."""
+    spark.createDataFrame([(12345,), (12346,), (12347,)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = {r.s_suppkey: r.link for r in output.paper_links(spark, str(tmp_path)).collect()}
+    assert got == {12345: '<div><a href="http://arxiv.org/abs/1234.1234">paper</a></div>', 12346: '<div><a href="http://ams.org/mathscinet/0012346">AMS Math Review</a></div>', 12347: ""}
+
+
+def test_long_includes(spark):
+    """A run of 3,000 files, a branch behind it, a file included twice, and a way back into the run: levels are branches, not files."""
+    text = lambda k: f"\\input{{f{k + 1}}}" if k < 3000 else "\\input{a}\\input{a}\\input{f0}"
+    files = spark.createDataFrame([("top", "x \\input{f0}"), *((f"f{k}", text(k)) for k in range(3001)), ("a", "\\input{b}"), ("b", "end")], "file string, text string")
+    got = documents.expand_includes(files, files.where("file = 'top'").select("file"), max_depth=None).orderBy("place").collect()
+    assert [(r.file, r.depth, r.cyclic) for r in got[:3002]] == [("top", 0, False), *((f"f{k}", k + 1, False) for k in range(3001))]
+    assert [(r.file, r.depth, r.cyclic, r.place[-2:]) for r in got[3002:]] == [("a", 3002, False, [1, 1]), ("b", 3003, False, [1, 1]), ("a", 3002, False, [1, 2]), ("b", 3003, False, [2, 1]), ("f0", 3002, True, [1, 3])]
+    with pytest.raises(Exception, match="deeper"):
+        documents.expand_includes(files, files.where("file = 'top'").select("file"), max_depth=3002).collect()
