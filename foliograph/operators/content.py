@@ -3,6 +3,7 @@ r"""Paragraphs, comments, tables, index, session cells, authors, math spans, ass
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -245,30 +246,67 @@ def wrap(nodes: DataFrame, templates: DataFrame) -> DataFrame:
     return joined.withColumn("open_tag", F.concat(F.lit("<"), tag, ident, F.lit(">"))).withColumn("close_tag", F.concat(F.lit("</"), tag, F.lit(">"))).drop("tag")
 
 
-def fill(rows: list[tuple[int, str, str, str]]) -> str:
+_CUT = re.compile(PLACEHOLDER)
+
+
+def fill(rows: Iterable[tuple[int, str, str, str]]) -> str:
     """The text of a tree from its (pos, before, body, after), each child at its placeholder; the first node is the root."""
-    held = {pos: (before or "", body or "", after or "") for pos, before, body, after in rows}
-    cut = re.compile(PLACEHOLDER)
-    out, todo = [], [(min(held), None)]
-    while todo:
-        pos, text = todo.pop()
-        if text is not None:
-            out.append(text)
-            continue
-        before, body, after = held[pos]
-        parts = cut.split(body)
-        steps = [(0, before), (0, parts[0])]
-        for child, gap in zip(parts[1::2], parts[2::2], strict=True):
-            steps += [(int(child), None), (0, gap)]
-        todo.extend(reversed([*steps, (0, after)]))
+    leaves: dict[int, str] = {}
+    inner: dict[int, tuple[str, str, str]] = {}
+    for pos, before, body, after in rows:
+        if body and OPEN in body:
+            inner[pos] = (before or "", body, after or "")
+        else:
+            leaves[pos] = (before or "") + (body or "") + (after or "")
+
+    def pieces(pos: int) -> Iterator[str | int]:
+        """The texts of a node in order, with the positions of children that hold others."""
+        before, body, after = inner[pos]
+        cut = _CUT.split(body)
+        yield before + cut[0]
+        for child, gap in zip(cut[1::2], cut[2::2], strict=True):
+            at = int(child)
+            text = leaves.get(at)
+            yield at if text is None else text
+            if gap:
+                yield gap
+        yield after
+
+    root = min(min(held) for held in (leaves, inner) if held)
+    if root in leaves:
+        return leaves[root]
+    out, opened = [], [pieces(root)]
+    while opened:
+        for piece in opened[-1]:
+            if type(piece) is int:
+                opened.append(pieces(piece))
+                break
+            out.append(piece)
+        else:
+            opened.pop()
     return "".join(out)
 
 
+#: Nodes that become Python values together, unless one tree has more.
+TOGETHER = 4096
+
+
+def filled_trees(nodes: pa.ListArray) -> Iterator[str | None]:
+    """Some trees at a time become Python values, not all of a batch."""
+    ends, valid, k = nodes.offsets.to_pylist(), nodes.is_valid().to_pylist(), 0
+    while k < len(nodes):
+        first, start = k, ends[k]
+        while k < len(nodes) and (k == first or ends[k + 1] - start <= TOGETHER):
+            k += 1
+        some = nodes.values.slice(start, ends[k] - start)
+        rows = list(zip(*(some.field(name).to_pylist() for name in ("pos", "before", "body", "after")), strict=True))
+        for j in range(first, k):
+            yield fill(rows[ends[j] - start : ends[j + 1] - start]) if valid[j] else None
+
+
 @F.arrow_udf(T.StringType())
 def _fill(nodes: pa.Array) -> pa.Array:
-    """One tree at a time becomes Python values, not all of a batch."""
-    one = lambda rows: fill(list(zip(*(rows.field(name).to_pylist() for name in ("pos", "before", "body", "after")), strict=True)))
-    return pa.array([one(tree.values) if tree.is_valid else None for tree in nodes], pa.string())
+    return pa.array(filled_trees(nodes), pa.string())
 
 
 def assemble(nodes: DataFrame, before: str = "opening", after: str = "closing", by: tuple[str, ...] = ("doc_id",), also: tuple[Column, ...] = ()) -> DataFrame:

@@ -1,10 +1,12 @@
 """What is held at once, how work is dealt out, and keys beyond those of the small tables."""
 
+import gc
+
 import pyarrow as pa
 import pytest
 
 from foliograph.functions import markup, scanner
-from foliograph.operators import links, numbering, peel
+from foliograph.operators import content, links, numbering, peel
 from foliograph.plans import output
 from foliograph.sources import documents, synthetic
 
@@ -72,3 +74,39 @@ def test_long_includes(spark):
     assert [(r.file, r.depth, r.cyclic, r.place[-2:]) for r in got[3002:]] == [("a", 3002, False, [1, 1]), ("b", 3003, False, [1, 1]), ("a", 3002, False, [1, 2]), ("b", 3003, False, [2, 1]), ("f0", 3002, True, [1, 3])]
     with pytest.raises(Exception, match="deeper"):
         documents.expand_includes(files, files.where("file = 'top'").select("file"), max_depth=3002).collect()
+
+
+def test_brackets_are_looked_for_where_one_stands(monkeypatch):
+    """An environment without an option asks for no bracket group, and text without placeholder signs is not translated."""
+    calls = []
+    held = scanner.Groups.group_at
+    monkeypatch.setattr(scanner.Groups, "group_at", lambda self, at: calls.append(at) or held(self, at))
+    nodes = peel.parse("\\begin{theorem}a\\end{theorem}\\begin{proof} [of b]c\\end{proof}" * 3)
+    assert [n[14] for n in nodes] == ["", *["", "of b"] * 3]
+    assert len(calls) == 3
+
+
+def test_nodes_do_not_wait_for_the_collector():
+    """While nodes are read the collector is off, as they leave no cycles; afterwards it is as before, also where reading is given up."""
+    text = "\\begin{figure}\\begin{minipage}{1in}\\label{a}\\begin{align}a\\\\b\\end{align}\\end{minipage}\\end{figure}" * 2000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array([text] * 5)], ["doc_id", "text"])
+    found = peel._peel(iter([batch]))
+    next(found)
+    assert not gc.isenabled()
+    found.close()
+    assert gc.isenabled()
+    gc.collect()
+    assert sum(b.num_rows for b in peel._peel(iter([batch]))) == 5 * (1 + 5 * 2000)
+    assert gc.collect() < 100
+
+
+def test_trees_are_filled_some_at_a_time(monkeypatch):
+    """Small trees become values together, a large one alone; texts are those of the trees, also of sliced arrays and of none."""
+    text = lambda k: "\\section{A}" + "\\begin{proof}$x$ \\emph{y}\\end{proof}\n" * k
+    trees = [[dict(zip(("pos", "before", "body", "after"), (r[1], r[17], r[16], r[18]), strict=True)) for r in reversed(peel.parse(text(k)))] for k in (1, 2, 3, 100, 0)]
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("before", pa.string()), ("body", pa.string()), ("after", pa.string())]))
+    nodes = pa.array([trees[0], None, *trees[1:]], kind)
+    monkeypatch.setattr(content, "TOGETHER", 16)
+    want = [text(1), None, *map(text, (2, 3, 100, 0))]
+    assert list(content.filled_trees(nodes)) == want
+    assert list(content.filled_trees(nodes.slice(2, 3))) == want[2:5]
