@@ -9,10 +9,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.scanner import group_at, group_ends
+from ..functions.scanner import Groups, group_at, group_ends
 from ..session import ship
 
 FIELDS = "ordinal int, notation string, kind string, key string, label string, place int, field string, value string"
@@ -136,14 +138,15 @@ def ams_records(text: str) -> Iterator[tuple[str, str, str, list[tuple[str, str]
 def bib_items(text: str) -> Iterator[tuple[str, str, str, list[tuple[str, str]]]]:
     r"""(kind, key, label, fields) of ``\bibitem[label]{key} text`` up to the next item or the list's end; the text is one field."""
     marks = [m for m in _ITEM.finditer(text)]
+    braces, brackets = Groups(text), Groups(text, "[", "]")
     for k, m in enumerate(marks):
         if m.group(0) != "\\bibitem":
             continue
         at, label = m.end(), ""
-        start, end = group_at(text, at, "[", "]")
+        start, end = brackets.group_at(at)
         if start < end:
             label, at = text[start + 1 : end - 1], end
-        start, end = group_at(text, at)
+        start, end = braces.group_at(at)
         if start == end:
             continue
         stop = marks[k + 1].start() if k + 1 < len(marks) else len(text)
@@ -176,6 +179,42 @@ def record_fields(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").lateralJoin(BibRecords(F.col("text").outer())).drop("text")
 
 
+#: Entries that are handed on together, however large or small the documents are.
+CHUNK = 8192
+
+
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The items of documents (doc_id, text), in batches of bounded size."""
+    names = ("doc", "ordinal", "key", "label", "raw")
+    for batch in batches:
+        ids, rows = batch.column(0), []
+
+        def entries_of(rows: list[tuple], ids: pa.Array = ids) -> pa.RecordBatch:
+            of, *columns = zip(*rows, strict=True)
+            kinds = (pa.int32(), pa.string(), pa.string(), pa.string())
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(of, pa.int64())), *(pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True))], names)
+
+        for i, text in enumerate(batch.column(1)):
+            for k, (_, key, label, ((_, raw),)) in enumerate(bib_items(text.as_py() or ""), 1):
+                rows.append((i, k, key, label or str(k), raw))
+                if len(rows) >= CHUNK:
+                    yield entries_of(rows)
+                    rows = []
+        if rows:
+            yield entries_of(rows)
+
+
+def items(docs: DataFrame) -> DataFrame:
+    r"""(doc_id, ordinal, key, label, raw) of the ``\bibitem`` entries of (doc_id, text), as ``entries`` gives them.
+
+    An item is one field, so nothing is put together: rows come from the reader as they are, without an exchange.
+    """
+    ship(docs.sparkSession)
+    doc = T.StructField("doc", docs.schema["doc_id"].dataType)
+    kind = T.StructType([doc, T.StructField("ordinal", T.IntegerType()), *(T.StructField(name, T.StringType()) for name in ("key", "label", "raw"))])
+    return docs.select(F.col("doc_id").alias("doc"), "text").mapInArrow(_items, kind).withColumnRenamed("doc", "doc_id")
+
+
 def entries(fields: DataFrame) -> DataFrame:
     """(doc_id, ordinal, notation, kind, key, label, raw): one row per entry, with what it shows.
 

@@ -57,8 +57,7 @@ def resolve_citations(cites: DataFrame, bib: DataFrame) -> DataFrame:
 
 def bib_entries(docs: DataFrame) -> DataFrame:
     r"""(doc_id, ordinal, key, label, raw) of ``\bibitem[label]{key} text``, brackets and braces nested; without a label the ordinal."""
-    found = bibliography.entries(bibliography.record_fields(docs.where(F.col("text").contains("\\bibitem"))).where("notation = 'items'"))
-    return found.select("doc_id", "ordinal", "key", "label", "raw")
+    return bibliography.items(docs.where(F.col("text").contains("\\bibitem")))
 
 
 def dependency_edges(nodes: DataFrame, labels: DataFrame | None = None, kinds: tuple[str, ...] = ("theorem", "definition")) -> DataFrame:

@@ -14,7 +14,7 @@ from ..functions.markup import tex_to_html
 from ..functions.text import remove_silly_braces, safe_name
 from . import content
 from .intervals import contained, innermost
-from .navigation import PREAMBLE_TIKZ, in_order
+from .navigation import PREAMBLE_TIKZ
 
 TOP_PAGE = {"html": "index.html", "ptx": "main.ptx"}
 
@@ -80,17 +80,25 @@ def context_snippets(nodes: DataFrame, entries: DataFrame) -> DataFrame:
     return whole.select("doc_id", F.concat("node_id", F.lit(".knowl")).alias("file"), F.concat("text", link).alias("text"))
 
 
-def bibliography_pages(entries: DataFrame, target: str = "html") -> DataFrame:
-    """(doc_id, file, text): the bibliography of each document, entries (doc_id, ordinal, key, label, raw)."""
-    if target == "ptx":
-        raw = F.regexp_replace("raw", r"\\*&\s*", "&amp; ")
-        one = F.concat(F.lit('\n<biblio type="raw" xml:id="'), "key", F.lit('">'), raw, F.lit("</biblio>"))
-        head, tail = "\n<references>\n\n<title>Bibliography</title>\n", "\n</references>\n"
-    else:
-        one = F.concat(F.lit('<div class="bib"><span class="bibitem">['), "label", F.lit(']</span><span id="'), "key", F.lit('" class="bibentry">'), tex_to_html(F.col("raw")), F.lit("</span></div>\n"))
-        head, tail = '<section class="section" id="section1*"><h2 class="heading hide-type"><span class="type">Section</span><span class="title">Bibliography</span></h2>', "</section>\n"
-    each = entries.withColumn("one", one).groupBy("doc_id").agg(in_order(F.col("ordinal"), F.col("one")).alias("all"))
-    return each.select("doc_id", F.lit(f"bibliography.{target}").alias("file"), F.concat(F.lit(head), "all", F.lit(tail)).alias("text"))
+def bibliography_pages(entries: DataFrame, *targets: str) -> DataFrame:
+    """(doc_id, file, text): the bibliography of each document for each target, html by default; entries (doc_id, ordinal, key, label, raw).
+
+    Entries are read and gathered once, whatever the number of targets.
+    """
+    raw = F.regexp_replace("raw", r"\\*&\s*", "&amp; ")
+    shown = {
+        "html": F.concat(F.lit('<div class="bib"><span class="bibitem">['), "label", F.lit(']</span><span id="'), "key", F.lit('" class="bibentry">'), tex_to_html(F.col("raw")), F.lit("</span></div>\n")),
+        "ptx": F.concat(F.lit('\n<biblio type="raw" xml:id="'), "key", F.lit('">'), raw, F.lit("</biblio>")),
+    }
+    around = {
+        "html": ('<section class="section" id="section1*"><h2 class="heading hide-type"><span class="type">Section</span><span class="title">Bibliography</span></h2>', "</section>\n"),
+        "ptx": ("\n<references>\n\n<title>Bibliography</title>\n", "\n</references>\n"),
+    }
+    targets = targets or ("html",)
+    lines = entries.select("doc_id", "ordinal", *[shown[t].alias(t) for t in targets])
+    each = lines.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", *targets))).alias("all"))
+    page = lambda t: F.struct(F.lit(f"bibliography.{t}").alias("file"), F.concat(F.lit(around[t][0]), F.array_join(F.transform("all", lambda x: x[t]), ""), F.lit(around[t][1])).alias("text"))
+    return each.select("doc_id", F.explode(F.array(*[page(t) for t in targets])).alias("p")).select("doc_id", "p.file", "p.text")
 
 
 def title_records(fronts: DataFrame) -> DataFrame:

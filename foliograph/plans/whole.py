@@ -48,8 +48,7 @@ def main_pages(spark, sf_dir):
 def bibliography_files(spark, sf_dir):
     docs = synthetic.citing_orders(spark, sf_dir)
     found = links.bib_entries(docs)
-    both = paging.bibliography_pages(found).unionByName(paging.bibliography_pages(found, "ptx"))
-    return both.select(F.col("doc_id").alias("l_orderkey"), "file", "text")
+    return paging.bibliography_pages(found, "html", "ptx").select(F.col("doc_id").alias("l_orderkey"), "file", "text")
 
 
 def subtree_edges(spark, sf_dir):

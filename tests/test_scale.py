@@ -110,3 +110,29 @@ def test_trees_are_filled_some_at_a_time(monkeypatch):
     want = [text(1), None, *map(text, (2, 3, 100, 0))]
     assert list(content.filled_trees(nodes)) == want
     assert list(content.filled_trees(nodes.slice(2, 3))) == want[2:5]
+
+
+def test_bibliography_items_need_no_exchange(spark):
+    """Items come from the reader as entries of the general reader, and pages of both targets read them once."""
+    from foliograph.operators import bibliography, links, paging
+
+    odd = ["", None, "none", "\\bibitem[A [1]]{k} x {\\bibitem{in} y}", "\\bibitem [a{]b}] { k } z \\bibitem{open", "\\bibitem[open {k} x\\bibitem{l}\\end{thebibliography} \\bibitem{m} & \\% n", "\\bibitem{}", "\\\\bibitem\\{a}{b}[c]{d}"]
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    general = bibliography.entries(bibliography.record_fields(docs)).where("notation = 'items'").select("doc_id", "ordinal", "key", "label", "raw")
+    found = links.bib_entries(docs)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, general.collect())) and found.count() > 4
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    both = paging.bibliography_pages(found, "html", "ptx")
+    apart = paging.bibliography_pages(found).unionByName(paging.bibliography_pages(found, "ptx"))
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, apart.collect()))
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_many_items_leave_in_bounded_batches(spark):
+    import pyarrow as pa
+
+    from foliograph.operators import bibliography
+
+    text = "".join(f"\\bibitem{{k{k}}} x\n" for k in range(20000))
+    out = list(bibliography._items(iter([pa.RecordBatch.from_arrays([pa.array([7]), pa.array([text])], ["doc", "text"])])))
+    assert sum(b.num_rows for b in out) == 20000 and max(b.num_rows for b in out) <= bibliography.CHUNK
