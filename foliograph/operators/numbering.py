@@ -23,17 +23,18 @@ def number_nodes(nodes: DataFrame) -> DataFrame:
     """
     spark = nodes.sparkSession
     kinds = F.broadcast(env_catalog(spark).select("marker", "class", "counter"))
-    n = nodes.join(kinds, "marker", "left")
+    # Rows are dealt out and sorted once, before anything is counted: flags and totals need not be held by the sort.
+    n = nodes.join(kinds, "marker", "left").repartition("doc_id").sortWithinPartitions("doc_id", "pos")
     level = F.coalesce(*[F.when(F.col("counter") == m, F.lit(k)) for k, m in enumerate(SECTION_LEVELS)])
-    doc = W.partitionBy("doc_id")
-    run = doc.orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    doc = W.partitionBy("doc_id").orderBy("pos")
+    run, whole = doc.rowsBetween(W.unboundedPreceding, W.currentRow), doc.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     depth = range(len(SECTION_LEVELS))
     n = n.withColumn("level", level)
     plain = ~F.col("star") & F.col("level").isNotNull()
     count = lambda flag: F.sum(F.when(flag, 1).otherwise(0)).over(run)
-    # Running totals, then their values at the last reset: both windows have one order, so one sort serves all.
+    # Running totals, then their values at the last reset: all windows have one order, so one sort serves all.
     n = n.withColumns(
-        {"toplevel": F.when(F.max(F.col("level") == 0).over(doc), 0).otherwise(1)}
+        {"toplevel": F.when(F.max(F.col("level") == 0).over(whole), 0).otherwise(1)}
         | {f"t{j}": count(plain & (F.col("level") == j)) for j in depth}
         | {f"s{j}": count(F.col("star") & (F.col("level") == j)) for j in depth}
         | {f"t_{k}": count(~F.col("star") & (F.col("counter") == k)) for k in ENV_COUNTERS}

@@ -136,3 +136,14 @@ def test_many_items_leave_in_bounded_batches(spark):
     text = "".join(f"\\bibitem{{k{k}}} x\n" for k in range(20000))
     out = list(bibliography._items(iter([pa.RecordBatch.from_arrays([pa.array([7]), pa.array([text])], ["doc", "text"])])))
     assert sum(b.num_rows for b in out) == 20000 and max(b.num_rows for b in out) <= bibliography.CHUNK
+
+
+def test_numbers_need_one_sort_of_plain_nodes(spark):
+    """Documents are sorted once, before flags and totals widen their rows."""
+    nodes = peel.peel(spark.createDataFrame([(1, "\\section{A}\\begin{theorem}b\\end{theorem}"), (2, "\\chapter{B}\\section{A}\\begin{theorem}b\\end{theorem}")], "doc_id long, text string"))
+    numbered = numbering.number_nodes(nodes).select("doc_id", "pos", "codenumber")
+    assert [tuple(r) for r in numbered.where("codenumber is not null").orderBy("doc_id", "pos").collect()] == [(1, 1, "1"), (1, 2, "1.1"), (2, 1, "1"), (2, 2, "1.1"), (2, 3, "1.1.1")]
+    plan = numbered._jdf.queryExecution().executedPlan().toString().split("\n")
+    sorts = [k for k, line in enumerate(plan) if "- Sort [" in line]
+    assert len(sorts) == 1
+    assert not any("CASE WHEN" in line for line in plan[sorts[0] :])
