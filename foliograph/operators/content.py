@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
+from operator import itemgetter
 
 import pandas as pd
 import pyarrow as pa
@@ -309,17 +311,59 @@ def _fill(nodes: pa.Array) -> pa.Array:
     return pa.array(filled_trees(nodes), pa.string())
 
 
-def assemble(nodes: DataFrame, before: str = "opening", after: str = "closing", by: tuple[str, ...] = ("doc_id",), also: tuple[Column, ...] = ()) -> DataFrame:
+#: Characters of finished texts that leave a task together, unless one text has more.
+LEAVING = 1 << 22
+
+
+def assembled(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Rows (keys, pos, before, body, after, carried) in order of keys and pos to a row (keys, carried, text) for each tree.
+
+    One tree is held at a time, its leaves as finished texts; ``carried`` are those of its first row.
+    """
+    fields: list[pa.Field] = []
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            if not fields:
+                fields.extend(batch.schema)
+            columns = [c.to_pylist() for c in batch.columns]
+            yield from zip(zip(*columns[:keys], strict=True), *columns[keys:], strict=True)
+
+    def batch() -> pa.RecordBatch:
+        named = [*fields[:keys], *fields[keys + 4 :], pa.field("text", pa.string())]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), named, strict=True)], names=[f.name for f in named])
+
+    done, size = [], 0
+    for key, tree in groupby(rows(), itemgetter(0)):
+        first = next(tree)
+        text = fill(row[1:5] for row in chain((first,), tree))
+        done.append((*key, *first[5:], text))
+        size += len(text)
+        if size >= LEAVING or len(done) >= TOGETHER:
+            yield batch()
+            done, size = [], 0
+    if done:
+        yield batch()
+
+
+def assemble(nodes: DataFrame, before: str = "opening", after: str = "closing", by: tuple[str, ...] = ("doc_id",), also: tuple[Column, ...] = (), carried: tuple[Column, ...] = ()) -> DataFrame:
     """(doc_id, text): placeholders filled from the root down, a document at a time, or a part of one by further keys.
 
-    ``also`` are further aggregates over the same nodes, so that what else is asked of them needs no second parse.
+    One exchange brings a tree's nodes together in order, however deep it is; they pass as rows, so that no value but
+    its text holds a tree. Texts are never used as patterns. Rows of other documents are not touched.
 
-    One exchange brings a tree's nodes together, however deep it is; texts are
-    never used as patterns. Rows of other documents are not touched.
+    ``carried`` are columns of a tree's first node. ``also`` are further aggregates over the same nodes, so that what
+    else is asked of them needs no second parse; with them the nodes of a tree are gathered as one value, for documents
+    that are small.
     """
     ship(nodes.sparkSession)
-    one = F.struct("pos", F.col(before).alias("before"), "body", F.col(after).alias("after"))
-    return nodes.groupBy(*by).agg(unescape(_fill(F.collect_list(one))).alias("text"), *also)
+    cells = ("pos", F.col(before).alias("before"), "body", F.col(after).alias("after"))
+    if also:
+        return nodes.groupBy(*by).agg(unescape(_fill(F.collect_list(F.struct(*cells)))).alias("text"), *also)
+    rows = nodes.select(*by, *cells, *carried).repartition(*by).sortWithinPartitions(*by, "pos")
+    keys = len(by)
+    schema = T.StructType([*rows.schema[:keys], *rows.schema[keys + 4 :], T.StructField("text", T.StringType())])
+    return rows.mapInArrow(lambda batches: assembled(batches, keys), schema).withColumn("text", unescape(F.col("text")))
 
 
 def edges(nodes: DataFrame) -> DataFrame:

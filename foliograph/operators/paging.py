@@ -53,8 +53,8 @@ def pages(nodes: DataFrame, target: str = "html") -> DataFrame:
     # A page's root stands on the page above it too: a link with nothing inside.
     both = F.when(begins & F.col("above").isNotNull(), F.array(own, cell("above", F.col("__link"), F.lit(""), F.lit("")))).otherwise(F.array(own))
     rows = rows.select("doc_id", "pos", F.when(begins, F.struct(F.col("__file").alias("file"), "marker", "title")).alias("root"), F.explode(both).alias("c")).select("doc_id", "pos", "root", "c.*")
-    root = F.max(F.when(F.col("pos") == F.col("page"), F.col("root"))).alias("root")
-    whole = content.assemble(rows, by=("doc_id", "page"), also=(root,))
+    root = F.when(F.col("pos") == F.col("page"), F.col("root")).alias("root")
+    whole = content.assemble(rows, by=("doc_id", "page"), carried=(root,))
     return whole.select("doc_id", F.col("page").alias("start"), "root.file", "root.marker", "root.title", "text")
 
 

@@ -147,3 +147,23 @@ def test_numbers_need_one_sort_of_plain_nodes(spark):
     sorts = [k for k, line in enumerate(plan) if "- Sort [" in line]
     assert len(sorts) == 1
     assert not any("CASE WHEN" in line for line in plan[sorts[0] :])
+
+
+def test_trees_pass_as_rows(spark, monkeypatch):
+    """No value but its text holds a tree: rows of one tree come in many batches, trees of many keys in one, and are filled as they pass."""
+    text = lambda k: "\\section{A}" + "\\begin{proof}$x$ \\emph{y}\\end{proof}\n" * k
+    rows = [(d, r[1], r[17], r[16], r[18], {"file": f"f{d}.{r[1]}"}) for d, k in enumerate((1, 400, 2, 0, 3)) for r in peel.parse(text(k))]
+    kind = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), *((n, pa.string()) for n in ("before", "body", "after")), ("root", pa.struct([("file", pa.string())]))])
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 100], strict=True), kind, strict=True)], schema=kind) for at in range(0, len(rows), 100)]
+    monkeypatch.setattr(content, "LEAVING", 10000)
+    out = list(content.assembled(iter(batches), 1))
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == [(d, {"file": f"f{d}.0"}, text(k)) for d, k in enumerate((1, 400, 2, 0, 3))]
+    assert len(out) == 2 and not list(content.assembled(iter([]), 1))
+    from foliograph.operators import paging
+
+    docs = spark.createDataFrame([(1, "a" + text(3)), (2, "")], "doc_id long, text string")
+    nodes = numbering.number_nodes(peel.peel(docs)).withColumnsRenamed({"opening": "open_tag", "closing": "close_tag"})
+    pages = paging.pages(nodes)
+    assert "collect_list" not in pages._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.doc_id, r.file): (r.start, r.marker, r.text) for r in pages.collect()}
+    assert got == {(1, "index.html"): (0, "document", 'a<h2 class="link"><a href="section1.html">A</a></h2>\n'), (1, "section1.html"): (1, "section", text(3)), (2, "index.html"): (0, "document", "")}
