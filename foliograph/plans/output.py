@@ -12,6 +12,7 @@ from ..operators import content, frontmatter, links, macros, navigation, numberi
 from ..operators.peel import peel
 from ..sources import documents, sinks, synthetic
 from ..sources.synthetic import joined, table
+from .structure import COUNTED, HEADINGS
 
 
 def nested_math(spark, sf_dir):
@@ -237,13 +238,13 @@ def early_macros(spark, sf_dir):
 
 
 def main_files(spark, sf_dir):
-    n = numbering.number_nodes(peel(synthetic.customer_books(spark, sf_dir)))
+    n = numbering.number_nodes(peel(synthetic.customer_books(spark, sf_dir), COUNTED))
     return sinks.main_files(links.page_names(n, "ptx")).select(F.col("doc_id").alias("c_custkey"), "text")
 
 
 def snippets(spark, sf_dir):
     """Statements, proofs and equations as snippets, with what they hold."""
-    n = peel(synthetic.nested_orders(spark, sf_dir)).withColumn("text", F.col("body"))
+    n = peel(synthetic.nested_orders(spark, sf_dir), ("pos", "marker", "label", "body")).withColumn("text", F.col("body"))
     return sinks.snippets(n).withColumnRenamed("doc_id", "l_orderkey")
 
 
@@ -269,17 +270,17 @@ def paper_authors(spark, sf_dir):
 
 
 def toc_linked(spark, sf_dir):
-    return navigation.toc_html(numbering.number_nodes(peel(synthetic.atlas(spark, sf_dir)))).select(F.col("doc_id").alias("r_regionkey"), F.sha1("toc").alias("toc_sha1"), F.length("toc").cast("long").alias("chars"))
+    return navigation.toc_html(numbering.number_nodes(peel(synthetic.atlas(spark, sf_dir), HEADINGS))).select(F.col("doc_id").alias("r_regionkey"), F.sha1("toc").alias("toc_sha1"), F.length("toc").cast("long").alias("chars"))
 
 
 def page_buttons(spark, sf_dir):
-    pages_of = links.page_names(numbering.number_nodes(peel(synthetic.customer_books(spark, sf_dir))))
+    pages_of = links.page_names(numbering.number_nodes(peel(synthetic.customer_books(spark, sf_dir), COUNTED)))
     around = links.prev_next(pages_of, "pos")
     return around.select(F.col("doc_id").alias("c_custkey"), "file", navigation.buttons(F.col("prev"), F.col("next")).alias("html"))
 
 
 def framed_pages(spark, sf_dir):
-    n = numbering.number_nodes(peel(synthetic.atlas(spark, sf_dir)))
+    n = numbering.number_nodes(peel(synthetic.atlas(spark, sf_dir), HEADINGS))
     pages_of = links.page_names(n).join(n.select("doc_id", "pos", "title"), ["doc_id", "pos"]).where("title is not null").withColumn("text", F.col("title"))
     return navigation.framed(pages_of, navigation.toc_html(n)).select(F.col("doc_id").alias("r_regionkey"), "file", "text")
 

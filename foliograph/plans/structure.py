@@ -16,8 +16,13 @@ from ..sources.synthetic import joined, table
 
 
 
-def numbered_books(spark: SparkSession, sf_dir: str, starred: bool = False) -> DataFrame:
-    return numbering.number_nodes(peel(synthetic.customer_books(spark, sf_dir, starred)))
+#: Columns of nodes that numbers are made of, and with those that headings show.
+COUNTED = ("pos", "marker", "star")
+HEADINGS = (*COUNTED, "title")
+
+
+def numbered_books(spark: SparkSession, sf_dir: str, starred: bool = False, only: tuple[str, ...] = (*COUNTED, "label")) -> DataFrame:
+    return numbering.number_nodes(peel(synthetic.customer_books(spark, sf_dir, starred), only))
 
 
 def numbered_sections(spark, sf_dir):
@@ -31,12 +36,12 @@ def starred_numbering(spark, sf_dir):
 
 
 def section_split(spark, sf_dir):
-    nodes = peel(synthetic.customer_books(spark, sf_dir)).where("marker = 'section'")
+    nodes = peel(synthetic.customer_books(spark, sf_dir), ("ordinal", "marker", "title", "body")).where("marker = 'section'")
     return nodes.select(F.col("doc_id").alias("c_custkey"), F.col("ordinal").cast("long").alias("ordinal"), "title", F.size(F.regexp_extract_all("body", F.lit("\u27e6"), F.lit(0))).cast("long").alias("n_children"))
 
 
 def env_extract(spark, sf_dir):
-    nodes = peel(synthetic.nested_orders(spark, sf_dir)).where("marker <> 'document'")
+    nodes = peel(synthetic.nested_orders(spark, sf_dir), ("depth", "marker")).where("marker <> 'document'")
     return nodes.groupBy(F.col("doc_id").alias("l_orderkey"), "marker", "depth").agg(F.count("*").alias("n"))
 
 
@@ -48,7 +53,7 @@ def list_items(spark, sf_dir):
 
 
 def math_rows(spark, sf_dir):
-    n = numbering.number_nodes(peel(synthetic.math_rows(spark, sf_dir))).where("marker = 'mathrow'")
+    n = numbering.number_nodes(peel(synthetic.math_rows(spark, sf_dir), (*COUNTED, "ordinal"))).where("marker = 'mathrow'")
     return n.select(F.col("doc_id").alias("l_orderkey"), F.col("ordinal").cast("long").alias("row"), "star", "codenumber")
 
 
@@ -114,16 +119,16 @@ def tables_html(spark, sf_dir):
     return content.tables_html(t.withColumn("spec", F.lit("|l|r|"))).select(F.col("doc_id").alias("n_regionkey"), "html")
 
 
-def numbered_atlas(spark, sf_dir) -> DataFrame:
-    return numbering.number_nodes(peel(synthetic.atlas(spark, sf_dir)))
+def numbered_atlas(spark, sf_dir, only: tuple[str, ...] = ()) -> DataFrame:
+    return numbering.number_nodes(peel(synthetic.atlas(spark, sf_dir), only))
 
 
 def toc_two_levels(spark, sf_dir):
-    return links.toc(numbered_atlas(spark, sf_dir)).select(F.col("doc_id").alias("r_regionkey"), "toc")
+    return links.toc(numbered_atlas(spark, sf_dir, HEADINGS)).select(F.col("doc_id").alias("r_regionkey"), "toc")
 
 
 def prev_next(spark, sf_dir):
-    pages = links.page_names(numbered_books(spark, sf_dir))
+    pages = links.page_names(numbered_books(spark, sf_dir, only=COUNTED))
     return links.prev_next(pages, "pos").select(F.col("doc_id").alias("c_custkey"), "file", "prev", "next")
 
 
@@ -136,10 +141,12 @@ def dependency_edges(spark, sf_dir):
 
 
 def containing_section(spark, sf_dir):
-    n = numbered_atlas(spark, sf_dir)
-    inside = n.where("marker = 'theorem'").select("doc_id", "pos", "label")
+    """Statements with the title of the section around them and the nearest number: what a statement asks for is read once with it."""
+    n = numbered_atlas(spark, sf_dir, (*HEADINGS, "label", "section", "near"))
+    inside = n.where("marker = 'theorem' and section is not null and near is not null").select("doc_id", "label", F.col("section").alias("section_pos"), F.col("near").alias("at"))
     heads = n.where("marker = 'section'").select("doc_id", F.col("pos").alias("section_pos"), "title")
-    found = inside.join(numbering.containing_section(n), ["doc_id", "pos"]).join(heads, ["doc_id", "section_pos"]).join(numbering.nearest_number(n), ["doc_id", "pos"])
+    numbers = n.where("codenumber is not null").select("doc_id", F.col("pos").alias("at"), F.col("codenumber").alias("near"))
+    found = inside.join(heads, ["doc_id", "section_pos"]).join(numbers, ["doc_id", "at"])
     return found.select(F.regexp_extract("label", "([0-9]+)", 1).cast("long").alias("c_custkey"), "title", "near")
 
 

@@ -16,6 +16,7 @@ from ..operators import bibliography, content, floats, frontmatter, links, macro
 from ..operators.peel import peel
 from ..sources import documents, project, synthetic
 from ..sources.synthetic import joined, table
+from .structure import COUNTED, HEADINGS
 
 
 def _tagged(nodes: DataFrame, target: str) -> DataFrame:
@@ -23,8 +24,8 @@ def _tagged(nodes: DataFrame, target: str) -> DataFrame:
     return done.withColumn("open_tag", F.concat("open_tag", "heading"))
 
 
-def _atlas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numbering.number_nodes(peel(synthetic.atlas(spark, sf_dir)))
+def _atlas(spark: SparkSession, sf_dir: str, only: tuple[str, ...] = ()) -> DataFrame:
+    return numbering.number_nodes(peel(synthetic.atlas(spark, sf_dir), only))
 
 
 def page_files(spark, sf_dir):
@@ -40,7 +41,7 @@ def main_pages(spark, sf_dir):
     """Main files of the atlas with authors, an abstract for some, and an index."""
     region = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("doc_id"), F.concat(F.lit("{A}tlas of "), "r_name").alias("title"), F.when(F.col("r_regionkey") % 2 == 0, F.concat(F.lit(" On "), "r_name")).alias("abstract"))
     names = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").cast("long").alias("doc_id")).agg(F.sort_array(F.collect_list("n_name")).alias("authors"))
-    roots = paging.page_roots(_atlas(spark, sf_dir), "ptx")
+    roots = paging.page_roots(_atlas(spark, sf_dir, (*HEADINGS, "last", "label")), "ptx")
     preludes = region.select("doc_id", F.concat(F.lit("<macros>"), "doc_id", F.lit("</macros>\n")).alias("prelude"))
     return paging.top_pages(region.join(names, "doc_id", "left"), roots, preludes, F.col("doc_id") > 1).select(F.col("doc_id").alias("r_regionkey"), "file", "text")
 
@@ -147,7 +148,7 @@ def rule_packs(spark, sf_dir):
 def float_labels(spark, sf_dir):
     """Figures whose caption, image and label stand in a minipage inside them."""
     text = F.format_string("\\begin{figure}\\caption{first}\\end{figure}\\begin{figure}\\begin{minipage}{2in}\\includegraphics{p%d}\\caption{Size %d}\\label{f:%d}\\end{minipage}\\end{figure} see \\ref{f:%d}", "p_partkey", "p_size", "p_partkey", "p_partkey")
-    nodes = numbering.number_nodes(peel(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text"))))
+    nodes = numbering.number_nodes(peel(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text")), (*COUNTED, "label", "body", "float")))
     labels = numbering.labels(nodes)
     shown = links.splice(nodes, links.resolve(links.references(nodes), labels)).where("marker = 'document'").select("doc_id", F.substring_index("body", " see ", -1).alias("shown"))
     held = floats.owned(floats.floats(nodes), nodes).groupBy("doc_id", "owner").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "kind", "content"))), ";").alias("holds"))

@@ -167,3 +167,23 @@ def test_trees_pass_as_rows(spark, monkeypatch):
     assert "collect_list" not in pages._jdf.queryExecution().optimizedPlan().toString()
     got = {(r.doc_id, r.file): (r.start, r.marker, r.text) for r in pages.collect()}
     assert got == {(1, "index.html"): (0, "document", 'a<h2 class="link"><a href="section1.html">A</a></h2>\n'), (1, "section1.html"): (1, "section", text(3)), (2, "index.html"): (0, "document", "")}
+
+
+def test_nodes_have_the_columns_that_are_asked_for(spark):
+    """The parser makes no column that a query does not read; what it makes is as before."""
+    text = "\\section{A}\\label{a}" + "\\begin{theorem}[o]b\\end{theorem}" * 3
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, None])], ["doc_id", "text"])
+    whole, some = pa.Table.from_batches(peel._peel(iter([batch]))), pa.Table.from_batches(peel._peel(iter([batch]), ("doc_id", "title", "pos")))
+    assert some.column_names == ["doc_id", "title", "pos"] and some.equals(whole.select(some.column_names))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert peel.peel(docs, ("pos", "marker", "star")).columns == ["doc_id", "pos", "marker", "star", "node_id"]
+    assert peel.peel(docs, ("depth",)).columns == ["doc_id", "depth"]
+    assert peel.peel(docs).columns[-2:] == ["content_hash", "node_id"]
+
+
+def test_containing_sections_read_the_atlas_for_each_side_once(spark):
+    """A statement, what it is in and its number are three reads, and no read climbs back to the statement."""
+    from foliograph.plans import structure
+
+    plan = structure.containing_section(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 3 and "body" not in plan
