@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import canonical
 from ..functions import pages as P
 from ..functions.rules import apply_packs
-from ..operators import bibliography, content, floats, frontmatter, links, macros, navigation, numbering, paging, papers, tags
+from ..operators import bibliography, content, edges, floats, frontmatter, links, macros, navigation, numbering, paging, papers, tags
 from ..operators.peel import peel
 from ..sources import documents, project, synthetic
 from ..sources.synthetic import joined, table
@@ -54,13 +54,22 @@ def bibliography_files(spark, sf_dir):
 
 def subtree_edges(spark, sf_dir):
     """Statements whose references stand in list items, equations, an option and a proof inside them; the last line refers from outside."""
-    item = synthetic.line_items(spark, sf_dir)
-    s = F.format_string(
-        "\\begin{theorem}[after \\ref{1}]\\label{%d}A.\\begin{itemize}\\item by \\eqref{2}\\item no\\end{itemize}\\begin{equation}x\\text{ as in \\ref{%d}}\\end{equation}\\begin{proof}\\ref{none}\\end{proof}\\end{theorem} \\ref{3}\n",
-        "l_linenumber", F.col("l_linenumber") + 1,
+    return edges.document_edges(_edge_documents(spark, sf_dir)).select(F.col("doc_id").alias("l_orderkey"), "source", "target")
+
+
+def _edge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's items are known by their numbers alone, which run from 1 to how many there are: none is sorted or collected.
+
+    The parts are set, as counts are small and what is read out of them is long.
+    """
+    keys = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id")).where("doc_id is not null")
+    orders = keys.repartition(8 * spark.sparkContext.defaultParallelism, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    one = lambda k: F.concat(
+        F.lit("\\begin{theorem}[after \\ref{1}]\\label{"), k.cast("string"),
+        F.lit("}A.\\begin{itemize}\\item by \\eqref{2}\\item no\\end{itemize}\\begin{equation}x\\text{ as in \\ref{"), (k + 1).cast("string"),
+        F.lit("}}\\end{equation}\\begin{proof}\\ref{none}\\end{proof}\\end{theorem} \\ref{3}\n"),
     )
-    docs = item.groupBy(F.col("l_orderkey").alias("doc_id")).agg(joined(F.collect_list(F.struct("l_linenumber", s.alias("s")))).alias("text"))
-    return links.dependency_edges(peel(docs)).select(F.col("doc_id").alias("l_orderkey"), "source", "target")
+    return orders.select("doc_id", F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), "n"), one), "").alias("text"))
 
 
 def macro_stages(spark, sf_dir):

@@ -6,8 +6,8 @@ import pyarrow as pa
 import pytest
 
 from foliograph.functions import markup, scanner
-from foliograph.operators import content, links, numbering, peel
-from foliograph.plans import output
+from foliograph.operators import content, edges, links, numbering, peel
+from foliograph.plans import output, whole
 from foliograph.sources import documents, synthetic
 
 
@@ -58,6 +58,36 @@ def test_edges_of_one_read(spark):
     assert edges._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
 
 
+def test_edges_need_no_exchange(spark):
+    """Edges of whole documents are those of their nodes, whichever reader takes a text, and nothing is dealt out for them."""
+    statement = r"\begin{theorem}[after \ref{b}]\label{a}x \ref{none}\begin{itemize}\item[\eqref{c}] y\item\label{c}$z \ref{d}$\end{itemize}\begin{proof}\label{b}\ref{a}\end{proof}\end{theorem} \ref{a}"
+    odd = ["", None, statement, statement * 2, statement + r"\begin{lemma}\label{d}\verb|\ref{a}|\end{lemma}", statement + r"\section{T \ref{a}}\label{d}\begin{definition} [\]\ref{a}]\label{e}\[u\]\begin{align}v\ref{d}\\w\label{a}\end{align}\end{definition}",
+           r"\begin{lemma}\label{a}\ref{a\$}\\ref{a}\item \begin{figure}\begin{minipage}\label{f}\ref{f}\end{minipage}\end{foo}\end{figure}" + "⟦\\end{lemma}", statement + "\\begin{theorem}" * 300 + "\\end{foo}" * 300, r"\begin{theorem}\label{a}$x" + "\n\n" + r"\ref{a}$ \begin{lemma}\label{b}\ref{a}"]
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    got = edges.document_edges(docs)
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(map(tuple, links.dependency_edges(peel.peel(docs)).collect())) and len(rows) > 20
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    of = frozenset(("theorem", "lemma", "definition"))
+    assert edges._quick(statement, of) is not None and edges._quick(odd[4], of) is None
+    assert edges._quick(statement * 2, of)[1] == edges._parsed(statement * 2, of)[1] == {"a", "b", "c"}
+
+
+def test_subtree_edges_deal_out_once(spark, tmp_path):
+    """The query's one exchange is that of line items to orders; items without an order have no edges, as in the SQL."""
+    spark.createDataFrame([(7,), (7,), (7,), (8,), (None,)], "l_orderkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = whole.subtree_edges(spark, str(tmp_path))
+    want = [(7, "1", "1"), (7, "1", "2"), (7, "2", "1"), (7, "2", "2"), (7, "2", "3"), (7, "3", "1"), (7, "3", "2"), (8, "1", "1")]
+    assert sorted(map(tuple, got.collect())) == want
+    assert got._jdf.queryExecution().sparkPlan().toString().count("Exchange") <= 1
+
+
+def test_unmatched_ends_do_not_pass_all_open_nodes_each():
+    """50,000 open nodes and 50,000 ends that close none of them: time grows with the text."""
+    text = "\\begin{theorem}\\label{a}\\ref{a}" + "\\begin{proof}" * 50000 + "\\end{foo}" * 50000
+    assert list(edges.edges_of(text, frozenset(("theorem",)))) == [("a", "a")]
+
+
 def test_paper_links_of_large_keys(spark, tmp_path):
     """Keys of five digits: numbers of preprints have four, as in the SQL."""
     spark.createDataFrame([(12345,), (12346,), (12347,)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
